@@ -105,10 +105,10 @@ ANSWERS = """answers AS (
 WATCH = """watch AS (
   SELECT 'W' || (item_id % 4) AS portfolio_id, item_id AS pos, w[3] || item_id % 3 AS ticker0, w[3] AS ticker,
          w[1] || ' ' || w[2] || ' Inc.' AS name, w[4] || ' ' || w[5] AS alias, w[6] AS sector, w[2] AS country
-  FROM (SELECT item_id, list_filter(string_split_regex(text, '[^\\p{L}]+'), x -> x <> '') AS w FROM benchmark))"""
+  FROM (SELECT item_id, list_filter(string_split_regex(text, '[^\\p{L}]+'), lambda x: x <> '') AS w FROM benchmark))"""
 
 EMBEDDED_ASSETS = """embedded_assets AS (
-  SELECT 'V' || (label % 3) AS portfolio_id, 'L' || label AS ticker, label AS pos, list(m ORDER BY i) AS vector
+  SELECT 'W' || (label % 4) AS portfolio_id, 'L' || label AS ticker, label AS pos, list(m ORDER BY i) AS vector
   FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY 1, 2)
   GROUP BY label)"""
 
@@ -351,7 +351,7 @@ class Tables:
         return (
             mean.groupBy("label")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
-            .select(F.concat(F.lit("V"), F.col("label") % 3).alias("portfolio_id"),
+            .select(F.concat(F.lit("W"), F.col("label") % 4).alias("portfolio_id"),
                     F.concat(F.lit("L"), "label").alias("ticker"), F.col("label").alias("pos"), "vector")
         )
 
