@@ -49,7 +49,7 @@ def investor_profiles(answers: DataFrame) -> DataFrame:
     chosen = answers.groupBy("user_id").agg(
         answer("q1_horizon").alias("q1"), answer("q2_goal").alias("q2"), answer("q4_knowledge").alias("q4"),
         answer("q8_max_loss").alias("q8"), answer("q9_esg").alias("q9"), answer("q10_sectors").alias("q10"))
-    listed = F.transform(F.split(F.coalesce("q10", F.lit("")), ","), F.trim)
+    listed = F.transform(F.split(F.coalesce("q10", F.lit("")), ","), lambda o: F.trim(o))
     sectors = F.array_compact(F.transform(listed, lambda o: lookup(o, domain.SECTOR_BY_OPTION)))
     horizon = F.when(F.col("q1").isNull(), "medio_plazo").otherwise(lookup(F.col("q1"), domain.HORIZON_BY_OPTION, F.lit("largo_plazo")))
     mapped = chosen.select(
