@@ -84,28 +84,44 @@ def _accent_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), expanded
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_accents(text: Column) -> Column:
-    """Letters without their diacritics (compatibility forms folded as well)."""
+    """Letters without their diacritics (compatibility forms folded as well).
+
+    The rarer steps run only where something non-ASCII is left after the common letters are folded.
+    """
     source, target, expanded = _accent_tables()
-    folded = F.translate(text, source, target)
-    several = text
-    for char, bare in expanded.items():
-        several = F.replace(several, F.lit(char), F.lit(bare))
-    special = F.rlike(text, F.lit("[" + "".join(expanded) + "]"))
-    folded = F.when(special, F.translate(several, source, target)).otherwise(folded)
-    return F.regexp_replace(folded, "[\\p{Mn}\\p{Me}]", "")
+    listed = "\x01".join(f"{c}\x02{bare}" for c, bare in expanded.items())
+
+    def rare(folded):
+        table = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
+        several = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(table[c], c)), "")
+        spread = F.when(F.rlike(folded, F.lit("[" + "".join(expanded) + "]")), several).otherwise(folded)
+        return F.regexp_replace(spread, "[\\p{Mn}\\p{Me}]", "")
+
+    return bind(F.translate(text, source, target), lambda t: F.when(is_ascii(t), t).otherwise(rare(t)))
+
 
+def _words(text: Column) -> Column:
+    """Runs of letters, digits and underscores."""
+    def split(t):
+        return F.when(is_ascii(t), F.split(t, "[^a-zA-Z0-9_]+")).otherwise(F.split(t, f"[^{WORD}]+"))
 
-def _punctuation_to_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"[^{WORD}{SPACE}]", " ")
+    return F.filter(bind(text, split), lambda w: w != "")
 
 
 def canonical_name(name: Column) -> Column:
     """Company name in lower case without accents, punctuation and legal-form words."""
     base = F.replace(strip_accents(F.lower(F.coalesce(name, F.lit("")))), F.lit("."), F.lit(""))
-    words = F.split(squeeze(_punctuation_to_space(base)), " ")
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*domain.CORPORATE_SUFFIXES))
-    return F.array_join(kept, " ")
+    return F.array_join(F.filter(_words(base), lambda w: ~w.isin(*domain.CORPORATE_SUFFIXES)), " ")
 
 
 def name_root(canonical: Column) -> Column:
@@ -115,7 +131,7 @@ def name_root(canonical: Column) -> Column:
 
 def match_words(text: Column) -> Column:
     """Words of a text as mentions are compared: lower case, no accents, punctuation split off."""
-    return F.filter(F.split(squeeze(_punctuation_to_space(strip_accents(F.lower(text)))), " "), lambda w: w != "")
+    return _words(strip_accents(F.lower(text)))
 
 
 def match_text(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliowire import domain
 from foliowire.functions import text as tx
+from foliowire.session import cut_lineage
 
 TICKER, NAME, ROOT, ALIAS = 0.95, 0.95, 0.85, 0.9  # fixed values: confidence of each kind of key
 ORG_CAP, SECTOR_SCORE, COUNTRY_SCORE = 0.85, 0.5, 0.3  # fixed values
@@ -20,9 +21,11 @@ SMALL_VOCABULARY = 256
 
 def _key_form(value: Column, fix_dotted: bool) -> Column:
     """Searchable form: long or multi-word values canonical, short ones only lower-cased and without accents."""
-    raw = F.regexp_replace(value, "\\.", " ") if fix_dotted else value
-    long = F.contains(raw, F.lit(" ")) | (F.length(raw) > 5)
-    return F.when(long, tx.canonical_name(raw)).otherwise(F.trim(tx.strip_accents(F.lower(raw))))
+    def form(raw):
+        long = F.contains(raw, F.lit(" ")) | (F.length(raw) > 5)
+        return F.when(long, tx.canonical_name(raw)).otherwise(F.trim(tx.strip_accents(F.lower(raw))))
+
+    return tx.bind(F.replace(value, F.lit("."), F.lit(" ")) if fix_dotted else value, form)
 
 
 def entity_keys(assets: DataFrame, fix_dotted: bool = False) -> DataFrame:
@@ -51,24 +54,34 @@ def entity_keys(assets: DataFrame, fix_dotted: bool = False) -> DataFrame:
         "portfolio_id", "key", "ticker", "weight", "first.pos", "first.kind")
 
 
-def _grams(words: str, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
-    return F.when(F.size(words) >= size, grams).otherwise(F.array().cast("array<string>"))
+def key_lengths(keys: DataFrame) -> list[int]:
+    """Numbers of words the keys have; a handful of small integers."""
+    return sorted(r[0] for r in keys.select(F.size(F.split("key", " "))).distinct().collect())
+
+
+def _grams(words: str, sizes: list[int]) -> Column:
+    """All word n-grams of the given sizes, each size built by appending one word to the size before."""
+    out, grams = [], F.col(words)
+    for n in range(1, max(sizes, default=0) + 1):
+        if n > 1:
+            grams = F.zip_with(F.slice(grams, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))),
+                               F.slice(words, F.lit(n), F.greatest(F.size(words) - (n - 1), F.lit(0))),
+                               lambda a, b: F.concat(a, F.lit(" "), b))
+        if n in sizes:
+            out.append(grams)
+    return F.concat(*out) if out else F.array().cast("array<string>")
 
 
-def mentions(docs: DataFrame, keys: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
+def mentions(docs: DataFrame, keys: DataFrame, id_col: str = "news_id", text_col: str = "text",
+             lengths: list[int] | None = None) -> DataFrame:
     """(news_id, portfolio_id, ticker, key, weight, pos, kind): every key found in every whole text.
 
-    Only the distinct key lengths (a handful of small integers) are read by the driver. The join is left
-    to the planner: it broadcasts keys only below its size threshold, and otherwise shuffles both sides
-    with skewed grams split at run time.
+    Only the distinct key lengths are read by the driver. The join is left to the planner: it broadcasts
+    keys only below its size threshold, and otherwise shuffles both sides with skewed grams split at run time.
     """
-    sized = keys.withColumn("n_words", F.size(F.split("key", " ")))
-    lengths = sorted(r[0] for r in sized.select("n_words").distinct().collect())
+    sizes = key_lengths(keys) if lengths is None else lengths
     words = docs.select(id_col, tx.match_words(F.col(text_col)).alias("words"))
-    grams = F.concat(*[_grams("words", n) if n > 1 else F.col("words") for n in lengths]) if lengths else F.array().cast("array<string>")
-    found = words.select(id_col, F.explode(F.array_distinct(grams)).alias("key"))
+    found = words.select(id_col, F.explode(F.array_distinct(_grams("words", sizes))).alias("key"))
     return found.join(keys, "key")
 
 
@@ -105,9 +118,10 @@ def substring_mentions(docs: DataFrame, terms: DataFrame, id_col: str, text: str
     if len(listed) <= SMALL_VOCABULARY:
         if not listed:
             return lowered.select(id_col, F.lit("").alias("term")).where(F.lit(False))
-        literal = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["strict"]).alias("strict")) for r in listed])
-        hits = F.filter(literal, lambda t: occurs(F.col("_text"), t["term"], t["strict"]))
-        return lowered.select(id_col, F.explode(hits).alias("hit")).select(id_col, "hit.term")
+        loose = F.array(*[F.lit(r["term"]) for r in listed if not r["strict"]]).cast("array<string>")
+        bounded = [F.when(occurs(F.col("_text"), F.lit(r["term"]), F.lit(True)), F.lit(r["term"])) for r in listed if r["strict"]]
+        hits = F.concat(F.filter(loose, lambda t: F.contains(F.col("_text"), t)), F.array_compact(F.array(*bounded).cast("array<string>")))
+        return lowered.select(id_col, F.explode(hits).alias("term"))
     heads = vocabulary.withColumn("head", F.substring("term", 1, 3))
     sizes = sorted(r[0] for r in heads.select(F.length("head")).distinct().collect())
     starts = F.sequence(F.lit(1), F.length("_text"))
@@ -129,16 +143,17 @@ def country_mentions(docs: DataFrame, assets: DataFrame, id_col: str = "news_id"
     return substring_mentions(docs, countries, id_col, text_col, strict).join(countries, "term").select(id_col, "portfolio_id").distinct()
 
 
-def org_mentions(orgs: DataFrame, keys: DataFrame, id_col: str = "news_id") -> DataFrame:
+def org_mentions(orgs: DataFrame, keys: DataFrame, id_col: str = "news_id", lengths: list[int] | None = None) -> DataFrame:
     """Resolved assets of extracted organisation names (array column ``orgs``), their scores capped."""
     texts = orgs.where(F.size("orgs") > 0).select(id_col, F.array_join("orgs", " . ").alias("text"))
-    resolved = resolve(mentions(texts, keys, id_col), id_col)
+    resolved = resolve(mentions(texts, keys, id_col, lengths=lengths), id_col)
     return resolved.withColumn("score", F.least("score", F.lit(ORG_CAP)))
 
 
 def rule_relevance(docs: DataFrame, orgs: DataFrame, assets: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
     """Rule score of every (news, portfolio) pair with any signal: matched assets in order found, score and flags."""
-    keys = entity_keys(assets)
+    keys = cut_lineage(entity_keys(assets))  # read by three branches
+    lengths = key_lengths(keys)
     none = F.lit(None)
 
     def signal(df, phase, score, ticker=None, sector=False, country=False):
@@ -146,8 +161,8 @@ def rule_relevance(docs: DataFrame, orgs: DataFrame, assets: DataFrame, id_col:
         return df.select(id_col, "portfolio_id", score.alias("score"), order.cast(
             "struct<phase:int,w:double,pos:bigint,ticker:string>").alias("asset"), F.lit(sector).alias("sector"), F.lit(country).alias("country"))
 
-    in_text = resolve(mentions(docs, keys, id_col, text_col), id_col)
-    in_orgs = org_mentions(orgs, keys, id_col)
+    in_text = resolve(mentions(docs, keys, id_col, text_col, lengths), id_col)
+    in_orgs = org_mentions(orgs, keys, id_col, lengths)
     signals = (
         signal(in_text, 0, F.col("score"), ticker=True)
         .unionByName(signal(in_orgs, 1, F.col("score"), ticker=True))

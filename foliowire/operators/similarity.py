@@ -142,7 +142,7 @@ def similar_pairs(vectors: DataFrame, id_col: str, threshold: float) -> DataFram
     vector_type = vectors.schema["vector"].dataType.simpleString()
     tasks = home.mapInPandas(travel, f"low bigint, high bigint, is_low boolean, {id_col} {id_type}, vector {vector_type}")
 
-    def match(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
         side = pdf["is_low"].to_numpy()
         a = pdf if same else pdf[side]

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliowire.session import spread
+
 # --- SQL side ---------------------------------------------------------------------------------
 
 ALERTS = """alerts AS (
@@ -115,6 +117,7 @@ EMBEDDED_ASSETS = """embedded_assets AS (
 # --- DataFrame side ----------------------------------------------------------------------------
 
 _LETTERS = "abcdefgh"
+TEXT_TABLES = ("documents", "pages", "conversations")  # tables whose rows cost far more to process than to move
 
 
 class Tables:
@@ -125,7 +128,8 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
     @cached_property
     def alerts(self) -> DataFrame:

@@ -319,9 +319,9 @@ def _curve(t: Tables):
         (F.col("i") / 20).alias("x"), (F.col("share") * 0.1).alias("y"))
 
 
-@query("E38_curve_lookup", f"WITH {_CURVE} SELECT alert_id, round(expected, 6) AS expected_abs_car FROM looked")
+@query("E38_curve_lookup", f"WITH {_CURVE} SELECT alert_id, round(expected, 10) AS expected_abs_car FROM looked")
 def curve_lookup(t: Tables):
-    return _rounded(calibration.lookup_curve(t.alerts, _curve(t), "severity").select("alert_id", "expected_abs_car"), ["expected_abs_car"])
+    return _rounded(calibration.lookup_curve(t.alerts, _curve(t), "severity").select("alert_id", "expected_abs_car"), ["expected_abs_car"], 10)
 
 
 @query("E5_calibrated_label", f"""WITH {_CURVE} SELECT alert_id, CASE WHEN expected < 0.005 THEN 'muy_baja' WHEN expected < 0.015 THEN 'baja'

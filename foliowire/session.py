@@ -61,3 +61,12 @@ def at_most(df: DataFrame, bound: int) -> bool:
 def broadcast_if_small(df: DataFrame, bound: int) -> DataFrame:
     """Broadcast hint behind a row-count check; otherwise the planner chooses a shuffled join."""
     return F.broadcast(df) if at_most(df, bound) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that yields fewer partitions than there are cores, ahead of costly per-row work.
+
+    Tables of more than a few files never meet the condition, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
