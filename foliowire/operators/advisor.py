@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliowire import domain
 from foliowire.functions.scoring import canonical_region, canonical_sector, lookup, risk_profile
+from foliowire.session import cut_lineage
 
 BALANCED, OVER, UNDER = "equilibrado", "sobreexpuesto", "infraexpuesto"  # fixed values
 
@@ -60,26 +61,39 @@ def investor_profiles(answers: DataFrame) -> DataFrame:
     return risk_scores(answers).join(mapped, "user_id").withColumn("risk_profile", risk_profile(F.col("risk_score")))
 
 
-def _totals(holdings: DataFrame) -> DataFrame:
-    return holdings.groupBy("portfolio_id").agg(
-        F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("weight")).alias("squares"), F.count(F.lit(1)).alias("n_assets"),
-        F.max(F.struct("weight", (-F.col("asset_id")).alias("o"), "asset_id")).alias("top"))
+def composition(holdings: DataFrame) -> DataFrame:
+    """The one aggregation over holdings: sums per portfolio, canonical sector and region, with the largest position.
+
+    At most a few dozen rows per portfolio. It is materialised, as every measure below reads it.
+    """
+    return cut_lineage(holdings.groupBy(
+        "portfolio_id", canonical_sector(F.col("sector")).alias("sector"), canonical_region(F.col("country")).alias("region")).agg(
+        F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("weight")).alias("squares"), F.count(F.lit(1)).alias("n"),
+        F.max(F.struct("weight", (-F.col("asset_id")).alias("o"), "asset_id")).alias("top")))
+
+
+def _totals(base: DataFrame) -> DataFrame:
+    return base.groupBy("portfolio_id").agg(
+        F.sum("w").alias("total"), F.sum("squares").alias("squares"), F.sum("n").alias("n_assets"), F.max("top").alias("top"))
 
 
-def concentration(holdings: DataFrame) -> DataFrame:
-    """Herfindahl index of the normalised weights, from two sums; equal weights when there is nothing to normalise."""
-    return _totals(holdings).select("portfolio_id", "n_assets", F.when(F.col("total") < 0.01, F.lit(1.0) / F.col("n_assets")).otherwise(
-        F.col("squares") / (F.col("total") * F.col("total"))).alias("hhi"))
+def _equal_or(value: Column) -> Column:
+    """Weights that sum to nothing count as equal weights."""
+    return F.when(F.col("total") < 0.01, F.lit(1.0) / F.col("n_assets")).otherwise(value)
 
 
-def largest_position(holdings: DataFrame) -> DataFrame:
-    share = F.when(F.col("total") < 0.01, F.lit(1.0) / F.col("n_assets")).otherwise(F.col("top.weight") / F.col("total"))
-    return _totals(holdings).select("portfolio_id", F.col("top.asset_id").alias("asset_id"), share.alias("share"))
+def concentration(base: DataFrame) -> DataFrame:
+    """Herfindahl index of the normalised weights, from two sums."""
+    return _totals(base).select("portfolio_id", "n_assets", _equal_or(F.col("squares") / (F.col("total") * F.col("total"))).alias("hhi"))
 
 
-def shares(holdings: DataFrame, category: Column) -> DataFrame:
-    """Percent of each portfolio per category, summed per category first."""
-    sums = holdings.groupBy("portfolio_id", category.alias("category")).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+def largest_position(base: DataFrame) -> DataFrame:
+    return _totals(base).select("portfolio_id", F.col("top.asset_id").alias("asset_id"), _equal_or(F.col("top.weight") / F.col("total")).alias("share"))
+
+
+def shares(base: DataFrame, category: str) -> DataFrame:
+    """Percent of each portfolio per sector or region."""
+    sums = base.groupBy("portfolio_id", F.col(category).alias("category")).agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     whole = W.partitionBy("portfolio_id")
     total, count = F.sum("w").over(whole), F.sum("n").over(whole)
     pct = F.when(total < 0.01, F.col("n") / count).otherwise(F.col("w") / total) * 100
@@ -114,30 +128,33 @@ def allocation(current: DataFrame, profiles: DataFrame, ideals: dict[str, dict[s
     return out.withColumn("status", status)
 
 
-def sector_allocation(holdings: DataFrame, profiles: DataFrame) -> DataFrame:
-    return allocation(shares(holdings, canonical_sector(F.col("sector"))), profiles, domain.IDEAL_SECTORS)
-
+def sector_allocation(base: DataFrame, profiles: DataFrame) -> DataFrame:
+    return allocation(shares(base, "sector"), profiles, domain.IDEAL_SECTORS)
 
-def region_allocation(holdings: DataFrame, profiles: DataFrame) -> DataFrame:
-    return allocation(shares(holdings, canonical_region(F.col("country"))), profiles, domain.IDEAL_REGIONS)
 
+def region_allocation(base: DataFrame, profiles: DataFrame) -> DataFrame:
+    return allocation(shares(base, "region"), profiles, domain.IDEAL_REGIONS)
 
-def _spread(holdings: DataFrame) -> DataFrame:
-    """Sectors and regions with weight, per portfolio."""
-    def counted(category, name):
-        return shares(holdings, category).where("pct > 0").groupBy("portfolio_id").agg(F.count(F.lit(1)).alias(name))
 
-    return counted(canonical_sector(F.col("sector")), "n_sectors").join(
-        counted(canonical_region(F.col("country")), "n_regions"), "portfolio_id")
+def _facts(base: DataFrame) -> DataFrame:
+    """Concentration, largest position and the numbers of sectors and regions with weight, one row per portfolio."""
+    present = F.when((F.col("w") > 0) | (F.col("total") < 0.01), F.col("category"))
+    totals = _totals(base)
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("category")) for s in ("sector", "region")])
+    named = base.select("portfolio_id", "w", F.inline(sides)).groupBy("portfolio_id", "side", "category").agg(F.sum("w").alias("w"))
+    counted = named.join(totals.select("portfolio_id", "total"), "portfolio_id").groupBy("portfolio_id").agg(
+        F.count(F.when(F.col("side") == "sector", present)).alias("n_sectors"), F.count(F.when(F.col("side") == "region", present)).alias("n_regions"))
+    return totals.join(counted, "portfolio_id").select(
+        "portfolio_id", "n_assets", "n_sectors", "n_regions", _equal_or(F.col("squares") / (F.col("total") * F.col("total"))).alias("hhi"),
+        F.col("top.asset_id").alias("asset_id"), _equal_or(F.col("top.weight") / F.col("total")).alias("share"))
 
 
-def diversification(holdings: DataFrame) -> DataFrame:
+def diversification(base: DataFrame) -> DataFrame:
     """Score 0-100 from the numbers of assets, sectors and regions and the concentration."""
-    facts = concentration(holdings).join(_spread(holdings), "portfolio_id")
     points = (
         F.least(F.col("n_assets") / 15, F.lit(1.0)) * 30 + (1 - F.col("hhi")) * 30
         + F.least(F.col("n_sectors") / 6, F.lit(1.0)) * 20 + F.least(F.col("n_regions") / 4, F.lit(1.0)) * 20)
-    return facts.withColumn("diversification_score", F.bround(points).cast("int"))
+    return _facts(base).withColumn("diversification_score", F.bround(points).cast("int"))
 
 
 def alignment(sectors: DataFrame, regions: DataFrame) -> DataFrame:
@@ -150,16 +167,14 @@ def alignment(sectors: DataFrame, regions: DataFrame) -> DataFrame:
     return both.select("portfolio_id", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))).cast("int").alias("risk_alignment_score"))
 
 
-def warnings(holdings: DataFrame, profiles: DataFrame, sectors: DataFrame) -> DataFrame:
+def warnings(base: DataFrame, profiles: DataFrame, sectors: DataFrame) -> DataFrame:
     """(portfolio_id, rule, message) of every risk warning that applies."""
     def outliers(condition):
         return F.array_join(F.array_sort(F.collect_list(F.when(condition, F.col("category")))), ", ")
 
     extremes = sectors.groupBy("portfolio_id").agg(
         outliers(F.col("diff_pct") > 15).alias("over"), outliers(F.col("diff_pct") < -15).alias("under"))
-    facts = (
-        concentration(holdings).join(largest_position(holdings), "portfolio_id").join(_spread(holdings), "portfolio_id")
-        .join(known_profiles(holdings, profiles), "portfolio_id").join(extremes, "portfolio_id"))
+    facts = _facts(base).join(known_profiles(base, profiles), "portfolio_id").join(extremes, "portfolio_id")
     least_assets = lookup(F.col("risk_profile"), domain.MIN_HOLDINGS)
 
     def rule(condition, name, message):
@@ -188,7 +203,7 @@ def overexposed_assets(holdings: DataFrame, sectors: DataFrame) -> DataFrame:
     return named.join(over, "portfolio_id").where(F.contains(F.lower("category"), F.lower("sector")))
 
 
-def recommendations(holdings: DataFrame, profiles: DataFrame, sectors: DataFrame, regions: DataFrame) -> DataFrame:
+def recommendations(holdings: DataFrame, base: DataFrame, sectors: DataFrame, regions: DataFrame) -> DataFrame:
     """Rule-based recommendations: reduce, buy, cap, diversify, or hold where no rule applies."""
     none = F.lit(None)
 
@@ -202,12 +217,12 @@ def recommendations(holdings: DataFrame, profiles: DataFrame, sectors: DataFrame
                    F.when(F.col("diff_pct") > 20, high).otherwise(medium))
     buy = rows(sectors.where((F.col("status") == UNDER) & (F.col("diff_pct") < -10)), "comprar", "sector_under", none,
                F.concat(F.lit("ETF/Fondo del sector "), "category"), F.col("category"), medium)
-    totals = _totals(holdings).where(F.col("squares") > 0.25 * F.col("total") * F.col("total")).select("portfolio_id", "total")
+    totals = _totals(base).where(F.col("squares") > F.col("total") * F.col("total") * 0.25).select("portfolio_id", "total")
     pct = F.col("weight") / F.col("total") * 100
     cap = rows(holdings.join(totals, "portfolio_id").where(pct > 25), "reducir", "position_cap", F.col("asset_id"), blank,
                F.coalesce("sector", blank), high, F.round(pct, 1), F.lit(15.0))
     abroad = rows(regions.where((F.col("status") == UNDER) & (F.col("diff_pct") < -15)), "comprar", "region_under", none,
                   F.concat(F.lit("ETF/Fondo de "), "category"), F.lit("Diversificación geográfica"), medium)
     acted = reduce_.unionByName(buy).unionByName(cap).unionByName(abroad)
-    idle = holdings.select("portfolio_id").distinct().join(acted.select("portfolio_id").distinct(), "portfolio_id", "left_anti")
+    idle = base.select("portfolio_id").distinct().join(acted.select("portfolio_id").distinct(), "portfolio_id", "left_anti")
     return acted.unionByName(rows(idle, "mantener", "hold", none, F.lit("Cartera actual"), blank, F.lit("baja")))

@@ -101,11 +101,13 @@ def krippendorff_alpha(ratings: DataFrame, categories: tuple[str, ...] | None =
         both_ways = 2 * (F.col("total") * F.col("t2") - F.col("t1") * F.col("t1"))
     else:
         cells = present.groupBy("dimension", "item_id", "label").agg(F.count(F.lit(1)).alias("c"))
-        items = cells.groupBy("dimension", "item_id").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("m >= 2")
+        # An item's list holds one entry per distinct label, however many ratings it has.
+        items = cells.groupBy("dimension", "item_id").agg(
+            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.collect_list(F.struct("label", "c")).alias("labels")).where("m >= 2")
         pairs = (F.col("m") * F.col("m") - F.col("squares")) / 2
         per_dimension = items.groupBy("dimension").agg(F.sum("m").alias("total"), F.sum(pairs / (F.col("m") - 1)).alias("observed"))
-        used = cells.join(items.select("dimension", "item_id"), ["dimension", "item_id"], "left_semi")
-        squares = used.groupBy("dimension", "label").agg(F.sum("c").alias("c")).groupBy("dimension").agg(F.sum(F.col("c") * F.col("c")).alias("label_squares"))
+        by_label = items.select("dimension", F.inline("labels")).groupBy("dimension", "label").agg(F.sum("c").alias("c"))
+        squares = by_label.groupBy("dimension").agg(F.sum(F.col("c") * F.col("c")).alias("label_squares"))
         pooled = per_dimension.join(squares, "dimension")
         both_ways = F.col("total") * F.col("total") - F.col("label_squares")
     d_o = factor * F.col("observed") / F.col("total")

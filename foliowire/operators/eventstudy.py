@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliowire import domain
+from foliowire.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -121,6 +122,7 @@ def run_study(events: DataFrame, asset_returns: DataFrame, market_returns: DataF
     ``events`` carries ticker, event_date and whatever else should be kept. ``status`` is null for a
     valid event; errors follow the order in which the data can fail.
     """
+    asset_returns, market_returns = cut_lineage(asset_returns), cut_lineage(market_returns)  # one row per ticker and day, read several times
     aligned = align(asset_returns, market_returns)
     models = models_by_day(aligned, cfg)
     placed = anchor(events, aligned, asset_returns, market_returns).join(models, ["ticker", "dt"], "left")
@@ -180,6 +182,7 @@ def abnormal_path(events: DataFrame, asset_returns: DataFrame, market_returns: D
     """
     lo, hi = window
     around = W.partitionBy("ticker").orderBy("dt").rowsBetween(lo, hi)
+    asset_returns, market_returns = cut_lineage(asset_returns), cut_lineage(market_returns)
     segment = align(asset_returns, market_returns).select(
         "ticker", "dt", F.collect_list(F.struct("ret", "mkt")).over(around).alias("segment"))
     study = run_study(events, asset_returns, market_returns, cfg).where(F.col("status").isNull())

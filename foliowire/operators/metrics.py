@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliowire import domain
 from foliowire.functions.scoring import safe_divide, severity_rank
+from foliowire.session import cut_lineage
 
 
 def _group(df: DataFrame, by: list[str]):
@@ -30,6 +31,10 @@ def binary_metrics(df: DataFrame, true: str, pred: str, by: list[str] | None = N
     counts = _group(df, by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
         F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
+    return _binary_rates(counts)
+
+
+def _binary_rates(counts: DataFrame) -> DataFrame:
     precision, recall, f1 = _prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))
     accuracy = safe_divide(F.col("tp") + F.col("tn"), F.col("n"))
     return counts.select("*", *[F.round(c, 4).alias(a) for c, a in (
@@ -108,6 +113,10 @@ def set_metrics(df: DataFrame, true: str, pred: str, by: list[str] | None = None
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(both), F.lit(0)).alias("tp"), F.coalesce(F.sum(only_p), F.lit(0)).alias("fp"),
         F.coalesce(F.sum(only_t), F.lit(0)).alias("fn"), F.coalesce(F.avg(jaccard), F.lit(0.0)).alias("jaccard"),
         F.coalesce(F.avg(((only_p + only_t) == 0).cast("double")), F.lit(0.0)).alias("exact"))
+    return _set_rates(sums, by)
+
+
+def _set_rates(sums: DataFrame, by: list[str]) -> DataFrame:
     precision, recall, f1 = _prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))
     return sums.select(*by, "n", F.round(precision, 4).alias("micro_precision"), F.round(recall, 4).alias("micro_recall"),
                        F.round(f1, 4).alias("micro_f1"), F.round("jaccard", 4).alias("mean_jaccard"),
@@ -135,6 +144,27 @@ def match_predictions(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return gold.join(predictions, "id")
 
 
+GOLD = ("gold_relevant", "gold_event", "gold_direction", "gold_severity")
+PREDICTED = ("is_relevant", "event_type", "direction", "severity_label")
+
+
+def evaluation_cells(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Counts and asset-set sums per variant and combination of gold and predicted labels.
+
+    One join and one aggregation; the label domains bound the number of cells, and every evaluation table
+    is derived from them.
+    """
+    matched = match_predictions(gold, predictions)
+    found, right = F.transform("matched_assets", F.upper), F.transform("gold_assets", F.upper)
+    rows = matched.select("variant", *GOLD, *PREDICTED, F.array_distinct(right).alias("t"), F.array_distinct(found).alias("p"))
+    both, only_p, only_t = F.size(F.array_intersect("t", "p")), F.size(F.array_except("p", "t")), F.size(F.array_except("t", "p"))
+    union = both + only_p + only_t
+    jaccard = F.when(union == 0, 1.0).otherwise(both / F.nullif(union, F.lit(0)))
+    return rows.groupBy("variant", *GOLD, *PREDICTED).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(both).alias("tp"), F.sum(only_p).alias("fp"), F.sum(only_t).alias("fn"),
+        F.sum(jaccard).alias("jaccard"), F.count_if((only_p + only_t) == 0).alias("exact"))
+
+
 def evaluate(gold: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:
     """All evaluation tables per variant.
 
@@ -143,25 +173,56 @@ def evaluate(gold: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:
     gold is relevant; the later labels where both are relevant and the prediction has a value.
     """
     by = ["variant"]
-    matched = match_predictions(gold, predictions)
+    cells = cut_lineage(evaluation_cells(gold, predictions))
     size = gold.agg(F.count(F.lit(1))).scalar()
-    found = matched.groupBy("variant").agg(F.count(F.lit(1)).alias("matched"))
+    found = cells.groupBy("variant").agg(F.sum("n").alias("matched"))
     summary = predictions.groupBy("variant").agg(F.count(F.lit(1)).alias("predictions_count")).join(found, "variant", "left").select(
         "variant", size.alias("dataset_size"), "predictions_count", (size - F.coalesce("matched", F.lit(0))).alias("missing_predictions"))
-    relevant = F.col("gold_relevant")
-    judged = matched.where(relevant & F.col("is_relevant"))
-    events = contingency(judged.where(F.col("event_type").isNotNull()), "gold_event", "event_type", by)
-    directions = contingency(judged.where(F.col("direction").isNotNull()), "gold_direction", "direction", by)
+    judged = cells.where(F.col("gold_relevant") & F.col("is_relevant"))
+
+    def labels(true, pred):
+        known = judged.where(F.col(pred).isNotNull())
+        return known.groupBy("variant", F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.sum("n").alias("n"))
+
+    events, directions = labels("gold_event", "event_type"), labels("gold_direction", "direction")
     return {
         "summary": summary,
-        "relevance": binary_metrics(matched, "gold_relevant", "is_relevant", by),
-        "matched_assets": set_metrics(matched.where(relevant), "gold_assets", "matched_assets", by),
+        "relevance": _binary_from(cells, by),
+        "matched_assets": _sets_from(cells.where("gold_relevant"), by),
         "event_type": averages(events, per_class(events, by), by),
         "direction": averages(directions, per_class(directions, by, domain.DIRECTIONS), by),
-        "severity": ordinal_metrics(judged.where(F.col("severity_label").isNotNull()), "gold_severity", "severity_label", by),
+        "severity": _ordinal_from(labels("gold_severity", "severity_label"), by),
     }
 
 
+def _binary_from(cells: DataFrame, by: list[str]) -> DataFrame:
+    t, p = F.col("gold_relevant"), F.col("is_relevant")
+
+    def total(condition):
+        return F.sum(F.when(condition, F.col("n")).otherwise(0))
+
+    counts = cells.groupBy(*by).agg(F.sum("n").alias("n"), total(t & p).alias("tp"), total(~t & p).alias("fp"), total(t & ~p).alias("fn"),
+                                    total(~t & ~p).alias("tn"))
+    return _binary_rates(counts)
+
+
+def _sets_from(cells: DataFrame, by: list[str]) -> DataFrame:
+    sums = cells.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn")],
+                                  (F.sum("jaccard") / F.sum("n")).alias("jaccard"), (F.sum("exact") / F.sum("n")).alias("exact"))
+    return _set_rates(sums, by)
+
+
+def _ordinal_from(counts: DataFrame, by: list[str]) -> DataFrame:
+    d = F.abs(severity_rank(F.col("true")) - severity_rank(F.col("pred")))
+    rows = counts.withColumn("d", d).where(F.col("d").isNotNull())
+
+    def rate(value):
+        return F.round(safe_divide(F.sum(value * F.col("n")), F.sum("n")), 4)
+
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), rate(F.col("d")).alias("mae"), rate((F.col("d") == 0).cast("int")).alias("exact_match"),
+                                 rate((F.col("d") <= 1).cast("int")).alias("off_by_one_or_less"))
+
+
 def ablation_summary(tables: dict[str, DataFrame]) -> DataFrame:
     """The headline metrics of every variant in one row; stages a variant skipped count as 0."""
     picks = {

@@ -117,7 +117,7 @@ EMBEDDED_ASSETS = """embedded_assets AS (
 # --- DataFrame side ----------------------------------------------------------------------------
 
 _LETTERS = "abcdefgh"
-TEXT_TABLES = ("documents", "pages", "conversations")  # tables whose rows cost far more to process than to move
+WIDE_WORK = ("documents", "pages", "conversations", "lineitem")  # tables whose processing outweighs moving a small scan
 
 
 class Tables:
@@ -129,7 +129,7 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(table) if name in TEXT_TABLES else table
+        return spread(table) if name in WIDE_WORK else table
 
     @cached_property
     def alerts(self) -> DataFrame:

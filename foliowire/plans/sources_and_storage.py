@@ -179,13 +179,15 @@ def annotations(t: Tables):
 SELECT ticker, strftime(dt, '%Y-%m-%d') AS date, round(arg_min(price, pos), 2) AS open, round(max(price), 2) AS high, round(min(price), 2) AS low,
        round(arg_max(price, pos), 2) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume
 FROM (SELECT p_type AS ticker, CAST(l_shipdate AS DATE) AS dt, l_extendedprice / l_quantity + 0.0001 AS price, l_quantity,
-             (l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem JOIN part ON p_partkey = l_partkey)
+             (l_orderkey, l_linenumber, l_partkey) AS pos FROM lineitem JOIN part ON p_partkey = l_partkey)
 GROUP BY 1, 2""")
 def bar_history(t: Tables):
     # 0.0001 keeps prices off the rounding ties of two decimals.
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)")
+    pos = (line * F.lit(10**12).cast("decimal(13,0)") + F.col("l_partkey")).cast("decimal(38,0)")
     ticks = t["lineitem"].select(
         "l_partkey", F.to_date("l_shipdate").alias("dt"), (F.col("l_extendedprice") / F.col("l_quantity") + 0.0001).alias("price"),
-        F.col("l_quantity").alias("quantity"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("pos"))
+        F.col("l_quantity").alias("quantity"), pos.alias("pos"))
     names = t["part"].select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("ticker"))
     return ohlcv(ticks, names, "l_partkey")
 

@@ -8,6 +8,7 @@ from foliowire import domain
 from foliowire.operators import advisor
 from foliowire.plans.bindings import ANSWERS, HOLDINGS, Tables
 from foliowire.plans.registry import query
+from foliowire.session import cut_lineage
 
 _WEIGHTS = ", ".join(f"('{q}', {w})" for q, (w, _) in domain.RISK_QUESTIONS.items())
 _SCORES = ", ".join(f"('{q}', '{o}', {s})" for q, (_, options) in domain.RISK_QUESTIONS.items() for o, s in options.items())
@@ -50,6 +51,10 @@ def _holdings(t: Tables):
     return t.holdings.select("portfolio_id", "asset_id", F.col("amount").alias("weight"), F.col("raw_sector").alias("sector"), F.col("raw_country").alias("country"))
 
 
+def _base(t: Tables):
+    return advisor.composition(_holdings(t))
+
+
 def _profiles(t: Tables):
     return advisor.risk_scores(t.answers).select(
         F.col("user_id").alias("portfolio_id"), advisor.risk_profile(F.col("risk_score")).alias("risk_profile"))
@@ -87,39 +92,39 @@ def investor_profile(t: Tables):
 
 @query("E43_concentration", f"WITH {_PORTFOLIOS} SELECT portfolio_id, CAST(n_assets AS BIGINT) AS n_assets, round(hhi, 6) AS hhi FROM totals")
 def concentration(t: Tables):
-    return advisor.concentration(_holdings(t)).withColumn("hhi", F.round("hhi", 6))
+    return advisor.concentration(_base(t)).withColumn("hhi", F.round("hhi", 6))
 
 
 @query("G4_largest_position", f"WITH {_PORTFOLIOS} SELECT portfolio_id, top_asset AS asset_id, round(top_share, 6) AS share FROM totals")
 def largest_position(t: Tables):
-    return advisor.largest_position(_holdings(t)).withColumn("share", F.round("share", 6))
+    return advisor.largest_position(_base(t)).withColumn("share", F.round("share", 6))
 
 
 @query("D20_sector_allocation", f"WITH {_PORTFOLIOS} SELECT portfolio_id, category, current_pct, ideal_pct FROM sectors")
 def sector_allocation(t: Tables):
-    return advisor.sector_allocation(_holdings(t), _profiles(t)).select("portfolio_id", "category", "current_pct", "ideal_pct")
+    return advisor.sector_allocation(_base(t), _profiles(t)).select("portfolio_id", "category", "current_pct", "ideal_pct")
 
 
 @query("D20_region_allocation", f"WITH {_PORTFOLIOS} SELECT portfolio_id, category, current_pct, ideal_pct FROM regions")
 def region_allocation(t: Tables):
-    return advisor.region_allocation(_holdings(t), _profiles(t)).select("portfolio_id", "category", "current_pct", "ideal_pct")
+    return advisor.region_allocation(_base(t), _profiles(t)).select("portfolio_id", "category", "current_pct", "ideal_pct")
 
 
 @query("E44_allocation_status", f"""WITH {_PORTFOLIOS}
 SELECT 'sector' AS side, portfolio_id, category, diff_pct + 0.0 AS diff_pct, {_STATUS} AS status FROM sectors
 UNION ALL SELECT 'region', portfolio_id, category, diff_pct + 0.0, {_STATUS} FROM regions""")
 def allocation_status(t: Tables):
-    holdings, profiles = _holdings(t), _profiles(t)
+    base, profiles = _base(t), _profiles(t)
 
     def side(name, df):
         return df.select(F.lit(name).alias("side"), "portfolio_id", "category", "diff_pct", "status")
 
-    return side("sector", advisor.sector_allocation(holdings, profiles)).unionByName(side("region", advisor.region_allocation(holdings, profiles)))
+    return side("sector", advisor.sector_allocation(base, profiles)).unionByName(side("region", advisor.region_allocation(base, profiles)))
 
 
 @query("S3_category_union", f"""WITH {_PORTFOLIOS} SELECT portfolio_id, category FROM sector_now UNION SELECT portfolio_id, category FROM sector_ideal""")
 def category_union(t: Tables):
-    return advisor.sector_allocation(_holdings(t), _profiles(t)).select("portfolio_id", "category")
+    return advisor.sector_allocation(_base(t), _profiles(t)).select("portfolio_id", "category")
 
 
 @query("E45_diversification", f"""WITH {_PORTFOLIOS}
@@ -127,15 +132,15 @@ SELECT portfolio_id, CAST(n_sectors AS BIGINT) AS n_sectors, CAST(n_regions AS B
        CAST(round_even(least(n_assets / 15, 1) * 30 + (1 - hhi) * 30 + least(n_sectors / 6, 1) * 20 + least(n_regions / 4, 1) * 20, 0) AS INTEGER) AS diversification_score
 FROM totals JOIN spread USING (portfolio_id)""")
 def diversification(t: Tables):
-    return advisor.diversification(_holdings(t)).select("portfolio_id", "n_sectors", "n_regions", "diversification_score")
+    return advisor.diversification(_base(t)).select("portfolio_id", "n_sectors", "n_regions", "diversification_score")
 
 
 @query("E46_alignment", f"""WITH {_PORTFOLIOS}
 SELECT portfolio_id, CAST(round_even(greatest(0, least(100, 100 - (s * 1.5 + r * 1.5))), 0) AS INTEGER) AS risk_alignment_score
 FROM (SELECT portfolio_id, avg(abs(diff_pct)) AS s FROM sectors GROUP BY 1) JOIN (SELECT portfolio_id, avg(abs(diff_pct)) AS r FROM regions GROUP BY 1) USING (portfolio_id)""")
 def alignment(t: Tables):
-    holdings, profiles = _holdings(t), _profiles(t)
-    return advisor.alignment(advisor.sector_allocation(holdings, profiles), advisor.region_allocation(holdings, profiles))
+    base, profiles = _base(t), _profiles(t)
+    return advisor.alignment(advisor.sector_allocation(base, profiles), advisor.region_allocation(base, profiles))
 
 
 @query("E47_warnings", f"""WITH {_PORTFOLIOS},
@@ -149,8 +154,8 @@ UNION ALL SELECT portfolio_id, 'over_sectors', 'Sobreexposición significativa e
 UNION ALL SELECT portfolio_id, 'under_sectors', 'Infrarrepresentación significativa en: ' || under_list || '. Podrías estar perdiéndote oportunidades de diversificación.' FROM facts WHERE under_list IS NOT NULL
 UNION ALL SELECT portfolio_id, 'single_region', 'Toda tu cartera está concentrada en una sola región geográfica. La diversificación geográfica reduce el riesgo país.' FROM facts WHERE n_regions <= 1""")
 def warnings(t: Tables):
-    holdings, profiles = _holdings(t), _profiles(t)
-    return advisor.warnings(holdings, profiles, advisor.sector_allocation(holdings, profiles))
+    base, profiles = _base(t), _profiles(t)
+    return advisor.warnings(base, profiles, advisor.sector_allocation(base, profiles))
 
 
 _OVER = """over_assets AS (SELECT a.portfolio_id, a.asset_id, s.category, s.diff_pct FROM sectors s JOIN assets a ON a.portfolio_id = s.portfolio_id AND contains(lower(s.category), lower(a.raw_sector))
@@ -160,7 +165,7 @@ _OVER = """over_assets AS (SELECT a.portfolio_id, a.asset_id, s.category, s.diff
 @query("D26_overexposed_assets", f"WITH {_PORTFOLIOS}, {_OVER} SELECT portfolio_id, asset_id, category FROM over_assets")
 def overexposed_assets(t: Tables):
     holdings = _holdings(t)
-    return advisor.overexposed_assets(holdings, advisor.sector_allocation(holdings, _profiles(t))).select("portfolio_id", "asset_id", "category")
+    return advisor.overexposed_assets(holdings, advisor.sector_allocation(advisor.composition(holdings), _profiles(t))).select("portfolio_id", "asset_id", "category")
 
 
 @query("E48_recommendations", f"""WITH {_PORTFOLIOS}, {_OVER},
@@ -173,5 +178,6 @@ recs AS (
   UNION ALL SELECT portfolio_id, 'region_under', 'comprar', NULL, 'ETF/Fondo de ' || category, 'Diversificación geográfica', 'media', NULL, NULL FROM regions WHERE diff_pct < -15)
 SELECT * FROM recs UNION ALL SELECT portfolio_id, 'hold', 'mantener', NULL, 'Cartera actual', '', 'baja', NULL, NULL FROM totals WHERE portfolio_id NOT IN (SELECT portfolio_id FROM recs)""")
 def recommendations(t: Tables):
-    holdings, profiles = _holdings(t), _profiles(t)
-    return advisor.recommendations(holdings, profiles, advisor.sector_allocation(holdings, profiles), advisor.region_allocation(holdings, profiles))
+    holdings, profiles = cut_lineage(_holdings(t)), _profiles(t)  # read by the composition and by two asset rules
+    base = advisor.composition(holdings)
+    return advisor.recommendations(holdings, base, advisor.sector_allocation(base, profiles), advisor.region_allocation(base, profiles))

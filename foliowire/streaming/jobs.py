@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliowire import domain
 from foliowire.operators import gates, impact, limiter, matching
+from foliowire.session import spread
 
 LATENESS = "2 days"
 
@@ -67,13 +68,15 @@ def alerting_batch(path: str, assets: DataFrame, sentiments: DataFrame | None =
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = alerts_of(batch, assets, sentiments).withColumn("created_at", F.col("created_at").cast("timestamp"))
+        news = spread(batch).persist()  # every branch of the matching reads it
+        fresh = alerts_of(news, assets, sentiments).withColumn("created_at", F.col("created_at").cast("timestamp"))
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields) + ", batch bigint"
         store = spark.createDataFrame([], ddl) if not _exists(spark, path) else spark.read.schema(ddl).parquet(path)
         others = store.where(F.col("batch") != batch_id)
         new = fresh.join(others.select("news_id", "portfolio_id"), ["news_id", "portfolio_id"], "left_anti")
         limited = limiter.first_per_hour(new, "portfolio_id", "created_at", "news_id", cap, others)
         limited.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        news.unpersist()
 
     return run
 
