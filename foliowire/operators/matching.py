@@ -124,8 +124,11 @@ def substring_mentions(docs: DataFrame, terms: DataFrame, id_col: str, text: str
         return lowered.select(id_col, F.explode(hits).alias("term"))
     heads = vocabulary.withColumn("head", F.substring("term", 1, 3))
     sizes = sorted(r[0] for r in heads.select(F.length("head")).distinct().collect())
-    starts = F.sequence(F.lit(1), F.length("_text"))
-    pieces = F.array_distinct(F.concat(*[F.transform(starts, lambda i, n=n: F.substring(F.col("_text"), i, F.lit(n))) for n in sizes]))
+
+    def pieces_of(size):
+        return F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.substring(F.col("_text"), i, F.lit(size)))
+
+    pieces = F.array_distinct(F.concat(*[pieces_of(n) for n in sizes]))
     exploded = lowered.where("_text <> ''").select(id_col, "_text", F.explode(pieces).alias("head"))
     return exploded.join(heads, "head").where(occurs(F.col("_text"), F.col("term"), F.col("strict"))).select(id_col, "term")
 
