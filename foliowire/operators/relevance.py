@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliowire import domain
+from foliowire.functions.vectors import cosine
+from foliowire.operators.similarity import cross_similar
+
 ASSETS_PER_PASS = 20_000  # vectors a task holds at once; more assets mean more passes, never fewer pairs
 
 
@@ -112,3 +116,23 @@ def externally_scored_relevance(rules: DataFrame, scores: DataFrame, assets: Dat
         id_col, "portfolio_id", score.alias("relevance_score"),
         F.when(alone, own).otherwise(F.array_union(own, extra)).alias("matched_assets"),
         F.coalesce("sector_match", F.lit(False)).alias("sector_match"))
+
+
+def gated_hybrid_relevance(news: DataFrame, rules: DataFrame, assets: DataFrame, minimum: float = domain.RELEVANCE_BORDERLINE,
+                           id_col: str = "news_id") -> DataFrame:
+    """Hybrid relevance of exactly the pairs that reach ``minimum``, without scoring every news item against every portfolio.
+
+    A pair without a rule signal needs a cosine of minimum / 0.7, which the similarity join finds. Pairs
+    with a signal are scored against the assets of their own portfolio only.
+    """
+    slim = assets.select("portfolio_id", "ticker", F.col("pos").cast("bigint").alias("pos"), F.col("vector").alias("asset_vector"))
+    keyed = slim.withColumn("asset", F.concat_ws("\x01", "portfolio_id", "ticker", "pos"))
+    near = cross_similar(news.select(id_col, "vector"), keyed.select("asset", F.col("asset_vector").alias("vector")), id_col, "asset",
+                         minimum / 0.7 - 1e-6)
+    pairs = near.select(id_col, F.substring_index("asset", "\x01", 1).alias("portfolio_id")).unionByName(rules.select(id_col, "portfolio_id")).distinct()
+    scored = pairs.join(news.select(id_col, "vector"), id_col).join(slim, "portfolio_id").select(
+        id_col, "portfolio_id", "ticker", "pos", cosine(F.col("vector"), F.col("asset_vector")).alias("s"))
+    semantic = scored.groupBy(id_col, "portfolio_id").agg(
+        F.greatest(F.max("s"), F.lit(0.0)).alias("semantic_score"), F.greatest(F.avg("s"), F.lit(0.0)).alias("semantic_mean_score"),
+        F.max_by("ticker", F.struct("s", -F.col("pos"))).alias("best_asset"))
+    return hybrid_relevance(rules, semantic, id_col).where(F.col("relevance_score") >= minimum)

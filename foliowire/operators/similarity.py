@@ -80,112 +80,161 @@ def distinct_vectors(items: DataFrame, id_col: str, order: list[str]) -> tuple[D
     return unique, copies
 
 
-def similar_pairs(vectors: DataFrame, id_col: str, threshold: float) -> DataFrame:
-    """(left_id, right_id, cosine) of all pairs of distinct vectors with cosine at or above ``threshold``; exact.
+def comparison_tasks(vectors: DataFrame, id_col: str, threshold: float, extra: list[str] | None = None) -> DataFrame | None:
+    """Rows (low, high, is_low, id, vector, extras) grouped so that all pairs with cosine >= ``threshold`` meet; exact.
 
     Metric partitioning: every vector lives in the cell of its nearest pivot, and travels only to cells
-    whose ball its own ball of radius acos(threshold) can reach. Cells are split into bounded blocks, and
-    one task compares two blocks. Pivots and cell radii are the only values the driver sees.
+    whose ball its own ball of radius acos(threshold) can reach. Cells are split into blocks of bounded
+    size, and a task (low, high) holds two blocks. Pivots and cell radii are the only values the driver sees.
     """
-    slim = vectors.select(id_col, "vector")
+    extra = extra or []
+    slim = vectors.select(id_col, "vector", *extra)
     rows = slim.count()
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    out_schema = f"left_id {id_type}, right_id {id_type}, cosine double"
     if rows < 2:
-        return vectors.sparkSession.createDataFrame([], out_schema)
+        return None
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    columns = ", ".join(f"{c} {kinds[c]}" for c in (id_col, "vector", *extra))
     n_pivots = int(min(MAX_PIVOTS, max(1, rows // BLOCK_ROWS)))
-    chosen = slim.orderBy(F.xxhash64(id_col), id_col).limit(n_pivots).toPandas()
-    pivots = _unit(chosen["vector"])
+    pivots = _unit(slim.select(id_col, "vector").orderBy(F.xxhash64(id_col), id_col).limit(n_pivots).toPandas()["vector"])
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-7
 
-    def angles(matrix):
-        return np.arccos(np.clip(matrix @ pivots.T, -1.0, 1.0))
+    def angles(column):
+        return np.arccos(np.clip(_unit(column) @ pivots.T, -1.0, 1.0))
 
     def assign(batches):
         for pdf in batches:
             if not pdf.empty:
-                away = angles(_unit(pdf["vector"]))
+                away = angles(pdf["vector"])
                 yield pdf.assign(cell=away.argmin(axis=1).astype("int32"), away=away.min(axis=1))
 
-    homes = cut_lineage(slim.mapInPandas(assign, f"{id_col} {id_type}, vector {vectors.schema['vector'].dataType.simpleString()}, cell int, away double"))
-    cells = {r["cell"]: (r["n"], r["radius"]) for r in homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
-    first, units = {}, []  # blocks are numbered cell by cell
-    for cell in sorted(cells):
-        first[cell] = len(units)
-        units += [cell] * max(1, -(-cells[cell][0] // BLOCK_ROWS))
-    radius = np.full(len(pivots), -np.inf)
-    blocks_of = np.zeros(len(pivots), dtype="int64")
-    start_of = np.zeros(len(pivots), dtype="int64")
-    for cell, (n, r) in cells.items():
-        radius[cell], blocks_of[cell], start_of[cell] = r, max(1, -(-n // BLOCK_ROWS)), first[cell]
-    block_map = F.create_map(*[F.lit(x) for c in sorted(cells) for x in (c, int(blocks_of[c]))])
-    start_map = F.create_map(*[F.lit(x) for c in sorted(cells) for x in (c, int(start_of[c]))])
-    home = homes.withColumn("unit", start_map[F.col("cell")] + F.pmod(F.xxhash64(id_col), block_map[F.col("cell")]))
+    homes = cut_lineage(slim.mapInPandas(assign, f"{columns}, cell int, away double"))
+    cells = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).orderBy("cell").collect()
+    radius, blocks, start, total = np.full(len(pivots), -np.inf), np.zeros(len(pivots), "int64"), np.zeros(len(pivots), "int64"), 0
+    for cell in cells:  # blocks are numbered cell by cell
+        i = cell["cell"]
+        radius[i], blocks[i], start[i] = cell["radius"], -(-cell["n"] // BLOCK_ROWS), total
+        total += int(blocks[i])
+    known = [int(c["cell"]) for c in cells]
+
+    def per_cell(values):
+        return F.create_map(*[F.lit(x) for c in known for x in (c, int(values[c]))])[F.col("cell")]
+
+    home = homes.withColumn("unit", per_cell(start) + F.pmod(F.xxhash64(id_col), per_cell(blocks)))
 
     def travel(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            near = angles(_unit(pdf["vector"])) - radius[None, :] <= reach
-            own = pdf["unit"].to_numpy()
+            near = angles(pdf["vector"]) - radius[None, :] <= reach
             near[np.arange(len(pdf)), pdf["cell"].to_numpy()] = True
             who, cell = np.nonzero(near)
-            repeat = blocks_of[cell]
+            repeat = blocks[cell]
             who = np.repeat(who, repeat)
             offset = np.arange(len(who)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            other = np.repeat(start_of[cell], repeat) + offset
-            mine = own[who]
-            yield pd.DataFrame({
-                "low": np.minimum(mine, other), "high": np.maximum(mine, other), "is_low": mine <= other,
-                id_col: pdf[id_col].to_numpy()[who], "vector": pdf["vector"].to_numpy()[who]})
+            mine, other = pdf["unit"].to_numpy()[who], np.repeat(start[cell], repeat) + offset
+            out = {"low": np.minimum(mine, other), "high": np.maximum(mine, other), "is_low": mine <= other}
+            yield pd.DataFrame({**out, **{c: pdf[c].to_numpy()[who] for c in (id_col, "vector", *extra)}})
+
+    return home.mapInPandas(travel, f"low bigint, high bigint, is_low boolean, {columns}")
+
+
+def _sides(key: tuple, pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    side = pdf["is_low"].to_numpy()
+    return (pdf, pdf) if key[0] == key[1] else (pdf[side], pdf[~side])
+
 
-    vector_type = vectors.schema["vector"].dataType.simpleString()
-    tasks = home.mapInPandas(travel, f"low bigint, high bigint, is_low boolean, {id_col} {id_type}, vector {vector_type}")
+def similar_pairs(vectors: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """(left_id, right_id, cosine) of all pairs of distinct vectors with cosine at or above ``threshold``; exact."""
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    schema = f"left_id {id_type}, right_id {id_type}, cosine double"
+    tasks = comparison_tasks(vectors, id_col, threshold)
+    if tasks is None:
+        return vectors.sparkSession.createDataFrame([], schema)
 
     def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        same = key[0] == key[1]
-        side = pdf["is_low"].to_numpy()
-        a = pdf if same else pdf[side]
-        b = pdf if same else pdf[~side]
+        a, b = _sides(key, pdf)
         if a.empty or b.empty:
             return pd.DataFrame({"left_id": [], "right_id": [], "cosine": []})
         similar = _unit(a["vector"]) @ _unit(b["vector"]).T
         i, j = np.nonzero(similar >= threshold)
         x, y, c = a[id_col].to_numpy()[i], b[id_col].to_numpy()[j], similar[i, j]
-        if same:
+        if key[0] == key[1]:
             keep = x < y
             x, y, c = x[keep], y[keep], c[keep]
         return pd.DataFrame({"left_id": np.where(x < y, x, y), "right_id": np.where(x < y, y, x), "cosine": c})
 
-    return tasks.groupBy("low", "high").applyInPandas(match, out_schema)
+    return tasks.groupBy("low", "high").applyInPandas(match, schema)
+
+
+def cross_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float) -> DataFrame:
+    """(left_id, right_id, cosine) of all pairs across two tables with cosine at or above ``threshold``; exact."""
+    def tagged(df, column, is_left):
+        return df.select(F.concat(F.lit("L" if is_left else "R"), F.col(column).cast("string")).alias("_id"),
+                         F.col("vector").cast("array<double>").alias("vector"), F.lit(is_left).alias("_left"))
+
+    schema = "l string, r string, cosine double"
+    tasks = comparison_tasks(tagged(left, left_id, True).unionByName(tagged(right, right_id, False)), "_id", threshold, ["_left"])
+    types = left.schema[left_id].dataType, right.schema[right_id].dataType
+    if tasks is None:
+        found = left.sparkSession.createDataFrame([], schema)
+    else:
+        def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            a, b = _sides(key, pdf)
+            for x, y in ((a, b), (b, a)) if key[0] != key[1] else ((a, b),):
+                x, y = x[x["_left"].to_numpy()], y[~y["_left"].to_numpy()]
+                if not x.empty and not y.empty:
+                    similar = _unit(x["vector"]) @ _unit(y["vector"]).T
+                    i, j = np.nonzero(similar >= threshold)
+                    out.append(pd.DataFrame({"l": x["_id"].to_numpy()[i], "r": y["_id"].to_numpy()[j], "cosine": similar[i, j]}))
+            return pd.concat(out) if out else pd.DataFrame({"l": [], "r": [], "cosine": []})
+
+        found = tasks.groupBy("low", "high").applyInPandas(match, schema)
+    return found.select(F.substr("l", F.lit(2)).cast(types[0]).alias(left_id), F.substr("r", F.lit(2)).cast(types[1]).alias(right_id), "cosine")
 
 
 def greedy_duplicates(items: DataFrame, id_col: str, order: list[str], threshold: float = domain.DEDUP_SIMILARITY) -> DataFrame:
     """Duplicate flags when an item is compared only with earlier items that were kept.
 
-    Copies of a vector after the first are duplicates. Among distinct vectors, an item is kept once all
-    its earlier similar neighbours are dropped, and dropped once one of them is kept. Each round settles
-    every item whose earlier neighbours are settled; rounds are checkpointed and end with no open items.
+    Copies of a vector after the first are duplicates. Distinct vectors are settled in rounds: an item is
+    dropped when an earlier similar item was kept, and kept when no earlier similar item is open. A task
+    reports two flags per item, never pairs, so a crowd of near copies costs rows in proportion to its
+    size. Rounds are checkpointed, settled items leave, and the loop ends with no open items.
     """
     unique, copies = distinct_vectors(items, id_col, order)
-    unique = cut_lineage(unique)
-    place = unique.select(F.col(id_col).alias("id"), F.struct(*dict.fromkeys([*order, id_col])).alias("rank"))
-    pairs = similar_pairs(unique, id_col, threshold).select("left_id", "right_id")
-    lefts, rights = place.toDF("left_id", "left_rank"), place.toDF("right_id", "right_rank")
-    located = pairs.join(lefts, "left_id").join(rights, "right_id")
-    left_first = F.col("left_rank") < F.col("right_rank")
-    edges = cut_lineage(located.select(
-        F.when(left_first, F.col("left_id")).otherwise(F.col("right_id")).alias("earlier"),
-        F.when(left_first, F.col("right_id")).otherwise(F.col("left_id")).alias("later")))
-    dropped = []
-    while not edges.isEmpty():
-        open_items = edges.select(F.col("later").alias("id")).distinct()
-        kept = edges.select("earlier").distinct().join(open_items, F.col("earlier") == F.col("id"), "left_anti")
-        newly = cut_lineage(edges.join(kept, "earlier", "left_semi").select("later").distinct())
-        dropped.append(newly)
-        edges = cut_lineage(edges.join(newly, "later", "left_anti").join(newly.toDF("earlier"), "earlier", "left_anti"))
-    flags = unique.select(id_col, F.lit(False).alias("is_duplicate"))
-    if dropped:
-        gone = reduce(DataFrame.unionByName, dropped).select(F.col("later").alias(id_col), F.lit(True).alias("gone"))
-        flags = unique.select(id_col).join(gone, id_col, "left").select(id_col, F.coalesce("gone", F.lit(False)).alias("is_duplicate"))
-    return flags.unionByName(copies.select(id_col, F.lit(True).alias("is_duplicate")))
+    order = list(dict.fromkeys([*order, id_col]))
+    placed = with_position(unique.select(*order, "vector"), [], order).select(id_col, "vector", "position")
+    live = cut_lineage(placed.withColumn("kept", F.lit(False)))  # open items and those kept in the last round
+    settled = []
+    id_type = items.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {id_type}, after_kept boolean, after_open boolean"
+
+    def look(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({id_col: [], "after_kept": [], "after_open": []}).astype({"after_kept": bool, "after_open": bool})]
+        a, b = _sides(key, pdf)
+        for probe, other in ((a, b), (b, a)) if key[0] != key[1] else ((a, b),):
+            probe = probe[~probe["kept"].to_numpy()]
+            if probe.empty or other.empty:
+                continue
+            earlier = other["position"].to_numpy()[None, :] < probe["position"].to_numpy()[:, None]
+            hit = earlier & (_unit(probe["vector"]) @ _unit(other["vector"]).T >= threshold)
+            kept = other["kept"].to_numpy()
+            out.append(pd.DataFrame({id_col: probe[id_col].to_numpy(), "after_kept": hit[:, kept].any(axis=1), "after_open": hit[:, ~kept].any(axis=1)}))
+        return pd.concat(out)
+
+    while True:
+        open_items = live.where(~F.col("kept"))
+        if open_items.isEmpty():
+            break
+        tasks = comparison_tasks(live, id_col, threshold, ["position", "kept"])
+        if tasks is None:
+            settled.append(open_items.select(id_col, F.lit(False).alias("is_duplicate")))
+            break
+        flags = tasks.groupBy("low", "high").applyInPandas(look, schema).groupBy(id_col).agg(
+            F.bool_or("after_kept").alias("after_kept"), F.bool_or("after_open").alias("after_open"))
+        judged = cut_lineage(open_items.drop("kept").join(flags, id_col, "left").na.fill(False, ["after_kept", "after_open"]))
+        done = F.col("after_kept") | ~F.col("after_open")
+        settled.append(judged.where(done).select(id_col, F.col("after_kept").alias("is_duplicate")))
+        live = cut_lineage(judged.where(~F.col("after_kept")).select(id_col, "vector", "position", (~F.col("after_open")).alias("kept")))
+    settled.append(copies.select(id_col, F.lit(True).alias("is_duplicate")))
+    return reduce(DataFrame.unionByName, settled)

@@ -158,6 +158,22 @@ def hybrid_relevance(t: Tables):
         "news_id", "portfolio_id", "relevance_score", F.array_join("matched_assets", ",").alias("assets"), "direct_score", "best_asset", "sector_match")
 
 
+@query("D8_gated_hybrid", f"""WITH {_RULES}, {_SEMANTIC},
+hybrid AS (SELECT news_id, portfolio_id, round({_BLEND.format('coalesce(semantic_score, 0)')}, 4) AS relevance_score, coalesce(assets, '') AS assets, best_asset
+           FROM semantic FULL JOIN rules USING (news_id, portfolio_id))
+SELECT * FROM hybrid WHERE relevance_score >= 0.3""")
+def gated_hybrid(t: Tables):
+    kept = relevance.gated_hybrid_relevance(_news_vectors(t), _rules(t), t.embedded_assets)
+    return kept.select("news_id", "portfolio_id", "relevance_score", F.array_join("matched_assets", ",").alias("assets"), "best_asset")
+
+
+@query("D7_close_assets", f"""WITH {EMBEDDED_ASSETS}
+SELECT vec_id AS news_id, ticker, round({_COS}, 6) AS cosine FROM embeddings e CROSS JOIN embedded_assets a WHERE {_COS} >= 0.3""")
+def close_assets(t: Tables):
+    found = similarity.cross_similar(_news_vectors(t), t.embedded_assets, "news_id", "ticker", 0.3)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
 _SCORES = """scores AS (SELECT doc_id AS news_id, 'W' || doc_id % 4 AS portfolio_id, (doc_id * 7 % 100) / 100.0::DOUBLE AS score FROM documents),
 extras AS (SELECT news_id, s.portfolio_id, ticker FROM scores s JOIN (SELECT DISTINCT portfolio_id, ticker FROM watch) w ON w.portfolio_id = s.portfolio_id
            WHERE contains(lower(w.ticker), 'e'))"""

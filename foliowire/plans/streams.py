@@ -15,7 +15,7 @@ from foliowire.operators import limiter, scoring_tables
 from foliowire.plans.bindings import ALERTS, NEWS, Tables
 from foliowire.plans.matching_and_similarity import _RULES
 from foliowire.plans.registry import query
-from foliowire.plans.text_and_scores import _KEYWORD_SQL
+from foliowire.plans.text_and_scores import _KEYWORD_SQL, _LABEL
 from foliowire.streaming import jobs, state
 
 
@@ -27,7 +27,8 @@ class Streamed(Tables):
 
     def __getitem__(self, name):
         schema = super().__getitem__(name).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        # Admission control: a micro-batch, and so one key's share of it, stays bounded.
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
 
 
 def _finish(t: Tables, name, stream, mode="append"):
@@ -69,21 +70,21 @@ def continuous_ingest(t: Tables):
 _EVENT_OF_DOC = f"""words AS ({_KEYWORD_SQL}),
 hits AS (SELECT doc_id AS id, event_type, prio, count(*) AS n FROM documents JOIN words ON contains(lower(text), word) GROUP BY 1, 2, 3),
 priors AS (SELECT * FROM (VALUES {_PRIORS}) AS v(event_type, base)),
-bases AS (SELECT id AS news_id, base FROM (SELECT id, arg_min(event_type, (-n, prio)) AS event_type FROM hits GROUP BY 1) JOIN priors USING (event_type))"""
+bases AS (SELECT id AS news_id, event_type, base FROM (SELECT id, arg_min(event_type, (-n, prio)) AS event_type FROM hits GROUP BY 1) JOIN priors USING (event_type))"""
 
 
 @query("H7_continuous_alerting", f"""WITH {_RULES}, {_EVENT_OF_DOC},
 passed AS (SELECT news_id, portfolio_id, direct_score, CASE WHEN assets = '' THEN 0 ELSE len(string_split(assets, ',')) END AS n FROM rules WHERE direct_score >= 0.5),
-scored AS (SELECT *, least(1, coalesce(base, 0.3) * (0.7 + 0.3 * direct_score) * CASE WHEN n > 1 THEN 1 + 0.05 * least(n, 5) ELSE 1 END) AS severity FROM passed LEFT JOIN bases USING (news_id)),
+scored AS (SELECT passed.*, coalesce(event_type, 'otro') AS event_type, least(1, coalesce(base, 0.3) * (0.7 + 0.3 * direct_score) * CASE WHEN n > 1 THEN 1 + 0.05 * least(n, 5) ELSE 1 END) AS severity FROM passed LEFT JOIN bases USING (news_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id, news_id // 60 ORDER BY news_id) AS rn FROM scored WHERE severity >= 0.3)
-SELECT news_id, portfolio_id, round(CAST(severity AS DOUBLE), 4) AS severity FROM ranked WHERE rn <= 20""")
+SELECT news_id, portfolio_id, event_type, {_LABEL.format('severity')} AS severity_label FROM ranked WHERE rn <= 20""")
 def continuous_alerting(t: Tables):
     squeezed = F.regexp_replace("content", f"[{text.SPACE}]+", " ")
     news = _stream(t).news.select("news_id", F.col("content").alias("text"), text.mined_organisations(squeezed, 1_000_000).alias("orgs"), "published_at")
     path = session.scratch_path(t.spark, "alerting")
     jobs.start_alerting(news, path, t.watch).awaitTermination()
-    rows = t.spark.read.schema("news_id bigint, portfolio_id string, severity double").parquet(f"{path}/rows")
-    return rows.select("news_id", "portfolio_id", "severity")
+    rows = t.spark.read.schema("news_id bigint, portfolio_id string, event_type string, severity_label string").parquet(f"{path}/rows")
+    return rows.select("news_id", "portfolio_id", "event_type", "severity_label")
 
 
 def _vectors(s: Tables):

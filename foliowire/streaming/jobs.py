@@ -70,12 +70,16 @@ def alerting_batch(path: str, assets: DataFrame, sentiments: DataFrame | None =
         spark = batch.sparkSession
         news = spread(batch).persist()  # every branch of the matching reads it
         fresh = alerts_of(news, assets, sentiments).withColumn("created_at", F.col("created_at").cast("timestamp"))
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields) + ", batch bigint"
+        first, last = news.agg(F.min("published_at"), F.max("published_at")).first()
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields) + ", batch bigint, created_date date"
         store = spark.createDataFrame([], ddl) if not _exists(spark, path) else spark.read.schema(ddl).parquet(path)
-        others = store.where(F.col("batch") != batch_id)
+        # A pair's alert carries the time of its news, so only the days of this batch can hold it or share its hours.
+        days = F.col("created_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
+        others = store.where((F.col("batch") != batch_id) & days)
         new = fresh.join(others.select("news_id", "portfolio_id"), ["news_id", "portfolio_id"], "left_anti")
         limited = limiter.first_per_hour(new, "portfolio_id", "created_at", "news_id", cap, others)
-        limited.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        dated = limited.withColumn("created_date", F.to_date("created_at"))
+        dated.write.mode("overwrite").partitionBy("created_date").parquet(f"{path}/batch={batch_id}")
         news.unpersist()
 
     return run
