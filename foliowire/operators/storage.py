@@ -56,10 +56,14 @@ def keep_recent(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
 
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Append the non-duplicate alerts, partitioned by creation date."""
+    """Append the non-duplicate alerts, partitioned by creation date.
+
+    The rebalance gathers a date's rows into few files and splits a date that is too large for one task.
+    """
     (
         alerts.where(~F.col("is_duplicate"))
         .withColumn("created_date", F.to_date("created_at"))
+        .hint("rebalance", "created_date")
         .write.mode("append").partitionBy("created_date").parquet(path)
     )
 

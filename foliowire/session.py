@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "foliowire", memory: str = "8g", **conf) -> SparkSession:
@@ -22,6 +21,7 @@ def local_session(cores: int | str = 8, app: str = "foliowire", memory: str = "8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1m")
     )
     for key, value in conf.items():
@@ -53,16 +53,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def at_most(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has no more than ``bound`` rows; reads at most ``bound + 1`` of them."""
-    return df.limit(bound + 1).count() <= bound
-
-
-def broadcast_if_small(df: DataFrame, bound: int) -> DataFrame:
-    """Broadcast hint behind a row-count check; otherwise the planner chooses a shuffled join."""
-    return F.broadcast(df) if at_most(df, bound) else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that yields fewer partitions than there are cores, ahead of costly per-row work.
 

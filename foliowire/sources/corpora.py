@@ -48,7 +48,7 @@ def annotations_long(annotations: DataFrame, annotator: str) -> DataFrame:
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """JSON lines, one folder per variant."""
-    predictions.write.mode("overwrite").partitionBy("variant").json(path)
+    predictions.hint("rebalance", "variant").write.mode("overwrite").partitionBy("variant").json(path)
 
 
 def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:

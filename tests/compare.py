@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
-import glob
 import math
 import os
 import sys
