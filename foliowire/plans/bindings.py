@@ -117,7 +117,7 @@ EMBEDDED_ASSETS = """embedded_assets AS (
 # --- DataFrame side ----------------------------------------------------------------------------
 
 _LETTERS = "abcdefgh"
-WIDE_WORK = ("documents", "pages", "conversations", "lineitem")  # tables whose processing outweighs moving a small scan
+WIDE_WORK = ("documents", "pages", "conversations")  # tables whose processing outweighs moving a small scan
 
 
 class Tables:
