@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliowire.llm import chat, oracles, quality
+from foliowire.llm import chat, mixing, oracles, quality
 from foliowire.llm.common import table
 
 
@@ -22,5 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules)}
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes from every document."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op6_mixing_sources)}
 SQL = {"op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY}
