@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliowire.llm import chat, mixing, oracles, quality
+from foliowire.llm import chat, mixing, oracles, packing, quality, tokens
 from foliowire.llm.common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one made of control strings, formatted into windows and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.createDataFrame(
-        [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))],
-        "conv_id long, turn long, role string, text string")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return chat.digests(chat.format_conversations(turns.unionByName(control)))
 
 
@@ -22,10 +26,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed id rows."""
+    return tokens.pack_rows(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes from every document."""
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op6_mixing_sources)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of several lengths; a checksum instead of the ids of each piece."""
+    pieces = packing.pack_tiers(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op5_token_rows, op6_mixing_sources, op8_packing)}
 SQL = {"op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY}
