@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowire.llm import chat, mixing, oracles, packing, quality, tokens
+from foliowire.llm import chat, minhash, mixing, oracles, packing, quality, tokens
 from foliowire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed id rows."""
     return tokens.pack_rows(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -42,5 +47,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op5_token_rows, op6_mixing_sources, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op5_token_rows, op6_mixing_sources, op8_packing)}
 SQL = {"op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY}
