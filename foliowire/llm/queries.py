@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowire.llm import chat, minhash, mixing, oracles, packing, quality, tokens
+from foliowire.llm import chat, minhash, mixing, oracles, packing, quality, substrings, tokens
 from foliowire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,5 +47,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op5_token_rows, op6_mixing_sources, op8_packing)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without recurring passages."""
+    return substrings.removals(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op5_token_rows, op6_mixing_sources, op8_packing, op9_substring_dedup)}
 SQL = {"op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY}
