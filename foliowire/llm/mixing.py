@@ -151,7 +151,8 @@ def mix(sizes: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WOR
     goals = materialise(targets(sizes, weights), "mix-targets")
     slots = draws(_plan(goals, block_words))
     parts = block_parts(_placed(sizes, goals), block_words)
-    return goals, parts.join(slots, ["source_no", "block"]).select("row", "epoch", "slot", "shard", "word", "words")
+    # the planner sees the few rows that the slots are expanded from; they must not be broadcast
+    return goals, parts.join(slots.hint("merge"), ["source_no", "block"]).select("row", "epoch", "slot", "shard", "word", "words")
 
 
 def taken(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS) -> DataFrame:
