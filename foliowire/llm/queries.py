@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowire.llm import chat, minhash, mixing, oracles, packing, quality, substrings, tokens
+from foliowire.llm import capfilters, chat, minhash, mixing, oracles, packing, quality, substrings, tokens
 from foliowire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and the component of every vector."""
+    return capfilters.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed id rows."""
     return tokens.pack_rows(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -52,5 +57,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op5_token_rows, op6_mixing_sources, op8_packing, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op4_cap_filters, op5_token_rows, op6_mixing_sources, op8_packing, op9_substring_dedup)}
 SQL = {"op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY}
