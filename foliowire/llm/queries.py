@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowire.llm import capfilters, chat, minhash, mixing, oracles, packing, quality, substrings, tokens
+from foliowire.llm import bagclassifier, capfilters, chat, minhash, mixing, oracles, packing, quality, substrings, tokens
 from foliowire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,12 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return bagclassifier.scored(docs, bagclassifier.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of several lengths; a checksum instead of the ids of each piece."""
     pieces = packing.pack_tiers(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -57,5 +63,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op4_cap_filters, op5_token_rows, op6_mixing_sources, op8_packing, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op4_cap_filters, op5_token_rows, op6_mixing_sources, op7_quality_classifier, op8_packing, op9_substring_dedup)}
 SQL = {"op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY}
