@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowire.llm import bagclassifier, capfilters, chat, minhash, mixing, oracles, packing, quality, substrings, tokens
+from foliowire.llm import bagclassifier, capfilters, chat, minhash, mixing, oracles, packing, quality, recurrent, substrings, tokens
 from foliowire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,5 +63,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op4_cap_filters, op5_token_rows, op6_mixing_sources, op7_quality_classifier, op8_packing, op9_substring_dedup)}
+def op10_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every document."""
+    return recurrent.scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op4_cap_filters, op5_token_rows, op6_mixing_sources, op7_quality_classifier, op8_packing, op9_substring_dedup, op10_recurrent_scores)}
 SQL = {"op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY}
