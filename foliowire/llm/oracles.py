@@ -67,7 +67,7 @@ cells AS (
   FROM measured),
 long AS (
   SELECT doc_id, lang, source, base_failed, unnest(['symbol_rate', 'upper_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS measure,
-         unnest([c.symbol_rate, c.upper_rate, c.dup_line_rate, c.repeat_rate, c.word_length]) AS cell, unnest([25, 40, 100, 75, 100]) AS least_step
+         unnest([c.symbol_rate, c.upper_rate, c.dup_line_rate, c.repeat_rate, c.word_length]) AS cell, unnest([25, 40, 100, 120, 100]) AS least_step
   FROM cells),
 good AS (SELECT * FROM long WHERE NOT base_failed),
 quartiles AS (

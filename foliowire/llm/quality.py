@@ -33,7 +33,7 @@ MEASURES = {
     "symbol_rate": (1000, 25, False),
     "upper_rate": (1000, 40, False),
     "dup_line_rate": (1000, 100, False),
-    "repeat_rate": (1000, 75, False),
+    "repeat_rate": (1000, 120, False),
     "word_length": (5000, 100, True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
