@@ -52,16 +52,21 @@ def test_components_equal_brute_force(spark, documents, monkeypatch):
     assert got == expected
 
 
-def test_block_comparison_finds_what_stars_leave_apart(spark):
+def test_blocks_connect_what_stars_leave_apart():
     import numpy as np
     import pandas as pd
 
-    a, b = (np.arange(150, dtype="<u4") + k for k in (0, 1000))
+    a, b = (np.arange(150, dtype=np.uint8) + k for k in (0, 90))
     part = pd.DataFrame({"bucket": 1, "low": 0, "high": 0, "block": 0, "node": [1, 2, 3, 4], "component": [1, 1, 3, 4],
-                         "signature": [a.tobytes(), a.tobytes(), a.tobytes(), b.tobytes()]})
-    assert {tuple(x) for x in minhash._pairs_apart(part).to_numpy()} == {(1, 3), (2, 3)}
+                         "short": [a.tobytes(), a.tobytes(), a.tobytes(), b.tobytes()]})
+    assert {tuple(x) for x in minhash._possible(part).to_numpy()} == {(1, 1), (2, 1), (3, 1)}
     split = part.assign(high=1, block=[0, 0, 1, 1])
-    assert {tuple(x) for x in minhash._pairs_apart(split).to_numpy()} == {(1, 3), (2, 3)}
+    assert {tuple(x) for x in minhash._possible(split).to_numpy()} == {(1, 1), (2, 1), (3, 1)}
+    sets = [np.arange(s, s + 100, dtype="<u8").tobytes() for s in (0, 11, 12, 22)]
+    crowd = part.rename(columns={"bucket": "crowd"}).assign(component=[1, 2, 3, 4], members=sets)
+    # 89 of 111 in common is a link, 88 of 112 is none
+    assert {tuple(x) for x in minhash._linked(crowd).to_numpy()} == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert {tuple(x) for x in minhash._linked(crowd.iloc[[0, 2]]).to_numpy()} == set()
 
 
 def test_ids_that_repeat_or_are_missing(spark, documents):
