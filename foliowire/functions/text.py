@@ -55,13 +55,14 @@ def capitalised_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
-def mined_organisations(text: Column, top: int = 10) -> Column:
-    """Distinct capitalised runs, those opening with a stop word removed, at most ``top``."""
+def mined_organisations(text: Column, top: int | None = 10) -> Column:
+    """Distinct capitalised runs, those opening with a stop word removed, at most ``top`` of them; None takes all."""
     def opening(run):
         return F.element_at(F.split(run, f"[{SPACE}]+"), 1)
 
     distinct = F.array_distinct(capitalised_runs(text))
-    return F.slice(F.filter(distinct, lambda run: ~opening(run).isin(*domain.ORG_STOP_FIRST_WORDS)), 1, top)
+    wanted = F.filter(distinct, lambda run: ~opening(run).isin(*domain.ORG_STOP_FIRST_WORDS))
+    return wanted if top is None else F.slice(wanted, 1, top)
 
 
 @lru_cache(maxsize=1)

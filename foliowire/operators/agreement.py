@@ -44,14 +44,17 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
 
 
 def weighted_kappa(pairs: DataFrame, categories: tuple[str, ...], weights: str = "linear") -> DataFrame:
-    """Kappa with linear or quadratic weights over ordered categories, in one pass over the contingency table."""
+    """Kappa with linear or quadratic weights over ordered categories, in one pass over the contingency table.
+
+    Pairs with a label outside ``categories`` do not count.
+    """
     k = len(categories)
     power = 2 if weights == "quadratic" else 1
     if k <= 1:
         return pairs.select("dimension").distinct().select("dimension", F.lit(1.0).alias("kappa"))
     rank = {c: i for i, c in enumerate(categories)}
     ranks = F.create_map(*[F.lit(x) for item in rank.items() for x in item])
-    table = _table(pairs).select("dimension", ranks[F.col("a")].alias("i"), ranks[F.col("b")].alias("j"), "n")
+    table = _table(pairs).select("dimension", ranks[F.col("a")].alias("i"), ranks[F.col("b")].alias("j"), "n").where("i is not null and j is not null")
     observed = F.sum(F.pow(F.abs(F.col("i") - F.col("j")) / (k - 1), F.lit(float(power))) * F.col("n")).alias("observed")
     rows = [F.sum(F.when(F.col("i") == x, F.col("n")).otherwise(0)).alias(f"r{x}") for x in range(k)]
     cols = [F.sum(F.when(F.col("j") == x, F.col("n")).otherwise(0)).alias(f"c{x}") for x in range(k)]
@@ -92,7 +95,7 @@ def krippendorff_alpha(ratings: DataFrame, categories: tuple[str, ...] | None =
     factor = 1.0 if convention == "half" else 2.0
     if categories is not None:
         ranks = F.create_map(*[F.lit(x) for i, c in enumerate(categories) for x in (c, i)])
-        ranked = present.select("dimension", "item_id", ranks[F.col("label")].cast("bigint").alias("r"))
+        ranked = present.select("dimension", "item_id", ranks[F.col("label")].cast("bigint").alias("r")).where("r is not null")
         items = ranked.groupBy("dimension", "item_id").agg(
             F.count(F.lit(1)).alias("m"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2")).where("m >= 2")
         pooled = items.groupBy("dimension").agg(

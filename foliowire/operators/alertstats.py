@@ -73,7 +73,8 @@ def weight_by_sector(assets: DataFrame) -> DataFrame:
 def enrich_fundamentals(alerts: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """One row per alert and affected asset with that asset's fundamentals; alerts without assets stay."""
     exploded = alerts.withColumn("ticker", F.explode_outer("matched_assets")).drop("matched_assets")
-    one_each = fundamentals.dropDuplicates(["ticker"])
+    rest = [c for c in fundamentals.columns if c != "ticker"]
+    one_each = fundamentals.groupBy("ticker").agg(F.min(F.struct(*rest)).alias("least")).select("ticker", "least.*")  # of several rows the least
     return exploded.join(one_each, "ticker", "left")
 
 

@@ -16,14 +16,14 @@ CURVE = "x double, y double"
 def fit_curve(pairs: DataFrame, min_pairs: int = domain.MIN_CALIBRATION_PAIRS) -> DataFrame:
     """(x, y) at 21 points of the monotone fit of abs_car on score; empty when there are too few pairs.
 
-    Scores carry four decimals, so pairs collapse to at most 10 001 weighted points before the fit. The
-    isotonic solution of the weighted means equals that of the pairs, whatever their number.
+    Pairs of one score collapse to their weighted mean before the fit, on the map side; the isotonic solution
+    of the weighted means equals that of the pairs.
     """
     from pyspark.ml.regression import IsotonicRegression
 
     spark = pairs.sparkSession
     usable = pairs.where(F.col("score").isNotNull() & F.col("abs_car").isNotNull())
-    points = usable.groupBy(F.round("score", 4).alias("score")).agg(
+    points = usable.groupBy("score").agg(
         F.avg("abs_car").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")).cache()
     total = points.agg(F.sum("weight")).first()[0] or 0
     if total < min_pairs:

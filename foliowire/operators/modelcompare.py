@@ -17,8 +17,8 @@ def model_pairs(outputs: DataFrame) -> DataFrame:
 
     Outputs are one per (news, model), so an item yields at most the square of the model count.
     """
-    fine = outputs.where(F.col("error").isNull()).groupBy("news_id", "model").agg(
-        F.first("event_type").alias("event_type"), F.first("direction").alias("direction"), F.first("severity").alias("severity"))
+    answer = F.struct("event_type", "direction", "severity")  # of several answers the least counts
+    fine = outputs.where(F.col("error").isNull()).groupBy("news_id", "model").agg(F.min(answer).alias("answer")).select("news_id", "model", "answer.*")
     a, b = (fine.select("news_id", *[F.col(c).alias(f"{c}_{s}") for c in ("model", "event_type", "direction", "severity")]) for s in ("a", "b"))
     return a.join(b, "news_id").where(F.col("model_a") < F.col("model_b"))
 

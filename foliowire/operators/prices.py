@@ -24,15 +24,12 @@ def in_period(df: DataFrame, period: str, as_of: Column, dt: str = "dt") -> Data
 def ohlcv(ticks: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Daily bars per ticker from ticks (key, dt, price, quantity, pos) and the key's ticker.
 
-    Ticks are reduced per key and day before the name join, so a hot key costs one row per task and day.
-    ``pos`` is a number that orders the ticks of a day; numeric buffers keep both steps hash aggregations.
+    The names join first; a hot key is split by the planner, and one aggregation combines on the map side.
+    ``pos`` orders the ticks of a day.
     """
-    part = ticks.groupBy(key, "dt").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("price", "pos").alias("open"), F.max_by("price", "pos").alias("close"),
-        F.max("price").alias("high"), F.min("price").alias("low"), F.sum("quantity").alias("quantity"))
-    bars = part.join(names, key).groupBy("ticker", "dt").agg(
-        F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "last").alias("close"), F.sum("quantity").alias("volume"))
+    bars = ticks.join(names, key).groupBy("ticker", "dt").agg(
+        F.min_by("price", "pos").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "pos").alias("close"), F.sum("quantity").alias("volume"))
     return bars.select(
         "ticker", F.date_format("dt", "yyyy-MM-dd").alias("date"),
         *[F.round(c, 2).alias(c) for c in ("open", "high", "low", "close")], F.col("volume").cast("bigint").alias("volume"))

@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowire.session import spread
 
 # --- SQL side ---------------------------------------------------------------------------------
 
@@ -40,7 +39,7 @@ PORTFOLIO_ASSETS = """portfolio_assets AS (
   FROM customer, unnest(range(1, 2 + c_custkey % 5)) AS r(i))"""
 
 NEWS = """news AS (
-  SELECT doc_id AS news_id, 'https://feed.example/' || substr(sha256(text), 1, 16) AS url, source, lang,
+  SELECT doc_id AS news_id, 'https://feed.example/' || sha256(text) AS url, source, lang,
          trim(split_part(text, '.', 1)) AS title, text AS content,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)) AS published_at
   FROM documents)"""
@@ -105,9 +104,9 @@ ANSWERS = """answers AS (
   FROM customer WHERE c_custkey % 4 <> 1)"""
 
 WATCH = """watch AS (
-  SELECT 'W' || (item_id % 4) AS portfolio_id, item_id AS pos, w[3] || item_id % 3 AS ticker0, w[3] AS ticker,
-         w[1] || ' ' || w[2] || ' Inc.' AS name, w[4] || ' ' || w[5] AS alias, w[6] AS sector, w[2] AS country
-  FROM (SELECT item_id, list_filter(string_split_regex(text, '[^\\p{L}]+'), lambda x: x <> '') AS w FROM benchmark))"""
+  SELECT 'W' || (item_id % 4) AS portfolio_id, item_id AS pos, w[n] AS ticker, w[h + 1] || ' ' || w[h + 2] || ' Inc.' AS name,
+         w[n - 2] || ' ' || w[n - 1] AS alias, w[n // 3 + 1] AS sector, w[h + 2] AS country
+  FROM (SELECT *, len(w) AS n, len(w) // 2 AS h FROM (SELECT item_id, list_filter(string_split_regex(text, '[^\\p{L}]+'), lambda x: x <> '') AS w FROM benchmark)))"""
 
 EMBEDDED_ASSETS = """embedded_assets AS (
   SELECT 'W' || (label % 4) AS portfolio_id, 'L' || label AS ticker, label AS pos, list(m ORDER BY i) AS vector
@@ -117,7 +116,6 @@ EMBEDDED_ASSETS = """embedded_assets AS (
 # --- DataFrame side ----------------------------------------------------------------------------
 
 _LETTERS = "abcdefgh"
-WIDE_WORK = ("documents", "pages", "conversations")  # tables whose processing outweighs moving a small scan
 
 
 class Tables:
@@ -128,8 +126,7 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getitem__(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(table) if name in WIDE_WORK else table
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def alerts(self) -> DataFrame:
@@ -191,12 +188,12 @@ class Tables:
     def news(self) -> DataFrame:
         return self["documents"].select(
             F.col("doc_id").alias("news_id"),
-            F.concat(F.lit("https://feed.example/"), F.substring(F.sha2("text", 256), 1, 16)).alias("url"),
+            F.concat(F.lit("https://feed.example/"), F.sha2("text", 256)).alias("url"),
             "source",
             "lang",
             F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("title"),
             F.col("text").alias("content"),
-            F.expr("timestampadd(MINUTE, cast(doc_id as int), TIMESTAMP_NTZ '2024-01-01 00:00:00')").alias("published_at"),
+            F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + doc_id * INTERVAL '1' MINUTE").alias("published_at"),
         )
 
     @cached_property
@@ -228,28 +225,24 @@ class Tables:
             )
         )
 
-    def _part_periods(self, unit: str) -> DataFrame:
-        """Turnover per part and period first, so a hot part never travels row by row to the join."""
+    def _periods(self, unit: str) -> DataFrame:
+        """Turnover and quantity per ticker and period: the part names join first, then one aggregation combines on the map side."""
         day = F.trunc(F.to_date("l_shipdate"), "month") if unit == "month" else F.to_date("l_shipdate")
         return (
-            self["lineitem"]
-            .groupBy("l_partkey", day.alias("dt"))
+            self["lineitem"].select("l_partkey", day.alias("dt"), "l_extendedprice", "l_quantity")
+            .join(self["part"].select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(F.col("p_type").alias("ticker"), "dt")
             .agg(F.sum("l_extendedprice").alias("turnover"), F.sum("l_quantity").alias("quantity"))
         )
 
     def _closes(self, unit: str) -> DataFrame:
-        return (
-            self._part_periods(unit)
-            .join(self["part"].select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy(F.col("p_type").alias("ticker"), "dt")
-            .agg((F.sum("turnover") / F.sum("quantity")).alias("close"))
-        )
+        return self._periods(unit).select("ticker", "dt", (F.col("turnover") / F.col("quantity")).alias("close"))
 
     def _market(self, unit: str) -> DataFrame:
-        day = F.trunc(F.to_date("l_shipdate"), "month") if unit == "month" else F.to_date("l_shipdate")
+        """All tickers together, from the same aggregation."""
         return (
-            self["lineitem"].groupBy(day.alias("dt"))
-            .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
+            self._periods(unit).groupBy("dt")
+            .agg((F.sum("turnover") / F.sum("quantity")).alias("close"))
             .withColumn("ticker", F.lit("MARKET"))
         )
 
@@ -329,32 +322,33 @@ class Tables:
 
     @cached_property
     def watch(self) -> DataFrame:
-        """Watched assets named after the opening words of the benchmark passages."""
+        """Watched assets named after words from the start, the middle and the end of the benchmark passages."""
         words = F.filter(F.split("text", "[^\\p{L}]+"), lambda w: w != "")
 
+        size = F.size("w")
+        half = F.floor(size / 2).cast("int")
+
         def word(i):
-            return F.try_element_at("w", F.lit(i))
+            return F.get("w", i - 1)
 
         return self["benchmark"].select("item_id", words.alias("w")).select(
             F.concat(F.lit("W"), F.col("item_id") % 4).alias("portfolio_id"),
             F.col("item_id").alias("pos"),
-            word(3).alias("ticker"),
-            F.concat(word(1), F.lit(" "), word(2), F.lit(" Inc.")).alias("name"),
-            F.array(F.concat(word(4), F.lit(" "), word(5))).alias("aliases"),
-            word(6).alias("sector"),
-            word(2).alias("country"),
+            word(size).alias("ticker"),
+            F.concat(word(half + 1), F.lit(" "), word(half + 2), F.lit(" Inc.")).alias("name"),
+            F.array(F.concat(word(size - 2), F.lit(" "), word(size - 1))).alias("aliases"),
+            word(F.floor(size / 3).cast("int") + 1).alias("sector"),
+            word(half + 2).alias("country"),
         )
 
     @cached_property
     def embedded_assets(self) -> DataFrame:
         """One asset per embedding label: the mean vector of the label."""
-        mean = (
-            self["embeddings"].select("label", F.posexplode("embedding").alias("i", "x"))
-            .groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-        )
+        vectors = self["embeddings"]
+        width = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
+        means = [F.avg(F.col("embedding")[i].cast("double")) for i in range(width)]
         return (
-            mean.groupBy("label")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
+            vectors.groupBy("label").agg(F.array(*means).alias("vector"))
             .select(F.concat(F.lit("W"), F.col("label") % 4).alias("portfolio_id"),
                     F.concat(F.lit("L"), "label").alias("ticker"), F.col("label").alias("pos"), "vector")
         )

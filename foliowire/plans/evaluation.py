@@ -312,14 +312,14 @@ def agreement_report(t: Tables):
     return agreement.agreement_report(_pairs(t), {"severity_label": domain.SEVERITY_LEVELS})
 
 
-_ANNOTATORS = """first AS (SELECT doc_id AS item_id, 'quality' AS dimension, CAST(quality AS VARCHAR) AS label FROM labels WHERE toxic = 0 OR quality = 1),
-second AS (SELECT doc_id AS item_id, 'quality' AS dimension, CASE WHEN n_chars > 400 THEN '1' ELSE '0' END AS label FROM documents WHERE lang <> 'fr')"""
+_ANNOTATORS = """first AS (SELECT doc_id AS item_id, 'quality' AS dimension, CAST(quality AS VARCHAR) AS label FROM labels),
+second AS (SELECT doc_id AS item_id, 'quality' AS dimension, CASE WHEN n_chars > 400 THEN '1' ELSE '0' END AS label FROM documents)"""
 
 
 def _annotators(t: Tables):
-    first = t["labels"].where("toxic = 0 OR quality = 1").select(
+    first = t["labels"].select(
         F.col("doc_id").alias("item_id"), F.lit("quality").alias("dimension"), F.col("quality").cast("string").alias("label"))
-    second = t["documents"].where("lang <> 'fr'").select(
+    second = t["documents"].select(
         F.col("doc_id").alias("item_id"), F.lit("quality").alias("dimension"), F.when(F.col("n_chars") > 400, "1").otherwise("0").alias("label"))
     return first, second
 

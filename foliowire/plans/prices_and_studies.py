@@ -299,10 +299,27 @@ def price_sources(t: Tables):
 
 # --- Calibration ----------------------------------------------------------------------------------
 
-@query("E37_isotonic_calibration")
+@query("E37_isotonic_calibration", f"""WITH RECURSIVE {_ANCHORED},
+points AS (SELECT severity AS x, sum(abs(car)) AS s, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY severity) AS i FROM results WHERE lo = -1 AND hi = 1 AND car IS NOT NULL GROUP BY severity),
+listed AS MATERIALIZED (SELECT list({{'lo': x, 'hi': x, 's': s, 'w': w}} ORDER BY i) AS p, count(*) AS n FROM points),
+-- pool adjacent violators: a stack of blocks takes the next point, or joins its last two blocks while their means fall
+pooled(i, blocks) AS (
+  SELECT 0::BIGINT, []::STRUCT(lo DOUBLE, hi DOUBLE, s DOUBLE, w DOUBLE)[]
+  UNION ALL
+  SELECT CASE WHEN falls THEN i ELSE i + 1 END,
+         CASE WHEN falls THEN list_append(blocks[:len(blocks) - 2], {{'lo': blocks[-2].lo, 'hi': blocks[-1].hi, 's': blocks[-2].s + blocks[-1].s, 'w': blocks[-2].w + blocks[-1].w}})
+              ELSE list_append(blocks, p[i + 1]) END
+  FROM (SELECT *, len(blocks) > 1 AND blocks[-2].s / blocks[-2].w >= blocks[-1].s / blocks[-1].w AS falls FROM pooled), listed
+  WHERE falls OR i < n),
+fitted AS (SELECT unnest(blocks) AS b FROM (SELECT blocks FROM pooled ORDER BY i DESC, len(blocks) LIMIT 1)),
+knots AS (SELECT b.lo AS x, b.s / b.w AS y FROM fitted UNION SELECT b.hi, b.s / b.w FROM fitted),
+grid AS (SELECT g / 20.0::DOUBLE AS x FROM unnest(range(0, 21)) AS r(g)),
+beside AS (SELECT x, (SELECT max(k.x) FROM knots k WHERE k.x <= grid.x) AS x0, (SELECT min(k.x) FROM knots k WHERE k.x >= grid.x) AS x1 FROM grid)
+SELECT beside.x, round(greatest(0, CASE WHEN x0 IS NULL THEN b.y WHEN x1 IS NULL OR x0 = x1 THEN a.y ELSE a.y + (beside.x - x0) / (x1 - x0) * (b.y - a.y) END), 8) AS y
+FROM beside LEFT JOIN knots a ON a.x = x0 LEFT JOIN knots b ON b.x = x1""")
 def isotonic_calibration(t: Tables):
     seen = eventstudy.primary_observations(_study(t)).where(F.col("car").isNotNull())
-    return calibration.fit_curve(seen.select(F.col("severity").alias("score"), F.abs("car").alias("abs_car")))
+    return _rounded(calibration.fit_curve(seen.select(F.col("severity").alias("score"), F.abs("car").alias("abs_car"))), ["y"], 8)
 
 
 _CURVE = ALERTS + """,

@@ -80,7 +80,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id, news_id // 60
 SELECT news_id, portfolio_id, event_type, {_LABEL.format('severity')} AS severity_label FROM ranked WHERE rn <= 20""")
 def continuous_alerting(t: Tables):
     squeezed = F.regexp_replace("content", f"[{text.SPACE}]+", " ")
-    news = _stream(t).news.select("news_id", F.col("content").alias("text"), text.mined_organisations(squeezed, 1_000_000).alias("orgs"), "published_at")
+    news = _stream(t).news.select("news_id", F.col("content").alias("text"), text.mined_organisations(squeezed, None).alias("orgs"), "published_at")
     path = session.scratch_path(t.spark, "alerting")
     jobs.start_alerting(news, path, t.watch).awaitTermination()
     rows = t.spark.read.schema("news_id bigint, portfolio_id string, event_type string, severity_label string").parquet(f"{path}/rows")
@@ -88,7 +88,7 @@ def continuous_alerting(t: Tables):
 
 
 def _vectors(s: Tables):
-    at = F.expr("timestampadd(HOUR, cast(vec_id as int), TIMESTAMP '2024-01-01 00:00:00')")
+    at = F.expr("TIMESTAMP '2024-01-01 00:00:00' + vec_id * INTERVAL '1' HOUR")
     return s["embeddings"].select("vec_id", (F.col("label") % 2).alias("scope"), at.alias("seen_at"), F.col("embedding").alias("vector"))
 
 
@@ -115,9 +115,9 @@ def live_counters(t: Tables):
 
 @query("U1_score_tables", f"""WITH {ALERTS}
 SELECT doc_id AS news_id, a.sentiment AS mood_sentiment, a.confidence AS mood_confidence, l.quality = 1 AS verdict_is_relevant
-FROM documents LEFT JOIN (SELECT alert_id, sentiment, confidence FROM alerts WHERE raw_type <> 'view') a ON alert_id = doc_id LEFT JOIN labels l USING (doc_id)""")
+FROM documents LEFT JOIN alerts a ON alert_id = doc_id LEFT JOIN labels l USING (doc_id)""")
 def score_tables(t: Tables):
-    mood = t.alerts.where("raw_type <> 'view'").select(F.col("alert_id").alias("news_id"), "sentiment", "confidence")
+    mood = t.alerts.select(F.col("alert_id").alias("news_id"), "sentiment", "confidence")
     verdict = t["labels"].select(F.col("doc_id").alias("news_id"), (F.col("quality") == 1).alias("is_relevant"))
     return scoring_tables.attach_scores(t.news.select("news_id"), {"mood": (mood, ["news_id"]), "verdict": (verdict, ["news_id"])})
 

@@ -106,8 +106,7 @@ def strip_accents(t: Tables):
     return t["documents"].select("doc_id", F.md5(text.strip_accents(F.col("text"))).alias("bare_md5"))
 
 
-_COMPANY = ("split_part(trim(text), ' ', 1) || ' ' || split_part(trim(text), ' ', 2) || "
-            "CASE doc_id % 5 WHEN 0 THEN ' S.A.' WHEN 1 THEN ', Inc.' WHEN 2 THEN ' Holdings plc' WHEN 3 THEN ' & Co. GmbH' ELSE '' END")
+_COMPANY = ("text || CASE doc_id % 5 WHEN 0 THEN ' S.A.' WHEN 1 THEN ', Inc.' WHEN 2 THEN ' Holdings plc' WHEN 3 THEN ' & Co. GmbH' ELSE '' END")
 _SUFFIXES = ", ".join(f"'{w}'" for w in domain.CORPORATE_SUFFIXES)
 _SQL_CANONICAL = (f"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(replace(strip_accents(lower(name)), '.', ''), "
                   f"'[^\\p{{L}}\\p{{N}}_{_WS}]', ' ', 'g'), '[{_WS}]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ({_SUFFIXES})), ' ')")
@@ -116,8 +115,7 @@ _SQL_CANONICAL = (f"array_to_string(list_filter(string_split(trim(regexp_replace
 def _companies(t: Tables):
     k = F.col("doc_id") % 5
     suffix = F.when(k == 0, " S.A.").when(k == 1, ", Inc.").when(k == 2, " Holdings plc").when(k == 3, " & Co. GmbH").otherwise("")
-    words = [F.split_part(F.trim("text"), F.lit(" "), F.lit(i)) for i in (1, 2)]
-    return t["documents"].select("doc_id", F.concat(words[0], F.lit(" "), words[1], suffix).alias("name"))
+    return t["documents"].select("doc_id", F.concat("text", suffix).alias("name"))
 
 
 @query("C8_canonical_name", f"""SELECT doc_id, {_SQL_CANONICAL} AS canonical FROM (SELECT doc_id, {_COMPANY} AS name FROM documents)""")

@@ -32,12 +32,14 @@ def local_session(cores: int | str = 8, app: str = "foliowire", memory: str = "8
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
+    """The shared folder named by spark.checkpoint.dir; only a local session gets a temporary one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliowire-"))
     return sc.getCheckpointDir()
 
@@ -52,11 +54,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder, for tables a query itself writes."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that yields fewer partitions than there are cores, ahead of costly per-row work.
-
-    Tables of more than a few files never meet the condition, so large inputs are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

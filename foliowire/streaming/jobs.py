@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliowire import domain
 from foliowire.operators import gates, impact, limiter, matching
-from foliowire.session import spread
 
 LATENESS = "2 days"
 
@@ -68,7 +67,7 @@ def alerting_batch(path: str, assets: DataFrame, sentiments: DataFrame | None =
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        news = spread(batch).persist()  # every branch of the matching reads it
+        news = batch.persist()  # every branch of the matching reads it
         fresh = alerts_of(news, assets, sentiments).withColumn("created_at", F.col("created_at").cast("timestamp"))
         first, last = news.agg(F.min("published_at"), F.max("published_at")).first()
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields) + ", batch bigint, created_date date"
