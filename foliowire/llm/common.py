@@ -13,9 +13,21 @@ from foliowire.session import scratch_path
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
+#: What str.split takes for blanks although it belongs to words here.
+_OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ASCII_BLANKS = "\x1c\x1d\x1e\x1f"
+
 LOWER_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def split_words(text: str | None) -> list[str]:
+    """The words of a text, by the faster str.split where it agrees."""
+    if not text:
+        return []
+    other = any(c in text for c in _ASCII_BLANKS) if text.isascii() else _OTHER_BLANKS.search(text)
+    return WORD.findall(text) if other else text.split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
