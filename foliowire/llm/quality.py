@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowire.llm.common import WORD, materialise, small_side, unused
+from foliowire.llm.common import WORD, materialise, small_side, split_words, unused
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -63,7 +63,7 @@ def repeated_words(words: list[str]) -> int:
 def measure(text: str | None) -> tuple[int, ...]:
     """The values of ``COUNTS`` for one text."""
     text = text or ""
-    words = WORD.findall(text)
+    words = split_words(text)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     lines = [line for line in text.split("\n") if WORD.search(line)]
     return (len(words), sum(map(len, words)), int(_SYMBOL_BYTES[raw].sum()), len(lines) - len(set(lines)),

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowire.llm.bagclassifier import held_out
-from foliowire.llm.common import LOWER_ASCII, WORD, materialise
+from foliowire.llm.common import LOWER_ASCII, materialise, split_words
 
 #: Words predicted one by one; frequent words whose counts every task knows; classes of the output.
 HEAD, DICTIONARY, CLASSES = 1024, 1 << 17, 32
@@ -62,7 +62,7 @@ SHAPES = 60
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(LOWER_ASCII))
+    return split_words(text.translate(LOWER_ASCII)) if text else []
 
 
 def word_counts(training: DataFrame) -> DataFrame:
