@@ -1,12 +1,15 @@
-"""Rate limits on alerts by clock hour."""
+"""Rate limits on alerts by clock hour and by hours anchored at their first alert."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliowire import domain
+from foliowire.operators.similarity import in_key_order
 
 
 def first_per_hour(alerts: DataFrame, key: str, ts: str, tie: str, cap: int = domain.ALERTS_PER_HOUR, stored: DataFrame | None = None) -> DataFrame:
@@ -22,3 +25,34 @@ def first_per_hour(alerts: DataFrame, key: str, ts: str, tie: str, cap: int = do
         used = stored.groupBy(F.col(key), hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_used"))
         ranked = ranked.join(used, [key, "_hour"], "left").where(F.col("_rank") + F.coalesce("_used", F.lit(0)) <= cap).drop("_used")
     return ranked.drop("_hour", "_rank")
+
+
+def seconds_of(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+
+
+def anchored_hours(start: float | None, count: int, seconds: np.ndarray, duplicate: np.ndarray, cap: int,
+                   span: float = 3600.0) -> tuple[np.ndarray, float | None, int]:
+    """Which of the ordered items pass, and the window start and count afterwards.
+
+    A window opens at its first item and is replaced by the first item more than ``span`` later. Only
+    non-duplicates count; nothing passes once ``cap`` is reached.
+    """
+    passed = np.zeros(len(seconds), dtype=bool)
+    for i, now in enumerate(seconds):
+        if start is None or now - start > span:
+            start, count = now, 0
+        if count < cap:
+            passed[i] = True
+            count += int(not duplicate[i])
+    return passed, start, count
+
+
+def first_per_anchored_hour(alerts: DataFrame, key: str, order: tuple[str, ...] = ("created_at", "alert_id"),
+                            cap: int = domain.ALERTS_PER_HOUR) -> DataFrame:
+    """Alerts that pass the anchored-hour limiter of their key, the whole table at once; needs is_duplicate."""
+    def step(state, rows):
+        passed, *state = anchored_hours(*state, seconds_of(rows[order[0]]), rows["is_duplicate"].to_numpy(bool), cap)
+        return state, rows.loc[passed]
+
+    return in_key_order(alerts, [key], list(order), lambda: [None, 0], step, alerts.schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,67 +9,38 @@ from pyspark.sql import functions as F
 
 from foliowire import domain
 from foliowire.functions.vectors import cosine
-from foliowire.operators.similarity import cross_similar
-
-ASSETS_PER_PASS = 20_000  # vectors a task holds at once; more assets mean more passes, never fewer pairs
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
-def _score_against(assets: pd.DataFrame, id_col: str):
-    """Scorer of news batches against one block of assets, sorted by portfolio and position."""
-    matrix = _unit(np.stack(assets["vector"].to_numpy()).astype("float64"))
-    portfolios, starts = np.unique(assets["portfolio_id"].to_numpy(), return_index=True)
-    bounds = list(zip(portfolios, starts, [*starts[1:], len(assets)]))
-    tickers, places = assets["ticker"].to_numpy(), assets["pos"].to_numpy()
+from foliowire.operators.similarity import _unit, block_join
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            similar = _unit(np.stack(batch["vector"].to_numpy()).astype("float64")) @ matrix.T
-            for portfolio, low, high in bounds:
-                part = similar[:, low:high]
-                best = part.argmax(axis=1)
-                yield pd.DataFrame({
-                    id_col: batch[id_col], "portfolio_id": portfolio, "best": part.max(axis=1), "total": part.sum(axis=1),
-                    "n": high - low, "ticker": tickers[low:high][best], "pos": places[low:high][best]})
-
-    return score
-
-
-def semantic_relevance(news: DataFrame, assets: DataFrame, id_col: str = "news_id") -> DataFrame:
+def semantic_relevance(news: DataFrame, assets: DataFrame, id_col: str = "news_id",
+                       minimum: float | None = domain.RELEVANCE_BORDERLINE) -> DataFrame:
     """Per (news, portfolio): largest and mean cosine to the portfolio's asset vectors (not below 0) and the best asset.
 
-    Asset vectors are held by the tasks in blocks of a fixed size; news is partitioned and never shuffled.
-    When there are several blocks, their partial results are merged by an aggregation.
+    News and assets meet block by block, the assets of a portfolio in one block, so a task settles its pairs alone
+    and returns only those whose score reaches ``minimum``; None returns all pairs. Of equally close assets the
+    first by position and ticker is the best.
     """
     slim = assets.select("portfolio_id", "ticker", F.col("pos").cast("bigint").alias("pos"), "vector")
-    blocks = max(1, -(-slim.count() // ASSETS_PER_PASS))
     id_type = news.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, portfolio_id string, best double, total double, n bigint, ticker string, pos bigint"
-    vectors = news.select(id_col, "vector")
-    partial = None
-    for block in range(blocks):
-        member = F.pmod(F.xxhash64("portfolio_id", "ticker", "pos"), F.lit(blocks)) == block
-        held = slim.where(member).toPandas().sort_values(["portfolio_id", "pos", "ticker"]).reset_index(drop=True)
-        if held.empty:
-            continue
-        scored = vectors.mapInPandas(_score_against(held, id_col), schema)
-        partial = scored if partial is None else partial.unionByName(scored)
-    if partial is None:
-        return news.sparkSession.createDataFrame(
-            [], f"{id_col} {id_type}, portfolio_id string, semantic_score double, semantic_mean_score double, best_asset string")
-    if blocks > 1:
-        partial = partial.groupBy(id_col, "portfolio_id").agg(
-            F.max("best").alias("best"), F.sum("total").alias("total"), F.sum("n").alias("n"),
-            F.max_by("ticker", F.struct("best", -F.col("pos"))).alias("ticker"))
-    return partial.select(
-        id_col, "portfolio_id", F.greatest("best", F.lit(0.0)).alias("semantic_score"),
-        F.greatest(F.col("total") / F.col("n"), F.lit(0.0)).alias("semantic_mean_score"), F.col("ticker").alias("best_asset"))
+    columns = [id_col, "portfolio_id", "semantic_score", "semantic_mean_score", "best_asset"]
+
+    def match(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=columns)]
+        if not batch.empty and not held.empty:
+            held = held.sort_values(["portfolio_id", "pos", "ticker"], kind="stable")
+            similar = _unit(batch["vector"]) @ _unit(held["vector"]).T
+            portfolios, starts = np.unique(held["portfolio_id"].to_numpy(), return_index=True)
+            tickers, ids = held["ticker"].to_numpy(), batch[id_col].to_numpy()
+            for portfolio, low, high in zip(portfolios, starts, [*starts[1:], len(held)]):
+                part = similar[:, low:high]
+                best = np.maximum(part.max(axis=1), 0.0)
+                keep = np.ones(len(best), bool) if minimum is None else best >= minimum
+                out.append(pd.DataFrame({
+                    id_col: ids[keep], "portfolio_id": portfolio, "semantic_score": best[keep],
+                    "semantic_mean_score": np.maximum(part.mean(axis=1), 0.0)[keep], "best_asset": tickers[low:high][part.argmax(axis=1)][keep]}))
+        return pd.concat(out[1:] or out)
+
+    return block_join(news.select(id_col, "vector"), slim, id_col, "portfolio_id", match,
+                      f"{id_col} {id_type}, portfolio_id string, semantic_score double, semantic_mean_score double, best_asset string")
 
 
 def blend(direct: Column, semantic: Column) -> Column:
@@ -126,13 +95,12 @@ def gated_hybrid_relevance(news: DataFrame, rules: DataFrame, assets: DataFrame,
     with a signal are scored against the assets of their own portfolio only.
     """
     slim = assets.select("portfolio_id", "ticker", F.col("pos").cast("bigint").alias("pos"), F.col("vector").alias("asset_vector"))
-    keyed = slim.withColumn("asset", F.concat_ws("\x01", "portfolio_id", "ticker", "pos"))
-    near = cross_similar(news.select(id_col, "vector"), keyed.select("asset", F.col("asset_vector").alias("vector")), id_col, "asset",
-                         minimum / 0.7 - 1e-6)
-    pairs = near.select(id_col, F.substring_index("asset", "\x01", 1).alias("portfolio_id")).unionByName(rules.select(id_col, "portfolio_id")).distinct()
+    near = semantic_relevance(news, assets, id_col, minimum / 0.7 - 1e-6)
+    pairs = near.select(id_col, "portfolio_id").unionByName(rules.select(id_col, "portfolio_id")).distinct()
     scored = pairs.join(news.select(id_col, "vector"), id_col).join(slim, "portfolio_id").select(
         id_col, "portfolio_id", "ticker", "pos", cosine(F.col("vector"), F.col("asset_vector")).alias("s"))
+    best = F.min(F.struct((-F.col("s")).alias("away"), "pos", "ticker"))  # ties go to the first by position and ticker
     semantic = scored.groupBy(id_col, "portfolio_id").agg(
         F.greatest(F.max("s"), F.lit(0.0)).alias("semantic_score"), F.greatest(F.avg("s"), F.lit(0.0)).alias("semantic_mean_score"),
-        F.max_by("ticker", F.struct("s", -F.col("pos"))).alias("best_asset"))
+        best["ticker"].alias("best_asset"))
     return hybrid_relevance(rules, semantic, id_col).where(F.col("relevance_score") >= minimum)

@@ -1,9 +1,12 @@
-"""Exact similarity joins and duplicate flags over embedding vectors."""
+"""Exact similarity within a bounded history, duplicate flags, and block joins over embedding vectors.
+
+Everything that compares items with earlier ones looks back a fixed number of positions in its scope, so the work per
+row does not depend on the size of the table.
+"""
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +17,7 @@ from pyspark.sql import functions as F
 from foliowire import domain
 from foliowire.session import cut_lineage
 
-BLOCK_ROWS = 2048  # vectors per side of one comparison task
-MAX_PIVOTS = 256
+BLOCK_ROWS = 2048  # vectors per side of one block join task
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -40,201 +42,164 @@ def with_position(df: DataFrame, scope: list[str], order: list[str]) -> DataFram
         "position", F.col("_before") + F.col("_at") - F.col("_start")).drop("_at", "_part", "_start", "_before")
 
 
-def earlier_similarity(items: DataFrame, scope: list[str], order: list[str], id_col: str, threshold: float = domain.DEDUP_SIMILARITY,
-                       history: int = domain.HISTORY_STORE) -> DataFrame:
-    """Largest cosine of each item to the ``history`` items before it in its scope, and the duplicate flag.
+def _placed(items: DataFrame, scope: list[str], order: list[str], id_col: str) -> DataFrame:
+    return with_position(items.select(*dict.fromkeys([id_col, *scope, *order]), "vector"), scope, order)
 
-    Positions are cut into blocks of ``history``; a block is compared with itself and the one before, so
-    every task holds at most two blocks and the work grows linearly with the items.
-    """
-    placed = with_position(items.select(id_col, *dict.fromkeys([*scope, *order]), "vector") if id_col not in [*scope, *order]
-                           else items.select(*dict.fromkeys([id_col, *scope, *order]), "vector"), scope, order)
+
+def _history_blocks(placed: DataFrame, scope: list[str], id_col: str, history: int) -> DataFrame:
+    """Positions cut into blocks of ``history``; a task holds a block as probe and the one before it."""
     block = F.floor(F.col("position") / history)
     sides = F.array(F.struct(block.alias("block"), F.lit(True).alias("probe")), F.struct((block + 1).alias("block"), F.lit(False).alias("probe")))
-    rows = placed.select(id_col, *scope, "position", "vector", F.explode(sides).alias("s")).select(
+    return placed.select(id_col, *scope, "position", "vector", F.explode(sides).alias("s")).select(
         id_col, *scope, "position", "vector", "s.block", "s.probe")
+
+
+def _lookback(pdf: pd.DataFrame, history: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a task, which are probes, their cosines to all rows, and which rows lie in their history."""
+    pdf = pdf.sort_values("position")
+    probe, vectors, position = pdf["probe"].to_numpy(), _unit(pdf["vector"]), pdf["position"].to_numpy()
+    gap = position[probe][:, None] - position[None, :]
+    return pdf, probe, vectors[probe] @ vectors.T, (gap > 0) & (gap <= history)
+
+
+def earlier_similarity(items: DataFrame, scope: list[str], order: list[str], id_col: str, threshold: float = domain.DEDUP_SIMILARITY,
+                       history: int = domain.HISTORY_STORE) -> DataFrame:
+    """Largest cosine of each item to the ``history`` items before it in its scope, and the duplicate flag."""
+    rows = _history_blocks(_placed(items, scope, order, id_col), scope, id_col, history)
     id_type = items.schema[id_col].dataType.simpleString()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        probe = pdf["probe"].to_numpy()
-        vectors, position = _unit(pdf["vector"]), pdf["position"].to_numpy()
-        gap = position[probe][:, None] - position[None, :]
-        similar = np.where((gap > 0) & (gap <= history), vectors[probe] @ vectors.T, 0.0)
-        best = similar.max(axis=1) if similar.size else np.zeros(0)
-        return pd.DataFrame({id_col: pdf[id_col].to_numpy()[probe], "max_similarity": np.maximum(best, 0.0)})
+        pdf, probe, similar, before = _lookback(pdf, history)
+        best = np.where(before, similar, 0.0).max(axis=1, initial=0.0)
+        return pd.DataFrame({id_col: pdf[id_col].to_numpy()[probe], "max_similarity": best})
 
     scored = rows.groupBy(*scope, "block").applyInPandas(compare, f"{id_col} {id_type}, max_similarity double")
     return scored.withColumn("is_duplicate", F.col("max_similarity") >= threshold)
 
 
-def distinct_vectors(items: DataFrame, id_col: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Vectors without their copies, and the mapping of every copy to its first occurrence.
+def distinct_vectors(items: DataFrame, scope: list[str], order: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of each scope without their copies, and the mapping of every copy to its first occurrence.
 
     Copies are reduced on the map side, so a vector held by a third of all rows costs one row per task.
     """
-    firsts = items.groupBy("vector").agg(F.min(F.struct(*dict.fromkeys([*order, id_col]))).alias("first"), F.count(F.lit(1)).alias("copies"))
-    unique = firsts.select(F.col(f"first.{id_col}").alias(id_col), *[F.col(f"first.{o}").alias(o) for o in order if o != id_col], "vector", "copies")
-    repeated = unique.where("copies > 1").select(F.col(id_col).alias("first_id"), "vector")
-    copies = items.select(id_col, "vector").join(repeated, "vector").where(F.col(id_col) != F.col("first_id")).select(id_col, "first_id")
+    rest = list(dict.fromkeys([*order, id_col]))
+    firsts = items.groupBy(*scope, "vector").agg(F.min(F.struct(*rest)).alias("first"), F.count(F.lit(1)).alias("copies"))
+    unique = firsts.select(*[F.col(f"first.{c}").alias(c) for c in rest], *[c for c in scope if c not in rest], "vector", "copies")
+    repeated = unique.where("copies > 1").select(F.col(id_col).alias("first_id"), *scope, "vector")
+    copies = items.select(*dict.fromkeys([id_col, *scope]), "vector").join(repeated, [*scope, "vector"]).where(
+        F.col(id_col) != F.col("first_id")).select(id_col, "first_id")
     return unique, copies
 
 
-def comparison_tasks(vectors: DataFrame, id_col: str, threshold: float, extra: list[str] | None = None) -> DataFrame | None:
-    """Rows (low, high, is_low, id, vector, extras) grouped so that all pairs with cosine >= ``threshold`` meet; exact.
+def similar_pairs(items: DataFrame, scope: list[str], order: list[str], id_col: str, threshold: float,
+                  history: int = domain.HISTORY_STORE) -> DataFrame:
+    """(earlier_id, later_id, cosine): near-duplicate candidates within ``history`` distinct vectors of a scope.
 
-    Metric partitioning: every vector lives in the cell of its nearest pivot, and travels only to cells
-    whose ball its own ball of radius acos(threshold) can reach. Cells are split into blocks of bounded
-    size, and a task (low, high) holds two blocks. Pivots and cell radii are the only values the driver sees.
+    Copies of a vector are collapsed before the comparison and paired with their first occurrence only, so a
+    crowd of copies yields as many pairs as it has members. A row meets at most ``history`` others.
     """
-    extra = extra or []
-    slim = vectors.select(id_col, "vector", *extra)
-    rows = slim.count()
-    if rows < 2:
-        return None
-    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    columns = ", ".join(f"{c} {kinds[c]}" for c in (id_col, "vector", *extra))
-    n_pivots = int(min(MAX_PIVOTS, max(1, rows // BLOCK_ROWS)))
-    pivots = _unit(slim.select(id_col, "vector").orderBy(F.xxhash64(id_col), id_col).limit(n_pivots).toPandas()["vector"])
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-7
-
-    def angles(column):
-        return np.arccos(np.clip(_unit(column) @ pivots.T, -1.0, 1.0))
-
-    def assign(batches):
-        for pdf in batches:
-            if not pdf.empty:
-                away = angles(pdf["vector"])
-                yield pdf.assign(cell=away.argmin(axis=1).astype("int32"), away=away.min(axis=1))
-
-    homes = cut_lineage(slim.mapInPandas(assign, f"{columns}, cell int, away double"))
-    cells = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).orderBy("cell").collect()
-    radius, blocks, start, total = np.full(len(pivots), -np.inf), np.zeros(len(pivots), "int64"), np.zeros(len(pivots), "int64"), 0
-    for cell in cells:  # blocks are numbered cell by cell
-        i = cell["cell"]
-        radius[i], blocks[i], start[i] = cell["radius"], -(-cell["n"] // BLOCK_ROWS), total
-        total += int(blocks[i])
-    known = [int(c["cell"]) for c in cells]
-
-    def per_cell(values):
-        return F.create_map(*[F.lit(x) for c in known for x in (c, int(values[c]))])[F.col("cell")]
-
-    home = homes.withColumn("unit", per_cell(start) + F.pmod(F.xxhash64(id_col), per_cell(blocks)))
-
-    def travel(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            near = angles(pdf["vector"]) - radius[None, :] <= reach
-            near[np.arange(len(pdf)), pdf["cell"].to_numpy()] = True
-            who, cell = np.nonzero(near)
-            repeat = blocks[cell]
-            who = np.repeat(who, repeat)
-            offset = np.arange(len(who)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            mine, other = pdf["unit"].to_numpy()[who], np.repeat(start[cell], repeat) + offset
-            out = {"low": np.minimum(mine, other), "high": np.maximum(mine, other), "is_low": mine <= other}
-            yield pd.DataFrame({**out, **{c: pdf[c].to_numpy()[who] for c in (id_col, "vector", *extra)}})
-
-    return home.mapInPandas(travel, f"low bigint, high bigint, is_low boolean, {columns}")
-
-
-def _sides(key: tuple, pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    side = pdf["is_low"].to_numpy()
-    return (pdf, pdf) if key[0] == key[1] else (pdf[side], pdf[~side])
-
-
-def similar_pairs(vectors: DataFrame, id_col: str, threshold: float) -> DataFrame:
-    """(left_id, right_id, cosine) of all pairs of distinct vectors with cosine at or above ``threshold``; exact."""
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    schema = f"left_id {id_type}, right_id {id_type}, cosine double"
-    tasks = comparison_tasks(vectors, id_col, threshold)
-    if tasks is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-
-    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(key, pdf)
-        if a.empty or b.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "cosine": []})
-        similar = _unit(a["vector"]) @ _unit(b["vector"]).T
-        i, j = np.nonzero(similar >= threshold)
-        x, y, c = a[id_col].to_numpy()[i], b[id_col].to_numpy()[j], similar[i, j]
-        if key[0] == key[1]:
-            keep = x < y
-            x, y, c = x[keep], y[keep], c[keep]
-        return pd.DataFrame({"left_id": np.where(x < y, x, y), "right_id": np.where(x < y, y, x), "cosine": c})
+    unique, copies = distinct_vectors(items, scope, order, id_col)
+    rows = _history_blocks(_placed(unique, scope, order, id_col), scope, id_col, history)
+    id_type = items.schema[id_col].dataType.simpleString()
 
-    return tasks.groupBy("low", "high").applyInPandas(match, schema)
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, probe, similar, before = _lookback(pdf, history)
+        i, j = np.nonzero(before & (similar >= threshold))
+        ids = pdf[id_col].to_numpy()
+        return pd.DataFrame({"earlier_id": ids[j], "later_id": ids[probe][i], "cosine": similar[i, j]})
 
+    found = rows.groupBy(*scope, "block").applyInPandas(match, f"earlier_id {id_type}, later_id {id_type}, cosine double")
+    return found.unionByName(copies.select(F.col("first_id").alias("earlier_id"), F.col(id_col).alias("later_id"), F.lit(1.0).alias("cosine")))
 
-def cross_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float) -> DataFrame:
-    """(left_id, right_id, cosine) of all pairs across two tables with cosine at or above ``threshold``; exact."""
-    def tagged(df, column, is_left):
-        return df.select(F.concat(F.lit("L" if is_left else "R"), F.col(column).cast("string")).alias("_id"),
-                         F.col("vector").cast("array<double>").alias("vector"), F.lit(is_left).alias("_left"))
-
-    schema = "l string, r string, cosine double"
-    tasks = comparison_tasks(tagged(left, left_id, True).unionByName(tagged(right, right_id, False)), "_id", threshold, ["_left"])
-    types = left.schema[left_id].dataType, right.schema[right_id].dataType
-    if tasks is None:
-        found = left.sparkSession.createDataFrame([], schema)
-    else:
-        def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            a, b = _sides(key, pdf)
-            for x, y in ((a, b), (b, a)) if key[0] != key[1] else ((a, b),):
-                x, y = x[x["_left"].to_numpy()], y[~y["_left"].to_numpy()]
-                if not x.empty and not y.empty:
-                    similar = _unit(x["vector"]) @ _unit(y["vector"]).T
-                    i, j = np.nonzero(similar >= threshold)
-                    out.append(pd.DataFrame({"l": x["_id"].to_numpy()[i], "r": y["_id"].to_numpy()[j], "cosine": similar[i, j]}))
-            return pd.concat(out) if out else pd.DataFrame({"l": [], "r": [], "cosine": []})
-
-        found = tasks.groupBy("low", "high").applyInPandas(match, schema)
-    return found.select(F.substr("l", F.lit(2)).cast(types[0]).alias(left_id), F.substr("r", F.lit(2)).cast(types[1]).alias(right_id), "cosine")
-
-
-def greedy_duplicates(items: DataFrame, id_col: str, order: list[str], threshold: float = domain.DEDUP_SIMILARITY) -> DataFrame:
-    """Duplicate flags when an item is compared only with earlier items that were kept.
-
-    Copies of a vector after the first are duplicates. Distinct vectors are settled in rounds: an item is
-    dropped when an earlier similar item was kept, and kept when no earlier similar item is open. A task
-    reports two flags per item, never pairs, so a crowd of near copies costs rows in proportion to its
-    size. Rounds are checkpointed, settled items leave, and the loop ends with no open items.
+
+def greedy_filter(kept: np.ndarray, kept_at: np.ndarray, vectors: np.ndarray, times: np.ndarray, threshold: float, store: int, memory: int,
+                  ttl: float | None):
+    """Similarity and flag of ordered unit vectors against the kept ones, and the kept ones afterwards.
+
+    The newest ``memory`` kept vectors are consulted first, the newest ``store`` only when they show no
+    duplicate. Kept vectors older than ``ttl`` seconds no longer count.
+    """
+    similarity, duplicate = np.zeros(len(vectors)), np.zeros(len(vectors), dtype=bool)
+    for i, (vector, now) in enumerate(zip(vectors, times)):
+        if ttl is not None and len(kept):
+            alive = kept_at >= now - ttl
+            kept, kept_at = kept[alive], kept_at[alive]
+        near = kept @ vector if len(kept) else np.zeros(0)
+        best = max(near[-memory:].max(initial=0.0), 0.0)
+        if best < threshold:
+            best = max(best, near.max(initial=0.0))
+        similarity[i], duplicate[i] = best, best >= threshold
+        if not duplicate[i]:
+            kept = np.vstack([kept, vector[None, :]])[-store:] if len(kept) else vector[None, :]
+            kept_at = np.append(kept_at, now)[-store:]
+    return similarity, duplicate, kept, kept_at
+
+
+def in_key_order(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Run a state through the ordered rows of every key: ``step(state, rows) -> (state, result rows)``.
+
+    The rows of a key are sorted by the shuffle and streamed in pieces, so a key of any size needs the memory
+    of one piece and of its state only.
+    """
+    placed = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            for key, rows in batch.groupby(keys, sort=False, dropna=False):
+                if str(key) != current:
+                    current, state = str(key), start()
+                state, out = step(state, rows)
+                yield out
+
+    return placed.mapInPandas(run, schema)
+
+
+def greedy_duplicates(items: DataFrame, scope: list[str], order: list[str], id_col: str, threshold: float = domain.DEDUP_SIMILARITY,
+                      store: int = domain.HISTORY_STORE, memory: int = domain.HISTORY_MEMORY) -> DataFrame:
+    """(id, max_similarity, is_duplicate) when an item is compared with the kept items of a bounded history before it.
+
+    An item meets the newest ``memory`` kept items of its scope and, if none is similar, the newest ``store``.
     """
-    unique, copies = distinct_vectors(items, id_col, order)
-    order = list(dict.fromkeys([*order, id_col]))
-    placed = with_position(unique.select(*order, "vector"), [], order).select(id_col, "vector", "position")
-    live = cut_lineage(placed.withColumn("kept", F.lit(False)))  # open items and those kept in the last round
-    settled = []
     id_type = items.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, after_kept boolean, after_open boolean"
-
-    def look(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({id_col: [], "after_kept": [], "after_open": []}).astype({"after_kept": bool, "after_open": bool})]
-        a, b = _sides(key, pdf)
-        for probe, other in ((a, b), (b, a)) if key[0] != key[1] else ((a, b),):
-            probe = probe[~probe["kept"].to_numpy()]
-            if probe.empty or other.empty:
-                continue
-            earlier = other["position"].to_numpy()[None, :] < probe["position"].to_numpy()[:, None]
-            hit = earlier & (_unit(probe["vector"]) @ _unit(other["vector"]).T >= threshold)
-            kept = other["kept"].to_numpy()
-            out.append(pd.DataFrame({id_col: probe[id_col].to_numpy(), "after_kept": hit[:, kept].any(axis=1), "after_open": hit[:, ~kept].any(axis=1)}))
-        return pd.concat(out)
-
-    while True:
-        open_items = live.where(~F.col("kept"))
-        if open_items.isEmpty():
-            break
-        tasks = comparison_tasks(live, id_col, threshold, ["position", "kept"])
-        if tasks is None:
-            settled.append(open_items.select(id_col, F.lit(False).alias("is_duplicate")))
-            break
-        flags = tasks.groupBy("low", "high").applyInPandas(look, schema).groupBy(id_col).agg(
-            F.bool_or("after_kept").alias("after_kept"), F.bool_or("after_open").alias("after_open"))
-        judged = cut_lineage(open_items.drop("kept").join(flags, id_col, "left").na.fill(False, ["after_kept", "after_open"]))
-        done = F.col("after_kept") | ~F.col("after_open")
-        settled.append(judged.where(done).select(id_col, F.col("after_kept").alias("is_duplicate")))
-        live = cut_lineage(judged.where(~F.col("after_kept")).select(id_col, "vector", "position", (~F.col("after_open")).alias("kept")))
-    settled.append(copies.select(id_col, F.lit(True).alias("is_duplicate")))
-    return reduce(DataFrame.unionByName, settled)
+
+    def step(kept: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        vectors = _unit(rows["vector"])
+        kept = kept.reshape(-1, vectors.shape[1])
+        similarity, duplicate, kept, _ = greedy_filter(kept, np.zeros(len(kept)), vectors, np.zeros(len(vectors)), threshold, store, memory, None)
+        return kept, pd.DataFrame({id_col: rows[id_col], "max_similarity": similarity, "is_duplicate": duplicate})
+
+    slim = items.select(*dict.fromkeys([id_col, *scope, *order]), "vector")
+    return in_key_order(slim, scope, order, lambda: np.zeros((0, 1)), step, f"{id_col} {id_type}, max_similarity double, is_duplicate boolean")
+
+
+def block_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, match: Callable, schema: str) -> DataFrame:
+    """``match(left rows, right rows)`` for every pair of a left and a right block, each pair a task of bounded size.
+
+    Rows with one value of a key column share a block. The comparison of all with all is the operator's work;
+    what leaves a task is up to ``match``.
+    """
+    n_left, n_right = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (left, right))
+
+    def dealt(df, key, own, other, n_own, n_other):
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    a = dealt(left, left_key, "_left", "_right", n_left, n_right).groupBy("_left", "_right")
+    b = dealt(right, right_key, "_right", "_left", n_right, n_left).groupBy("_left", "_right")
+    return a.cogroup(b).applyInPandas(match, schema)
+
+
+def cross_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float) -> DataFrame:
+    """(left_id, right_id, cosine) of all pairs across two tables with cosine at or above ``threshold``; exact."""
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((left, left_id), (right, right_id))]
+
+    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({left_id: [], right_id: [], "cosine": []})
+        similar = _unit(a["vector"]) @ _unit(b["vector"]).T
+        i, j = np.nonzero(similar >= threshold)
+        return pd.DataFrame({left_id: a[left_id].to_numpy()[i], right_id: b[right_id].to_numpy()[j], "cosine": similar[i, j]})
+
+    return block_join(left.select(left_id, "vector"), right.select(right_id, "vector"), left_id, right_id, match,
+                      f"{left_id} {kinds[0]}, {right_id} {kinds[1]}, cosine double")

@@ -137,7 +137,7 @@ def _news_vectors(t: Tables):
 
 
 @query("D7_semantic_relevance", f"""WITH {_SEMANTIC}
-SELECT news_id, portfolio_id, round(semantic_score, 6) AS semantic_score, round(semantic_mean_score, 6) AS semantic_mean_score, best_asset FROM semantic""")
+SELECT news_id, portfolio_id, round(semantic_score, 6) AS semantic_score, round(semantic_mean_score, 6) AS semantic_mean_score, best_asset FROM semantic WHERE semantic_score >= 0.3""")
 def semantic_relevance(t: Tables):
     scored = relevance.semantic_relevance(_news_vectors(t), t.embedded_assets)
     return scored.select("news_id", "portfolio_id", F.round("semantic_score", 6).alias("semantic_score"),
@@ -151,7 +151,7 @@ _BLEND = ("least(1.0, CASE WHEN coalesce(direct_score, 0) >= 0.8 THEN 0.7 * dire
 @query("D8_hybrid_relevance", f"""WITH {_RULES}, {_SEMANTIC}
 SELECT news_id, portfolio_id, round({_BLEND.format('coalesce(semantic_score, 0)')}, 4) AS relevance_score, coalesce(assets, '') AS assets,
        round(coalesce(direct_score, 0), 4) AS direct_score, best_asset, coalesce(sector_match, false) AS sector_match
-FROM semantic FULL JOIN rules USING (news_id, portfolio_id)""")
+FROM (SELECT * FROM semantic WHERE semantic_score >= 0.3) FULL JOIN rules USING (news_id, portfolio_id)""")
 def hybrid_relevance(t: Tables):
     semantic = relevance.semantic_relevance(_news_vectors(t), t.embedded_assets)
     return relevance.hybrid_relevance(_rules(t), semantic).select(
@@ -183,10 +183,11 @@ extras AS (SELECT news_id, s.portfolio_id, ticker FROM scores s JOIN (SELECT DIS
 both_sides AS (SELECT news_id, portfolio_id, direct_score, score, coalesce(assets, '') AS assets FROM rules FULL JOIN scores USING (news_id, portfolio_id)),
 listed AS (
   SELECT news_id, portfolio_id, ticker FROM ordered
-  UNION SELECT x.news_id, x.portfolio_id, x.ticker FROM extras x JOIN both_sides b USING (news_id, portfolio_id) WHERE coalesce(b.direct_score, 0) < 0.8)
+  UNION SELECT x.news_id, x.portfolio_id, x.ticker FROM extras x JOIN both_sides b USING (news_id, portfolio_id) WHERE coalesce(b.direct_score, 0) < 0.8),
+joined AS (SELECT news_id, portfolio_id, string_agg(ticker, ',' ORDER BY ticker) AS tickers FROM listed GROUP BY 1, 2)
 SELECT b.news_id, b.portfolio_id, round(CASE WHEN direct_score >= 0.8 THEN direct_score ELSE {_BLEND.format('coalesce(score, 0)')} END, 6) AS relevance_score,
-       coalesce((SELECT string_agg(ticker, ',' ORDER BY ticker) FROM listed l WHERE l.news_id = b.news_id AND l.portfolio_id = b.portfolio_id), '') AS assets
-FROM both_sides b""")
+       coalesce(tickers, '') AS assets
+FROM both_sides b LEFT JOIN joined USING (news_id, portfolio_id)""")
 def external_relevance(t: Tables):
     held = t.watch.where(F.contains(F.lower("ticker"), F.lit("e"))).groupBy("portfolio_id").agg(F.collect_set("ticker").alias("assets"))
     scores = t["documents"].select(
@@ -212,24 +213,48 @@ def earlier_similarity(t: Tables):
     return flagged.select("vec_id", F.round("max_similarity", 4).alias("max_similarity"), "is_duplicate")
 
 
-_COPIED = """copied AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings WHERE label < 3)"""
+def greedy_sql(source: str, ttl: int | None = None) -> str:
+    """Statement over ``items`` (vec_id, scope, embedding): a list of kept ids per scope, carried item by item.
+
+    The cosines to all earlier items of the scope are computed beforehand. ``ttl`` in hours, one per id.
+    """
+    alive = "" if ttl is None else f" AND x.id >= nxt.vec_id - {ttl}"
+    best = "coalesce(list_max(list_transform(list_filter(near, lambda x: list_contains(kept[-{0}:], x.id)" + alive + "), lambda x: x.c)), 0)"
+    return f"""WITH RECURSIVE {source},
+placed AS (SELECT vec_id, scope, embedding, row_number() OVER (PARTITION BY scope ORDER BY vec_id) AS pos FROM items),
+nxt AS MATERIALIZED (
+  SELECT a.vec_id, a.scope, a.pos, coalesce(list({{'id': b.vec_id, 'c': greatest({_PAIR}, 0)}}) FILTER (b.vec_id IS NOT NULL), []) AS near
+  FROM placed a LEFT JOIN placed b ON a.scope = b.scope AND b.pos < a.pos GROUP BY 1, 2, 3),
+walked(scope, pos, vec_id, similarity, kept) AS (
+  SELECT DISTINCT scope, 0::BIGINT, NULL::BIGINT, 0::DOUBLE, []::BIGINT[] FROM items
+  UNION ALL
+  SELECT scope, pos, vec_id, similarity, CASE WHEN similarity >= 0.3 THEN kept ELSE list_append(kept, vec_id) END
+  FROM (SELECT nxt.scope, nxt.pos, nxt.vec_id, kept,
+               CASE WHEN {best.format(200)} >= 0.3 THEN {best.format(200)} ELSE {best.format(500)} END AS similarity
+        FROM walked JOIN nxt ON nxt.scope = walked.scope AND nxt.pos = walked.pos + 1))
+SELECT vec_id, round(similarity, 4) AS max_similarity, similarity >= 0.3 AS is_duplicate FROM walked WHERE vec_id IS NOT NULL"""
+
+
+_COPIED = """items AS (SELECT vec_id, embedding, label AS scope FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding, label FROM embeddings WHERE label < 3)"""
 
 
 def _copied(t: Tables):
-    e = t["embeddings"].select("vec_id", F.col("embedding").alias("vector"), "label")
-    again = e.where("label < 3").withColumn("vec_id", F.col("vec_id") + 1000000)
-    return e.unionByName(again).drop("label")
+    e = t["embeddings"].select("vec_id", F.col("embedding").alias("vector"), F.col("label").alias("scope"))
+    return e.unionByName(e.where("scope < 3").withColumn("vec_id", F.col("vec_id") + 1000000))
 
 
-@query("H2_greedy_duplicates")
+@query("H2_greedy_duplicates", greedy_sql(_COPIED))
 def greedy_duplicates(t: Tables):
-    return similarity.greedy_duplicates(_copied(t), "vec_id", ["vec_id"], 0.3)
+    flagged = similarity.greedy_duplicates(_copied(t), ["scope"], ["vec_id"], "vec_id", 0.3)
+    return flagged.withColumn("max_similarity", F.round("max_similarity", 4))
 
 
-@query("H3_similar_pairs", f"""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_PAIR}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE {_PAIR} >= 0.3""")
+@query("H3_similar_pairs", f"""WITH {_COPIED},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY vec_id) AS pos FROM (SELECT scope, embedding, min(vec_id) AS vec_id FROM items GROUP BY 1, 2))
+SELECT b.vec_id AS earlier_id, a.vec_id AS later_id, round({_PAIR}, 6) AS cosine FROM firsts a JOIN firsts b ON a.scope = b.scope AND b.pos < a.pos AND b.pos >= a.pos - 500 WHERE {_PAIR} >= 0.3
+UNION ALL SELECT f.vec_id, i.vec_id, 1 FROM items i JOIN firsts f ON f.scope = i.scope AND f.embedding = i.embedding WHERE f.vec_id <> i.vec_id""")
 def similar_pairs(t: Tables):
-    pairs = similarity.similar_pairs(t["embeddings"].select("vec_id", F.col("embedding").alias("vector")), "vec_id", 0.3)
+    pairs = similarity.similar_pairs(_copied(t), ["scope"], ["vec_id"], "vec_id", 0.3)
     return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
