@@ -32,27 +32,42 @@ def seconds_of(times: pd.Series) -> np.ndarray:
 
 
 def anchored_hours(start: float | None, count: int, seconds: np.ndarray, duplicate: np.ndarray, cap: int,
-                   span: float = 3600.0) -> tuple[np.ndarray, float | None, int]:
-    """Which of the ordered items pass, and the window start and count afterwards.
+                   span: float = 3600.0, stored: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float | None, int]:
+    """Which of the ordered items pass, the start of the window each meets, and the window and count afterwards.
 
     A window opens at its first item and is replaced by the first item more than ``span`` later. Only
-    non-duplicates count; nothing passes once ``cap`` is reached.
+    non-duplicates count; nothing passes once ``cap`` is reached. ``stored`` holds the window start of items
+    that passed earlier and NaN for new ones; what is stored stands and counts in its window.
     """
-    passed = np.zeros(len(seconds), dtype=bool)
+    passed, starts = np.zeros(len(seconds), dtype=bool), np.zeros(len(seconds))
     for i, now in enumerate(seconds):
-        if start is None or now - start > span:
-            start, count = now, 0
-        if count < cap:
-            passed[i] = True
+        if stored is not None and stored[i] == stored[i]:
+            if start != stored[i]:
+                start, count = float(stored[i]), 0
             count += int(not duplicate[i])
-    return passed, start, count
+        else:
+            if start is None or now - start > span:
+                start, count = float(now), 0
+            if count < cap:
+                passed[i] = True
+                count += int(not duplicate[i])
+        starts[i] = start
+    return passed, starts, start, count
 
 
 def first_per_anchored_hour(alerts: DataFrame, key: str, order: tuple[str, ...] = ("created_at", "alert_id"),
-                            cap: int = domain.ALERTS_PER_HOUR) -> DataFrame:
-    """Alerts that pass the anchored-hour limiter of their key, the whole table at once; needs is_duplicate."""
+                            cap: int = domain.ALERTS_PER_HOUR, stored: DataFrame | None = None) -> DataFrame:
+    """Alerts that pass the anchored-hour limiter of their key, with ``hour_start`` in seconds; needs is_duplicate.
+
+    ``stored`` alerts (key, order columns, is_duplicate, hour_start) passed before; they count and are not returned.
+    """
+    new = alerts.withColumn("hour_start", F.lit(None).cast("double"))
+    columns = new.columns
+    both = new if stored is None else new.unionByName(stored.select(key, *order, "is_duplicate", "hour_start"), allowMissingColumns=True)
+
     def step(state, rows):
-        passed, *state = anchored_hours(*state, seconds_of(rows[order[0]]), rows["is_duplicate"].to_numpy(bool), cap)
-        return state, rows.loc[passed]
+        passed, starts, *state = anchored_hours(*state, seconds_of(rows[order[0]]), rows["is_duplicate"].to_numpy(bool), cap,
+                                                stored=rows["hour_start"].to_numpy("float64"))
+        return state, rows.assign(hour_start=starts).loc[passed, columns]
 
-    return in_key_order(alerts, [key], list(order), lambda: [None, 0], step, alerts.schema)
+    return in_key_order(both.select(*columns), [key], list(order), lambda: [None, 0], step, new.schema)

@@ -213,7 +213,7 @@ def earlier_similarity(t: Tables):
     return flagged.select("vec_id", F.round("max_similarity", 4).alias("max_similarity"), "is_duplicate")
 
 
-def greedy_sql(source: str, ttl: int | None = None) -> str:
+def greedy_sql(source: str, ttl: int | None = None, also: str = "") -> str:
     """Statement over ``items`` (vec_id, scope, embedding): a list of kept ids per scope, carried item by item.
 
     The cosines to all earlier items of the scope are computed beforehand. ``ttl`` in hours, one per id.
@@ -232,7 +232,7 @@ walked(scope, pos, vec_id, similarity, kept) AS (
   FROM (SELECT nxt.scope, nxt.pos, nxt.vec_id, kept,
                CASE WHEN {best.format(200)} >= 0.3 THEN {best.format(200)} ELSE {best.format(500)} END AS similarity
         FROM walked JOIN nxt ON nxt.scope = walked.scope AND nxt.pos = walked.pos + 1))
-SELECT vec_id, round(similarity, 4) AS max_similarity, similarity >= 0.3 AS is_duplicate FROM walked WHERE vec_id IS NOT NULL"""
+SELECT {also}vec_id, round(similarity, 4) AS max_similarity, similarity >= 0.3 AS is_duplicate FROM walked WHERE vec_id IS NOT NULL"""
 
 
 _COPIED = """items AS (SELECT vec_id, embedding, label AS scope FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding, label FROM embeddings WHERE label < 3)"""

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliowire import domain
-from foliowire.operators import gates, impact, limiter, matching
+from foliowire.functions import text
+from foliowire.operators import gates, impact, limiter, matching, relevance, similarity, storage
 
 LATENESS = "2 days"
+PAIR = ["news_id", "portfolio_id"]
 
 
 def append_to(stream: DataFrame, path: str, mode: str = "append", every: str | None = None) -> StreamingQuery:
@@ -24,12 +26,67 @@ def append_to(stream: DataFrame, path: str, mode: str = "append", every: str | N
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def with_closing(stream: DataFrame, path: str) -> DataFrame:
+    """The stream and the rows of a closing folder; see ``close``."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def close(spark: SparkSession, path: str, schema, time_col: str) -> None:
+    """End a stream in event time: one row without a key, later than all others, lets the watermark pass everything.
+
+    Run the query once more from its checkpoint afterwards; what still waited is settled then.
+    """
+    values = [F.lit("2200-01-01 00:00:00").cast(f.dataType) if f.name == time_col else F.lit(None).cast(f.dataType) for f in schema.fields]
+    spark.range(1).select(*[v.alias(f.name) for v, f in zip(values, schema.fields)]).write.mode("append").parquet(path)
+
+
 def ingest(news: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """News without repeated urls; a url is remembered for as long as late rows may arrive."""
     timed = news.withColumn("published_at", F.col("published_at").cast("timestamp"))
     return timed.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["url"])
 
 
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows a job has written below ``path``, none at first."""
+    spark.createDataFrame([], schema.rsplit(", ", 1)[0]).write.mode("ignore").parquet(f"{path}/batch=-1")
+    return spark.read.schema(schema).parquet(path)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def ingest_batch(path: str, lateness: str = LATENESS) -> Callable[[DataFrame, int], None]:
+    """Micro-batch function for continuous ingest that loses nothing, safe to repeat.
+
+    The first row of every url not stored yet goes to ``rows``. Rows more than ``lateness`` behind the newest stored one can
+    no longer be compared with everything and go to the side table ``late`` instead.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        news = batch.withColumn("published_at", F.col("published_at").cast("timestamp"))
+        others = _stored(batch.sparkSession, f"{path}/rows", _ddl(news) + ", batch bigint").where(F.col("batch") != batch_id)
+        mark = others.agg(F.max("published_at") - F.expr(f"INTERVAL {lateness}")).first()[0]
+        behind = F.lit(False) if mark is None else F.coalesce(F.col("published_at") < F.lit(mark), F.lit(False))
+        recent = others if mark is None else others.where(~behind)
+        order = [c for c in ("published_at", *news.columns) if c != "url"]
+        fresh = storage.insert_if_absent(news.where(~behind), recent, "url", list(dict.fromkeys(order)))
+        fresh.select(*news.columns).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        news.where(behind).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+
+    return run
+
+
+def start_ingest(news: DataFrame, path: str, lateness: str = LATENESS, every: str | None = None) -> StreamingQuery:
+    return _each_batch(news, ingest_batch(path, lateness), path, every)
+
+
+def _each_batch(stream: DataFrame, run: Callable[[DataFrame, int], None], path: str, every: str | None) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/_stream")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def live_counters(alerts: DataFrame, lateness: str = LATENESS, interval: str = "1 hour") -> DataFrame:
     """Alerts per type and tumbling interval, emitted once an interval can no longer change."""
     from foliowire.operators.alertstats import counters_by_interval
@@ -38,58 +95,101 @@ def live_counters(alerts: DataFrame, lateness: str = LATENESS, interval: str = "
     return counters_by_interval(timed.withWatermark("created_at", lateness), interval=interval)
 
 
-def alerts_of(news: DataFrame, assets: DataFrame, sentiments: DataFrame | None = None) -> DataFrame:
-    """Alert rows of a news batch for every portfolio it concerns: relevance, event type, impact, gates.
+def alerts_of(news: DataFrame, assets: DataFrame, sentiments: DataFrame | None = None, verdicts: DataFrame | None = None,
+              analyses: DataFrame | None = None, vectors: DataFrame | None = None, asset_vectors: DataFrame | None = None) -> DataFrame:
+    """Alert rows of news for every portfolio they concern: relevance, event type, impact, analyses, gates, explanation.
 
-    ``news`` has news_id, text, orgs and published_at. ``sentiments`` (news_id, sentiment,
-    sentiment_confidence) is a score table; missing rows count as neutral.
+    ``news`` has news_id, title, text, source, orgs and published_at. The other tables are supplied scores, each
+    optional: ``sentiments`` (news_id, sentiment, sentiment_confidence; neutral where missing), ``verdicts`` on borderline pairs
+    (news_id, portfolio_id, is_relevant, relevance_score, affected_assets), ``analyses`` (news_id, portfolio_id, severity,
+    direction, confidence, event_type, explanation), and ``vectors`` (news_id, vector) with ``asset_vectors``
+    (portfolio_id, ticker, pos, vector) for hybrid relevance. Without vectors the rules alone decide.
     """
+    spark = news.sparkSession
     rules = matching.rule_relevance(news.select("news_id", "text"), news.select("news_id", "orgs"), assets)
-    relevant = rules.where(gates.relevance_gate(F.col("direct_score")) == "pass")
-    events = impact.classify_by_keywords(news.select("news_id", "published_at", "text"), "text").drop("text", "keyword_hits")
-    scored = relevant.join(events, "news_id").withColumnRenamed("direct_score", "relevance")
-    if sentiments is not None:
-        scored = scored.join(sentiments, "news_id", "left")
+    if vectors is None:
+        scored = rules.select(*PAIR, F.col("direct_score").alias("relevance"), "matched_assets")
+    else:
+        hybrid = relevance.gated_hybrid_relevance(vectors.join(news.select("news_id"), "news_id", "left_semi"), rules, asset_vectors)
+        scored = hybrid.select(*PAIR, F.col("relevance_score").alias("relevance"), "matched_assets")
+    if verdicts is None:
+        verdicts = spark.createDataFrame([], "news_id bigint, portfolio_id string, is_relevant boolean, relevance_score double, affected_assets array<string>")
+    relevant = gates.rescue_borderline(scored, verdicts, PAIR).drop("rescued")
+    events = impact.classify_by_keywords(news.select("news_id", "title", "source", "published_at", "text"), "text").drop("text", "keyword_hits")
+    known = relevant.join(events, "news_id")
+    if sentiments is None:
+        known = known.withColumn("sentiment", F.lit("neutral")).withColumn("sentiment_confidence", F.lit(0.5))
+    else:
+        known = known.join(sentiments.select("news_id", "sentiment", "sentiment_confidence"), "news_id", "left").withColumn(
+            "sentiment", F.coalesce("sentiment", F.lit("neutral"))).withColumn("sentiment_confidence", F.coalesce("sentiment_confidence", F.lit(0.5)))
+    estimated = impact.estimate_impact(known)
+    if analyses is None:
+        analyses = spark.createDataFrame([], "news_id bigint, portfolio_id string, severity double, direction string, confidence double, event_type string, explanation string")
+    refined = analyses.select(*PAIR, F.col("event_type").alias("_event"), F.col("explanation").alias("_explanation"))
+    merged = impact.merge_analyses(estimated.withColumn("estimate", F.col("severity")), analyses, PAIR).join(refined, PAIR, "left")
+    kept = gates.severity_gates(merged, "estimate", "severity").withColumn("event_type", F.coalesce("_event", "event_type"))
+    c = F.col
+    told = text.alert_explanation(c("title"), c("matched_assets"), c("event_type"), c("direction"), c("severity_label"), c("confidence"),
+                                  c("relevance"), c("source"), c("sentiment"), c("_explanation"))
+    return kept.select(*PAIR, c("published_at").cast("timestamp").alias("created_at"), "event_type", "direction", "severity",
+                       "severity_label", "confidence", "relevance", "sentiment", "matched_assets", told.alias("explanation"))
+
+
+def admitted(alerts: DataFrame, vectors: DataFrame | None = None, cap: int = domain.ALERTS_PER_HOUR,
+             threshold: float = domain.DEDUP_SIMILARITY, stored: DataFrame | None = None) -> DataFrame:
+    """Alerts with their duplicate flag that pass the limiter of their portfolio's anchored hours.
+
+    An alert is a duplicate when its news is close to a kept one among the newest of its portfolio. ``stored`` alerts
+    count in both steps. Alerts whose news has no vector are no duplicates.
+    """
+    if vectors is None:
+        flagged = alerts.withColumn("max_similarity", F.lit(0.0)).withColumn("is_duplicate", F.lit(False))
     else:
-        scored = scored.withColumn("sentiment", F.lit("neutral")).withColumn("sentiment_confidence", F.lit(0.5))
-    estimated = impact.estimate_impact(scored)
-    kept = gates.severity_gates(estimated, "severity", "severity")
-    return kept.select("news_id", "portfolio_id", F.col("published_at").alias("created_at"), "event_type", "direction", "severity",
-                       "severity_label", "confidence", "relevance", "matched_assets")
+        timed = alerts.select(*PAIR, "created_at")
+        if stored is not None:
+            timed = timed.unionByName(stored.where(~F.col("is_duplicate")).select(*PAIR, "created_at"))
+        items = timed.join(vectors, "news_id").withColumn("pair", F.struct(*PAIR))
+        flags = similarity.greedy_duplicates(items, ["portfolio_id"], ["created_at", "news_id"], "pair", threshold)
+        flagged = alerts.join(flags.select("pair.*", "max_similarity", "is_duplicate"), PAIR, "left").withColumn(
+            "max_similarity", F.coalesce("max_similarity", F.lit(0.0))).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+    return limiter.first_per_anchored_hour(flagged, "portfolio_id", ("created_at", "news_id"), cap, stored)
+
+
+def alert_batch(news: DataFrame, assets: DataFrame, sentiments: DataFrame | None = None, verdicts: DataFrame | None = None,
+                analyses: DataFrame | None = None, vectors: DataFrame | None = None, asset_vectors: DataFrame | None = None,
+                cap: int = domain.ALERTS_PER_HOUR, threshold: float = domain.DEDUP_SIMILARITY, stored: DataFrame | None = None) -> DataFrame:
+    """The whole alert pipeline over a table of news."""
+    return admitted(alerts_of(news, assets, sentiments, verdicts, analyses, vectors, asset_vectors), vectors, cap, threshold, stored)
+
 
+ALERT_ROW = ("news_id bigint, portfolio_id string, created_at timestamp, event_type string, direction string, severity double, severity_label string, "
+             "confidence double, relevance double, sentiment string, matched_assets array<string>, explanation string, max_similarity double, "
+             "is_duplicate boolean, hour_start double, created_date date, batch bigint")
 
-def alerting_batch(path: str, assets: DataFrame, sentiments: DataFrame | None = None,
-                   cap: int = domain.ALERTS_PER_HOUR) -> Callable[[DataFrame, int], None]:
-    """Micro-batch function for continuous alerting, safe to repeat.
+
+def alerting_batch(path: str, assets: DataFrame, cap: int = domain.ALERTS_PER_HOUR, threshold: float = domain.DEDUP_SIMILARITY,
+                   **scores: DataFrame) -> Callable[[DataFrame, int], None]:
+    """Micro-batch function for continuous alerting, safe to repeat; ``scores`` are the tables of ``alerts_of``.
 
     A batch owns one folder of the store and overwrites it, so a replay after a lost task or driver leaves
-    the same rows. Pairs stored by other batches are skipped, and their alerts count towards the hour's cap.
+    the same rows. Pairs stored by other batches are skipped; their alerts count towards hours and as kept news.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         news = batch.persist()  # every branch of the matching reads it
-        fresh = alerts_of(news, assets, sentiments).withColumn("created_at", F.col("created_at").cast("timestamp"))
-        first, last = news.agg(F.min("published_at"), F.max("published_at")).first()
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields) + ", batch bigint, created_date date"
-        store = spark.createDataFrame([], ddl) if not _exists(spark, path) else spark.read.schema(ddl).parquet(path)
-        # A pair's alert carries the time of its news, so only the days of this batch can hold it or share its hours.
-        days = F.col("created_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
-        others = store.where((F.col("batch") != batch_id) & days)
-        new = fresh.join(others.select("news_id", "portfolio_id"), ["news_id", "portfolio_id"], "left_anti")
-        limited = limiter.first_per_hour(new, "portfolio_id", "created_at", "news_id", cap, others)
-        dated = limited.withColumn("created_date", F.to_date("created_at"))
-        dated.write.mode("overwrite").partitionBy("created_date").parquet(f"{path}/batch={batch_id}")
+        first = news.agg(F.min(F.col("published_at").cast("timestamp"))).first()[0]
+        store = _stored(spark, path, ALERT_ROW).where(F.col("batch") != batch_id)
+        # only the days in which earlier alerts can still matter
+        recent = store if first is None else store.where(F.col("created_date") >= F.date_sub(F.to_date(F.lit(first)), domain.RETENTION_DAYS))
+        fresh = alerts_of(news, assets, **scores).join(recent.select(*PAIR), PAIR, "left_anti")
+        done = admitted(fresh, scores.get("vectors"), cap, threshold, recent)
+        columns = [c.split()[0] for c in ALERT_ROW.split(", ")[:-1]]
+        done.withColumn("created_date", F.to_date("created_at")).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         news.unpersist()
 
     return run
 
 
-def _exists(spark, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def start_alerting(news: DataFrame, path: str, assets: DataFrame, sentiments: DataFrame | None = None,
-                   cap: int = domain.ALERTS_PER_HOUR, every: str | None = None) -> StreamingQuery:
-    writer = news.writeStream.foreachBatch(alerting_batch(f"{path}/rows", assets, sentiments, cap)).option("checkpointLocation", f"{path}/_stream")
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+def start_alerting(news: DataFrame, path: str, assets: DataFrame, cap: int = domain.ALERTS_PER_HOUR, every: str | None = None,
+                   threshold: float = domain.DEDUP_SIMILARITY, **scores: DataFrame) -> StreamingQuery:
+    return _each_batch(news, alerting_batch(f"{path}/rows", assets, cap, threshold, **scores), path, every)

@@ -1,7 +1,10 @@
 """Keyed stateful operators of the alert stream: anchored-hour limiter and greedy duplicate filter.
 
-Both keep a state of fixed size per key. The rows of one key in one micro-batch are ordered before they
-are applied; how many there can be is set by the source's admission control (files per trigger).
+Both run in event time. Rows wait in state until the watermark has passed them and are then settled in order, so
+a late row within the allowed lateness is judged as if it had come in time, and results do not depend on how
+the input is cut into micro-batches. Timers drop what has expired, so keys that fall idle keep no state.
+
+The session has to use a state store with state variables and timers; see ``STATE_STORE``.
 """
 
 from __future__ import annotations
@@ -11,121 +14,149 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from foliowire import domain
+from foliowire.operators.limiter import anchored_hours, seconds_of
+from foliowire.operators.similarity import greedy_filter
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+LATENESS = "2 days"
+
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def check_state_store(spark: SparkSession) -> None:
+    """These operators need the RocksDB state store; the session's owner chooses it."""
+    if spark.conf.get(STATE_STORE[0], "") != STATE_STORE[1]:
+        raise ValueError(f"start the session with {STATE_STORE[0]}={STATE_STORE[1]}")
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State variables of these operators need the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _tuples(rows: pd.DataFrame) -> list[tuple]:
+    """Rows as plain values, arrays as lists."""
+    return [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in rows.astype(object).itertuples(index=False)]
 
 
-def anchored_hours(start: float | None, count: int, seconds: np.ndarray, duplicate: np.ndarray, cap: int,
-                   span: float = 3600.0) -> tuple[np.ndarray, float, int]:
-    """Which of the ordered items pass, and the window start and count afterwards.
+class InEventTime(StatefulProcessor):
+    """Buffers the rows of a key and settles, in order, those the watermark has passed."""
+
+    def __init__(self, schema: StructType, order: list[str], keep_seconds: float):
+        self.schema, self.order, self.keep_seconds = schema, order, keep_seconds
+        self.columns = schema.names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
 
-    A window opens at its first item and is replaced by the first item more than ``span`` later. Only
-    non-duplicates count; nothing passes once ``cap`` is reached.
-    """
-    passed = np.zeros(len(seconds), dtype=bool)
-    for i, now in enumerate(seconds):
-        if start is None or now - start > span:
-            start, count = now, 0
-        if count < cap:
-            passed[i] = True
-            count += int(not duplicate[i])
-    return passed, start, count
+    def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def forget(self, before: float) -> None:
+        """Drop state that no row at or after ``before`` can need."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            times = seconds_of(batch[self.order[0]])
+            self.waiting.appendList(_tuples(batch[self.columns]))
+            for at in np.unique(np.ceil(times * 1000).astype("int64")):
+                self.handle.registerTimer(int(at))
+                self.handle.registerTimer(int(at + self.keep_seconds * 1000) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns)
+        if len(held):
+            due = seconds_of(held[self.order[0]]) <= passed
+            if due.any():
+                left = held[~due]
+                if len(left):
+                    self.waiting.put(_tuples(left))
+                else:
+                    self.waiting.clear()
+                yield self.settle(held[due].sort_values(self.order, kind="stable"))
+        self.forget(passed - self.keep_seconds)
+
+    def close(self) -> None:
+        pass
 
 
-class AnchoredHourLimiter(StatefulProcessor):
+class AnchoredHourLimiter(InEventTime):
     """State: start of the open window and the alerts counted in it."""
 
-    def __init__(self, cap: int, columns: list[str], order: list[str]):
-        self.cap, self.columns, self.order = cap, columns, order
+    def __init__(self, schema: StructType, order: list[str], cap: int):
+        super().__init__(schema, order, 3600.0)
+        self.cap = cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.window = handle.getValueState("window", "start double, n int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
+    def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
         start, count = self.window.get() if self.window.exists() else (None, 0)
-        seconds = batch[self.order[0]].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        passed, start, count = anchored_hours(start, count, seconds, batch["is_duplicate"].to_numpy(), self.cap)
+        passed, _, start, count = anchored_hours(start, count, seconds_of(rows[self.order[0]]), rows["is_duplicate"].to_numpy(bool), self.cap)
         self.window.update((float(start), int(count)))
-        yield batch.loc[passed, self.columns]
+        return rows.loc[passed]
 
-    def close(self) -> None:
-        pass
+    def forget(self, before: float) -> None:
+        if self.window.exists() and self.window.get()[0] < before:
+            self.window.clear()
+
+
+def _timed(rows: DataFrame, column: str, lateness: str) -> DataFrame:
+    return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
 
 
-def limit_stream(alerts: DataFrame, key: str, cap: int = domain.ALERTS_PER_HOUR, order: tuple[str, ...] = ("created_at", "alert_id")) -> DataFrame:
-    """Alerts that pass the anchored-hour limiter of their key; needs is_duplicate."""
-    use_rocksdb(alerts.sparkSession)
-    processor = AnchoredHourLimiter(cap, alerts.columns, list(order))
-    return alerts.groupBy(key).transformWithStateInPandas(processor, alerts.schema, "Append", "None")
-
-
-def greedy_filter(kept: np.ndarray, kept_at: np.ndarray, vectors: np.ndarray, times: np.ndarray, threshold: float, store: int, memory: int,
-                  ttl: float | None):
-    """Similarity and flag of ordered unit vectors against the kept ones, and the kept ones afterwards.
-
-    The newest ``memory`` kept vectors are consulted first, the newest ``store`` only when they show no
-    duplicate. Kept vectors older than ``ttl`` seconds no longer count.
-    """
-    similarity, duplicate = np.zeros(len(vectors)), np.zeros(len(vectors), dtype=bool)
-    for i, (vector, now) in enumerate(zip(vectors, times)):
-        if ttl is not None and len(kept):
-            alive = kept_at >= now - ttl
-            kept, kept_at = kept[alive], kept_at[alive]
-        near = kept @ vector if len(kept) else np.zeros(0)
-        best = max(near[-memory:].max(initial=0.0), 0.0)
-        if best < threshold:
-            best = max(best, near.max(initial=0.0))
-        similarity[i], duplicate[i] = best, best >= threshold
-        if not duplicate[i]:
-            kept = np.vstack([kept, vector[None, :]])[-store:] if len(kept) else vector[None, :]
-            kept_at = np.append(kept_at, now)[-store:]
-    return similarity, duplicate, kept, kept_at
-
-
-class GreedyDuplicateFilter(StatefulProcessor):
+def limit_stream(alerts: DataFrame, key: str, cap: int = domain.ALERTS_PER_HOUR, order: tuple[str, ...] = ("created_at", "alert_id"),
+                 lateness: str = LATENESS) -> DataFrame:
+    """Alerts that pass the anchored-hour limiter of their key, settled once the watermark has passed them; needs is_duplicate."""
+    check_state_store(alerts.sparkSession)
+    timed = _timed(alerts, order[0], lateness)
+    processor = AnchoredHourLimiter(timed.schema, list(order), cap)
+    return timed.groupBy(key).transformWithStateInPandas(processor, timed.schema, "Append", "EventTime")
+
+
+class GreedyDuplicateFilter(InEventTime):
     """State: the newest kept vectors with their times."""
 
-    def __init__(self, id_col: str, order: list[str], threshold: float, store: int, memory: int, ttl_seconds: float | None):
-        self.id_col, self.order, self.threshold = id_col, order, threshold
-        self.store, self.memory, self.ttl = store, memory, ttl_seconds
+    def __init__(self, schema: StructType, id_col: str, order: list[str], threshold: float, store: int, memory: int, ttl_seconds: float):
+        super().__init__(schema, order, ttl_seconds)
+        self.id_col, self.threshold, self.store, self.memory = id_col, threshold, store, memory
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.kept = handle.getListState("kept", "at double, vector array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        matrix = np.stack(batch["vector"].to_numpy()).astype("float64")
+    def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.stack(rows["vector"].to_numpy()).astype("float64")
         length = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
         held = list(self.kept.get()) if self.kept.exists() else []
         kept = np.array([h[1] for h in held], dtype="float64").reshape(len(held), matrix.shape[1])
         kept_at = np.array([h[0] for h in held], dtype="float64")
-        times = batch[self.order[0]].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
         similarity, duplicate, kept, kept_at = greedy_filter(
-            kept, kept_at, matrix, times, self.threshold, self.store, self.memory, self.ttl)
+            kept, kept_at, matrix, seconds_of(rows[self.order[0]]), self.threshold, self.store, self.memory, self.keep_seconds)
         self.kept.put([(float(t), [float(x) for x in v]) for t, v in zip(kept_at, kept)])
-        yield pd.DataFrame({self.id_col: batch[self.id_col], "max_similarity": np.round(similarity, 4), "is_duplicate": duplicate})
+        return pd.DataFrame({self.id_col: rows[self.id_col], "max_similarity": np.round(similarity, 4), "is_duplicate": duplicate})
 
-    def close(self) -> None:
-        pass
+    def forget(self, before: float) -> None:
+        if self.kept.exists():
+            held = list(self.kept.get())
+            alive = [h for h in held if h[0] >= before]
+            if not alive:
+                self.kept.clear()
+            elif len(alive) < len(held):
+                self.kept.put([(h[0], list(h[1])) for h in alive])
 
 
 def flag_duplicates_stream(items: DataFrame, key: str, id_col: str, order: tuple[str, ...], threshold: float = domain.DEDUP_SIMILARITY,
                            store: int = domain.HISTORY_STORE, memory: int = domain.HISTORY_MEMORY,
-                           ttl_days: float | None = domain.RETENTION_DAYS) -> DataFrame:
+                           ttl_days: float = domain.RETENTION_DAYS, lateness: str = LATENESS) -> DataFrame:
     """Greedy duplicate flags per key; the state is bounded by ``store`` vectors and expires after ``ttl_days``."""
-    use_rocksdb(items.sparkSession)
+    check_state_store(items.sparkSession)
+    timed = _timed(items.withColumn("vector", F.col("vector").cast("array<double>")), order[0], lateness)
     id_type = items.schema[id_col].dataType.simpleString()
     out = StructType.fromDDL(f"{id_col} {id_type}, max_similarity double, is_duplicate boolean")
-    processor = GreedyDuplicateFilter(id_col, list(order), threshold, store, memory, None if ttl_days is None else ttl_days * 86400.0)
-    return items.groupBy(key).transformWithStateInPandas(processor, out, "Append", "None")
+    processor = GreedyDuplicateFilter(timed.schema, id_col, list(order), threshold, store, memory, ttl_days * 86400.0)
+    return timed.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
