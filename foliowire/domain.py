@@ -193,3 +193,12 @@ SECTOR_BY_OPTION = {"q10_a": "Technology", "q10_b": "Healthcare", "q10_c": "Ener
 KAPPA_BANDS = ((0.2, "leve"), (0.4, "aceptable"), (0.6, "moderado"), (0.8, "sustancial"))
 KAPPA_POOR = "pobre"
 KAPPA_TOP = "casi_perfecto"
+
+# Message texts of recommendations; {0} to {3} are the columns named in the rule.
+RECOMMENDATION_TEXTS = {
+    "sector_over": "El sector {0} está sobreexpuesto en tu cartera ({1}% actual vs {2}% ideal para perfil {3}). Reducir ayuda a equilibrar.",
+    "sector_under": "El sector {0} está infraexpuesto en tu cartera ({1}% actual vs {2}% ideal). Incorporar exposición mejora la diversificación.",
+    "position_cap": "{0} representa el {1}% de la cartera. Ningún activo debería superar el 15-20% para un perfil {3}.",
+    "region_under": "Tu cartera tiene solo {1}% en {0} vs {2}% ideal. Añadir exposición internacional reduce el riesgo país.",
+    "hold": "Tu cartera está razonablemente alineada con tu perfil de riesgo. Mantén la estrategia actual y revisa periódicamente.",
+}

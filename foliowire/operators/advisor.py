@@ -6,6 +6,8 @@ aggregation works on at most a dozen rows per portfolio, however many assets one
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -203,26 +205,47 @@ def overexposed_assets(holdings: DataFrame, sectors: DataFrame) -> DataFrame:
     return named.join(over, "portfolio_id").where(F.contains(F.lower("category"), F.lower("sector")))
 
 
-def recommendations(holdings: DataFrame, base: DataFrame, sectors: DataFrame, regions: DataFrame) -> DataFrame:
-    """Rule-based recommendations: reduce, buy, cap, diversify, or hold where no rule applies."""
-    none = F.lit(None)
+def _filled(template: str, *parts: Column) -> Column:
+    """A message text with its numbered gaps filled by columns."""
+    pieces = re.split(r"\{(\d)\}", template)
+    return F.concat(*[parts[int(p)].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(pieces) if k % 2 or p])
+
 
-    def rows(df, action, rule, asset, name, sector, priority, current=none, suggested=none):
+def recommendations(holdings: DataFrame, base: DataFrame, profiles: DataFrame, sectors: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rule-based recommendations with their reasons: reduce, buy, cap, diversify, or hold where no rule applies.
+
+    ``holdings`` may carry the asset's name. Portfolios and sectors a rule concerns are found among a few rows per portfolio first;
+    only then do they meet the holdings.
+    """
+    none, text = F.lit(None), domain.RECOMMENDATION_TEXTS
+    held = holdings if "name" in holdings.columns else holdings.withColumn("name", F.lit(""))
+    known = known_profiles(base, profiles)
+
+    def rows(df, action, rule, asset, name, sector, priority, reason, current=none, suggested=none):
         return df.select("portfolio_id", F.lit(rule).alias("rule"), F.lit(action).alias("action"), asset.cast("bigint").alias("asset_id"),
-                         name.alias("asset_name"), sector.alias("sector"), priority.alias("priority"),
+                         name.alias("asset_name"), sector.alias("sector"), priority.alias("priority"), reason.alias("reason"),
                          current.cast("double").alias("current_weight"), suggested.cast("double").alias("suggested_weight"))
 
-    blank, medium, high = F.lit(""), F.lit("media"), F.lit("alta")
-    reduce_ = rows(overexposed_assets(holdings, sectors), "reducir", "sector_over", F.col("asset_id"), blank, F.col("category"),
-                   F.when(F.col("diff_pct") > 20, high).otherwise(medium))
-    buy = rows(sectors.where((F.col("status") == UNDER) & (F.col("diff_pct") < -10)), "comprar", "sector_under", none,
-               F.concat(F.lit("ETF/Fondo del sector "), "category"), F.col("category"), medium)
-    totals = _totals(base).where(F.col("squares") > F.col("total") * F.col("total") * 0.25).select("portfolio_id", "total")
+    def whole(value):
+        return F.format_string("%.0f", F.bround(value))
+
+    def told(rule, what):
+        return _filled(text[rule], what, whole(F.col("current_pct")), whole(F.col("ideal_pct")), F.col("risk_profile"))
+
+    blank, medium, high, category = F.lit(""), F.lit("media"), F.lit("alta"), F.col("category")
+    profiled = sectors.join(known, "portfolio_id")
+    over = overexposed_assets(held, sectors).join(known, "portfolio_id")
+    reduce_ = rows(over, "reducir", "sector_over", F.col("asset_id"), F.col("name"), category,
+                   F.when(F.col("diff_pct") > 20, high).otherwise(medium), told("sector_over", category))
+    buy = rows(profiled.where((F.col("status") == UNDER) & (F.col("diff_pct") < -10)), "comprar", "sector_under", none,
+               F.concat(F.lit("ETF/Fondo del sector "), category), category, medium, told("sector_under", category))
+    totals = _totals(base).where(F.col("squares") > F.col("total") * F.col("total") * 0.25).select("portfolio_id", "total").join(known, "portfolio_id")
     pct = F.col("weight") / F.col("total") * 100
-    cap = rows(holdings.join(totals, "portfolio_id").where(pct > 25), "reducir", "position_cap", F.col("asset_id"), blank,
-               F.coalesce("sector", blank), high, F.round(pct, 1), F.lit(15.0))
-    abroad = rows(regions.where((F.col("status") == UNDER) & (F.col("diff_pct") < -15)), "comprar", "region_under", none,
-                  F.concat(F.lit("ETF/Fondo de "), "category"), F.lit("Diversificación geográfica"), medium)
+    cap = rows(held.join(totals, "portfolio_id").where(pct > 25), "reducir", "position_cap", F.col("asset_id"), F.col("name"),
+               F.coalesce("sector", blank), high, _filled(text["position_cap"], F.col("asset_id"), whole(pct), blank, F.col("risk_profile")),
+               F.round(pct, 1), F.lit(15.0))
+    abroad = rows(regions.join(known, "portfolio_id").where((F.col("status") == UNDER) & (F.col("diff_pct") < -15)), "comprar", "region_under", none,
+                  F.concat(F.lit("ETF/Fondo de "), category), F.lit("Diversificación geográfica"), medium, told("region_under", category))
     acted = reduce_.unionByName(buy).unionByName(cap).unionByName(abroad)
     idle = base.select("portfolio_id").distinct().join(acted.select("portfolio_id").distinct(), "portfolio_id", "left_anti")
-    return acted.unionByName(rows(idle, "mantener", "hold", none, F.lit("Cartera actual"), blank, F.lit("baja")))
+    return acted.unionByName(rows(idle, "mantener", "hold", none, F.lit("Cartera actual"), blank, F.lit("baja"), F.lit(text["hold"])))

@@ -48,7 +48,7 @@ HOLDINGS = """holdings AS (
   SELECT o_custkey AS portfolio_id, l_partkey AS asset_id, min(l_suppkey) AS suppkey, round(sum(l_extendedprice), 2) AS amount
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
 assets AS (
-  SELECT portfolio_id, asset_id, amount,
+  SELECT portfolio_id, asset_id, p_name AS name, amount,
          CASE p_type WHEN 'STANDARD' THEN 'tech' WHEN 'ECONOMY' THEN 'Financials' WHEN 'LARGE' THEN 'health care'
               WHEN 'PROMO' THEN 'Energy' WHEN 'SMALL' THEN 'consumer staples' ELSE 'Luxury' END AS raw_sector,
          CASE r_name WHEN 'AFRICA' THEN 'South Africa' WHEN 'AMERICA' THEN 'USA' WHEN 'ASIA' THEN ' japan '
@@ -214,10 +214,10 @@ class Tables:
             .select("s_suppkey", "r_name")
         )
         return (
-            held.join(self["part"].select("p_partkey", "p_type"), F.col("asset_id") == F.col("p_partkey"))
+            held.join(self["part"].select("p_partkey", "p_type", "p_name"), F.col("asset_id") == F.col("p_partkey"))
             .join(places, F.col("suppkey") == F.col("s_suppkey"))
             .select(
-                "portfolio_id", "asset_id", "amount",
+                "portfolio_id", "asset_id", F.col("p_name").alias("name"), "amount",
                 F.when(kind == "STANDARD", "tech").when(kind == "ECONOMY", "Financials").when(kind == "LARGE", "health care")
                 .when(kind == "PROMO", "Energy").when(kind == "SMALL", "consumer staples").otherwise("Luxury").alias("raw_sector"),
                 F.when(region == "AFRICA", "South Africa").when(region == "AMERICA", "USA").when(region == "ASIA", " japan ")

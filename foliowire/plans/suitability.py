@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from foliowire import domain
 from foliowire.operators import advisor
 from foliowire.plans.bindings import ANSWERS, HOLDINGS, Tables
 from foliowire.plans.registry import query
-from foliowire.session import cut_lineage
 
 _WEIGHTS = ", ".join(f"('{q}', {w})" for q, (w, _) in domain.RISK_QUESTIONS.items())
 _SCORES = ", ".join(f"('{q}', '{o}', {s})" for q, (_, options) in domain.RISK_QUESTIONS.items() for o, s in options.items())
@@ -48,7 +49,7 @@ _STATUS = "CASE WHEN abs(diff_pct) <= 5 THEN 'equilibrado' WHEN diff_pct > 0 THE
 
 
 def _holdings(t: Tables):
-    return t.holdings.select("portfolio_id", "asset_id", F.col("amount").alias("weight"), F.col("raw_sector").alias("sector"), F.col("raw_country").alias("country"))
+    return t.holdings.select("portfolio_id", "asset_id", "name", F.col("amount").alias("weight"), F.col("raw_sector").alias("sector"), F.col("raw_country").alias("country"))
 
 
 def _base(t: Tables):
@@ -168,16 +169,27 @@ def overexposed_assets(t: Tables):
     return advisor.overexposed_assets(holdings, advisor.sector_allocation(advisor.composition(holdings), _profiles(t))).select("portfolio_id", "asset_id", "category")
 
 
-@query("E48_recommendations", f"""WITH {_PORTFOLIOS}, {_OVER},
+def _reason(rule, what, current="current_pct", ideal="ideal_pct"):
+    """The message text of a rule as a SQL expression."""
+    values = {"0": what, "1": f"printf('%.0f', round_even({current}, 0))", "2": f"printf('%.0f', round_even({ideal}, 0))", "3": "risk_profile"}
+    pieces = re.split(r"\{(\d)\}", domain.RECOMMENDATION_TEXTS[rule])
+    return " || ".join(values[p] if k % 2 else f"'{p}'" for k, p in enumerate(pieces) if p)
+
+
+@query("E48_recommendations", f"""WITH {_PORTFOLIOS},
+over_named AS (SELECT a.portfolio_id, a.asset_id, a.name, s.category, s.diff_pct, s.current_pct, s.ideal_pct, risk_profile
+               FROM sectors s JOIN assets a ON a.portfolio_id = s.portfolio_id AND contains(lower(s.category), lower(a.raw_sector)) JOIN named n ON n.portfolio_id = s.portfolio_id WHERE s.diff_pct > 10),
 recs AS (
-  SELECT portfolio_id, 'sector_over' AS rule, 'reducir' AS action, asset_id, '' AS asset_name, category AS sector, CASE WHEN diff_pct > 20 THEN 'alta' ELSE 'media' END AS priority,
-         NULL::DOUBLE AS current_weight, NULL::DOUBLE AS suggested_weight FROM over_assets
-  UNION ALL SELECT portfolio_id, 'sector_under', 'comprar', NULL, 'ETF/Fondo del sector ' || category, category, 'media', NULL, NULL FROM sectors WHERE diff_pct < -10
-  UNION ALL SELECT portfolio_id, 'position_cap', 'reducir', asset_id, '', raw_sector, 'alta', round(amount / total * 100, 1), 15.0 FROM assets JOIN totals USING (portfolio_id)
-    WHERE hhi > 0.25 AND amount / total * 100 > 25
-  UNION ALL SELECT portfolio_id, 'region_under', 'comprar', NULL, 'ETF/Fondo de ' || category, 'Diversificación geográfica', 'media', NULL, NULL FROM regions WHERE diff_pct < -15)
-SELECT * FROM recs UNION ALL SELECT portfolio_id, 'hold', 'mantener', NULL, 'Cartera actual', '', 'baja', NULL, NULL FROM totals WHERE portfolio_id NOT IN (SELECT portfolio_id FROM recs)""")
+  SELECT portfolio_id, 'sector_over' AS rule, 'reducir' AS action, asset_id, name AS asset_name, category AS sector, CASE WHEN diff_pct > 20 THEN 'alta' ELSE 'media' END AS priority,
+         {_reason('sector_over', 'category')} AS reason, NULL::DOUBLE AS current_weight, NULL::DOUBLE AS suggested_weight FROM over_named
+  UNION ALL SELECT portfolio_id, 'sector_under', 'comprar', NULL, 'ETF/Fondo del sector ' || category, category, 'media', {_reason('sector_under', 'category')}, NULL, NULL
+    FROM sectors JOIN named USING (portfolio_id) WHERE diff_pct < -10
+  UNION ALL SELECT portfolio_id, 'position_cap', 'reducir', asset_id, name, raw_sector, 'alta', {_reason('position_cap', 'asset_id', 'amount / total * 100')}, round(amount / total * 100, 1), 15.0
+    FROM assets JOIN totals USING (portfolio_id) JOIN named USING (portfolio_id) WHERE hhi > 0.25 AND amount / total * 100 > 25
+  UNION ALL SELECT portfolio_id, 'region_under', 'comprar', NULL, 'ETF/Fondo de ' || category, 'Diversificación geográfica', 'media', {_reason('region_under', 'category')}, NULL, NULL
+    FROM regions JOIN named USING (portfolio_id) WHERE diff_pct < -15)
+SELECT * FROM recs UNION ALL SELECT portfolio_id, 'hold', 'mantener', NULL, 'Cartera actual', '', 'baja', {_reason('hold', "''")}, NULL, NULL FROM totals WHERE portfolio_id NOT IN (SELECT portfolio_id FROM recs)""")
 def recommendations(t: Tables):
-    holdings, profiles = cut_lineage(_holdings(t)), _profiles(t)  # read by the composition and by two asset rules
+    holdings, profiles = _holdings(t), _profiles(t)
     base = advisor.composition(holdings)
-    return advisor.recommendations(holdings, base, advisor.sector_allocation(base, profiles), advisor.region_allocation(base, profiles))
+    return advisor.recommendations(holdings, base, profiles, advisor.sector_allocation(base, profiles), advisor.region_allocation(base, profiles))

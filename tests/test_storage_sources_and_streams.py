@@ -141,7 +141,7 @@ def test_portfolio_analysis(rows):
     assert score["P"] == round(2 / 15 * 30 + 0.32 * 30 + 2 / 6 * 20 + 2 / 4 * 20)
     rules = {(r["portfolio_id"], r["rule"]) for r in advisor.warnings(base, profiles, sectors).collect()}
     assert {("P", "few_assets"), ("P", "concentration"), ("P", "over_sectors")} <= rules and ("P", "under_sectors") not in rules
-    recs = advisor.recommendations(held, base, sectors, advisor.region_allocation(base, profiles)).where("portfolio_id = 'P'").collect()
+    recs = advisor.recommendations(held, base, profiles, sectors, advisor.region_allocation(base, profiles)).where("portfolio_id = 'P'").collect()
     kinds = {(r["rule"], r["asset_id"], r["sector"]) for r in recs}
     assert ("sector_over", 1, "Technology") in kinds and ("position_cap", 1, "tech") in kinds and not any(r["rule"] == "hold" for r in recs)
 
