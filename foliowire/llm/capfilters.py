@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowire.llm.common import materialise
-from foliowire.llm.components import components
+from foliowire.llm.components import components, least_reachable
 
 COSINE = 0.9
 #: Product codes, and codewords per block; more codewords make filters narrower for larger tables.
@@ -110,18 +110,6 @@ def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "filter": np.concatenate([*filters, np.zeros(0, "<i4")]).astype(np.int64)})
 
 
-def _forest(links: np.ndarray) -> np.ndarray:
-    """For each row the least row reachable over the symmetric link matrix."""
-    label = np.arange(len(links))
-    while True:
-        near = np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links))
-        new = np.minimum(label, near)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compared(part: pd.DataFrame) -> pd.DataFrame:
     """Links within the block pairs of one task: (node, links) sums and (node, root) edges."""
     part = part.sort_values(["dimension", "filter", "low", "high", "node"], kind="stable")
@@ -148,7 +136,7 @@ def _compared(part: pd.DataFrame) -> pd.DataFrame:
         table = np.zeros((len(linked), len(values)), np.float32)
         table[np.repeat(np.arange(len(linked)), [len(f) for f in lesser]), where] = 1
         some = links[np.ix_(linked, linked)] & (table @ table.T == 0)
-        root = _forest(some)
+        root = least_reachable(some)
         at = np.flatnonzero(some.any(axis=1))
         nodes.append(node[s + linked[at]])
         sums.append((some[at] * copies[s + linked][None, :]).sum(axis=1))

@@ -7,12 +7,25 @@ neighbours is no bottleneck. Every round is written to the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowire.llm.common import materialise
 
 
+def least_reachable(links: np.ndarray) -> np.ndarray:
+    """For each row the least row reachable over the symmetric link matrix."""
+    label = np.arange(len(links))
+    while True:
+        near = np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links))
+        new = np.minimum(label, near)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
