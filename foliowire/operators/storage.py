@@ -6,8 +6,12 @@ the map side, so a key holding a third of all rows reaches the shuffle as one ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -29,6 +33,37 @@ def insert_if_absent(batch: DataFrame, store: DataFrame, key: str, order: list[s
     return first_per_key(batch, [key], order).join(store.select(key).distinct(), key, "left_anti")
 
 
+def append_absent(batch: DataFrame, path: str, key: str, order: list[str], **columns: Column) -> None:
+    """Append the rows of ``batch`` whose key the table at ``path`` does not hold; ``columns`` are added to them."""
+    store = batch.sparkSession.read.schema(batch.select(key).schema).parquet(path)
+    insert_if_absent(batch, store, key, order).withColumns(columns).write.mode("append").parquet(path)
+
+
+def upsert(batch: DataFrame, path: str, keys: list[str], combine: Callable[[DataFrame], DataFrame], buckets: int = 64) -> None:
+    """Merge ``batch`` into the keyed table at ``path``, rewriting only the hash buckets that the batch touches.
+
+    ``combine`` reduces rows of one key, stored and new, to one row with the same columns. The first call
+    makes the table. New bucket files replace the old ones when the job commits.
+    """
+    spark = batch.sparkSession
+    schema = StructType([*batch.schema.fields, StructField("bucket", IntegerType())])
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bucket").parquet(path)
+    bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in bucketed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    stored = spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(touched)).select(*batch.columns)
+    merged = combine(stored.unionByName(batch)).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def purge_before(spark: SparkSession, table: str, column: str, first: date) -> list[str]:
+    """Drop the partitions of a managed table, by date ``column``, that lie before ``first``; returns the dropped dates."""
+    dates = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]  # one per day
+    old = sorted(d for d in dates if d < first.isoformat())
+    for day in old:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({column} = DATE '{day}')")
+    return old
+
+
 def ingest_statistics(batch: DataFrame, store: DataFrame, key: str, order: list[str], by: str) -> DataFrame:
     """Per source: rows saved (first of their key, not stored before) and rows counted as duplicates."""
     held = store.select(F.col(key).alias("held")).distinct()
@@ -42,12 +77,21 @@ def ingest_statistics(batch: DataFrame, store: DataFrame, key: str, order: list[
         (F.col("seen") - F.coalesce("saved", F.lit(0))).cast("bigint").alias("duplicates"))
 
 
-def upsert_feedback(votes: DataFrame) -> DataFrame:
+def feedback_rows(votes: DataFrame) -> DataFrame:
+    """Votes as rows of the feedback table."""
+    return votes.select("alert_id", "user_id", "useful", "comment", F.col("voted_at").alias("created_at"), F.col("voted_at").alias("updated_at"), "vote_id")
+
+
+def merge_feedback(rows: DataFrame) -> DataFrame:
     """Last vote and comment per (alert, user), with the time of the first vote kept."""
-    order = F.struct("voted_at", "vote_id")
-    return votes.groupBy("alert_id", "user_id").agg(
+    order = F.struct("updated_at", "vote_id")
+    return rows.groupBy("alert_id", "user_id").agg(
         F.max_by("useful", order).alias("useful"), F.max_by("comment", order).alias("comment"),
-        F.min("voted_at").alias("created_at"), F.max("voted_at").alias("updated_at"))
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.max_by("vote_id", order).alias("vote_id"))
+
+
+def upsert_feedback(votes: DataFrame) -> DataFrame:
+    return merge_feedback(feedback_rows(votes))
 
 
 def keep_recent(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliowire import domain, session
@@ -220,8 +223,10 @@ SELECT url, news_id, source FROM (SELECT *, row_number() OVER (PARTITION BY url
 WHERE rn = 1 AND url NOT IN (SELECT url FROM news JOIN labels ON doc_id = news_id WHERE quality = 0)""")
 def insert_if_absent(t: Tables):
     rejected = t["labels"].where("quality = 0").select(F.col("doc_id").alias("news_id"))
-    store = t.news.join(rejected, "news_id", "left_semi").select("url")
-    return storage.insert_if_absent(t.news.select("url", "news_id", "source"), store, "url", ["news_id"])
+    news, path = t.news.select("url", "news_id", "source"), session.scratch_path(t.spark, "news")
+    news.join(rejected, "news_id", "left_semi").withColumn("load", F.lit(0)).write.parquet(path)
+    storage.append_absent(news, path, "url", ["news_id"], load=F.lit(1))
+    return t.spark.read.parquet(path).where("load = 1").drop("load")
 
 
 @query("A13_feedback_upsert", f"""WITH {ALERTS}
@@ -229,7 +234,10 @@ SELECT k AS alert_id, user_id, arg_max(direction = 'alcista', (created_at, alert
        arg_max(raw_type, (created_at, alert_id)) AS comment, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS created,
        strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS updated FROM alerts GROUP BY 1, 2""")
 def feedback_upsert(t: Tables):
-    latest = storage.upsert_feedback(_votes(t))
+    votes, path = storage.feedback_rows(_votes(t)), session.scratch_path(t.spark, "feedback")
+    for half in (1, 0):
+        storage.upsert(votes.where(F.col("vote_id") % 2 == half), path, ["alert_id", "user_id"], storage.merge_feedback)
+    latest = t.spark.read.parquet(path)
     return latest.select("alert_id", "user_id", "useful", "comment", _day("created_at").alias("created"), _day("updated_at").alias("updated"))
 
 
@@ -244,16 +252,20 @@ SELECT o_custkey AS alert_id, strftime(max(o_orderdate), '%Y-%m-%d') AS run_on,
 def backtest_upsert(t: Tables):
     runs = t["orders"].select(F.col("o_custkey").alias("alert_id"), F.col("o_orderdate").alias("run_at"),
                               F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("mean_car"))
-    old, new = runs.where("run_id % 2 = 0"), runs.where("run_id % 2 = 1")
-    latest = storage.latest_per_key(old.unionByName(new), ["alert_id"], ["run_at", "run_id"])
-    return latest.select("alert_id", F.date_format("run_at", "yyyy-MM-dd").alias("run_on"), "mean_car", "run_id")
+    path = session.scratch_path(t.spark, "backtests")
+    for half in (0, 1):
+        storage.upsert(runs.where(F.col("run_id") % 2 == half), path, ["alert_id"],
+                       lambda rows: storage.latest_per_key(rows, ["alert_id"], ["run_at", "run_id"]).select(*runs.columns))
+    return t.spark.read.parquet(path).select("alert_id", F.date_format("run_at", "yyyy-MM-dd").alias("run_on"), "mean_car", "run_id")
 
 
 @query("A15_retention", """
 SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-02-14 00:00:00' - INTERVAL 30 DAYS""")
 def retention(t: Tables):
-    as_of = F.lit("2024-02-14 00:00:00").cast("timestamp_ntz")
-    return storage.keep_recent(t["events"], "ts", as_of, domain.RETENTION_DAYS).select("event_id", "user_id")
+    name = f"events_{uuid.uuid4().hex}"
+    t["events"].withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.partitionBy("day").saveAsTable(name)
+    storage.purge_before(t.spark, name, "day", dt.date(2024, 2, 14) - dt.timedelta(days=domain.RETENTION_DAYS))
+    return t.spark.table(name).select("event_id", "user_id")
 
 
 @query("A16_append_alerts", f"""WITH {ALERTS}

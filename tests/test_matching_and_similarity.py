@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliowire.operators import matching, relevance, similarity
-from foliowire.streaming import state
 
 ASSETS = "portfolio_id string, pos bigint, ticker string, name string, aliases array<string>, sector string, country string"
 
@@ -80,13 +79,22 @@ def unit(vecs):
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("threshold, block", [(0.9, 16), (0.5, 7), (-0.2, 50)])
-def test_similar_pairs_equal_brute_force(rows, monkeypatch, threshold, block):
-    vecs = vectors(np.random.default_rng(5), 120)
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
-    got = {(r["left_id"], r["right_id"]) for r in similarity.similar_pairs(table(rows, vecs), "id", threshold).collect()}
-    sims = unit(vecs) @ unit(vecs).T
-    assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if sims[i, j] >= threshold}
+@pytest.mark.parametrize("threshold, history", [(0.9, 16), (0.5, 7), (-0.2, 500)])
+def test_similar_pairs_equal_brute_force(rows, threshold, history):
+    vecs = vectors(np.random.default_rng(5), 120, copies=30)
+    got = {(r["earlier_id"], r["later_id"]) for r in similarity.similar_pairs(
+        table(rows, vecs, lambda i: i % 2), ["scope"], ["id"], "id", threshold, history).collect()}
+    sims, expected = unit(vecs) @ unit(vecs).T, set()
+    for scope in (0, 1):
+        firsts = []
+        for i in range(scope, len(vecs), 2):
+            copy = next((j for j in firsts if vecs[j] == vecs[i]), None)
+            if copy is not None:
+                expected.add((copy, i))
+            else:
+                expected |= {(j, i) for j in firsts[-history:] if sims[i, j] >= threshold}
+                firsts.append(i)
+    assert got == expected
 
 
 def test_earlier_similarity_with_a_hot_scope(rows):
@@ -110,29 +118,29 @@ def test_positions_are_dense_in_a_hot_scope(spark):
         assert list(group["position"]) == list(range(len(group)))
 
 
-def greedy(vecs, threshold):
+def greedy(vecs, threshold, store):
     u, kept, flags = unit(vecs), [], []
     for i in range(len(vecs)):
-        dup = any(float(u[i] @ u[j]) >= threshold for j in kept)
+        dup = any(float(u[i] @ u[j]) >= threshold for j in kept[-store:])
         flags.append(dup)
         if not dup:
             kept.append(i)
     return flags
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.6])
-def test_greedy_duplicates_equal_sequential_scan(rows, threshold):
+@pytest.mark.parametrize("threshold, store", [(0.9, 500), (0.6, 500), (0.9, 5)])
+def test_greedy_duplicates_equal_sequential_scan(rows, threshold, store):
     vecs = vectors(np.random.default_rng(9), 80, copies=50)
-    flagged = similarity.greedy_duplicates(table(rows, vecs), "id", ["id"], threshold).collect()
+    flagged = similarity.greedy_duplicates(table(rows, vecs), ["scope"], ["id"], "id", threshold, store=store, memory=3).collect()
     assert len(flagged) == len(vecs)
-    assert {r["id"]: r["is_duplicate"] for r in flagged} == dict(enumerate(greedy(vecs, threshold)))
+    assert {r["id"]: r["is_duplicate"] for r in flagged} == dict(enumerate(greedy(vecs, threshold, store)))
 
 
 def test_greedy_filter_state_is_bounded():
     u = unit(vectors(np.random.default_rng(2), 210))
-    sims, dup, kept, at = state.greedy_filter(np.zeros((0, 8)), np.zeros(0), u, np.arange(210.0), 0.999999, store=50, memory=20, ttl=None)
+    sims, dup, kept, at = similarity.greedy_filter(np.zeros((0, 8)), np.zeros(0), u, np.arange(210.0), 0.999999, store=50, memory=20, ttl=None)
     assert not dup[0] and sims[0] == 0.0 and len(kept) <= 50 and len(at) == len(kept)
-    again, flags, _, _ = state.greedy_filter(u[:1], np.zeros(1), u[:1], np.array([100.0]), 0.9, 50, 20, ttl=10.0)
+    again, flags, _, _ = similarity.greedy_filter(u[:1], np.zeros(1), u[:1], np.array([100.0]), 0.9, 50, 20, ttl=10.0)
     assert not flags[0] and again[0] == 0.0  # the only match has expired
 
 
@@ -143,14 +151,16 @@ def test_semantic_relevance_blocks_agree(rows, monkeypatch):
                 "portfolio_id string, ticker string, pos int, vector array<double>")
     def result():
         return sorted((r["news_id"], r["portfolio_id"], round(r["semantic_score"], 9), round(r["semantic_mean_score"], 9), r["best_asset"])
-                      for r in relevance.semantic_relevance(news, held).collect())
+                      for r in relevance.semantic_relevance(news, held, minimum=None).collect())
 
     whole = result()
-    monkeypatch.setattr(relevance, "ASSETS_PER_PASS", 4)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 4)
     parts = result()
     assert len(whole) == 26 * 3
     assert [w for w in whole if w[0] != 99] == [p for p in parts if p[0] != 99]
     assert all(w[2] == 0.0 for w in whole if w[0] == 99)
+    gated = {(r["news_id"], r["portfolio_id"]) for r in relevance.semantic_relevance(news, held).collect()}
+    assert gated == {w[:2] for w in whole if w[2] >= 0.3}
 
 
 def test_blend(spark):

@@ -80,6 +80,33 @@ def test_upserts(rows):
     assert (r["useful"], r["comment"], r["created_at"], r["updated_at"]) == (False, "bad", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))
 
 
+def test_upsert_rewrites_only_touched_buckets(spark, rows, tmp_path):
+    path, ddl = str(tmp_path / "t"), "k int, at int, v string"
+    def combine(df):
+        return storage.latest_per_key(df, ["k"], ["at"]).select("k", "at", "v")
+
+    storage.upsert(rows([(k, 1, "old") for k in range(200)], ddl), path, ["k"], combine, buckets=16)
+    before = {str(f) for f in (tmp_path / "t").rglob("*.parquet")}
+    storage.upsert(rows([(3, 2, "new"), (3, 0, "late"), (900, 1, "added")], ddl), path, ["k"], combine, buckets=16)
+    after = {str(f) for f in (tmp_path / "t").rglob("*.parquet")}
+    got = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {k: "old" for k in range(200)} | {3: "new", 900: "added"}
+    assert len(before & after) >= 14
+
+
+def test_append_and_purge(spark, rows, tmp_path):
+    path, ddl = str(tmp_path / "news"), "url string, id int"
+    rows([("a", 1)], ddl).write.parquet(path)
+    storage.append_absent(rows([("a", 2), ("b", 4), ("b", 3)], ddl), path, "url", ["id"])
+    assert sorted((r["url"], r["id"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
+    name = f"purged_{tmp_path.name.replace('-', '_')}"
+    dated = rows([(k, dt.date(2024, 1, 1 + k)) for k in range(5)], "id int, day date")
+    dated.write.partitionBy("day").saveAsTable(name)
+    assert storage.purge_before(spark, name, "day", dt.date(2024, 1, 3)) == ["2024-01-01", "2024-01-02"]
+    assert sorted(r["id"] for r in spark.table(name).collect()) == [2, 3, 4]
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_append_alerts_partitions_by_day(spark, rows, tmp_path):
     alerts = rows([(1, False, dt.datetime(2024, 1, 1, 5)), (2, True, dt.datetime(2024, 1, 1, 6)), (3, False, dt.datetime(2024, 1, 2))],
                   "id int, is_duplicate boolean, created_at timestamp")
@@ -169,14 +196,61 @@ def test_limiter_stream_over_several_batches(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     items = [(i, base + dt.timedelta(seconds=(i * 541) % 40000 if i < 60 else 40000 + i * 13), i % 7 == 0) for i in range(120)]
     items.sort(key=lambda x: (x[1], x[0]))
+    mixed = items[40:80] + items[:40] + items[80:]  # the first hours arrive late
     schema = "alert_id bigint, created_at timestamp, is_duplicate boolean, k int"
     source = str(tmp_path / "in")
     for n in range(3):
-        land(spark, [(*x, 1) for x in items[n * 40:(n + 1) * 40]], schema, source, f"part{n}")
+        land(spark, [(*x, 1) for x in mixed[n * 40:(n + 1) * 40]], schema, source, f"part{n}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
-    jobs.append_to(state.limit_stream(stream, "k", cap=2), str(tmp_path / "out")).awaitTermination()
-    got = sorted(r["alert_id"] for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / "rows")).collect())
-    assert got == sorted(limited(items, 2))
+    run = closed(spark, stream, tmp_path, lambda s: state.limit_stream(s, "k", cap=2), "created_at")
+    assert sorted(r["alert_id"] for r in run.collect()) == sorted(limited(items, 2))
+    table = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(source)
+    assert sorted(r["alert_id"] for r in limiter.first_per_anchored_hour(table, "k", cap=2).collect()) == sorted(limited(items, 2))
+
+
+def closed(spark, stream, tmp_path, build, time_col):
+    """Run a stream to the end of its input and close it."""
+    out, end = str(tmp_path / "out"), str(tmp_path / "closing")
+    result = build(jobs.with_closing(stream, end))
+    jobs.append_to(result, out).awaitTermination()
+    jobs.close(spark, end, stream.schema, time_col)
+    jobs.append_to(result, out).awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{out}/rows")
+
+
+def test_two_alerts_in_reversed_order_both_pass(spark, tmp_path):
+    schema = "alert_id bigint, created_at timestamp, is_duplicate boolean, k int"
+    late, early = (2, dt.datetime(2024, 1, 1, 9), False, 1), (1, dt.datetime(2024, 1, 1, 4), False, 1)
+    land(spark, [late], schema, str(tmp_path / "in"), "p0")
+    land(spark, [early], schema, str(tmp_path / "in"), "p1")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    run = closed(spark, stream, tmp_path, lambda s: state.limit_stream(s, "k", cap=1), "created_at")
+    assert sorted(r["alert_id"] for r in run.collect()) == [1, 2]
+
+
+def test_idle_keys_keep_no_vectors(spark, tmp_path):
+    schema = "id bigint, k string, at timestamp, vector array<double>"
+    day = lambda n: dt.datetime(2024, 1, n)
+    land(spark, [(1, "idle", day(1), [1.0, 0.0]), (2, "busy", day(1), [1.0, 0.0])], schema, str(tmp_path / "in"), "p0")
+    land(spark, [(3, "busy", day(20), [0.0, 1.0])], schema, str(tmp_path / "in"), "p1")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    flags = state.flag_duplicates_stream(stream, "k", "id", ("at", "id"), 0.9, ttl_days=3, lateness="1 day")
+    jobs.append_to(flags, str(tmp_path / "out")).awaitTermination()
+    held = spark.read.format("statestore").option("path", str(tmp_path / "out" / "_stream")).option("stateVarName", "kept").load()
+    assert held.where("key.k = 'idle'").count() == 0
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "out" / "_stream")).option("stateVarName", "waiting").load()
+    assert kept.where("key.k = 'busy'").count() == 1  # still within the lateness
+
+
+def test_ingest_keeps_late_rows_aside(spark, tmp_path):
+    schema = "url string, published_at timestamp"
+    run = jobs.ingest_batch(str(tmp_path / "s"), "2 days")
+    first = spark.createDataFrame([("a", dt.datetime(2024, 1, 10)), ("a", dt.datetime(2024, 1, 9)), ("b", dt.datetime(2024, 1, 8))], schema)
+    second = spark.createDataFrame([("a", dt.datetime(2024, 1, 10)), ("c", dt.datetime(2024, 1, 9)), ("d", dt.datetime(2024, 1, 2))], schema)
+    for batch, ident in ((first, 0), (second, 1), (second, 1)):
+        run(batch, ident)
+    read = lambda part: sorted((r["url"], r["published_at"].day) for r in spark.read.schema(schema).parquet(str(tmp_path / "s" / part)).collect())
+    assert read("rows") == [("a", 9), ("b", 8), ("c", 9)] and read("late") == [("d", 2)]
 
 
 def test_hourly_limiter_counts_what_is_stored(rows):
@@ -190,9 +264,10 @@ def test_hourly_limiter_counts_what_is_stored(rows):
 def test_alerting_replay_is_idempotent(spark, rows, tmp_path):
     assets = rows([("P", 0, "AAPL", "Apple Inc.", ["iPhone"], "Technology", "US")],
                   "portfolio_id string, pos bigint, ticker string, name string, aliases array<string>, sector string, country string")
-    schema = "news_id bigint, text string, orgs array<string>, published_at timestamp"
-    first = rows([(1, "Apple lawsuit in court", [], dt.datetime(2024, 1, 1)), (2, "Nothing", [], dt.datetime(2024, 1, 1))], schema)
-    second = rows([(1, "Apple lawsuit in court", [], dt.datetime(2024, 1, 1)), (3, "iPhone recall and outage", [], dt.datetime(2024, 1, 1, 1))], schema)
+    schema = "news_id bigint, title string, text string, source string, orgs array<string>, published_at timestamp"
+    first = rows([(1, "t", "Apple lawsuit in court", "s", [], dt.datetime(2024, 1, 1)), (2, "t", "Nothing", "s", [], dt.datetime(2024, 1, 1))], schema)
+    second = rows([(1, "t", "Apple lawsuit in court", "s", [], dt.datetime(2024, 1, 1)),
+                   (3, "t", "iPhone recall and outage", "s", [], dt.datetime(2024, 1, 1, 1))], schema)
     path = str(tmp_path / "store")
     run = jobs.alerting_batch(path, assets)
     for batch, ident in ((first, 0), (first, 0), (second, 1), (second, 1)):
