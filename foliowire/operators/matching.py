@@ -1,8 +1,9 @@
 """Entity keys of watched assets and their mentions in news text.
 
-A key mentioned on word boundaries equals one of the text's word n-grams, so mentions are an equi-join
-of n-grams and keys. Substring mentions (sectors, countries) join on a key's opening character trigram
-when the vocabulary is large. Neither compares every text with every key.
+A mention of a key begins with the key's first word, so words of texts and keys meet in an equi-join on that word and
+the words that follow decide. What a text sends to that join is filtered first by a bit set of fixed size over the hashes of
+all first words; it drops nearly everything that starts no key, whatever the number of keys, and never drops a match.
+Substring mentions (sectors, countries) are found among the distinct tokens of all texts by opening trigrams.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from foliowire.session import cut_lineage
 
 TICKER, NAME, ROOT, ALIAS = 0.95, 0.95, 0.85, 0.9  # fixed values: confidence of each kind of key
 ORG_CAP, SECTOR_SCORE, COUNTRY_SCORE = 0.85, 0.5, 0.3  # fixed values
-SMALL_VOCABULARY = 256
+FILTER_BITS = 1 << 16  # size of the bit set
 
 
 def _key_form(value: Column, fix_dotted: bool) -> Column:
@@ -54,35 +55,52 @@ def entity_keys(assets: DataFrame, fix_dotted: bool = False) -> DataFrame:
         "portfolio_id", "key", "ticker", "weight", "first.pos", "first.kind")
 
 
-def key_lengths(keys: DataFrame) -> list[int]:
-    """Numbers of words the keys have; a handful of small integers."""
-    return sorted(r[0] for r in keys.select(F.size(F.split("key", " "))).distinct().collect())
+def _bit_set(values: DataFrame):
+    """A predicate that holds for every value of the one-column ``values`` and for few others.
 
+    The driver sees at most ``FILTER_BITS`` small numbers.
+    """
+    column = F.col(values.columns[0])
+    words = [0] * (FILTER_BITS // 64)
+    for (bit,) in values.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")).distinct().collect():
+        words[bit >> 6] |= 1 << (bit & 63)
+    table = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("bigint") for w in words])
+
+    def holds(value: Column) -> Column:
+        bit = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS)).cast("int")
+        word = F.get(table, F.call_function("shiftright", bit, F.lit(6)))
+        return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    return holds
+
+
+def _probes(words: Column, longest: int, holds) -> Column:
+    """Distinct (first word, all words from there) of places where a key may begin."""
+    n = F.size(words)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: holds(F.element_at(words, i)))
+    found = F.transform(starts, lambda i: F.struct(F.element_at(words, i).alias("first"), F.slice(words, i, F.lit(longest)).alias("following")))
+    return F.when(n > 0, F.array_distinct(found)).otherwise(F.filter(found, lambda x: F.lit(False)))
 
-def _grams(words: str, sizes: list[int]) -> Column:
-    """All word n-grams of the given sizes, each size built by appending one word to the size before."""
-    out, grams = [], F.col(words)
-    for n in range(1, max(sizes, default=0) + 1):
-        if n > 1:
-            grams = F.zip_with(F.slice(grams, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))),
-                               F.slice(words, F.lit(n), F.greatest(F.size(words) - (n - 1), F.lit(0))),
-                               lambda a, b: F.concat(a, F.lit(" "), b))
-        if n in sizes:
-            out.append(grams)
-    return F.concat(*out) if out else F.array().cast("array<string>")
 
+def keyed_words(keys: DataFrame) -> DataFrame:
+    """Keys with their first word and all their words."""
+    parts = F.split("key", " ")
+    return keys.withColumn("first", parts[0]).withColumn("parts", parts)
 
-def mentions(docs: DataFrame, keys: DataFrame, id_col: str = "news_id", text_col: str = "text",
-             lengths: list[int] | None = None) -> DataFrame:
+
+def mentions(docs: DataFrame, keys: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
     """(news_id, portfolio_id, ticker, key, weight, pos, kind): every key found in every whole text.
 
-    Only the distinct key lengths are read by the driver. The join is left to the planner: it broadcasts
-    keys only below its size threshold, and otherwise shuffles both sides with skewed grams split at run time.
+    The driver sees the length of the longest key and the bit set. The join is left to the planner: it broadcasts keys
+    only below its size threshold, and otherwise shuffles both sides with skewed words split at run time.
     """
-    sizes = key_lengths(keys) if lengths is None else lengths
+    keyed = keyed_words(keys)
+    longest = keyed.agg(F.max(F.size("parts"))).first()[0] or 1
+    holds = _bit_set(keyed.select("first"))
     words = docs.select(id_col, tx.match_words(F.col(text_col)).alias("words"))
-    found = words.select(id_col, F.explode(F.array_distinct(_grams("words", sizes))).alias("key"))
-    return found.join(keys, "key")
+    probes = words.select(id_col, F.inline(_probes(F.col("words"), longest, holds)))
+    found = probes.join(keyed, "first").where(F.slice("following", F.lit(1), F.size("parts")) == F.col("parts"))
+    return found.select(id_col, *keys.columns)
 
 
 def resolve(found: DataFrame, id_col: str = "news_id") -> DataFrame:
@@ -102,61 +120,64 @@ def ranked(resolved: DataFrame, id_col: str = "news_id") -> DataFrame:
 def substring_mentions(docs: DataFrame, terms: DataFrame, id_col: str, text: str, whole_word: Column | None = None) -> DataFrame:
     """(id, term): distinct lower-case terms occurring anywhere in the lower-case text.
 
-    Terms for which ``whole_word`` holds must stand on word boundaries. A vocabulary checked to be small
-    is searched as a literal array. Otherwise texts and terms meet on the term's first three characters
-    (first two or one for shorter terms) and the candidates are verified.
+    Terms for which ``whole_word`` holds must stand on word boundaries; a term needs a character that is no blank.
+    The longest unbroken piece of a term lies within one token of the text. So tokens, each distinct one once, meet the
+    pieces on the piece's first three characters (first two or one for shorter pieces). The texts are joined back
+    to the candidates, which are verified.
     """
     strict = F.lit(False) if whole_word is None else whole_word
-    vocabulary = terms.select("term").where("term <> ''").distinct().withColumn("strict", strict)
-    lowered = docs.select(id_col, F.lower(text).alias("_text"))
+    broken = F.array_sort(F.transform(F.split("term", "\\s+"), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
+    vocabulary = terms.select("term").where("term <> ''").distinct().select("term", strict.alias("strict"), F.element_at(broken, 1)["p"].alias("piece"))
+    probes = vocabulary.where("piece <> ''").withColumn("head", F.substring("piece", 1, 3))
+    lowered = docs.select(id_col, F.lower(text).alias("_text")).where("_text <> ''")
+    tokens = lowered.select(id_col, F.explode(F.array_distinct(F.split("_text", "\\s+"))).alias("token")).where("token <> ''")
+
+    def starts(size):
+        return F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.col("token"), i, F.lit(size)))
+
+    heads = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(F.concat(*[starts(n) for n in (1, 2, 3)]))).alias("head"))
+    holding = heads.join(probes, "head").where(F.contains("token", "piece")).select("token", "term", "strict")
+    candidates = tokens.join(holding, "token").groupBy(id_col).agg(F.collect_set(F.struct("term", "strict")).alias("_terms"))
+
+    def occurs(t):
+        quoted = F.concat(F.lit("(?U)\\b\\Q"), t["term"], F.lit("\\E\\b"))
+        return F.contains(F.col("_text"), t["term"]) & (~t["strict"] | F.rlike(F.col("_text"), quoted))
+
+    hits = lowered.join(candidates, id_col).select(id_col, F.explode(F.filter("_terms", occurs)).alias("t"))
+    return hits.select(id_col, "t.term").distinct()
 
-    def occurs(body, term, is_strict):
-        quoted = F.concat(F.lit("(?U)\\b\\Q"), term, F.lit("\\E\\b"))
-        return F.contains(body, term) & (~is_strict | F.rlike(body, quoted))
 
-    listed = vocabulary.limit(SMALL_VOCABULARY + 1).collect()
-    if len(listed) <= SMALL_VOCABULARY:
-        if not listed:
-            return lowered.select(id_col, F.lit("").alias("term")).where(F.lit(False))
-        loose = F.array(*[F.lit(r["term"]) for r in listed if not r["strict"]]).cast("array<string>")
-        bounded = [F.when(occurs(F.col("_text"), F.lit(r["term"]), F.lit(True)), F.lit(r["term"])) for r in listed if r["strict"]]
-        hits = F.concat(F.filter(loose, lambda t: F.contains(F.col("_text"), t)), F.array_compact(F.array(*bounded).cast("array<string>")))
-        return lowered.select(id_col, F.explode(hits).alias("term"))
-    heads = vocabulary.withColumn("head", F.substring("term", 1, 3))
-    sizes = sorted(r[0] for r in heads.select(F.length("head")).distinct().collect())
+def _places(assets: DataFrame, column: str) -> DataFrame:
+    return assets.select("portfolio_id", F.lower(column).alias("term")).where("term <> ''").distinct()
 
-    def pieces_of(size):
-        return F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.substring(F.col("_text"), i, F.lit(size)))
 
-    pieces = F.array_distinct(F.concat(*[pieces_of(n) for n in sizes]))
-    exploded = lowered.where("_text <> ''").select(id_col, "_text", F.explode(pieces).alias("head"))
-    return exploded.join(heads, "head").where(occurs(F.col("_text"), F.col("term"), F.col("strict"))).select(id_col, "term")
+def _strict_country() -> Column:
+    """Short and common country names need word boundaries."""
+    return (F.length("term") <= 3) | F.col("term").isin(*domain.SHORT_COMMON_WORDS)
 
 
 def sector_mentions(docs: DataFrame, assets: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
     """(news, portfolio) pairs whose text contains the name of one of the portfolio's sectors."""
-    sectors = assets.select("portfolio_id", F.lower("sector").alias("term")).where("term <> ''").distinct()
+    sectors = _places(assets, "sector")
     return substring_mentions(docs, sectors, id_col, text_col).join(sectors, "term").select(id_col, "portfolio_id").distinct()
 
 
 def country_mentions(docs: DataFrame, assets: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
     """(news, portfolio) pairs naming one of the portfolio's countries; short and common names need word boundaries."""
-    countries = assets.select("portfolio_id", F.lower("country").alias("term")).where("term <> ''").distinct()
-    strict = (F.length("term") <= 3) | F.col("term").isin(*domain.SHORT_COMMON_WORDS)
-    return substring_mentions(docs, countries, id_col, text_col, strict).join(countries, "term").select(id_col, "portfolio_id").distinct()
+    countries = _places(assets, "country")
+    return substring_mentions(docs, countries, id_col, text_col, _strict_country()).join(countries, "term").select(id_col, "portfolio_id").distinct()
 
 
-def org_mentions(orgs: DataFrame, keys: DataFrame, id_col: str = "news_id", lengths: list[int] | None = None) -> DataFrame:
+def org_mentions(orgs: DataFrame, keys: DataFrame, id_col: str = "news_id") -> DataFrame:
     """Resolved assets of extracted organisation names (array column ``orgs``), their scores capped."""
     texts = orgs.where(F.size("orgs") > 0).select(id_col, F.array_join("orgs", " . ").alias("text"))
-    resolved = resolve(mentions(texts, keys, id_col, lengths=lengths), id_col)
+    resolved = resolve(mentions(texts, keys, id_col), id_col)
     return resolved.withColumn("score", F.least("score", F.lit(ORG_CAP)))
 
 
 def rule_relevance(docs: DataFrame, orgs: DataFrame, assets: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
     """Rule score of every (news, portfolio) pair with any signal: matched assets in order found, score and flags."""
     keys = cut_lineage(entity_keys(assets))  # read by three branches
-    lengths = key_lengths(keys)
     none = F.lit(None)
 
     def signal(df, phase, score, ticker=None, sector=False, country=False):
@@ -164,8 +185,8 @@ def rule_relevance(docs: DataFrame, orgs: DataFrame, assets: DataFrame, id_col:
         return df.select(id_col, "portfolio_id", score.alias("score"), order.cast(
             "struct<phase:int,w:double,pos:bigint,ticker:string>").alias("asset"), F.lit(sector).alias("sector"), F.lit(country).alias("country"))
 
-    in_text = resolve(mentions(docs, keys, id_col, text_col, lengths), id_col)
-    in_orgs = org_mentions(orgs, keys, id_col, lengths)
+    in_text = resolve(mentions(docs, keys, id_col, text_col), id_col)
+    in_orgs = org_mentions(orgs, keys, id_col)
     signals = (
         signal(in_text, 0, F.col("score"), ticker=True)
         .unionByName(signal(in_orgs, 1, F.col("score"), ticker=True))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -52,15 +53,14 @@ def test_rule_relevance_flags(rows, assets):
     assert got[(4, "P")]["matched_assets"] == ["AAPL", "SAN.MC"] and got[(4, "P")]["direct_score"] == 0.95
 
 
-def test_substring_join_equals_literal_search(rows, monkeypatch):
+def test_substring_join_equals_search_in_every_text(rows):
     rng = random.Random(3)
-    docs = rows([(i, " ".join("".join(rng.choices("abç", k=rng.randint(1, 5))) for _ in range(30))) for i in range(40)], "news_id int, text string")
-    terms = rows([("".join(rng.choices("abç", k=rng.randint(1, 6))),) for _ in range(60)], "term string")
-    strict = F.length("term") <= 2
-    small = sorted(tuple(r) for r in matching.substring_mentions(docs, terms, "news_id", "text", strict).collect())
-    monkeypatch.setattr(matching, "SMALL_VOCABULARY", 5)
-    large = sorted(tuple(r) for r in matching.substring_mentions(docs, terms, "news_id", "text", strict).distinct().collect())
-    assert small == large and small
+    texts = [" ".join("".join(rng.choices("abç", k=rng.randint(1, 5))) for _ in range(30)) for _ in range(40)] + ["a\tb  ab", "", "A b"]
+    words = {"".join(rng.choices("abç", k=rng.randint(1, 6))) for _ in range(60)} | {"a b", "b ab", "ça a", "aaaaaaaaaaaa b", " a"}
+    found = matching.substring_mentions(rows(list(enumerate(texts)), "news_id int, text string"), rows([(w,) for w in words], "term string"),
+                                        "news_id", "text", F.length("term") <= 2)
+    expected = {(i, w) for i, t in enumerate(texts) for w in words if w in t.lower() and (len(w) > 2 or re.search(rf"\b{re.escape(w)}\b", t.lower()))}
+    assert {tuple(r) for r in found.collect()} == expected
 
 
 def vectors(rng, n, dim=8, copies=0):
