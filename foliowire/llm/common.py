@@ -17,7 +17,6 @@ WORD = re.compile(WORD_PATTERN)
 _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ASCII_BLANKS = "\x1c\x1d\x1e\x1f"
 
-LOWER_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def split_words(text: str | None) -> list[str]:
@@ -28,6 +27,11 @@ def split_words(text: str | None) -> list[str]:
     return WORD.findall(text) if other else text.split()
 
 
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case, all else unchanged."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

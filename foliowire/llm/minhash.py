@@ -6,11 +6,13 @@ signatures, those that may reach the similarity by their full shingle sets, and
 
 Copies and crowds. Equal texts are one node. A bucket never emits its pairs: first every member is compared with the
 least member of its bucket, then with a pseudorandom one, and members already in one component need no further comparison. Only for what
-is still apart do tasks compare signatures inside a bucket, block by block where it is large, and they report just the pairs whose
-signatures agree enough. All links therefore take part in the components, and the work on a group of copies grows with its size.
+is still apart do tasks compare signatures inside a bucket, block by block where it is large. Documents that may be
+linked form crowds, whose full sets are compared in blocks by matrix products. Both steps report a spanning forest, at most one
+edge per document and task, instead of pairs. All links therefore take part in the components, and what is
+shuffled grows with the number of documents.
 
-With 30 bands of 5 minima a pair of similarity 0.8 shares no bucket with probability 7e-6; the signature check (150 minima,
-at least 0.65 of them equal) misses it with probability 5e-6. Shingles and texts are identified by 64- and 128-bit hashes.
+With 24 bands of 4 minima a pair of similarity 0.8 shares no bucket with probability 3e-6; the signature check (96 minima,
+at least 0.62 of them equal) misses it with probability 1e-5. Shingles and texts are identified by 64- and 128-bit hashes.
 
 Defined results: documents without words or text are empty and linked with nothing; so are rows without doc_id; rows that
 repeat a doc_id are one node, whatever their texts; an empty table gives an empty result; other columns are ignored
@@ -28,30 +30,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliowire.llm.common import LOWER_ASCII, WORD, materialise, unused
-from foliowire.llm.components import components
+from foliowire.llm.common import lower_ascii, materialise, split_words, unused
+from foliowire.llm.components import components, least_reachable
 
 SHINGLE_WORDS = 4
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 24, 4
 #: Similarity in percent.
 PERCENT = 80
 #: Share of equal minima below which a pair cannot reach the similarity, but for the probability above.
-SIGNATURE_SHARE = 0.65
+SIGNATURE_SHARE = 0.62
 #: Members of a bucket that one task compares with each other.
 BLOCK = 512
 #: Pairs of one document that one task confirms.
 CHUNK = 128
 
 
-def _odd_constants(n: int) -> np.ndarray:
-    return np.random.default_rng(7).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_FACTORS, _OFFSETS = _odd_constants(BANDS * ROWS), _odd_constants(2 * BANDS * ROWS)[BANDS * ROWS:]
+_FACTORS, _OFFSETS = np.random.default_rng(7).integers(0, 2**32, (2, BANDS * ROWS, 1), dtype=np.uint32)
+_FACTORS |= np.uint32(1)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(LOWER_ASCII)) if text else []
+    return split_words(lower_ascii(text)) if text else []
 
 
 class WordHashes(dict):
@@ -59,7 +58,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
@@ -86,14 +85,13 @@ def shingles(hashes: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def signature(shingle_set: np.ndarray) -> np.ndarray:
-    """The least value of each universal hash function over the set; blocks keep the work in cache."""
-    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(shingle_set), 1024):
-        part = shingle_set[s:s + 1024]
-        for k in range(BANDS * ROWS):
-            least = (part * _FACTORS[k] + _OFFSETS[k]).min()
-            if least < out[k]:
-                out[k] = least
+    """The least value of each universal hash function a * x + b modulo 2^32 over the set; pieces keep the work in cache."""
+    x = (shingle_set >> np.uint64(32)).astype(np.uint32)
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for s in range(0, len(x), 512):
+        values = _FACTORS * x[None, s:s + 512]
+        values += _OFFSETS
+        np.minimum(out, values.min(axis=1), out=out)
     return out
 
 
@@ -102,7 +100,7 @@ def _text_digest(words: list[str]) -> bytes:
 
 
 def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The digest, set size and signature (upper 32 bits of each minimum) of every text."""
+    """The digest, set size and signature of every text."""
     hashes = WordHashes()
     for batch in batches:
         out = []
@@ -111,7 +109,7 @@ def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((doc_id, None, 0, None))
                 continue
             s = shingles(hashes.of(words))
-            out.append((doc_id, _text_digest(words), len(s), (signature(s) >> np.uint64(32)).astype("<u4").tobytes()))
+            out.append((doc_id, _text_digest(words), len(s), signature(s).astype("<u4").tobytes()))
         yield pd.DataFrame(out, columns=["doc_id", "digest", "n_shingles", "signature"]).astype({"doc_id": "Int64"})
 
 
@@ -135,20 +133,89 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.loc[(a == b).mean(axis=1) >= SIGNATURE_SHARE, ["u", "v"]]
 
 
-def _pairs_apart(part: pd.DataFrame) -> pd.DataFrame:
-    """Within a block pair of one bucket: pairs of different components whose signatures agree often enough."""
-    part = part.sort_values("node", kind="stable").reset_index(drop=True)
-    sig = np.frombuffer(b"".join(part["signature"]), "<u4").reshape(len(part), -1)
-    comp, node, block = (part[c].to_numpy() for c in ("component", "node", "block"))
-    own = part["low"].iat[0] == part["high"].iat[0]
-    found = []
-    for i in range(len(part) - 1):
-        rest = slice(i + 1, None)
-        apart = (comp[rest] != comp[i]) & (own | (block[rest] != block[i]))
-        at = np.flatnonzero(apart) + i + 1
-        at = at[(sig[at] == sig[i]).mean(axis=1) >= SIGNATURE_SHARE]
-        found += [(node[i], node[j]) for j in at]
-    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The low byte of every minimum: enough to compare many signatures quickly."""
+    for batch in batches:
+        if len(batch):
+            low = np.frombuffer(b"".join(batch["signature"]), "<u4").reshape(len(batch), -1).astype(np.uint8)
+            yield pd.DataFrame({"node": batch["node"], "short": [x.tobytes() for x in low]})
+
+
+def _blocks_of(part: pd.DataFrame, key: str) -> Iterator[pd.DataFrame]:
+    """The block pairs that a task holds."""
+    part = part.sort_values([key, "low", "high", "node"], kind="stable")
+    keys = part[[key, "low", "high"]].to_numpy()
+    borders = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    for s, e in zip(borders, [*borders[1:], len(part)]):
+        if e - s > 1:
+            yield part.iloc[s:e]
+
+
+def _apart(rows: pd.DataFrame) -> np.ndarray:
+    """Which pairs are to be compared here: of different components and, between two blocks, one from each."""
+    comp, block = rows["component"].to_numpy(), rows["block"].to_numpy()
+    apart = comp[:, None] != comp[None, :]
+    return apart if rows["low"].iat[0] == rows["high"].iat[0] else apart & (block[:, None] != block[None, :])
+
+
+def _roots(rows: pd.DataFrame, related: np.ndarray) -> pd.DataFrame:
+    """Edges that connect what the symmetric relation connects, one per row at most."""
+    at = np.flatnonzero(related.any(axis=1))
+    node = rows["node"].to_numpy()[at]
+    return pd.DataFrame({"u": node, "v": node[least_reachable(related[np.ix_(at, at)])]})
+
+
+_NO_EDGE = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+
+
+def _possible(part: pd.DataFrame) -> pd.DataFrame:
+    """Edges that connect documents of different components whose signatures agree often enough."""
+    found = [_NO_EDGE]
+    for rows in _blocks_of(part, "bucket"):
+        related = _apart(rows)
+        if related.any():
+            short = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(len(rows), -1)
+            for s in range(0, len(rows), 64):
+                same = (short[s:s + 64, None, :] == short[None, :, :]).sum(axis=2)
+                related[s:s + 64] &= same >= SIGNATURE_SHARE * short.shape[1]
+            found.append(_roots(rows, related))
+    return pd.concat(found)
+
+
+def _linked(part: pd.DataFrame) -> pd.DataFrame:
+    """Edges that connect documents of different components whose full sets are similar enough."""
+    found = [_NO_EDGE]
+    for rows in _blocks_of(part, "crowd"):
+        related = _apart(rows)
+        if not related.any():
+            continue
+        sets = [np.frombuffer(m, "<u8") for m in rows["members"]]
+        sizes = np.array([len(m) for m in sets])
+        values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # only shingles of several documents count; they are numbered anew
+        number = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[where]
+        owner = np.repeat(np.arange(len(sets)), sizes)[number >= 0]
+        number = number[number >= 0]
+        common = np.zeros((len(sets), len(sets)))
+        for s in range(0, int(number.max(initial=-1)) + 1, 16384):
+            own = (number >= s) & (number < s + 16384)
+            table = np.zeros((len(sets), 16384), np.float32)
+            table[owner[own], number[own] - s] = 1
+            common += table @ table.T
+        related &= 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+        if related.any():
+            found.append(_roots(rows, related))
+    return pd.concat(found)
+
+
+def _dealt(rows: DataFrame, key: str, block: int, task_rows: int) -> DataFrame:
+    """Rows with ``key`` and the size ``m`` of its group, dealt in pairs of blocks to tasks of bounded size."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    pairs = (rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("m")
+             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other"))
+    tasks = pairs.count() // task_rows + 1
+    return pairs.withColumn("task", F.pmod(F.xxhash64(key, "low", "high"), F.lit(tasks)))
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,15 +234,11 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(good, bool), ["u", "v"]]
 
 
-def _links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, checked: bool) -> DataFrame:
+def _links(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the candidate pairs (u, v) whose shingle sets are similar enough."""
     pairs = pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    if not checked:
-        left, right = (signatures.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("u", "sa"), ("v", "sb")))
-        pairs = pairs.join(left, "u").join(right, "v").mapInPandas(_alike, "u long, v long")
-    pairs = materialise(pairs, "minhash-pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = materialise(texts.join(nodes, "node").mapInPandas(_sets, "node long, members binary"), "minhash-sets")
+    left, right = (signatures.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("u", "sa"), ("v", "sb")))
+    pairs = materialise(pairs.join(left, "u").join(right, "v").mapInPandas(_alike, "u long, v long"), "minhash-pairs")
     # the set of a document with very many partners is repeated once per chunk of them, not once per partner
     partners = pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     chunked = pairs.join(partners, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("chunk"))
@@ -206,20 +269,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowded = materialise(banded.join(sizes.where("n > 1").select("bucket", "n", "first", F.col("any.node").alias("any")), "bucket"), "minhash-buckets")
     links = materialise(copies.toDF("u", "v"), "minhash-copies")
     stars = crowded.select(F.col("node").alias("u"), F.col("first").alias("v")).union(crowded.select("node", "any"))
-    links = links.union(_links(stars, signatures, texts, checked=False))
+    # the shingle sets of all documents that share a bucket with another; the texts are shuffled once, at any size alike
+    sets = materialise(texts.join(crowded.select("node").distinct().hint("merge"), "node").mapInPandas(_sets, "node long, members binary"), "minhash-sets")
+    links = links.union(_links(stars, signatures, sets))
     found = components(links)
     # buckets that still hold several components
     placed = materialise(_with_component(crowded.select("bucket", "n", "node"), found), "minhash-placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"),
                                          F.count("*").alias("m")).where("least != most").select("bucket", "m")
-    apart = placed.join(mixed, "bucket").join(signatures, "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = (apart.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "signature"))
-    rest = dealt.groupBy("bucket", "low", "high").applyInPandas(_pairs_apart, "u long, v long")
-    more = _links(rest, signatures, texts, checked=True)
-    found = components(links.union(more)) if more.limit(1).count() else found
+    short = signatures.mapInPandas(_short, "node long, short binary")
+    apart = materialise(placed.select("bucket", "node", "component").join(mixed, "bucket"), "minhash-apart")
+    possible = materialise(_dealt(apart, "bucket", BLOCK, 40_000).join(short, "node").groupBy("task").applyInPandas(
+        _possible, "u long, v long"), "minhash-possible")
+    # documents connected by possible links form crowds, within which full sets are compared
+    crowds = materialise(components(possible).select(F.col("id").alias("node"), F.col("component").alias("crowd")), "minhash-crowds")
+    sizes = crowds.groupBy("crowd").agg(F.count("*").alias("m"))
+    members = materialise(_with_component(crowds, found).join(sizes, "crowd"), "minhash-members")
+    more = materialise(_dealt(members, "crowd", BLOCK // 2, 4_000).join(sets, "node").groupBy("task").applyInPandas(
+        _linked, "u long, v long"), "minhash-more-links")
+    found = components(links.union(more))
     rows = sized.select(F.col("doc_id").alias("node"), "n_shingles")
     return _with_component(rows, found).select(
         F.col("node").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
