@@ -8,7 +8,7 @@ remaining words (ending, letters, length). A symbol's probability is that of its
 about equal shares of the text. A word that is not in the head has the probability of its shape symbol times its smoothed share among the words of that
 shape, where unseen words share the place of one. So the model is a proper distribution over words.
 
-Training. Every training document gives one window of two segments; gradients stop at segment borders while the state is carried
+Training. Every training document gives one window of two segments, cut from its text at a pseudorandom place; gradients stop at segment borders while the state is carried
 over. The windows are dealt to tasks that train from common weights; the mean of their weights, weighed by windows, starts the
 next round. Small corpora make more passes, up to a fixed number of windows.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowire.llm.bagclassifier import held_out
-from foliowire.llm.common import LOWER_ASCII, materialise, split_words
+from foliowire.llm.common import lower_ascii, materialise, split_words
 
 #: Words predicted one by one; frequent words whose counts every task knows; classes of the output.
 HEAD, DICTIONARY, CLASSES = 1024, 1 << 17, 32
@@ -39,10 +40,12 @@ HIDDEN = 24
 #: Tokens of a segment; a training window has two.
 SEGMENT = 32
 ROUNDS, BATCH, RATE = 2, 64, 0.004
+#: Characters from which a training window is read.
+WINDOW_CHARS = 1000
 #: Windows that one task trains on in a round, and windows a training makes at least by repetition.
 TASK_WINDOWS, LEAST_WINDOWS = 8192, 16384
 #: Distinct words a counting task holds, tokens a scoring task runs together.
-HELD_WORDS, HELD_TOKENS = 400_000, 1_500_000
+HELD_WORDS, HELD_TOKENS = 400_000, 6_000_000
 #: Weights that one row carries when weights are averaged.
 CHUNK = 8192
 END = ""  # no word is empty
@@ -62,7 +65,7 @@ SHAPES = 60
 
 
 def words_of(text: str | None) -> list[str]:
-    return split_words(text.translate(LOWER_ASCII)) if text else []
+    return split_words(lower_ascii(text)) if text else []
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -109,10 +112,12 @@ class Vocabulary:
         self.symbols = 1 + SHAPES + len(head)
         self.frequency = np.concatenate([[ends], tail_tokens, head["c"].to_numpy(float)]) + 0.5
         symbol = {w: 1 + SHAPES + k for k, w in enumerate(head["word"])}
-        self.known = {}  # word -> symbol, log10(c + 0.5), log10 of its share within the symbol
-        for word, shape, c in zip(frequent["word"], frequent["shape"], frequent["c"]):
-            log = float(np.log10(c + 0.5))
-            self.known[word] = (0, log, 0.0) if word == END else (symbol[word], log, 0.0) if word in symbol else (1 + shape, log, log - self.log_shape[shape])
+        # of the dictionary's words: symbol, log10(c + 0.5), log10 of the share within the symbol
+        self.number = {w: k for k, w in enumerate(frequent["word"])}
+        shape, self.log_count = frequent["shape"].to_numpy(int), np.log10(frequent["c"].to_numpy(float) + 0.5)
+        own = np.array([0 if w == END else symbol.get(w, -1) for w in frequent["word"]], np.int64)
+        self.symbol = np.where(own < 0, 1 + shape, own)
+        self.log_share = np.where(own < 0, self.log_count - self.log_shape[shape], 0.0)
         order = np.argsort(-self.frequency, kind="stable")
         share = np.cumsum(self.frequency[order]) / self.frequency.sum()
         by_rank = np.minimum(((share - self.frequency[order] / self.frequency.sum() / 2) * CLASSES).astype(int), CLASSES - 1)
@@ -183,10 +188,9 @@ class Network:
         n, (steps, width) = HIDDEN, x.shape
         states, kept = [], []
         for t in range(steps):
-            states.append(h)
             h, k = self.step(x[t], h)
             kept.append(k)
-            states[-1] = h
+            states.append(h)
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
         flat, target, weight = np.concatenate(states), y.ravel(), valid.ravel().astype(np.float32) / max(valid.sum(), 1)
         classes = self.v.class_of[target]
@@ -206,7 +210,7 @@ class Network:
                 g["word"][m], g["word_b"][m] = q.T @ flat[at], q.sum(axis=0)
                 d[at] += q @ self.w["word"][m]
         d = d.reshape(steps, width, n)
-        carried = np.zeros((width, n), np.float32)
+        carried, added = np.zeros((width, n), np.float32), [None] * steps
         for t in reversed(range(steps)):
             before, z, r, c, sn = kept[t]
             dh = d[t] + carried
@@ -215,10 +219,14 @@ class Network:
             dr = dc * sn * r * (1 - r)
             da = np.concatenate([dz, dr, dc], axis=1)
             ds = np.concatenate([dz, dr, dc * r], axis=1)
-            np.add.at(g["input"], x[t], da)
+            added[t] = da
             g["bias"] += da.sum(axis=0)
             g["state"] += before.T @ ds
             carried = dh * z + ds @ self.w["state"].T
+        order = np.argsort(x.ravel(), kind="stable")
+        symbols = x.ravel()[order]
+        first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+        g["input"][symbols[first]] = np.add.reduceat(np.concatenate(added)[order], first, axis=0)
         return g, h
 
     def train(self, windows: np.ndarray, passes: int) -> None:
@@ -247,24 +255,30 @@ class Network:
 
 
 def _windows(training: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """One training window per document, begun at a place given by its text."""
+    """One training window per document, cut at a place given by its text."""
     width = 2 * SEGMENT + 1
 
     def run(batches):
+        number, symbol = vocabulary.number, vocabulary.symbol
         for batch in batches:
             out = []
-            for place, text in zip(batch["place"], batch["text"]):
-                words = words_of(text)
-                # the symbol before the first word is the end of a text
-                begin = place % max(1, len(words) + 2 - width)
-                own = [END, *words, END][begin:begin + width]
+            for piece, whole_start, whole_end in zip(batch["piece"], batch["whole_start"], batch["whole_end"]):
+                words = words_of(piece)
+                # the symbol before the first word is the end of a text; words cut at the borders of the piece are left out
+                own = ([END, *words] if whole_start else words[1:])[:None if whole_end else -1]
+                own = ([*own, END] if whole_end else own)[:width] or [END]
                 row = np.full(width, -1, "<i2")
-                row[:len(own)] = [vocabulary.known[w][0] if w in vocabulary.known else 1 + shape_of(w) if w else 0 for w in own]
+                row[:len(own)] = [symbol[number[w]] if w in number else 1 + shape_of(w) if w else 0 for w in own]
                 out.append(row.tobytes())
             yield pd.DataFrame({"window": out})
 
-    place = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 30)).alias("place")
-    return training.select("text", place).mapInPandas(run, "window binary")
+    text = F.coalesce("text", F.lit(""))
+    spare = F.greatest(F.length(text) - WINDOW_CHARS, F.lit(0))
+    begin = F.pmod(F.xxhash64(text), spare + 1).cast("int")
+    pieces = training.select(text.alias("text"), begin.alias("begin"), spare.alias("spare")).select(
+        F.substr("text", F.col("begin") + 1, F.lit(WINDOW_CHARS)).alias("piece"), (F.col("begin") == 0).alias("whole_start"),
+        (F.col("begin") == F.col("spare")).alias("whole_end"))
+    return pieces.mapInPandas(run, "window binary")
 
 
 def _training_from(start: np.ndarray, vocabulary: Vocabulary, passes: int):
@@ -305,7 +319,10 @@ def trained(training: DataFrame, vocabulary: Vocabulary) -> Network:
 
 
 def run_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each sequence of symbols; the state is carried through the whole sequence."""
+    """log10 probability of each sequence of symbols; the state is carried through the whole sequence.
+
+    Sequences run side by side, longest first, so those still running are always the first ones.
+    """
     total = np.zeros(len(documents))
     order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
     lengths = np.array([len(documents[i]) for i in order])
@@ -341,9 +358,17 @@ def _scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFr
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
 
     def run(batches):
-        known, rare_shape = vocabulary.known, {}
+        number, rare_shape = vocabulary.number, {}
         held, symbols, size = [], [], 0
 
+        def shape(word):
+            known = rare_shape.get(word)
+            if known is None:
+                known = shape_of(word)
+                if len(rare_shape) < HELD_WORDS:
+                    rare_shape[word] = known
+            return known
+
         def flushed():
             scores = run_documents(network, symbols)
             return pd.DataFrame([(*h[:5], h[5] + s, h[6]) for h, s in zip(held, scores)], columns=columns).astype({"doc_id": "Int64"})
@@ -351,28 +376,18 @@ def _scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFr
         for batch in batches:
             for doc_id, out, text in zip(batch["doc_id"], batch["held_out"], batch["text"]):
                 words = [*words_of(text), END]
-                own, rare, base, inner = np.empty(len(words), np.int16), [], 0.0, 0.0
-                for k, word in enumerate(words):
-                    entry = known.get(word)
-                    if entry is None:
-                        shape = rare_shape.get(word)
-                        if shape is None:
-                            shape = shape_of(word) if word else -1
-                            if len(rare_shape) < HELD_WORDS:
-                                rare_shape[word] = shape
-                        if shape < 0:  # an end although no text was counted
-                            own[k] = 0
-                            base += np.log10(0.5)
-                            continue
-                        own[k] = 1 + shape
-                        inner -= vocabulary.log_shape[shape]
-                        rare.append(word)
-                    else:
-                        own[k] = entry[0]
-                        base += entry[1]
-                        inner += entry[2]
-                n_known = len(words) - len(rare) if vocabulary.tokens else 0
-                held.append((doc_id, out, len(words), n_known, base - len(words) * vocabulary.log_all, inner, rare))
+                at = np.array(list(map(number.get, words, repeat(-1))), np.int64)
+                known = at >= 0
+                own = np.zeros(len(words), np.int16)
+                own[known] = vocabulary.symbol[at[known]]
+                base, inner = vocabulary.log_count[at[known]].sum(), vocabulary.log_share[at[known]].sum()
+                unknown = np.flatnonzero(~known)
+                rare = [words[k] for k in unknown if words[k]]
+                base += np.log10(0.5) * (len(unknown) - len(rare))  # an end although no text was counted
+                shapes = np.array([shape(w) for w in rare], np.int64)
+                own[unknown[:len(rare)]] = 1 + shapes
+                inner -= vocabulary.log_shape[shapes].sum()
+                held.append((doc_id, out, len(words), int(known.sum()), base - len(words) * vocabulary.log_all, inner, rare))
                 symbols.append(own)
                 size += len(words)
                 if size >= HELD_TOKENS:
