@@ -38,11 +38,16 @@ def _finish(t: Tables, name, stream, mode="append"):
 
 def _closed(t: Tables, name, stream, build, time_col):
     """Run ``build(stream)`` to the end of the input, then close the stream so that what waits is settled too."""
-    path = session.scratch_path(t.spark, name)
-    result = build(jobs.with_closing(stream, f"{path}/closing"))
-    jobs.append_to(result, path).awaitTermination()
-    jobs.close(t.spark, f"{path}/closing", stream.schema, time_col)
-    jobs.append_to(result, path).awaitTermination()
+    path, conf = session.scratch_path(t.spark, name), t.spark.conf
+    before = conf.get(state.STATE_STORE[0], None)
+    conf.set(*state.STATE_STORE)  # a query owns its session for as long as it runs
+    try:
+        result = build(jobs.with_closing(stream, f"{path}/closing"))
+        jobs.append_to(result, path).awaitTermination()
+        jobs.close(t.spark, f"{path}/closing", stream.schema, time_col)
+        jobs.append_to(result, path).awaitTermination()
+    finally:
+        conf.set(state.STATE_STORE[0], before) if before else conf.unset(state.STATE_STORE[0])
     return t.spark.read.schema(result.schema).parquet(f"{path}/rows")
 
 
