@@ -7,3 +7,4 @@ from foliowire.plans import prices_and_studies  # noqa: F401
 from foliowire.plans import matching_and_similarity  # noqa: F401
 from foliowire.plans import evaluation, suitability  # noqa: F401
 from foliowire.plans import streams  # noqa: F401
+from foliowire.plans import variant_runs  # noqa: F401

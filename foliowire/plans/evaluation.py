@@ -170,12 +170,16 @@ def evaluation(t: Tables):
     return relevance.join(assets, "variant").join(severity, "variant", "left").na.fill(0, ["n_severity"])
 
 
-@query("E21_ablation_summary", f"""WITH {_EVALUATED}
+E21_SELECT = """
 SELECT variant, round(2 * r.tp / (2 * r.tp + r.fp + r.fn), 4) AS relevance_f1, round(r.tp / (r.tp + r.fp), 4) AS relevance_precision, round(r.tp / (r.tp + r.fn), 4) AS relevance_recall,
        round(2 * s.tp / (2 * s.tp + s.fp + s.fn), 4) AS matched_assets_f1, round(s.jac, 4) AS matched_assets_jaccard,
        coalesce(e.macro, 0) AS event_type_macro_f1, coalesce(a.ev_acc, 0) AS event_type_accuracy, coalesce(a.dir_acc, 0) AS direction_accuracy,
        coalesce(d.macro, 0) AS direction_macro_f1, coalesce(round(a.mae, 4), 0) AS severity_mae, coalesce(round(a.within, 4), 0) AS severity_off_by_one
-FROM rel r JOIN set_sums s USING (variant) LEFT JOIN ev_avg e USING (variant) LEFT JOIN dr_avg d USING (variant) LEFT JOIN acc a USING (variant)""")
+FROM rel r JOIN set_sums s USING (variant) LEFT JOIN ev_avg e USING (variant) LEFT JOIN dr_avg d USING (variant) LEFT JOIN acc a USING (variant)"""
+EVALUATED_FROM_JOIN = _EVALUATED[_EVALUATED.index("joined AS"):]
+
+
+@query("E21_ablation_summary", f"WITH {_EVALUATED} {E21_SELECT}")
 def ablation_summary(t: Tables):
     return metrics.ablation_summary(metrics.evaluate(_gold(t), _predictions(t)))
 

@@ -101,7 +101,7 @@ def _half_up(x, places=4):
     return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(24, 18)), {places})::DOUBLE"
 
 
-_ALERT_PIPELINE = f"""WITH RECURSIVE {_RULES}, {_SEMANTIC}, {ALERTS},
+_PIPELINE_INPUTS = f"""{_RULES}, {_SEMANTIC}, {ALERTS},
 words AS ({_KEYWORD_SQL}),
 hits AS (SELECT doc_id AS news_id, event_type, prio, count(*) AS n FROM documents JOIN words ON contains(lower(text), word) GROUP BY 1, 2, 3),
 best AS (SELECT news_id, arg_min(event_type, (-n, prio)) AS event_type, max(n) AS n FROM hits GROUP BY 1),
@@ -114,7 +114,8 @@ news_items AS (
 given AS (
   SELECT doc_id AS news_id, 'W' || doc_id % 4 AS portfolio_id, quality = 1 AS ok, (doc_id * 7 % 100) / 100.0::DOUBLE AS v_score, (doc_id * 13 % 100) / 100.0::DOUBLE AS g_sev,
          CASE doc_id % 3 WHEN 0 THEN 'alcista' WHEN 1 THEN 'bajista' ELSE 'neutral' END AS g_dir, (doc_id * 17 % 100) / 100.0::DOUBLE AS g_conf,
-         CASE WHEN doc_id % 5 = 0 THEN 'macroeconomia' END AS g_event, CASE WHEN doc_id % 7 = 0 THEN 'Nota ' || doc_id END AS g_text FROM labels),
+         CASE WHEN doc_id % 5 = 0 THEN 'macroeconomia' END AS g_event, CASE WHEN doc_id % 7 = 0 THEN 'Nota ' || doc_id END AS g_text FROM labels)"""
+_ALERT_PIPELINE = f"""WITH RECURSIVE {_PIPELINE_INPUTS},
 hybrid AS (
   SELECT news_id, portfolio_id, round({_BLEND.format('coalesce(semantic_score, 0)')}, 4) AS score, coalesce(assets, '') AS assets
   FROM (SELECT * FROM semantic WHERE news_id IN (SELECT doc_id FROM documents)) FULL JOIN rules USING (news_id, portfolio_id)),
