@@ -54,7 +54,7 @@ ORG_STOP_FIRST_WORDS = (
     "Friday", "Saturday", "Sunday",
 )
 
-# Event keyword lists, in priority order (an earlier event wins a tie).
+# Event keyword lists, in priority order (an earlier event wins a tie).
 EVENT_KEYWORDS = {
     "resultados_empresariales": ("earnings", "revenue", "profit", "quarterly results", "eps", "resultados", "beneficio"),
     "guidance_profit_warning": ("guidance", "outlook", "profit warning", "downgrade", "forecast"),
@@ -86,7 +86,7 @@ IMPACT_PRIORS = {
     "otro": (0.3, 0.0),
 }
 
-# Severity score thresholds and |CAR| bands (label: lower, upper), ascending.
+# Severity score thresholds and |CAR| bands (label: lower, upper), ascending.
 SEVERITY_SCORE_CUTS = (("muy_alta", 0.8), ("alta", 0.6), ("media", 0.4), ("baja", 0.2))
 ABS_CAR_BANDS = (
     ("muy_baja", 0.0, 0.005),
@@ -202,3 +202,32 @@ RECOMMENDATION_TEXTS = {
     "region_under": "Tu cartera tiene solo {1}% en {0} vs {2}% ideal. Añadir exposición internacional reduce el riesgo país.",
     "hold": "Tu cartera está razonablemente alineada con tu perfil de riesgo. Mantén la estrategia actual y revisa periódicamente.",
 }
+
+# Message texts of portfolio warnings; {0} and {1} are the columns named in the rule.
+WARNING_TEXTS = {
+    "few_assets": "Tu cartera tiene {0} activos. Para tu perfil ({1}) se recomiendan al menos {2}.",
+    "concentration": "Alta concentración: {0} representa el {1}% de la cartera. Considera diversificar.",
+    "over_sectors": "Sobreexposición significativa en: {0}. Esto aumenta el riesgo sectorial.",
+    "under_sectors": "Infrarrepresentación significativa en: {0}. Podrías estar perdiéndote oportunidades de diversificación.",
+    "single_region": "Toda tu cartera está concentrada en una sola región geográfica. La diversificación geográfica reduce el riesgo país.",
+}
+
+# Message texts of alerts.
+EXPLANATION_TEXTS = {
+    "alert": "Posible alerta {0} de severidad {1} para {2}.",
+    "event": "Evento detectado: {0}.",
+    "relevance": "Relevancia: {0}.",
+    "confidence": "Confianza: {0}.",
+    "source": "Fuente: {0}.",
+    "supplied": "{0}. Confianza: {1}. Fuente: {2}.",
+    "no_assets": "cartera general",
+    "direct": "mención directa de activo en cartera",
+    "semantic": "alta similitud semántica con la cartera",
+    "indirect": "relevancia indirecta por sector o geografía",
+    "mood": "sentimiento {0} detectado por FinBERT",
+}
+SUBJECT_TEXT, SUBJECT_NO_ASSETS = "{0} Alerta {1} ({2}) — {3}", "cartera"
+BODY_LINES = (
+    "ALERTA: {0}", "", "Dirección: {1}", "Severidad: {2} ({3})", "Confianza: {4}", "Activos: {5}", "Evento: {6}", "Sentimiento: {7}", "",
+    "Explicación: {8}", "", "Fuente: {9}", "URL: {10}",
+)

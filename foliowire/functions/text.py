@@ -6,6 +6,7 @@ out instead of relying on a regex engine's ASCII defaults.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -179,54 +180,39 @@ def asset_description(name: Column, ticker: Column, *more: Column) -> Column:
     return F.concat_ws(", ", *parts)
 
 
+def filled(template: str, *parts: Column) -> Column:
+    """A message text with its numbered gaps filled by columns."""
+    pieces = re.split(r"\{(\d+)\}", template)
+    return F.concat(F.lit(""), *[parts[int(p)].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(pieces) if k % 2 or p])
+
+
 def alert_explanation(title, assets, event_type, direction, severity, confidence, relevance, source, sentiment,
                       supplied=None) -> Column:
     """Sentence-by-sentence explanation of an alert; a supplied explanation takes precedence."""
-    named = F.when(F.size(assets) > 0, F.array_join(assets, ", ")).otherwise("cartera general")
+    texts = domain.EXPLANATION_TEXTS
+    named = F.when(F.size(assets) > 0, F.array_join(assets, ", ")).otherwise(texts["no_assets"])
     event = lookup(event_type, domain.EVENT_TEXT, event_type)
-    why = (
-        F.when(relevance >= 0.8, "mención directa de activo en cartera")
-        .when(relevance >= 0.5, "alta similitud semántica con la cartera")
-        .otherwise("relevancia indirecta por sector o geografía")
-    )
-    mood = F.when(sentiment != "neutral", F.concat(F.lit("sentimiento "), sentiment, F.lit(" detectado por FinBERT")))
+    why = F.when(relevance >= 0.8, texts["direct"]).when(relevance >= 0.5, texts["semantic"]).otherwise(texts["indirect"])
+    mood = F.when(sentiment != "neutral", filled(texts["mood"], sentiment))
     two = F.format_string("%.2f", confidence)
     built = F.concat_ws(
-        " ",
-        F.concat(F.lit("Posible alerta "), direction, F.lit(" de severidad "), severity, F.lit(" para "), named, F.lit(".")),
-        F.concat(F.lit("Evento detectado: "), event, F.lit(".")),
-        F.concat(F.lit("Relevancia: "), F.concat_ws("; ", why, mood), F.lit(".")),
-        F.concat(F.lit("Confianza: "), two, F.lit(".")),
-        F.concat(F.lit("Fuente: "), source, F.lit(".")),
-    )
+        " ", filled(texts["alert"], direction, severity, named), filled(texts["event"], event),
+        filled(texts["relevance"], F.concat_ws("; ", why, mood)), filled(texts["confidence"], two), filled(texts["source"], source))
     if supplied is None:
         return built
-    extended = F.concat(F.rtrim(supplied, F.lit(".")), F.lit(". Confianza: "), two, F.lit(". Fuente: "), source, F.lit("."))
+    extended = filled(texts["supplied"], F.rtrim(supplied, F.lit(".")), two, source)
     return F.when(supplied.isNotNull() & (supplied != ""), extended).otherwise(built)
 
 
 def alert_subject(severity: Column, direction: Column, assets: Column) -> Column:
     icon = lookup(severity, domain.SEVERITY_ICON, F.lit(domain.DEFAULT_ICON))
-    named = F.when(F.size(assets) > 0, F.array_join(assets, ", ")).otherwise("cartera")
-    return F.concat(icon, F.lit(" Alerta "), direction, F.lit(" ("), severity, F.lit(") — "), named)
+    named = F.when(F.size(assets) > 0, F.array_join(assets, ", ")).otherwise(domain.SUBJECT_NO_ASSETS)
+    return filled(domain.SUBJECT_TEXT, icon, direction, severity, named)
 
 
 def alert_body(alert: dict[str, Column]) -> Column:
     """Plain-text message of an alert, one fact per line."""
     two = "%.2f"
-    lines = (
-        F.concat(F.lit("ALERTA: "), alert["title"]),
-        F.lit(""),
-        F.concat(F.lit("Dirección: "), alert["direction"]),
-        F.concat(F.lit("Severidad: "), alert["severity_label"], F.lit(" ("), F.format_string(two, alert["severity"]), F.lit(")")),
-        F.concat(F.lit("Confianza: "), F.format_string(two, alert["confidence"])),
-        F.concat(F.lit("Activos: "), F.array_join(alert["assets"], ", ")),
-        F.concat(F.lit("Evento: "), alert["event_type"]),
-        F.concat(F.lit("Sentimiento: "), alert["sentiment"]),
-        F.lit(""),
-        F.concat(F.lit("Explicación: "), alert["explanation"]),
-        F.lit(""),
-        F.concat(F.lit("Fuente: "), alert["source"]),
-        F.concat(F.lit("URL: "), alert["url"]),
-    )
-    return F.concat_ws("\n", *lines)
+    facts = (alert["title"], alert["direction"], alert["severity_label"], F.format_string(two, alert["severity"]), F.format_string(two, alert["confidence"]),
+             F.array_join(alert["assets"], ", "), alert["event_type"], alert["sentiment"], alert["explanation"], alert["source"], alert["url"])
+    return F.concat_ws("\n", *[filled(line, *facts) for line in domain.BODY_LINES])

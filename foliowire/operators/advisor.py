@@ -6,14 +6,13 @@ aggregation works on at most a dozen rows per portfolio, however many assets one
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliowire import domain
 from foliowire.functions.scoring import canonical_region, canonical_sector, lookup, risk_profile
+from foliowire.functions.text import filled
 from foliowire.session import cut_lineage
 
 BALANCED, OVER, UNDER = "equilibrado", "sobreexpuesto", "infraexpuesto"  # fixed values
@@ -183,18 +182,13 @@ def warnings(base: DataFrame, profiles: DataFrame, sectors: DataFrame) -> DataFr
         return F.when(condition, F.struct(F.lit(name).alias("rule"), message.alias("message")))
 
     pct = F.format_string("%.0f", F.col("share") * 100)
+    texts, c = domain.WARNING_TEXTS, F.col
     found = F.array_compact(F.array(
-        rule(F.col("n_assets") < least_assets, "few_assets", F.concat(
-            F.lit("Tu cartera tiene "), "n_assets", F.lit(" activos. Para tu perfil ("), "risk_profile",
-            F.lit(") se recomiendan al menos "), least_assets, F.lit("."))),
-        rule(F.col("hhi") > 0.25, "concentration", F.concat(
-            F.lit("Alta concentración: "), "asset_id", F.lit(" representa el "), pct, F.lit("% de la cartera. Considera diversificar."))),
-        rule(F.col("over") != "", "over_sectors", F.concat(
-            F.lit("Sobreexposición significativa en: "), "over", F.lit(". Esto aumenta el riesgo sectorial."))),
-        rule(F.col("under") != "", "under_sectors", F.concat(
-            F.lit("Infrarrepresentación significativa en: "), "under", F.lit(". Podrías estar perdiéndote oportunidades de diversificación."))),
-        rule(F.col("n_regions") <= 1, "single_region", F.lit(
-            "Toda tu cartera está concentrada en una sola región geográfica. La diversificación geográfica reduce el riesgo país."))))
+        rule(c("n_assets") < least_assets, "few_assets", filled(texts["few_assets"], c("n_assets"), c("risk_profile"), least_assets)),
+        rule(c("hhi") > 0.25, "concentration", filled(texts["concentration"], c("asset_id"), pct)),
+        rule(c("over") != "", "over_sectors", filled(texts["over_sectors"], c("over"))),
+        rule(c("under") != "", "under_sectors", filled(texts["under_sectors"], c("under"))),
+        rule(c("n_regions") <= 1, "single_region", F.lit(texts["single_region"]))))
     return facts.select("portfolio_id", F.inline(found))
 
 
@@ -205,12 +199,6 @@ def overexposed_assets(holdings: DataFrame, sectors: DataFrame) -> DataFrame:
     return named.join(over, "portfolio_id").where(F.contains(F.lower("category"), F.lower("sector")))
 
 
-def _filled(template: str, *parts: Column) -> Column:
-    """A message text with its numbered gaps filled by columns."""
-    pieces = re.split(r"\{(\d)\}", template)
-    return F.concat(*[parts[int(p)].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(pieces) if k % 2 or p])
-
-
 def recommendations(holdings: DataFrame, base: DataFrame, profiles: DataFrame, sectors: DataFrame, regions: DataFrame) -> DataFrame:
     """Rule-based recommendations with their reasons: reduce, buy, cap, diversify, or hold where no rule applies.
 
@@ -230,7 +218,7 @@ def recommendations(holdings: DataFrame, base: DataFrame, profiles: DataFrame, s
         return F.format_string("%.0f", F.bround(value))
 
     def told(rule, what):
-        return _filled(text[rule], what, whole(F.col("current_pct")), whole(F.col("ideal_pct")), F.col("risk_profile"))
+        return filled(text[rule], what, whole(F.col("current_pct")), whole(F.col("ideal_pct")), F.col("risk_profile"))
 
     blank, medium, high, category = F.lit(""), F.lit("media"), F.lit("alta"), F.col("category")
     profiled = sectors.join(known, "portfolio_id")
@@ -242,7 +230,7 @@ def recommendations(holdings: DataFrame, base: DataFrame, profiles: DataFrame, s
     totals = _totals(base).where(F.col("squares") > F.col("total") * F.col("total") * 0.25).select("portfolio_id", "total").join(known, "portfolio_id")
     pct = F.col("weight") / F.col("total") * 100
     cap = rows(held.join(totals, "portfolio_id").where(pct > 25), "reducir", "position_cap", F.col("asset_id"), F.col("name"),
-               F.coalesce("sector", blank), high, _filled(text["position_cap"], F.col("asset_id"), whole(pct), blank, F.col("risk_profile")),
+               F.coalesce("sector", blank), high, filled(text["position_cap"], F.col("asset_id"), whole(pct), blank, F.col("risk_profile")),
                F.round(pct, 1), F.lit(15.0))
     abroad = rows(regions.join(known, "portfolio_id").where((F.col("status") == UNDER) & (F.col("diff_pct") < -15)), "comprar", "region_under", none,
                   F.concat(F.lit("ETF/Fondo de "), category), F.lit("Diversificación geográfica"), medium, told("region_under", category))
