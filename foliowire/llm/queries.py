@@ -69,4 +69,7 @@ def op10_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op4_cap_filters, op5_token_rows, op6_mixing_sources, op7_quality_classifier, op8_packing, op9_substring_dedup, op10_recurrent_scores)}
-SQL = {"op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY}
+SQL = {
+    "op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY, "op3_minhash": oracles.NEAR_DUPLICATES,
+    "op4_cap_filters": oracles.CAP_FILTERS, "op9_substring_dedup": oracles.SUBSTRINGS,
+}
