@@ -399,6 +399,23 @@ def _scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFr
     return docs.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>")
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent words, at most DICTIONARY, and the end.
+
+    A histogram of counts over a logarithmic grid of a few hundred cells gives the least count that is taken, so no
+    task sorts or gathers the word table.
+    """
+    cell = F.floor(F.log2("c") * 16).cast("int")
+    histogram = sorted(((r["cell"], r["n"]) for r in counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    taken, least = 0, None
+    for at, n in histogram:
+        if taken + n > DICTIONARY:
+            break
+        taken, least = taken + n, at
+    chosen = F.lit(False) if least is None else cell >= least
+    return counts.where(chosen | (F.col("word") == END))
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``."""
     doc_id = F.col("doc_id").cast("long")
@@ -406,8 +423,7 @@ def scores(docs: DataFrame) -> DataFrame:
     training = slim.where(~F.col("held_out"))
     counts = materialise(word_counts(training), "recurrent-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.orderBy(F.desc("c"), "word").limit(DICTIONARY)
-    frequent = frequent.union(counts.where(F.col("word") == END)).dropDuplicates(["word"]).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    frequent = _frequent(counts).toPandas().sort_values(["c", "word"], ascending=[False, True])
     shapes = counts.where(F.col("word") != END).groupBy("shape").agg(F.count("*").alias("n"), F.sum("c").alias("c")).toPandas()
     vocabulary = Vocabulary(frequent, shapes, int(totals[0]), int(totals[1]))
     network = trained(training, vocabulary)
