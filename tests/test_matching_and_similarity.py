@@ -168,3 +168,11 @@ def test_blend(spark):
         return spark.range(1).select(relevance.blend(F.lit(d), F.lit(s))).first()[0]
 
     assert score(0.95, 0.5) == pytest.approx(0.815) and score(0.5, 0.6) == pytest.approx(0.55) and score(0.0, 0.5) == pytest.approx(0.35)
+
+
+def test_bit_set_never_drops_a_member(spark, rows):
+    members = rows([(f"key{i}",) for i in range(300)], "k string")
+    holds = matching._bit_set(members)
+    assert members.where(holds(F.col("k"))).count() == 300
+    others = spark.range(5000).select(F.concat(F.lit("other"), "id").alias("k"))
+    assert others.where(holds(F.col("k"))).count() < 100

@@ -175,3 +175,12 @@ def test_bars_and_periods(rows):
     as_of = F.lit(dt.date(2024, 3, 20))
     counts = {p: prices.in_period(days, p, as_of).count() for p in ("max", "ytd", "1mo", "1y", "1d")}
     assert counts == {"max": 4, "ytd": 3, "1mo": 2, "1y": 4, "1d": 1}
+
+
+def test_calibration_uses_exact_scores(rows):
+    rng = np.random.default_rng(8)
+    x = 0.5 + np.sort(rng.random(60)) * 1e-5  # all alike in four decimals
+    y = np.sort(rng.random(60))
+    curve = {r["x"]: r["y"] for r in calibration.fit_curve(rows(list(zip(map(float, x), map(float, y))), "score double, abs_car double")).collect()}
+    fitted = pav(x, y)
+    assert curve[0.0] == pytest.approx(fitted[x[0]]) and curve[1.0] == pytest.approx(fitted[x[-1]]) and curve[0.0] < 0.2 < 0.8 < curve[1.0]

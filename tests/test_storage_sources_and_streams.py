@@ -284,3 +284,32 @@ def test_ingest_stream_drops_repeated_urls(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
     jobs.append_to(jobs.ingest(stream), str(tmp_path / "out")).awaitTermination()
     assert sorted(r["url"] for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / "rows")).collect()) == ["a", "b", "c"]
+
+
+def test_stored_alerts_keep_their_hour(rows):
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    ddl = "alert_id bigint, k string, created_at timestamp, is_duplicate boolean"
+    everything = rows([(m, "p", at(m), False) for m in (0, 10, 20, 59, 70, 80, 125)], ddl)
+    whole = limiter.first_per_anchored_hour(everything, "k", cap=2)
+    assert [r["alert_id"] for r in whole.orderBy("alert_id").collect()] == [0, 10, 70, 80]
+    first = limiter.first_per_anchored_hour(everything.where("alert_id < 20"), "k", cap=2)
+    later = limiter.first_per_anchored_hour(everything.where("alert_id >= 20"), "k", cap=2, stored=first)
+    assert [r["alert_id"] for r in later.orderBy("alert_id").collect()] == [70, 80]
+
+
+def test_alerts_in_batches_equal_alerts_at_once(spark, rows, tmp_path):
+    assets = rows([("P", 0, "AAPL", "Apple Inc.", ["iPhone"], "Technology", "US")],
+                  "portfolio_id string, pos bigint, ticker string, name string, aliases array<string>, sector string, country string")
+    texts = ["Apple lawsuit in court", "Apple faces a lawsuit in court", "iPhone recall and outage", "Apple merger and acquisition", "Nothing"]
+    news = rows([(i, "t", t, "s", [], dt.datetime(2024, 1, 1, 1, 10 * i)) for i, t in enumerate(texts)],
+                "news_id bigint, title string, text string, source string, orgs array<string>, published_at timestamp")
+    vectors = rows([(0, [1.0, 0.0]), (1, [0.99, 0.05]), (2, [0.0, 1.0]), (3, [-1.0, 0.2])], "news_id bigint, vector array<double>")
+    held = rows([("P", "AAPL", 0, [0.6, 0.8])], "portfolio_id string, ticker string, pos bigint, vector array<double>")
+    scores = {"vectors": vectors, "asset_vectors": held}
+    whole = {(r["news_id"], r["is_duplicate"]) for r in jobs.alert_batch(news, assets, cap=2, **scores).collect()}
+    assert (0, False) in whole and (1, True) in whole
+    run = jobs.alerting_batch(str(tmp_path / "store"), assets, cap=2, **scores)
+    for ident, part in enumerate(("news_id < 1", "news_id between 1 and 2", "news_id > 2")):
+        run(news.where(part), ident)
+    stored = spark.read.schema(jobs.ALERT_ROW).parquet(str(tmp_path / "store"))
+    assert {(r["news_id"], r["is_duplicate"]) for r in stored.collect()} == whole
