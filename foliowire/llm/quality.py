@@ -19,8 +19,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from foliowire.llm.common import WORD, materialise, small_side, split_words, unused
+from foliowire.llm.common import WORD, materialise, small_side, split_words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -70,10 +71,11 @@ def measure(text: str | None) -> tuple[int, ...]:
             repeated_words(words), len(lines), int(((raw >= 65) & (raw <= 90)).sum()))
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measured(batches: Iterator[pd.DataFrame], text: str = "text", keep: bool = False) -> Iterator[pd.DataFrame]:
+    """The counts of column ``text`` beside the other columns, and beside the text itself if it is kept."""
     for batch in batches:
-        values = np.array([measure(t) for t in batch["text"]], np.int64).reshape(-1, len(COUNTS))
-        yield pd.concat([batch.drop(columns="text"), pd.DataFrame(values, batch.index, COUNTS)], axis=1)
+        values = np.array([measure(t) for t in batch[text]], np.int64).reshape(-1, len(COUNTS))
+        yield pd.concat([batch if keep else batch.drop(columns=text), pd.DataFrame(values, batch.index, COUNTS)], axis=1)
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -174,12 +176,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     measured = materialise(measures(docs), "quality-measures")
     fences = materialise(thresholds(measured), "quality-fences")
-    whole = unused("whole_row", (*COUNTS, *LIMITS, "lang", "source", "base_failed", "kept"))
-    schema = f"{whole} {_row_type(docs)}, doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
-    beside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("doc_id").cast("long"),
-                         F.col("lang").cast("string"), F.col("source").cast("string"), "text")
-    return judged(beside.mapInPandas(_measured, schema), fences).where("kept").select(f"{whole}.*")
-
-
-def _row_type(docs: DataFrame) -> str:
-    return docs.schema.simpleString()
+    safe = [f"_c{k}" for k in range(len(docs.columns))]  # names that clash with no measure
+    named = dict(zip(docs.columns, safe))
+    beside = docs.toDF(*safe).select("*", *[F.col(named[c]).cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("source", "string"))])
+    schema = StructType([*beside.schema.fields, *[StructField(c, LongType()) for c in COUNTS]])
+    text = named["text"]
+    measured_beside = beside.mapInPandas(lambda batches: _measured(batches, text, True), schema)
+    return judged(measured_beside, fences).where("kept").select(*safe).toDF(*docs.columns)
