@@ -2,7 +2,7 @@
 
 Each round keeps at most as many edges as there were. Minima per node are aggregated with map-side combine and joined
 back to the edges in a plain equi-join, whose skewed partitions the planner splits, so a node with very many
-neighbours is no bottleneck. Every round is written to the shared folder.
+neighbours is no bottleneck. Every round is written to the shared folder, in files whose number follows the edges.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from foliowire.llm.common import materialise
 
 
+#: Edges that one file of a written round holds.
+EDGES_PER_FILE = 250_000
+
+
 def least_reachable(links: np.ndarray) -> np.ndarray:
     """For each row the least row reachable over the symmetric link matrix."""
     label = np.arange(len(links))
@@ -47,9 +51,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     start = edges.toDF("u", "v").where("u is not null and v is not null and u != v")
     current = materialise(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    files, state = current.count() // EDGES_PER_FILE + 1, None  # rounds never add edges
     while True:
-        current = materialise(_small_star(_large_star(current)), "edges")
+        current = materialise(_small_star(_large_star(current)).coalesce(files), "edges")
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
