@@ -50,14 +50,15 @@ def test_links_equal_brute_force(spark, monkeypatch, dimension):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
-def test_recall_on_pairs_at_the_cosine():
+@pytest.mark.parametrize("codewords", [64, 512, 1024])
+def test_recall_on_pairs_at_the_cosine(codewords):
     rng = np.random.default_rng(9)
-    threshold = capfilters.threshold_for(64)
+    threshold = capfilters.threshold_for(64, codewords)
     a, b = rng.standard_normal((2, 1000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    found = [len(np.intersect1d(x, y)) > 0 for x, y in zip(capfilters.exceeded(a, threshold), capfilters.exceeded(b, threshold))]
+    found = [len(np.intersect1d(x, y)) > 0 for x, y in zip(capfilters.exceeded(a, threshold, codewords), capfilters.exceeded(b, threshold, codewords))]
     assert np.mean(found) > 0.98
 
 
@@ -66,10 +67,10 @@ def test_list_decoding_finds_all_directions():
     v = rng.standard_normal((1, 16))
     v /= np.linalg.norm(v)
     expected = []
-    for number, (rotation, codes) in enumerate(capfilters.product_codes(16)):
+    for number, (rotation, codes) in enumerate(capfilters.product_codes(16, 1024)):
         left, right = (c @ part for c, part in zip(codes, np.split(v[0] @ rotation, [codes[0].shape[1]])))
-        expected += (np.flatnonzero((left[:, None] + right[None, :]).ravel() >= 0.75) + number * capfilters.CODEWORDS**2).tolist()
-    assert len(expected) > 3 and capfilters.exceeded(v, 0.75)[0].tolist() == expected
+        expected += (np.flatnonzero((left[:, None] + right[None, :]).ravel() >= 0.75) + number * 1024**2).tolist()
+    assert len(expected) > 3 and capfilters.exceeded(v, 0.75, 1024)[0].tolist() == expected
 
 
 def test_empty_table(spark):
