@@ -75,31 +75,31 @@ def _bit_set(values: DataFrame):
 
 
 def _probes(words: Column, longest: int, holds) -> Column:
-    """Distinct (first word, all words from there) of places where a key may begin."""
+    """Distinct stretches of ``longest`` words from places where a key may begin, as strings, which compare by hash."""
     n = F.size(words)
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: holds(F.element_at(words, i)))
-    found = F.transform(starts, lambda i: F.struct(F.element_at(words, i).alias("first"), F.slice(words, i, F.lit(longest)).alias("following")))
-    return F.when(n > 0, F.array_distinct(found)).otherwise(F.filter(found, lambda x: F.lit(False)))
+    found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(longest)), " "))
+    return F.when(n > 0, F.array_distinct(found))
 
 
 def keyed_words(keys: DataFrame) -> DataFrame:
-    """Keys with their first word and all their words."""
-    parts = F.split("key", " ")
-    return keys.withColumn("first", parts[0]).withColumn("parts", parts)
+    """Keys with their first word."""
+    return keys.withColumn("first", F.substring_index("key", " ", 1))
 
 
 def mentions(docs: DataFrame, keys: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
-    """(news_id, portfolio_id, ticker, key, weight, pos, kind): every key found in every whole text.
+    """(news_id, portfolio_id, ticker, key, weight, pos, kind): every key found in every whole text; rows may repeat.
 
     The driver sees the length of the longest key and the bit set. The join is left to the planner: it broadcasts keys
     only below its size threshold, and otherwise shuffles both sides with skewed words split at run time.
     """
     keyed = keyed_words(keys)
-    longest = keyed.agg(F.max(F.size("parts"))).first()[0] or 1
+    longest = keyed.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
     holds = _bit_set(keyed.select("first"))
     words = docs.select(id_col, tx.match_words(F.col(text_col)).alias("words"))
-    probes = words.select(id_col, F.inline(_probes(F.col("words"), longest, holds)))
-    found = probes.join(keyed, "first").where(F.slice("following", F.lit(1), F.size("parts")) == F.col("parts"))
+    probes = words.select(id_col, F.explode(_probes(F.col("words"), longest, holds)).alias("stretch"))
+    begun = probes.withColumn("first", F.substring_index("stretch", " ", 1))
+    found = begun.join(keyed, "first").where(F.startswith(F.concat("stretch", F.lit(" ")), F.concat("key", F.lit(" "))))
     return found.select(id_col, *keys.columns)
 
 
