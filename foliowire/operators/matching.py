@@ -60,16 +60,13 @@ def _bit_set(values: DataFrame):
 
     The driver sees at most ``FILTER_BITS`` small numbers.
     """
-    column = F.col(values.columns[0])
-    words = [0] * (FILTER_BITS // 64)
+    column, flags = F.col(values.columns[0]), bytearray(FILTER_BITS)
     for (bit,) in values.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")).distinct().collect():
-        words[bit >> 6] |= 1 << (bit & 63)
-    table = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("bigint") for w in words])
+        flags[bit] = 1
+    table, one = F.lit(bytes(flags)), F.lit(b"\x01")  # one literal, of which a look-up copies one byte
 
     def holds(value: Column) -> Column:
-        bit = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS)).cast("int")
-        word = F.get(table, F.call_function("shiftright", bit, F.lit(6)))
-        return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        return F.substr(table, F.pmod(F.xxhash64(value), F.lit(FILTER_BITS)).cast("int") + 1, F.lit(1)) == one
 
     return holds
 
@@ -96,8 +93,8 @@ def mentions(docs: DataFrame, keys: DataFrame, id_col: str = "news_id", text_col
     keyed = keyed_words(keys)
     longest = keyed.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
     holds = _bit_set(keyed.select("first"))
-    words = docs.select(id_col, tx.match_words(F.col(text_col)).alias("words"))
-    probes = words.select(id_col, F.explode(_probes(F.col("words"), longest, holds)).alias("stretch"))
+    stretches = tx.bind(tx.match_words(F.col(text_col)), lambda words: _probes(words, longest, holds))
+    probes = docs.select(id_col, F.explode(stretches).alias("stretch"))
     begun = probes.withColumn("first", F.substring_index("stretch", " ", 1))
     found = begun.join(keyed, "first").where(F.startswith(F.concat("stretch", F.lit(" ")), F.concat("key", F.lit(" "))))
     return found.select(id_col, *keys.columns)
