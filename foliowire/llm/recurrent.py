@@ -8,11 +8,11 @@ remaining words (ending, letters, length). A symbol's probability is that of its
 about equal shares of the text. A word that is not in the head has the probability of its shape symbol times its smoothed share among the words of that
 shape, where unseen words share the place of one. So the model is a proper distribution over words.
 
-Training. Every training document gives one window of two segments, cut from its text at a pseudorandom place; gradients stop at segment borders while the state is carried
-over. The windows are dealt to tasks that train from common weights; the mean of their weights, weighed by windows, starts the
-next round. Small corpora make more passes, up to a fixed number of windows.
+Training. Every training text is cut into consecutive windows of several segments, each of which is trained on; gradients stop at segment borders while the state is
+carried through the window. The windows are dealt to tasks that train from common weights; the mean of their weights, weighed by windows, starts the
+next round. Small corpora make more passes, up to a fixed number of segments.
 
-Scoring. Tasks run many documents in step, segment by segment, the state carried to the end of each. Words outside the dictionary meet
+Scoring. Texts are encoded once, for training and scoring. Tasks run many documents in step, segment by segment, the state carried to the end of each. Words outside the dictionary meet
 the count table in a join on the word; they are rare, so no key is hot among counted words, and the planner splits unseen ones.
 
 Defined results: a null text is empty and has its end token only; a null doc_id is held out; rows that repeat a doc_id
@@ -22,6 +22,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -37,18 +38,18 @@ from foliowire.llm.common import lower_ascii, materialise, split_words
 #: Words predicted one by one; frequent words whose counts every task knows; classes of the output.
 HEAD, DICTIONARY, CLASSES = 1024, 1 << 17, 32
 HIDDEN = 24
-#: Tokens of a segment; a training window has two.
-SEGMENT = 32
+#: Tokens of a segment, and segments of a training window.
+SEGMENT, SEGMENTS = 32, 16
 ROUNDS, BATCH, RATE = 2, 64, 0.004
-#: Characters from which a training window is read.
-WINDOW_CHARS = 1000
-#: Windows that one task trains on in a round, and windows a training makes at least by repetition.
-TASK_WINDOWS, LEAST_WINDOWS = 8192, 16384
+#: Windows that one task trains on in a round, and segments a training makes at least by repetition.
+TASK_WINDOWS, LEAST_SEGMENTS = 8192, 32768
 #: Distinct words a counting task holds, tokens a scoring task runs together.
 HELD_WORDS, HELD_TOKENS = 400_000, 6_000_000
 #: Weights that one row carries when weights are averaged.
 CHUNK = 8192
 END = ""  # no word is empty
+#: Symbols as they are stored.
+SYMBOL = np.dtype("<i2")
 
 
 def shape_of(word: str) -> int:
@@ -229,56 +230,64 @@ class Network:
         g["input"][symbols[first]] = np.add.reduceat(np.concatenate(added)[order], first, axis=0)
         return g, h
 
-    def train(self, windows: np.ndarray, passes: int) -> None:
-        """``windows``: rows of 2 * SEGMENT + 1 symbols, -1 beyond the end of a text."""
+    def train(self, windows: list[np.ndarray], passes: int) -> None:
+        """``windows``: symbols of consecutive tokens, the first of which is only read.
+
+        Windows run side by side in BATCH lanes; where one ends, the next begins with an empty state, also from one pass
+        to the next, so that lanes stay full.
+        """
         rng = np.random.default_rng(23)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         step = 0
-        for _ in range(passes):
-            order = rng.permutation(len(windows))
-            for s in range(0, len(order), BATCH):
-                own = windows[order[s:s + BATCH]].T
-                h = np.zeros((own.shape[1], HIDDEN), np.float32)
-                for half in range(2):
-                    x, y = own[half * SEGMENT:(half + 1) * SEGMENT], own[half * SEGMENT + 1:(half + 1) * SEGMENT + 1]
-                    valid = y >= 0
-                    if not valid.any():
-                        break
-                    g, h = self.segment_gradients(np.maximum(x, 0), np.maximum(y, 0), valid, h)
-                    step += 1
-                    size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                    for k, v in g.items():
-                        v = v * min(1.0, 1.0 / (size + 1e-9))
-                        first[k] += 0.1 * (v - first[k])
-                        second[k] += 0.01 * (v * v - second[k])
-                        self.w[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-
-
-def _windows(training: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """One training window per document, cut at a place given by its text."""
-    width = 2 * SEGMENT + 1
-
-    def run(batches):
-        number, symbol = vocabulary.number, vocabulary.symbol
-        for batch in batches:
-            out = []
-            for piece, whole_start, whole_end in zip(batch["piece"], batch["whole_start"], batch["whole_end"]):
-                words = words_of(piece)
-                # the symbol before the first word is the end of a text; words cut at the borders of the piece are left out
-                own = ([END, *words] if whole_start else words[1:])[:None if whole_end else -1]
-                own = ([*own, END] if whole_end else own)[:width] or [END]
-                row = np.full(width, -1, "<i2")
-                row[:len(own)] = [symbol[number[w]] if w in number else 1 + shape_of(w) if w else 0 for w in own]
-                out.append(row.tobytes())
-            yield pd.DataFrame({"window": out})
-
-    text = F.coalesce("text", F.lit(""))
-    spare = F.greatest(F.length(text) - WINDOW_CHARS, F.lit(0))
-    begin = F.pmod(F.xxhash64(text), spare + 1).cast("int")
-    pieces = training.select(text.alias("text"), begin.alias("begin"), spare.alias("spare")).select(
-        F.substr("text", F.col("begin") + 1, F.lit(WINDOW_CHARS)).alias("piece"), (F.col("begin") == 0).alias("whole_start"),
-        (F.col("begin") == F.col("spare")).alias("whole_end"))
-    return pieces.mapInPandas(run, "window binary")
+        counts = np.array([-(-(len(w) - 1) // SEGMENT) for w in windows])
+        ends = np.cumsum(counts)
+        # rows of SEGMENT + 1 symbols, -1 beyond the end of a window; neighbours share a symbol
+        segments = np.full((int(ends[-1]), SEGMENT + 1), -1, windows[0].dtype)
+        for w, n, e in zip(windows, counts, ends):
+            rows = segments[e - n:e]
+            rows[:, 0] = w[:-1:SEGMENT]
+            rows[:, 1:].flat[:len(w) - 1] = w[1:]
+        opens = np.zeros(len(segments), bool)
+        opens[ends - counts] = True
+        order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
+        h = np.zeros((BATCH, HIDDEN), np.float32)
+        for at in _lanes(order, ends - counts, counts):
+            h = np.where(opens[at, None], np.float32(0), h[:len(at)])
+            rows = segments[at].T.astype(np.int64)
+            x, y = rows[:-1], rows[1:]
+            g, h = self.segment_gradients(np.maximum(x, 0), np.maximum(y, 0), y >= 0, h)
+            step += 1
+            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            for k, v in g.items():
+                v = v * min(1.0, 1.0 / (size + 1e-9))
+                first[k] += 0.1 * (v - first[k])
+                second[k] += 0.01 * (v * v - second[k])
+                self.w[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+
+
+def _lanes(order: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """The segments that are read together, step by step: windows are laid into BATCH lanes, the longest lanes stand first."""
+    lanes, heap = [[] for _ in range(BATCH)], [(0, k) for k in range(BATCH)]
+    for i in order:
+        n, k = heap[0]
+        heapq.heapreplace(heap, (n + int(counts[i]), k))
+        lanes[k].append(np.arange(begins[i], begins[i] + counts[i]))
+    full = sorted((np.concatenate(lane) for lane in lanes if lane), key=len, reverse=True)
+    lengths = np.array([len(lane) for lane in full])
+    table = np.zeros((len(full), lengths[0]), np.int64)
+    for row, lane in zip(table, full):
+        row[:len(lane)] = lane
+    for t in range(lengths[0]):
+        yield table[:np.searchsorted(-lengths, -t, side="left"), t]
+
+
+def _windows(encoded: DataFrame) -> DataFrame:
+    """All training windows: texts cut into pieces of SEGMENTS segments that follow each other, each with the symbol before it."""
+    width = SEGMENT * SEGMENTS
+    last = F.floor((F.col("n_tokens") - 1) / width).cast("int")
+    pieces = encoded.where(~F.col("held_out")).select("symbols", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    begin = F.col("piece") * (width * SYMBOL.itemsize) + 1
+    return pieces.select("piece", F.substring("symbols", begin, F.lit((width + 1) * SYMBOL.itemsize)).alias("window"))
 
 
 def _training_from(start: np.ndarray, vocabulary: Vocabulary, passes: int):
@@ -286,7 +295,7 @@ def _training_from(start: np.ndarray, vocabulary: Vocabulary, passes: int):
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         own = Network(vocabulary).unpack(start)
-        own.train(np.frombuffer(b"".join(sorted(part["window"])), "<i2").reshape(len(part), -1).astype(np.int64), passes)
+        own.train([np.frombuffer(w, SYMBOL) for w in sorted(part["window"])], passes)
         flat = own.packed()
         return pd.DataFrame([(c, len(part), flat[s:s + CHUNK].tobytes()) for c, s in enumerate(range(0, len(flat), CHUNK))],
                             columns=["chunk", "n", "part"])
@@ -294,15 +303,16 @@ def _training_from(start: np.ndarray, vocabulary: Vocabulary, passes: int):
     return run
 
 
-def trained(training: DataFrame, vocabulary: Vocabulary) -> Network:
+def trained(encoded: DataFrame, vocabulary: Vocabulary) -> Network:
     """Weights averaged over tasks after each round."""
     network = Network(vocabulary)
-    windows = materialise(_windows(training, vocabulary), "recurrent-windows")
-    n = windows.count()
+    windows = _windows(encoded)
+    size = SEGMENT * SYMBOL.itemsize
+    n, segments = windows.agg(F.count("*"), F.sum(F.ceil((F.length("window") - SYMBOL.itemsize) / size))).first()
     if not n:
         return network
     tasks = max(1, round(n / ROUNDS / TASK_WINDOWS))
-    passes = max(1, round(LEAST_WINDOWS / n)) if n < LEAST_WINDOWS else 1
+    passes = max(1, round(LEAST_SEGMENTS / segments))
     dealt = windows.withColumn("turn", F.pmod(F.xxhash64("window"), F.lit(ROUNDS * tasks)).cast("int"))
 
     def mean(parts: pd.DataFrame) -> pd.DataFrame:
@@ -353,13 +363,12 @@ def run_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
-    """Per document what tasks know: counts, log10 sums, and the words outside the dictionary."""
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
+def _encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Per document its symbols behind an end, counts, log10 sums without the network, and the words outside the dictionary."""
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "rare", "symbols"]
 
     def run(batches):
         number, rare_shape = vocabulary.number, {}
-        held, symbols, size = [], [], 0
 
         def shape(word):
             known = rare_shape.get(word)
@@ -369,16 +378,14 @@ def _scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFr
                     rare_shape[word] = known
             return known
 
-        def flushed():
-            scores = run_documents(network, symbols)
-            return pd.DataFrame([(*h[:5], h[5] + s, h[6]) for h, s in zip(held, scores)], columns=columns).astype({"doc_id": "Int64"})
-
         for batch in batches:
-            for doc_id, out, text in zip(batch["doc_id"], batch["held_out"], batch["text"]):
+            out = []
+            for doc_id, held, text in zip(batch["doc_id"], batch["held_out"], batch["text"]):
                 words = [*words_of(text), END]
                 at = np.array(list(map(number.get, words, repeat(-1))), np.int64)
                 known = at >= 0
-                own = np.zeros(len(words), np.int16)
+                symbols = np.zeros(len(words) + 1, SYMBOL)  # every text follows an end
+                own = symbols[1:]
                 own[known] = vocabulary.symbol[at[known]]
                 base, inner = vocabulary.log_count[at[known]].sum(), vocabulary.log_share[at[known]].sum()
                 unknown = np.flatnonzero(~known)
@@ -387,16 +394,40 @@ def _scored(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFr
                 shapes = np.array([shape(w) for w in rare], np.int64)
                 own[unknown[:len(rare)]] = 1 + shapes
                 inner -= vocabulary.log_shape[shapes].sum()
-                held.append((doc_id, out, len(words), int(known.sum()), base - len(words) * vocabulary.log_all, inner, rare))
-                symbols.append(own)
-                size += len(words)
+                out.append((doc_id, held, len(words), int(known.sum()), base - len(words) * vocabulary.log_all, inner, rare, symbols.tobytes()))
+            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, rare array<string>, symbols binary"
+    return docs.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _scored(encoded: DataFrame, network: Network) -> DataFrame:
+    """The encoded documents without symbols and words, and what the network gives."""
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "row"]
+
+    def run(batches):
+        held, symbols, size = [], [], 0
+
+        def flushed():
+            scored = pd.concat(held).assign(score=run_documents(network, symbols))
+            return scored.assign(score=scored["score"] + scored["inner"]).drop(columns="inner").astype({"doc_id": "Int64"})
+
+        for batch in batches:
+            # rows are dealt out so that no more than HELD_TOKENS and one text run together
+            begin = 0
+            for k, own in enumerate(batch["symbols"]):
+                symbols.append(np.frombuffer(own, SYMBOL)[1:])
+                size += len(symbols[-1])
                 if size >= HELD_TOKENS:
+                    held.append(batch[columns][begin:k + 1])
                     yield flushed()
-                    held, symbols, size = [], [], 0
-        if held:
+                    held, symbols, size, begin = [], [], 0, k + 1
+            held.append(batch[columns][begin:])
+        if symbols:
             yield flushed()
 
-    return docs.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>")
+    return encoded.select(*columns, "symbols").mapInPandas(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, row long, score double")
 
 
 def _frequent(counts: DataFrame) -> DataFrame:
@@ -426,19 +457,17 @@ def scores(docs: DataFrame) -> DataFrame:
     frequent = _frequent(counts).toPandas().sort_values(["c", "word"], ascending=[False, True])
     shapes = counts.where(F.col("word") != END).groupBy("shape").agg(F.count("*").alias("n"), F.sum("c").alias("c")).toPandas()
     vocabulary = Vocabulary(frequent, shapes, int(totals[0]), int(totals[1]))
-    network = trained(training, vocabulary)
-    rows = _scored(slim, vocabulary, network).withColumn("row", F.monotonically_increasing_id())
-    scored = materialise(rows, "recurrent-scores")
-    return _with_rare(scored, counts, vocabulary)
+    encoded = materialise(_encoded(slim, vocabulary), "recurrent-symbols")
+    return _with_rare(_scored(encoded, trained(encoded, vocabulary)), encoded, counts, vocabulary)
 
 
-def _with_rare(scored: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def _with_rare(scored: DataFrame, encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Add the words outside the dictionary by a join with the count table."""
-    words = scored.select("row", F.explode("rare").alias("word"))
+    words = encoded.select("row", F.explode("rare").alias("word"))
     found = words.join(counts.select("word", "c"), "word", "left")
     sums = found.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.count("c").alias("counted"))
     logs, counted = F.coalesce("logs", F.lit(0.0)), F.coalesce("counted", F.lit(0))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + counted).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))

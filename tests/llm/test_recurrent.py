@@ -103,3 +103,39 @@ def test_no_training_documents_and_empty_table(spark, documents):
     assert recurrent.scores(documents([])).count() == 0
     got = recurrent.scores(documents([(None, "a b"), (None, None)])).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 0, 0), (3, 0, 0)] and all(np.isfinite(r.score) for r in got)
+
+
+def test_training_windows_hold_every_token_of_every_training_text(spark, documents):
+    import pandas as pd
+
+    rows = [(k, t) for k, t in corpus() if k is not None and not zlib.crc32(str(k).encode()) % 5 == 1]
+    rows += [(k, prose(k, 1500, 60)) for k in range(2000, 2012) if not zlib.crc32(str(k).encode()) % 5 == 1]
+    count = Counter(w for _, t in rows for w in [*recurrent.words_of(t), ""])
+    counts = pd.DataFrame([(w, recurrent.shape_of(w) if w else -1, c) for w, c in count.items()], columns=["word", "shape", "c"]).sort_values(["c", "word"], ascending=[False, True])
+    shapes = counts[counts.word != ""].groupby("shape").agg(n=("c", "size"), c=("c", "sum")).reset_index()
+    v = recurrent.Vocabulary(counts, shapes, int(counts.c.sum()), len(counts))
+    docs = documents(rows).selectExpr("doc_id", "false as held_out", "text")
+    windows = [np.frombuffer(w.window, recurrent.SYMBOL) for w in recurrent._windows(recurrent._encoded(docs, v)).collect()]
+    assert all(1 < len(w) <= recurrent.SEGMENT * recurrent.SEGMENTS + 1 for w in windows)
+    targets = Counter(int(s) for w in windows for s in w[1:])
+    assert targets == Counter({int(s): int(counts.c[v.symbol == s].sum()) for s in np.unique(v.symbol)})
+    assert sum(targets.values()) == sum(count.values()) > 15_000
+
+
+def test_training_carries_the_state_through_a_window(monkeypatch):
+    v, _ = vocabulary(monkeypatch)
+    network, rng = recurrent.Network(v), np.random.default_rng(5)
+    windows = [rng.integers(0, v.symbols, n).astype(recurrent.SYMBOL) for n in [2, 33, 34, 65, 513, 513, 300] * 30]
+    seen, expected, fresh = Counter(), Counter(tuple(int(s) for s in w[a:a + 33]) for w in windows for a in range(0, len(w) - 1, 32)), 0
+
+    def segment_gradients(self, x, y, valid, h):
+        nonlocal fresh
+        for k in range(x.shape[1]):
+            n = int(valid[:, k].sum())
+            seen[(int(x[0, k]), *map(int, y[:n, k]))] += 1
+        fresh += int((h == 0).all(axis=1).sum())
+        return {k: np.zeros_like(w) for k, w in self.w.items()}, h + 1
+
+    monkeypatch.setattr(recurrent.Network, "segment_gradients", segment_gradients)
+    network.train(windows, 1)
+    assert seen == expected and fresh == len(windows)
