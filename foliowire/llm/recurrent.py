@@ -9,7 +9,7 @@ about equal shares of the text. A word that is not in the head has the probabili
 shape, where unseen words share the place of one. So the model is a proper distribution over words.
 
 Training. Every training text is cut into consecutive windows of several segments, each of which is trained on; gradients stop at segment borders while the state is
-carried through the window. The windows are dealt to tasks that train from common weights; the mean of their weights, weighed by windows, starts the
+carried through the window. The windows are dealt by row to tasks that train from common weights; the mean of their weights, weighed by windows, starts the
 next round. Small corpora make more passes, up to a fixed number of segments.
 
 Scoring. Texts are encoded once, for training and scoring. Tasks run many documents in step, segment by segment, the state carried to the end of each. Words outside the dictionary meet
@@ -285,9 +285,15 @@ def _windows(encoded: DataFrame) -> DataFrame:
     """All training windows: texts cut into pieces of SEGMENTS segments that follow each other, each with the symbol before it."""
     width = SEGMENT * SEGMENTS
     last = F.floor((F.col("n_tokens") - 1) / width).cast("int")
-    pieces = encoded.where(~F.col("held_out")).select("symbols", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = encoded.where(~F.col("held_out")).select("row", "symbols", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     begin = F.col("piece") * (width * SYMBOL.itemsize) + 1
-    return pieces.select("piece", F.substring("symbols", begin, F.lit((width + 1) * SYMBOL.itemsize)).alias("window"))
+    return pieces.select("row", "piece", F.substring("symbols", begin, F.lit((width + 1) * SYMBOL.itemsize)).alias("window"))
+
+
+def _dealt(windows: DataFrame, tasks: int) -> DataFrame:
+    """The windows with their turn, given by the place of the window and not by its text: copies are spread evenly."""
+    turn = F.pmod(F.xxhash64("row", "piece"), F.lit(ROUNDS * tasks)).cast("int")
+    return windows.select("window", turn.alias("turn"))
 
 
 def _training_from(start: np.ndarray, vocabulary: Vocabulary, passes: int):
@@ -313,7 +319,7 @@ def trained(encoded: DataFrame, vocabulary: Vocabulary) -> Network:
         return network
     tasks = max(1, round(n / ROUNDS / TASK_WINDOWS))
     passes = max(1, round(LEAST_SEGMENTS / segments))
-    dealt = windows.withColumn("turn", F.pmod(F.xxhash64("window"), F.lit(ROUNDS * tasks)).cast("int"))
+    dealt = _dealt(windows, tasks)
 
     def mean(parts: pd.DataFrame) -> pd.DataFrame:
         stacked = np.array([np.frombuffer(p, np.float32) for p in parts["part"]], np.float64)

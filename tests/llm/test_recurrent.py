@@ -139,3 +139,16 @@ def test_training_carries_the_state_through_a_window(monkeypatch):
     monkeypatch.setattr(recurrent.Network, "segment_gradients", segment_gradients)
     network.train(windows, 1)
     assert seen == expected and fresh == len(windows)
+
+
+def test_copies_are_dealt_over_all_turns(spark, documents):
+    import pandas as pd
+
+    rows = [(k, None if k % 2 else "the same text") for k in range(4000)]
+    counts = pd.DataFrame([("", -1, 4000)] + [(w, recurrent.shape_of(w), 2000) for w in ("the", "same", "text")], columns=["word", "shape", "c"])
+    shapes = counts[counts.word != ""].groupby("shape").agg(n=("c", "size"), c=("c", "sum")).reset_index()
+    v = recurrent.Vocabulary(counts, shapes, 10_000, 4)
+    docs = documents(rows).selectExpr("doc_id", "false as held_out", "text")
+    dealt = recurrent._dealt(recurrent._windows(recurrent._encoded(docs, v)), 10)
+    sizes = [r["count"] for r in dealt.groupBy("turn").count().collect()]
+    assert len(sizes) == 10 * recurrent.ROUNDS and sum(sizes) == 4000 and max(sizes) < 2 * min(sizes)
