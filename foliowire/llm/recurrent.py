@@ -45,6 +45,8 @@ ROUNDS, BATCH, RATE = 2, 64, 0.004
 TASK_WINDOWS, LEAST_SEGMENTS = 8192, 32768
 #: Distinct words a counting task holds, tokens a scoring task runs together.
 HELD_WORDS, HELD_TOKENS = 400_000, 6_000_000
+#: Predictions computed together.
+BLOCK = 4096
 #: Weights that one row carries when weights are averaged.
 CHUNK = 8192
 END = ""  # no word is empty
@@ -130,13 +132,18 @@ class Vocabulary:
             self.within[m] = np.arange(len(m))
 
 
-def _softmax_log(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of each row, in place, and the logarithm of its value at the target."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), targets]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    return x, own - np.log(total)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    return 1 / (1 + np.exp(-np.maximum(x, -60)))
 
 
 class Network:
@@ -172,63 +179,76 @@ class Network:
         c = np.tanh(a[:, 2 * n:] + r * s[:, 2 * n:])
         return c + z * (h - c), (h, z, r, c, s[:, 2 * n:])
 
+    def _by_class(self, h: np.ndarray, y: np.ndarray) -> tuple:
+        """Rows in the order of their classes: the order, states, classes, places within classes, and (class, members, rows) of classes of several words."""
+        order = np.argsort(self.v.class_of[y], kind="stable")
+        y = y[order]
+        classes = self.v.class_of[y]
+        borders = np.searchsorted(classes, np.arange(len(self.v.members) + 1))
+        parts = [(c, m, slice(borders[c], borders[c + 1])) for c, m in enumerate(self.v.members) if borders[c] < borders[c + 1] and len(m) > 1]
+        return order, h[order], classes, self.v.within[y], parts
+
     def log_probabilities(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of symbols ``y`` in states ``h``."""
-        classes = self.v.class_of[y]
-        out = _softmax_log(h @ self.w["class"] + self.w["class_b"])[np.arange(len(y)), classes]
-        order = np.argsort(classes, kind="stable")
-        borders = np.searchsorted(classes[order], np.arange(len(self.v.members) + 1))
-        for c, m in enumerate(self.v.members):
-            at = order[borders[c]:borders[c + 1]]
-            if len(at) and len(m) > 1:
-                out[at] += _softmax_log(h[at] @ self.w["word"][m].T + self.w["word_b"][m])[np.arange(len(at)), self.v.within[y[at]]]
+        out = np.empty(len(y), h.dtype)
+        for s in range(0, len(y), BLOCK):
+            order, states, classes, within, parts = self._by_class(h[s:s + BLOCK], y[s:s + BLOCK])
+            logs = _softmax(states @ self.w["class"] + self.w["class_b"], classes)[1]
+            for _, m, at in parts:
+                logs[at] += _softmax(states[at] @ self.w["word"][m].T + self.w["word_b"][m], within[at])[1]
+            out[s + order] = logs
         return out
 
     def segment_gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss over one segment (arrays of steps by documents) and the state after it."""
         n, (steps, width) = HIDDEN, x.shape
-        states, kept = [], []
+        kind, state = self.w["state"].dtype, self.w["state"]
+        inputs = self.w["input"][x] + self.w["bias"]
+        states, gates = np.empty((steps + 1, width, n), kind), np.empty((steps, width, 2 * n), kind)
+        c, sn = (np.empty((steps, width, n), kind) for _ in range(2))
+        states[0] = h
         for t in range(steps):
-            h, k = self.step(x[t], h)
-            kept.append(k)
-            states.append(h)
+            s = states[t] @ state
+            gates[t] = _sigmoid(inputs[t, :, :2 * n] + s[:, :2 * n])
+            sn[t] = s[:, 2 * n:]
+            c[t] = np.tanh(inputs[t, :, 2 * n:] + gates[t, :, n:] * sn[t])
+            states[t + 1] = c[t] + gates[t, :, :n] * (states[t] - c[t])
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
-        flat, target, weight = np.concatenate(states), y.ravel(), valid.ravel().astype(np.float32) / max(valid.sum(), 1)
-        classes = self.v.class_of[target]
-        p = np.exp(_softmax_log(flat @ self.w["class"] + self.w["class_b"]))
+        order, flat, classes, within, parts = self._by_class(states[1:].reshape(-1, n), y.ravel())
+        weight = (valid.ravel()[order] / max(valid.sum(), 1)).astype(kind)[:, None]
+        p = _softmax(flat @ self.w["class"] + self.w["class_b"], classes)[0]
         p[np.arange(len(p)), classes] -= 1
-        p *= weight[:, None]
+        p *= weight
         g["class"], g["class_b"] = flat.T @ p, p.sum(axis=0)
-        d = p @ self.w["class"].T
-        order = np.argsort(classes, kind="stable")
-        borders = np.searchsorted(classes[order], np.arange(len(self.v.members) + 1))
-        for c, m in enumerate(self.v.members):
-            at = order[borders[c]:borders[c + 1]]
-            if len(at) and len(m) > 1:
-                q = np.exp(_softmax_log(flat[at] @ self.w["word"][m].T + self.w["word_b"][m]))
-                q[np.arange(len(at)), self.v.within[target[at]]] -= 1
-                q *= weight[at][:, None]
-                g["word"][m], g["word_b"][m] = q.T @ flat[at], q.sum(axis=0)
-                d[at] += q @ self.w["word"][m]
+        by_class = p @ self.w["class"].T
+        for _, m, at in parts:
+            words = self.w["word"][m]
+            q = _softmax(flat[at] @ words.T + self.w["word_b"][m], within[at])[0]
+            q[np.arange(len(q)), within[at]] -= 1
+            q *= weight[at]
+            g["word"][m], g["word_b"][m] = q.T @ flat[at], q.sum(axis=0)
+            by_class[at] += q @ words
+        d = np.empty_like(by_class)
+        d[order] = by_class
         d = d.reshape(steps, width, n)
-        carried, added = np.zeros((width, n), np.float32), [None] * steps
+        # what a change of the state is worth for the three gates, seen from the state before
+        before, z, r = states[:-1], gates[:, :, :n], gates[:, :, n:]
+        to_c = (1 - z) * (1 - c * c)
+        factors = np.stack([(before - c) * z * (1 - z), to_c * sn * r * (1 - r), to_c * r], axis=2)
+        ds, back = np.empty((steps, width, 3 * n), kind), state.T.copy()
         for t in reversed(range(steps)):
-            before, z, r, c, sn = kept[t]
-            dh = d[t] + carried
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * sn * r * (1 - r)
-            da = np.concatenate([dz, dr, dc], axis=1)
-            ds = np.concatenate([dz, dr, dc * r], axis=1)
-            added[t] = da
-            g["bias"] += da.sum(axis=0)
-            g["state"] += before.T @ ds
-            carried = dh * z + ds @ self.w["state"].T
+            np.multiply(d[t, :, None], factors[t], out=ds[t].reshape(width, 3, n))
+            if t:
+                d[t - 1] += d[t] * z[t] + ds[t] @ back
+        g["state"] = before.reshape(-1, n).T @ ds.reshape(-1, 3 * n)
+        ds[:, :, 2 * n:] = d * to_c
+        added = ds.reshape(-1, 3 * n)
+        g["bias"] = added.sum(axis=0)
         order = np.argsort(x.ravel(), kind="stable")
         symbols = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-        g["input"][symbols[first]] = np.add.reduceat(np.concatenate(added)[order], first, axis=0)
-        return g, h
+        g["input"][symbols[first]] = np.add.reduceat(added[order], first, axis=0)
+        return g, states[-1]
 
     def train(self, windows: list[np.ndarray], passes: int) -> None:
         """``windows``: symbols of consecutive tokens, the first of which is only read.
@@ -257,7 +277,7 @@ class Network:
             x, y = rows[:-1], rows[1:]
             g, h = self.segment_gradients(np.maximum(x, 0), np.maximum(y, 0), y >= 0, h)
             step += 1
-            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            size = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
             for k, v in g.items():
                 v = v * min(1.0, 1.0 / (size + 1e-9))
                 first[k] += 0.1 * (v - first[k])
