@@ -9,7 +9,8 @@ A window is a fixed number of consecutive words. Every word covered by a window
    passages known for its documents, streams the documents through it, and every occurrence found is removed.
 
 Counting works on packed arrays. A task reports a hash at most once, however often it occurs there, so a passage that
-stands in a third of all documents reaches the counting task once per reporting task. Hashes are dealt over parts
+stands in a third of all documents reaches the counting task once per reporting task. Its places need no counting then and are
+dealt by document, not by hash. Hashes are dealt over parts
 whose number follows the size of the corpus, so a part fits into memory. Phrases are identified by 64-bit hashes, which
 can only add candidates, and windows by 96 bits.
 
@@ -113,7 +114,7 @@ class Reporter:
     """Gathers the hashes of a task's documents and turns them into report rows.
 
     A hash that occurs more than once here is known to recur: its places are reported as found, and one bare entry
-    tells the counting task about it. Places follow each other within a document, so only their differences are written.
+    tells the counting task about it. Found places are dealt by document, so those of a hot hash spread. Places follow each other within a document, so only their differences are written.
     """
 
     def __init__(self, parts: int):
@@ -134,8 +135,9 @@ class Reporter:
         part, hashes, more, ids, crcs, places = (np.concatenate(c) for c in zip(*self.held))
         self.held, self.size = [], 0
         twice, first = _repeated(hashes, more)
+        document = (_spread((ids.astype(np.uint64) ^ crcs) * _GOLDEN) % np.uint64(self.parts)).astype(np.int32)
         rows = []
-        for kind, mine in ((ONCE, ~twice), (TOLD, twice & first), (KNOWN, twice)):
+        for kind, mine, part in ((ONCE, ~twice, part), (TOLD, twice & first, part), (KNOWN, twice, document)):
             at = np.flatnonzero(mine)
             at = at[np.argsort(part[at], kind="stable")]
             borders = np.flatnonzero(np.diff(part[at], prepend=-1))
@@ -174,7 +176,7 @@ def _runs_of(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray) -> pd.DataFr
 
 
 def _counted(reports: pd.DataFrame) -> pd.DataFrame:
-    """The places, by document, of the hashes of one part that recur."""
+    """The places, by document, of the hashes of one part that recur, and the found places of the documents of that part."""
     kinds = reports["kind"].to_numpy()
     join = lambda column, dtype, kind: np.frombuffer(b"".join(reports.loc[kinds == kind, column]), dtype)
 

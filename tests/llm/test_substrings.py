@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest_llm import prose
 
@@ -53,3 +55,20 @@ def test_texts_lose_the_removed_words_only(spark, documents):
 
 def test_empty_table(spark, documents):
     assert substrings.removals(documents([])).count() == 0 == substrings.without_repeats(documents([])).count()
+
+
+def test_found_places_of_a_hot_hash_are_dealt_by_document():
+    n, parts = 20_000, 10
+    reporter = substrings.Reporter(parts)
+    ids, crcs = np.arange(n, dtype=np.int64), np.full(n, 7, np.uint32)
+    hot = np.full(n, 12345, np.uint64)
+    assert not list(reporter.add(ids, crcs, hot, hot, np.zeros(n, np.uint32), np.arange(n) % 50))
+    reports = reporter.report()
+    known = reports[reports["kind"] == substrings.KNOWN]
+    sizes = known["ids"].map(len) // 8
+    assert known["part"].nunique() == parts and sizes.sum() == n and sizes.max() < 2 * n // parts
+    told = reports[reports["kind"] == substrings.TOLD]
+    assert len(told) == 1 and len(told["hashes"].iloc[0]) == 8
+    found = pd.concat([substrings._counted(r) for _, r in reports.groupby("part")])
+    assert sorted(found["id"]) == list(range(n))
+    assert all(np.frombuffer(p, "<u4").tolist() == [i % 50, 1] for i, p in zip(found["id"], found["places"]))
