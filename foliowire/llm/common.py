@@ -36,15 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it again.
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it again; ``options`` go to the writer.
 
     Cuts the lineage so that a lost executor repeats only the tasks it held, and unlike a checkpoint keeps the
     columns compressed and prunable.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -266,7 +266,7 @@ def archived(pages: DataFrame, path: str | None = None, least_bytes: int = 0, ch
     """Write pages as archives below ``path`` (a fresh folder in the shared one if not given) and return it."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "archives")
-    chunks = materialise(chunk_table(pages, chunk_bytes=chunk_bytes), "warc-chunks")
+    chunks = materialise(chunk_table(pages, chunk_bytes=chunk_bytes), "warc-chunks", compression="zstd")
     write_archives(chunks, materialise(decided(chunks, least_bytes), "warc-records"), path, chunk_bytes=chunk_bytes)
     return path
 
