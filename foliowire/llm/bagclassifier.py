@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliowire.llm.common import map_frames
+
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 4000
 CUT = 0.3
@@ -166,8 +168,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> BagModel:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "bag": [passage_measures(t).tobytes() for t in batch["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").mapInPandas(measured, "doc_id long, quality int, bag binary").toPandas()
-    rows = rows.sort_values(["doc_id", "bag"], kind="stable").head(SAMPLE_DOCS)
+    bags = texts.join(F.broadcast(sample), "doc_id").mapInPandas(measured, "doc_id long, quality int, bag binary")
+    rows = bags.groupBy("doc_id", "quality").agg(F.min("bag").alias("bag")).toPandas().sort_values("doc_id")  # one of the rows that repeat an id
     bags = [np.frombuffer(b, np.float32).reshape(-1, MEASURES) for b in rows["bag"]]
     return BagModel().fit(bags, rows["quality"].to_numpy(np.float64))
 
@@ -183,5 +185,5 @@ def scored(docs: DataFrame, model: BagModel) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     slim = docs.select(doc_id.alias("doc_id"), held_out(doc_id, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = slim.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    out = map_frames(slim, run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from foliowire.session import scratch_path
 
@@ -48,6 +53,25 @@ def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Whole numbers beside nulls, which plain pandas columns would turn into floating point.
+_EXACT = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
+
+def map_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
+    """mapInPandas that keeps whole numbers exact beside nulls, in the columns a function reads and in those it passes on.
+
+    Columns are matched by name. Rows built one by one go into frames of objects, which keep None and integers apart.
+    """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    written = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in function(b.to_pandas(types_mapper=_EXACT.get if any(c.null_count for c in b.columns) else None) for b in batches):
+            yield pa.RecordBatch.from_pandas(frame, schema=written, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def small_side(df: DataFrame, row_limit: int = 20_000) -> DataFrame:
     """Mark a written table for broadcast if its row count is within the limit; else leave the join to the planner."""
     return F.broadcast(df) if df.limit(row_limit + 1).count() <= row_limit else df

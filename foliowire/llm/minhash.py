@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliowire.llm.common import lower_ascii, materialise, split_words, unused
+from foliowire.llm.common import lower_ascii, map_frames, materialise, split_words, unused
 from foliowire.llm.components import components, least_reachable
 
 SHINGLE_WORDS = 4
@@ -110,7 +110,7 @@ def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             s = shingles(hashes.of(words))
             out.append((doc_id, _text_digest(words), len(s), signature(s).astype("<u4").tobytes()))
-        yield pd.DataFrame(out, columns=["doc_id", "digest", "n_shingles", "signature"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "digest", "n_shingles", "signature"], dtype=object)
 
 
 def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,7 +255,7 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = materialise(slim.mapInPandas(_sized, "doc_id long, digest binary, n_shingles long, signature binary"), "minhash-sized")
+    sized = materialise(map_frames(slim, _sized, "doc_id long, digest binary, n_shingles long, signature binary"), "minhash-sized")
     known = sized.where("doc_id is not null and digest is not null")
     # equal texts become one node, named by their least doc_id; all share one signature
     nodes = materialise(known.groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("a")).select(

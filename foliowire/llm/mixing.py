@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowire.llm.common import WORD, WORD_PATTERN, materialise, unused
+from foliowire.llm.common import WORD, WORD_PATTERN, map_frames, materialise, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -197,8 +197,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             batch["text"] = [_cut(t, s) for t, s in zip(batch["text"], batch[spans])]
             yield batch
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields)
-    out = both.mapInPandas(cut, schema)
+    out = map_frames(both, cut, both.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

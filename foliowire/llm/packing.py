@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from foliowire.llm.common import map_frames
 from foliowire.llm.tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -154,7 +155,7 @@ def pack_tiers(docs: DataFrame, tokenizer: str, tiers: tuple = TIERS, end: int =
                         sequences += 1
                     groups += 1
             if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -172,4 +173,4 @@ def pack_tiers(docs: DataFrame, tokenizer: str, tiers: tuple = TIERS, end: int =
             ready[tier].append(window)
         yield from emitted(True)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(run, PIECES)
+    return map_frames(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, PIECES)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foliowire.llm.common import WORD, materialise, small_side, split_words
+from foliowire.llm.common import WORD, map_frames, materialise, small_side, split_words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -82,7 +82,7 @@ def measures(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, lang, source and the counts, without the text."""
     kept = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text")
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
-    return kept.mapInPandas(_measured, schema)
+    return map_frames(kept, _measured, schema)
 
 
 def base_failed():
@@ -181,5 +181,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     beside = docs.toDF(*safe).select("*", *[F.col(named[c]).cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("source", "string"))])
     schema = StructType([*beside.schema.fields, *[StructField(c, LongType()) for c in COUNTS]])
     text = named["text"]
-    measured_beside = beside.mapInPandas(lambda batches: _measured(batches, text, True), schema)
+    measured_beside = map_frames(beside, lambda batches: _measured(batches, text, True), schema)
     return judged(measured_beside, fences).where("kept").select(*safe).toDF(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowire.llm.bagclassifier import held_out
-from foliowire.llm.common import lower_ascii, materialise, split_words
+from foliowire.llm.common import lower_ascii, map_frames, materialise, split_words
 
 #: Words predicted one by one; frequent words whose counts every task knows; classes of the output.
 HEAD, DICTIONARY, CLASSES = 1024, 1 << 17, 32
@@ -421,10 +421,10 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 own[unknown[:len(rare)]] = 1 + shapes
                 inner -= vocabulary.log_shape[shapes].sum()
                 out.append((doc_id, held, len(words), int(known.sum()), base - len(words) * vocabulary.log_all, inner, rare, symbols.tobytes()))
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, rare array<string>, symbols binary"
-    return docs.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id())
+    return map_frames(docs, run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def _scored(encoded: DataFrame, network: Network) -> DataFrame:
@@ -436,7 +436,7 @@ def _scored(encoded: DataFrame, network: Network) -> DataFrame:
 
         def flushed():
             scored = pd.concat(held).assign(score=run_documents(network, symbols))
-            return scored.assign(score=scored["score"] + scored["inner"]).drop(columns="inner").astype({"doc_id": "Int64"})
+            return scored.assign(score=scored["score"] + scored["inner"]).drop(columns="inner")
 
         for batch in batches:
             # rows are dealt out so that no more than HELD_TOKENS and one text run together
@@ -452,8 +452,8 @@ def _scored(encoded: DataFrame, network: Network) -> DataFrame:
         if symbols:
             yield flushed()
 
-    return encoded.select(*columns, "symbols").mapInPandas(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, row long, score double")
+    return map_frames(
+        encoded.select(*columns, "symbols"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, row long, score double")
 
 
 def _frequent(counts: DataFrame) -> DataFrame:

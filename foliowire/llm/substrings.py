@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliowire.llm.common import WORD, materialise, split_words, unused
+from foliowire.llm.common import WORD, map_frames, materialise, split_words, unused
 from foliowire.llm.minhash import WordHashes, _spread
 
 WINDOW = 35
@@ -347,9 +347,9 @@ def removals(docs: DataFrame) -> DataFrame:
                 if gone is not None:
                     kept = " ".join(w for w, g in zip(kept.split(" "), gone) if not g)
                 out.append((None if doc_id == _NO_ID else doc_id, n, 0 if gone is None else int(gone.sum()), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"], dtype=object)
 
-    return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_frames(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _cut(text: str, gone: np.ndarray) -> str:
@@ -375,7 +375,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts = [text if gone is None else _cut(text, gone) for shard in _sharded(rows) for _, text, _, _, gone in shard]
             yield batch.assign(text=texts)[columns]
 
-    out = joined.mapInPandas(run, docs.schema)
+    out = map_frames(joined, run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

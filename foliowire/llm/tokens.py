@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from foliowire.llm.common import map_frames
+
 ROW_TOKENS = 2048
 #: Tokens a task gathers before it packs.
 BATCH_TOKENS = 4 << 20
@@ -135,7 +137,7 @@ def _packed_rows(pieces: list, first_row: int, capacity: int, pad: int) -> pd.Da
             positions[at:at + len(p[3])] = np.arange(len(p[3]))
         out.append((first_row + k, ids.tobytes(), int(ends[-1]), ends.tolist(), positions.tobytes(),
                     [{"doc_id": p[0], "start": p[1], "length": len(p[3]), "doc_tokens": p[2]} for p in own]))
-    return pd.DataFrame(out, columns=["row_id", "ids", "n_tokens", "cu_seqlens", "position_ids", "segments"])
+    return pd.DataFrame(out, columns=["row_id", "ids", "n_tokens", "cu_seqlens", "position_ids", "segments"], dtype=object)
 
 
 def pack_rows(docs: DataFrame, tokenizer: str, row_tokens: int = ROW_TOKENS, end: int = END_OF_TEXT, pad: int = END_OF_TEXT,
@@ -159,7 +161,7 @@ def pack_rows(docs: DataFrame, tokenizer: str, row_tokens: int = ROW_TOKENS, end
         if pieces:
             yield _packed_rows(pieces, row, row_tokens, pad)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(run, PACKED)
+    return map_frames(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
