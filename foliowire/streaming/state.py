@@ -2,17 +2,24 @@
 
 Both run in event time. Rows wait in state until the watermark has passed them and are then settled in order, so
 a late row within the allowed lateness is judged as if it had come in time, and results do not depend on how
-the input is cut into micro-batches. Timers drop what has expired, so keys that fall idle keep no state.
+the input is cut into micro-batches.
+
+Time is cut into buckets of fixed width. The rows that a micro-batch brings for a bucket of a key are one entry of a map state. A
+timer at the end of the earliest open bucket reads, settles and deletes the entries of the buckets that have ended, and waits for
+the next one. An entry is thus written once, read once and deleted once, and what is held in memory are the ended buckets of
+one key. A row is settled up to one width after the watermark has passed it.
 
 The session has to use a state store with state variables and timers; see ``STATE_STORE``.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +31,9 @@ from foliowire.operators.similarity import greedy_filter
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 LATENESS = "2 days"
+HOUR, DAY = 3600.0, 86400.0
+#: Keys whose kept vectors a task remembers besides the state.
+HELD_KEYS = 64
 
 
 def check_state_store(spark: SparkSession) -> None:
@@ -32,51 +42,84 @@ def check_state_store(spark: SparkSession) -> None:
         raise ValueError(f"start the session with {STATE_STORE[0]}={STATE_STORE[1]}")
 
 
-def _tuples(rows: pd.DataFrame) -> list[tuple]:
-    """Rows as plain values, arrays as lists."""
-    return [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in rows.astype(object).itertuples(index=False)]
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow message."""
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
 
 
 class InEventTime(StatefulProcessor):
-    """Buffers the rows of a key and settles, in order, those the watermark has passed."""
+    """Buffers the rows of a key by time bucket and settles the buckets, in order, once the watermark has passed their ends."""
 
-    def __init__(self, schema: StructType, order: list[str], keep_seconds: float):
-        self.schema, self.order, self.keep_seconds = schema, order, keep_seconds
-        self.columns = schema.names
+    def __init__(self, schema: StructType, order: list[str], width: float, keep_seconds: float):
+        self.order, self.columns = order, schema.names
+        self.width = int(width * 1000)
+        self.keep = -(-int(keep_seconds * 1000) // self.width) * self.width  # whole buckets
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.open = handle.getValueState("open", "buckets array<bigint>, entries array<int>")
+        self.waiting = handle.getMapState("waiting", "bucket long, entry int", "rows binary")
 
-    def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(self, key, rows: pd.DataFrame, buckets: np.ndarray) -> pd.DataFrame:
+        """The result rows of ordered rows and the buckets they lie in."""
         raise NotImplementedError
 
-    def forget(self, before: float) -> None:
-        """Drop state that no row at or after ``before`` can need."""
+    def forget(self, key, settled: int) -> None:
+        """Drop state that no row can need once all before ``settled`` (in milliseconds) are settled."""
         raise NotImplementedError
 
+    def end(self, bucket: int) -> int:
+        return (bucket + 1) * self.width
+
+    def _opened(self) -> dict[int, int]:
+        return dict(zip(*self.open.get())) if self.open.exists() else {}
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self._opened()
+        first = min(known, default=None)
         for batch in rows:
-            times = seconds_of(batch[self.order[0]])
-            self.waiting.appendList(_tuples(batch[self.columns]))
-            for at in np.unique(np.ceil(times * 1000).astype("int64")):
-                self.handle.registerTimer(int(at))
-                self.handle.registerTimer(int(at + self.keep_seconds * 1000) + 1)
+            buckets = np.floor_divide(np.round(seconds_of(batch[self.order[0]]) * 1e6).astype("int64"), self.width * 1000)
+            values = batch[self.columns]
+            for bucket in np.unique(buckets).tolist():
+                self.waiting.updateValue((bucket, known.get(bucket, 0)), (_packed(values[buckets == bucket]),))
+                known[bucket] = known.get(bucket, 0) + 1
+        if known and min(known) != first:
+            self.handle.registerTimer(self.end(min(known)))
+        self._keep_open(known)
         return iter(())
 
+    def _keep_open(self, known: dict[int, int]) -> None:
+        if known:
+            self.open.update((list(known), list(known.values())))
+        elif self.open.exists():
+            self.open.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() / 1000
-        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns)
-        if len(held):
-            due = seconds_of(held[self.order[0]]) <= passed
-            if due.any():
-                left = held[~due]
-                if len(left):
-                    self.waiting.put(_tuples(left))
-                else:
-                    self.waiting.clear()
-                yield self.settle(held[due].sort_values(self.order, kind="stable"))
-        self.forget(passed - self.keep_seconds)
+        passed, known = timerValues.getCurrentWatermarkInMs(), self._opened()
+        due = sorted(b for b in known if self.end(b) <= passed)
+        if due:
+            parts, of = [], []
+            for bucket in due:
+                for entry in range(known.pop(bucket)):
+                    parts.append(_unpacked(self.waiting.getValue((bucket, entry))[0]))
+                    of.append(np.full(len(parts[-1]), bucket))
+                    self.waiting.removeKey((bucket, entry))
+            rows = pd.concat(parts, ignore_index=True).sort_values(self.order, kind="stable")
+            yield self.settle(key, rows, np.concatenate(of)[rows.index])
+            self._keep_open(known)
+            if known:
+                self.handle.registerTimer(self.end(min(known)))
+            if self.end(due[-1]) + self.keep > passed:
+                self.handle.registerTimer(self.end(due[-1]) + self.keep)
+        self.forget(key, passed // self.width * self.width)  # rows of the open bucket still wait
 
     def close(self) -> None:
         pass
@@ -85,22 +128,22 @@ class InEventTime(StatefulProcessor):
 class AnchoredHourLimiter(InEventTime):
     """State: start of the open window and the alerts counted in it."""
 
-    def __init__(self, schema: StructType, order: list[str], cap: int):
-        super().__init__(schema, order, 3600.0)
+    def __init__(self, schema: StructType, order: list[str], cap: int, width: float):
+        super().__init__(schema, order, width, HOUR)
         self.cap = cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.window = handle.getValueState("window", "start double, n int")
 
-    def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(self, key, rows: pd.DataFrame, buckets: np.ndarray) -> pd.DataFrame:
         start, count = self.window.get() if self.window.exists() else (None, 0)
         passed, _, start, count = anchored_hours(start, count, seconds_of(rows[self.order[0]]), rows["is_duplicate"].to_numpy(bool), self.cap)
         self.window.update((float(start), int(count)))
         return rows.loc[passed]
 
-    def forget(self, before: float) -> None:
-        if self.window.exists() and self.window.get()[0] < before:
+    def forget(self, key, settled: int) -> None:
+        if self.window.exists() and (self.window.get()[0] + HOUR) * 1000 < settled:
             self.window.clear()
 
 
@@ -109,54 +152,83 @@ def _timed(rows: DataFrame, column: str, lateness: str) -> DataFrame:
 
 
 def limit_stream(alerts: DataFrame, key: str, cap: int = domain.ALERTS_PER_HOUR, order: tuple[str, ...] = ("created_at", "alert_id"),
-                 lateness: str = LATENESS) -> DataFrame:
-    """Alerts that pass the anchored-hour limiter of their key, settled once the watermark has passed them; needs is_duplicate."""
+                 lateness: str = LATENESS, width: float = DAY) -> DataFrame:
+    """Alerts that pass the anchored-hour limiter of their key, settled once the watermark has passed their bucket of ``width`` seconds; needs is_duplicate."""
     check_state_store(alerts.sparkSession)
     timed = _timed(alerts, order[0], lateness)
-    processor = AnchoredHourLimiter(timed.schema, list(order), cap)
+    processor = AnchoredHourLimiter(timed.schema, list(order), cap, width)
     return timed.groupBy(key).transformWithStateInPandas(processor, timed.schema, "Append", "EventTime")
 
 
 class GreedyDuplicateFilter(InEventTime):
-    """State: the newest kept vectors with their times."""
+    """State: the kept vectors with their times, an entry per bucket, and how many each has.
+
+    A bucket's entry is written when it is settled, and deleted when it expires or the newest ``store`` vectors no longer reach it.
+    A task reads the entries of a key once and then remembers them, for a bounded number of keys.
+    """
 
-    def __init__(self, schema: StructType, id_col: str, order: list[str], threshold: float, store: int, memory: int, ttl_seconds: float):
-        super().__init__(schema, order, ttl_seconds)
-        self.id_col, self.threshold, self.store, self.memory = id_col, threshold, store, memory
+    def __init__(self, schema: StructType, id_col: str, order: list[str], threshold: float, store: int, memory: int, ttl_seconds: float, width: float):
+        super().__init__(schema, order, width, ttl_seconds)
+        self.id_col, self.threshold, self.store, self.memory, self.ttl = id_col, threshold, store, memory, ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.kept = handle.getListState("kept", "at double, vector array<double>")
-
-    def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
+        self.kept = handle.getMapState("kept", "bucket long", "times binary, vectors binary")
+        self.filled = handle.getValueState("filled", "buckets array<bigint>, counts array<bigint>")
+        self.held: OrderedDict = OrderedDict()
+
+    def _filled(self) -> dict[int, int]:
+        return dict(zip(*self.filled.get())) if self.filled.exists() else {}
+
+    def _known(self, key, filled: dict[int, int], dimension: int) -> tuple[np.ndarray, np.ndarray]:
+        """Kept vectors and their times, oldest first."""
+        if key in self.held:
+            return self.held[key]
+        entries = [self.kept.getValue((b,)) for b in filled]
+        times = np.frombuffer(b"".join(bytes(e[0]) for e in entries), "f8")
+        vectors = np.frombuffer(b"".join(bytes(e[1]) for e in entries), "f8")
+        return vectors.reshape(len(times), -1 if len(times) else dimension)[-self.store:], times[-self.store:]
+
+    def settle(self, key, rows: pd.DataFrame, buckets: np.ndarray) -> pd.DataFrame:
         matrix = np.stack(rows["vector"].to_numpy()).astype("float64")
         length = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-        held = list(self.kept.get()) if self.kept.exists() else []
-        kept = np.array([h[1] for h in held], dtype="float64").reshape(len(held), matrix.shape[1])
-        kept_at = np.array([h[0] for h in held], dtype="float64")
-        similarity, duplicate, kept, kept_at = greedy_filter(
-            kept, kept_at, matrix, seconds_of(rows[self.order[0]]), self.threshold, self.store, self.memory, self.keep_seconds)
-        self.kept.put([(float(t), [float(x) for x in v]) for t, v in zip(kept_at, kept)])
+        filled, times = self._filled(), seconds_of(rows[self.order[0]])
+        similarity, duplicate, *kept = greedy_filter(*self._known(key, filled, matrix.shape[1]), matrix, times, self.threshold, self.store, self.memory, self.ttl)
+        for bucket in np.unique(buckets[~duplicate]).tolist():
+            own = ~duplicate & (buckets == bucket)
+            self.kept.updateValue((bucket,), (times[own].astype("f8").tobytes(), matrix[own].tobytes()))
+            filled[bucket] = int(own.sum())
+        self._drop(filled, lambda oldest: sum(filled.values()) - filled[oldest] >= self.store)  # the newest do not reach it
+        self.held[key] = kept
+        self.held.move_to_end(key)
+        if len(self.held) > HELD_KEYS:
+            self.held.popitem(last=False)
         return pd.DataFrame({self.id_col: rows[self.id_col], "max_similarity": np.round(similarity, 4), "is_duplicate": duplicate})
 
-    def forget(self, before: float) -> None:
-        if self.kept.exists():
-            held = list(self.kept.get())
-            alive = [h for h in held if h[0] >= before]
-            if not alive:
-                self.kept.clear()
-            elif len(alive) < len(held):
-                self.kept.put([(h[0], list(h[1])) for h in alive])
+    def forget(self, key, settled: int) -> None:
+        filled = self._filled()
+        if filled and self.end(min(filled)) + self.keep <= settled:
+            self._drop(filled, lambda oldest: self.end(oldest) + self.keep <= settled)
+
+    def _drop(self, filled: dict[int, int], while_true) -> None:
+        """Delete the entries of the oldest buckets and write what is left of ``filled``."""
+        while filled and while_true(min(filled)):
+            self.kept.removeKey((min(filled),))
+            del filled[min(filled)]
+        if filled:
+            self.filled.update((list(filled), list(filled.values())))
+        elif self.filled.exists():
+            self.filled.clear()
 
 
 def flag_duplicates_stream(items: DataFrame, key: str, id_col: str, order: tuple[str, ...], threshold: float = domain.DEDUP_SIMILARITY,
                            store: int = domain.HISTORY_STORE, memory: int = domain.HISTORY_MEMORY,
-                           ttl_days: float = domain.RETENTION_DAYS, lateness: str = LATENESS) -> DataFrame:
-    """Greedy duplicate flags per key; the state is bounded by ``store`` vectors and expires after ``ttl_days``."""
+                           ttl_days: float = domain.RETENTION_DAYS, lateness: str = LATENESS, width: float = DAY) -> DataFrame:
+    """Greedy duplicate flags per key; the state is bounded by ``store`` vectors and a bucket, and expires after ``ttl_days``."""
     check_state_store(items.sparkSession)
     timed = _timed(items.withColumn("vector", F.col("vector").cast("array<double>")), order[0], lateness)
     id_type = items.schema[id_col].dataType.simpleString()
     out = StructType.fromDDL(f"{id_col} {id_type}, max_similarity double, is_duplicate boolean")
-    processor = GreedyDuplicateFilter(timed.schema, id_col, list(order), threshold, store, memory, ttl_days * 86400.0)
+    processor = GreedyDuplicateFilter(timed.schema, id_col, list(order), threshold, store, memory, ttl_days * DAY, width)
     return timed.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")

@@ -1,10 +1,12 @@
 import datetime as dt
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foliowire.operators import advisor, limiter, scoring_tables, storage
+from foliowire.operators import advisor, limiter, scoring_tables, similarity, storage
 from foliowire.sources import corpora, feeds
 from foliowire.streaming import jobs, state
 
@@ -313,3 +315,113 @@ def test_alerts_in_batches_equal_alerts_at_once(spark, rows, tmp_path):
         run(news.where(part), ident)
     stored = spark.read.schema(jobs.ALERT_ROW).parquet(str(tmp_path / "store"))
     assert {(r["news_id"], r["is_duplicate"]) for r in stored.collect()} == whole
+
+
+class FakeHandle:
+    """State variables in memory, which count the entries that are read, written and deleted."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.reads = {}, {}, set(), {}
+
+    def getValueState(self, name, schema):
+        values = self.values
+
+        class Value:
+            exists = staticmethod(lambda: name in values)
+            get = staticmethod(lambda: values[name])
+            update = staticmethod(lambda new: values.__setitem__(name, new))
+            clear = staticmethod(lambda: values.pop(name))
+
+        return Value()
+
+    def getMapState(self, name, key, schema):
+        own, reads = self.maps.setdefault(name, {}), self.reads
+
+        class Map:
+            @staticmethod
+            def getValue(k):
+                reads[name, k] = reads.get((name, k), 0) + 1
+                return own.get(k)
+
+            updateValue = staticmethod(own.__setitem__)
+            removeKey = staticmethod(own.pop)
+
+        return Map()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def played(processor, batches, lateness):
+    """Rows per batch given to one key, timers fired as the watermark passes them; the results and the state."""
+    handle, out = FakeHandle(), []
+    processor.init(handle)
+    for batch, watermark in batches:
+        list(processor.handleInputRows(("k",), iter([batch]), At(0)))
+        fired = sorted(t for t in handle.timers if t <= watermark)
+        for t in fired:
+            handle.timers.discard(t)
+            out += list(processor.handleExpiredTimer(("k",), At(watermark), None))
+    return pd.concat(out, ignore_index=True), handle
+
+
+def test_waiting_rows_are_read_once():
+    """State reads grow with the rows, whatever the number of buckets and batches, and nothing is left behind."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("alert_id bigint, created_at timestamp, is_duplicate boolean")
+    reads = {}
+    for size in (200, 400, 800):
+        times = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.random.default_rng(5).permutation(size) * 1000, unit="s")
+        rows_ = pd.DataFrame({"alert_id": range(size), "created_at": times, "is_duplicate": False})
+        end = int(rows_["created_at"].max().timestamp() * 1000)
+        parts = [rows_.iloc[k * size // 10:(k + 1) * size // 10] for k in range(10)]
+        batches = [(p, 0) for p in parts] + [(rows_.iloc[:0], end * k // 4 + 10**12 * (k == 4)) for k in range(1, 5)]
+        processor = state.AnchoredHourLimiter(schema, ["created_at", "alert_id"], 1, state.DAY)
+        out, handle = played(processor, batches, 0)
+        assert sorted(out["alert_id"]) == sorted(limited([(i, t.to_pydatetime(), False) for i, t in zip(rows_["alert_id"], rows_["created_at"])], 1))
+        mine = [n for (name, _), n in handle.reads.items() if name == "waiting"]
+        assert set(mine) == {1} and not handle.maps["waiting"] and "open" not in handle.values and "window" not in handle.values
+        assert not {t for t in handle.timers if t <= end + 10**12}
+        reads[size] = len(mine)
+    assert reads[800] <= 4.5 * reads[200]
+
+
+def test_duplicate_filter_reads_kept_vectors_once_a_task():
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("id bigint, at timestamp, vector array<double>")
+    rng, n = np.random.default_rng(6), 300
+    vectors = rng.normal(size=(n, 3))
+    frame = pd.DataFrame({"id": range(n), "at": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="h"), "vector": list(vectors)})
+    ends = [int((pd.Timestamp("2024-01-01") + pd.Timedelta(days=d)).timestamp() * 1000) for d in range(1, 30)]
+
+    def filtered():
+        return state.GreedyDuplicateFilter(schema, "id", ["at", "id"], 0.97, 50, 20, 5 * state.DAY, state.DAY)
+
+    out, handle = played(filtered(), [(frame, 0)] + [(frame.iloc[:0], e) for e in ends], 0)
+    whole, _ = played(filtered(), [(frame, ends[-1])], 0)
+    assert out.sort_values("id").reset_index(drop=True).equals(whole.sort_values("id").reset_index(drop=True))
+    assert not any(name == "kept" for name, _ in handle.reads)  # remembered by the task
+    assert not handle.maps["kept"] and "filled" not in handle.values  # all expired
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    seconds = np.arange(n) * 3600.0
+    expected = similarity.greedy_filter(np.zeros((0, 3)), np.zeros(0), unit, seconds, 0.97, 50, 20, 5 * state.DAY)[1]
+    assert out.sort_values("id")["is_duplicate"].tolist() == expected.tolist()
+    # a new task finds the same vectors in the state
+    first, second = filtered(), filtered()
+    half = 7 * 24  # no row of the second part is behind the watermark
+    handle = FakeHandle()
+    first.init(handle)
+    got = []
+    for processor, part, e in ((first, frame.iloc[:half], ends[6]), (second, frame.iloc[half:], ends[-1])):
+        processor.init(handle)
+        list(processor.handleInputRows(("k",), iter([part]), At(0)))
+        got += list(processor.handleExpiredTimer(("k",), At(e), None))
+    assert pd.concat(got).sort_values("id")["is_duplicate"].tolist() == expected.tolist()
+    assert {c for (name, _), c in handle.reads.items() if name == "kept"} == {1}
