@@ -86,6 +86,12 @@ def _accent_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), expanded
 
 
+def accent_table() -> dict[str, str]:
+    """What ``strip_accents`` makes of each character that it replaces."""
+    source, target, expanded = _accent_tables()
+    return dict(zip(source, target, strict=True)) | expanded
+
+
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 

@@ -1,9 +1,9 @@
 """Entity keys of watched assets and their mentions in news text.
 
-A mention of a key begins with the key's first word, so words of texts and keys meet in an equi-join on that word and
-the words that follow decide. What a text sends to that join is filtered first by a bit set of fixed size over the hashes of
-all first words; it drops nearly everything that starts no key, whatever the number of keys, and never drops a match.
-Substring mentions (sectors, countries) are found among the distinct tokens of all texts by opening trigrams.
+Keys, sectors and countries are searched together in one scan of the texts (``textscan``), and what was found meets the
+portfolios in one equi-join. Tables of terms too large for a scan are joined: a mention of a key begins with the key's first
+word, so words of texts and keys meet on that word and the words that follow decide, behind a bit set of fixed size over the hashes of all
+first words; substrings are found among the distinct tokens of all texts by opening trigrams. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliowire import domain
 from foliowire.functions import text as tx
+from foliowire.operators import textscan
 from foliowire.session import cut_lineage
 
 TICKER, NAME, ROOT, ALIAS = 0.95, 0.95, 0.85, 0.9  # fixed values: confidence of each kind of key
@@ -87,8 +88,21 @@ def keyed_words(keys: DataFrame) -> DataFrame:
 def mentions(docs: DataFrame, keys: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
     """(news_id, portfolio_id, ticker, key, weight, pos, kind): every key found in every whole text; rows may repeat.
 
-    The driver sees the length of the longest key and the bit set. The join is left to the planner: it broadcasts keys
-    only below its size threshold, and otherwise shuffles both sides with skewed words split at run time.
+    The join with the keys is left to the planner: it broadcasts them only below its size threshold.
+    """
+    keys = cut_lineage(keys)  # read for the scan and for the join
+    terms = keys.select(F.lit(0).alias("kind"), F.lit(textscan.WORDS).alias("how"), F.col("key").alias("term")).where("term <> ''").distinct()
+    small = textscan.small_terms(terms)
+    if small is None:
+        return joined_mentions(docs, keys, id_col, text_col)
+    found = textscan.scan(docs, small, id_col, text_col).select(id_col, F.col("term").alias("key"))
+    return found.join(keys, "key").select(id_col, *keys.columns)
+
+
+def joined_mentions(docs: DataFrame, keys: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
+    """``mentions`` for any number of keys.
+
+    The driver sees the length of the longest key and the bit set.
     """
     keyed = keyed_words(keys)
     longest = keyed.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
@@ -118,6 +132,18 @@ def substring_mentions(docs: DataFrame, terms: DataFrame, id_col: str, text: str
     """(id, term): distinct lower-case terms occurring anywhere in the lower-case text.
 
     Terms for which ``whole_word`` holds must stand on word boundaries; a term needs a character that is no blank.
+    """
+    strict = F.lit(False) if whole_word is None else whole_word
+    small = textscan.small_terms(terms.select(F.lit(0).alias("kind"), F.when(strict, textscan.BOUNDED).otherwise(textscan.INSIDE).alias("how"), "term").where(
+        "term <> ''").distinct())
+    if small is None:
+        return joined_substrings(docs, terms, id_col, text, whole_word)
+    return textscan.scan(docs, small, id_col, text).select(id_col, "term")
+
+
+def joined_substrings(docs: DataFrame, terms: DataFrame, id_col: str, text: str, whole_word: Column | None = None) -> DataFrame:
+    """``substring_mentions`` for any number of terms.
+
     The longest unbroken piece of a term lies within one token of the text. So tokens, each distinct one once, meet the
     pieces on the piece's first three characters (first two or one for shorter pieces). The texts are joined back
     to the candidates, which are verified.
@@ -172,25 +198,52 @@ def org_mentions(orgs: DataFrame, keys: DataFrame, id_col: str = "news_id") -> D
     return resolved.withColumn("score", F.least("score", F.lit(ORG_CAP)))
 
 
-def rule_relevance(docs: DataFrame, orgs: DataFrame, assets: DataFrame, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
-    """Rule score of every (news, portfolio) pair with any signal: matched assets in order found, score and flags."""
-    keys = cut_lineage(entity_keys(assets))  # read by three branches
-    none = F.lit(None)
-
-    def signal(df, phase, score, ticker=None, sector=False, country=False):
-        order = F.struct(F.lit(phase).alias("phase"), (-F.col("score")).alias("w"), "pos", "ticker") if ticker else none
-        return df.select(id_col, "portfolio_id", score.alias("score"), order.cast(
-            "struct<phase:int,w:double,pos:bigint,ticker:string>").alias("asset"), F.lit(sector).alias("sector"), F.lit(country).alias("country"))
-
-    in_text = resolve(mentions(docs, keys, id_col, text_col), id_col)
-    in_orgs = org_mentions(orgs, keys, id_col)
-    signals = (
-        signal(in_text, 0, F.col("score"), ticker=True)
-        .unionByName(signal(in_orgs, 1, F.col("score"), ticker=True))
-        .unionByName(signal(sector_mentions(docs, assets, id_col, text_col), 2, F.lit(SECTOR_SCORE), sector=True))
-        .unionByName(signal(country_mentions(docs, assets, id_col, text_col), 3, F.lit(COUNTRY_SCORE), country=True)))
-    grouped = signals.groupBy(id_col, "portfolio_id").agg(
-        F.max("score").alias("direct_score"), F.sort_array(F.collect_list("asset")).alias("found"),
-        F.bool_or("sector").alias("sector_match"), F.bool_or("country").alias("country_match"))
+class WatchTerms:
+    """What the texts of news are searched for: keys, sectors and countries of all portfolios, made once for many batches.
+
+    ``table`` has (kind, term, portfolio_id, ticker, weight, pos, rank), the last four for keys only; ``small`` the distinct terms
+    if they are few enough for a scan.
+    """
+
+    KEY, SECTOR, COUNTRY = 0, 1, 2
+
+    def __init__(self, assets: DataFrame):
+        keys = entity_keys(assets).select(F.lit(self.KEY).alias("kind"), F.col("key").alias("term"), "portfolio_id", "ticker", "weight", "pos", F.col("kind").alias("rank"))
+        places = [_places(assets, column).withColumn("kind", F.lit(kind)) for column, kind in (("sector", self.SECTOR), ("country", self.COUNTRY))]
+        self.table = cut_lineage(keys.unionByName(places[0], allowMissingColumns=True).unionByName(places[1], allowMissingColumns=True))
+        how = F.when(F.col("kind") == self.KEY, textscan.WORDS).when((F.col("kind") == self.COUNTRY) & _strict_country(), textscan.BOUNDED).otherwise(textscan.INSIDE)
+        self.small = textscan.small_terms(self.table.select("kind", how.alias("how"), "term").distinct())
+
+    def found(self, docs: DataFrame, id_col: str, text_col: str, keys_only: bool = False) -> DataFrame:
+        """Rows of ``table`` found in the texts, with the identifier of the text."""
+        if self.small is not None:
+            hits = textscan.scan(docs, [t for t in self.small if not keys_only or t[0] == self.KEY], id_col, text_col)
+        else:
+            words = self.table.where(F.col("kind") == self.KEY).select(F.col("term").alias("key")).distinct()
+            hits = joined_mentions(docs, words, id_col, text_col).select(id_col, F.lit(self.KEY).alias("kind"), F.col("key").alias("term")).distinct()
+            for kind, strict in ((self.SECTOR, None), (self.COUNTRY, _strict_country())) if not keys_only else ():
+                own = joined_substrings(docs, self.table.where(F.col("kind") == kind).select("term").distinct(), id_col, text_col, strict)
+                hits = hits.unionByName(own.select(id_col, F.lit(kind).alias("kind"), "term"))
+        return hits.join(self.table, ["kind", "term"])
+
+
+def rule_relevance(docs: DataFrame, orgs: DataFrame, assets: DataFrame | WatchTerms, id_col: str = "news_id", text_col: str = "text") -> DataFrame:
+    """Rule score of every (news, portfolio) pair with any signal: matched assets in order found, score and flags.
+
+    Texts are scanned once for everything, the extracted organisation names once for keys.
+    """
+    watch = assets if isinstance(assets, WatchTerms) else WatchTerms(assets)
+    names = orgs.where(F.size("orgs") > 0).select(id_col, F.array_join("orgs", " . ").alias(text_col))
+    in_text = watch.found(docs, id_col, text_col).withColumn("phase", F.when(F.col("kind") == watch.KEY, 0).otherwise(F.col("kind") + 1))
+    found = in_text.unionByName(watch.found(names, id_col, text_col, True).withColumn("phase", F.lit(1)))
+    phase = F.col("phase")
+    # the best key of an asset; one row for all sectors, one for all countries
+    best = found.groupBy(id_col, "portfolio_id", "phase", "ticker").agg(F.min(F.struct((-F.col("weight")).alias("w"), "pos", "rank", "term")).alias("best"))
+    scored = best.withColumn("score", F.when(phase == 2, F.lit(SECTOR_SCORE)).when(phase == 3, F.lit(COUNTRY_SCORE)).when(
+        phase == 1, F.least(-F.col("best.w"), F.lit(ORG_CAP))).otherwise(-F.col("best.w")))
+    place = F.when(phase < 2, F.struct(phase.alias("phase"), (-F.col("score")).alias("w"), F.col("best.pos").alias("pos"), "ticker"))
+    grouped = scored.groupBy(id_col, "portfolio_id").agg(
+        F.max("score").alias("direct_score"), F.sort_array(F.collect_list(place)).alias("found"),
+        F.bool_or(phase == 2).alias("sector_match"), F.bool_or(phase == 3).alias("country_match"))
     tickers = F.array_distinct(F.transform("found", lambda a: a["ticker"]))
     return grouped.select(id_col, "portfolio_id", "direct_score", tickers.alias("matched_assets"), "sector_match", "country_match")

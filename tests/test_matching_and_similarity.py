@@ -63,6 +63,51 @@ def test_substring_join_equals_search_in_every_text(rows):
     assert {tuple(r) for r in found.collect()} == expected
 
 
+def test_scan_and_joins_give_the_same_rows(rows, assets, monkeypatch):
+    """Above the limit of terms the joins take over, with the same result."""
+    rng = random.Random(9)
+    pieces = ["Apple", "apple inc", "iPhone-maker", "Banco", "Santander", "BBVA", "us", "bus", "US.", "spain", "Españá", "technology", "banca", "x", "pine", "Microsoft"]
+    docs = rows([(i, " ".join(rng.choices(pieces, k=12))) for i in range(60)] + [(100, None), (101, ""), (102, "ÀPPLE İPHONE ﬁn")], "news_id int, text string")
+    orgs = docs.select("news_id", F.array("text").alias("orgs")).where("news_id % 3 = 0 and text is not null")
+    scanned = {tuple(map(str, r)) for r in matching.rule_relevance(docs, orgs, assets).collect()}
+    found = {tuple(r) for r in matching.mentions(docs, matching.entity_keys(assets)).collect()}
+    monkeypatch.setattr(matching.textscan, "TERM_LIMIT", 2)
+    assert {tuple(map(str, r)) for r in matching.rule_relevance(docs, orgs, assets).collect()} == scanned
+    assert {tuple(r) for r in matching.mentions(docs, matching.entity_keys(assets)).collect()} == found
+    assert len(scanned) > 20
+
+
+def test_watch_terms_are_made_once_for_many_batches(rows, assets):
+    watch = matching.WatchTerms(assets)
+    texts = [(1, "the technology sector in spain"), (2, "apple falls"), (3, "give us peace")]
+    schema, orgs = "news_id int, text string", rows([], "news_id int, orgs array<string>")
+    whole = {tuple(map(str, r)) for r in matching.rule_relevance(rows(texts, schema), orgs, assets).collect()}
+    parts = [r for t in texts for r in matching.rule_relevance(rows([t], schema), orgs, watch).collect()]
+    assert {tuple(map(str, r)) for r in parts} == whole and len(whole) == 3
+
+
+def test_texts_are_scanned_once_without_a_shuffle_of_them(rows, assets):
+    docs = rows([(1, "apple")], "news_id int, text string")
+    orgs = rows([], "news_id int, orgs array<string>")
+    plan = matching.rule_relevance(docs, orgs, assets)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # texts and organisation names
+    exchanged = [line for line in matching.rule_relevance(docs, orgs, assets)._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line]
+    assert exchanged and not any("text" in line for line in exchanged)
+
+
+@pytest.mark.parametrize("how", [0, 1, 2])
+def test_searcher_equals_plain_search(how):
+    rng = random.Random(how)
+    terms = ["".join(rng.choices("ab é_.", k=rng.randint(1, 4))) for _ in range(80)] + ["a", "ab", "b a"]
+    searcher = matching.textscan.Searcher([(how, t) for t in terms])
+    for _ in range(150):
+        text = "".join(rng.choices("ab É_.Á-", k=rng.randint(0, 25)))
+        low = text.lower()
+        body = matching.textscan.comparable(low, searcher.fold)
+        tests = {0: lambda t: f" {t} " in body, 1: lambda t: t in low, 2: lambda t: re.search(rf"\b{re.escape(t)}\b", low)}
+        assert searcher.found(text) == [n for n, t in enumerate(terms) if t.strip() and tests[how](t)]
+
+
 def vectors(rng, n, dim=8, copies=0):
     base = rng.normal(size=(n, dim))
     clustered = base[rng.integers(0, max(1, n // 4), n)] + 0.3 * rng.normal(size=(n, dim))
