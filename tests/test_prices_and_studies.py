@@ -184,3 +184,37 @@ def test_calibration_uses_exact_scores(rows):
     curve = {r["x"]: r["y"] for r in calibration.fit_curve(rows(list(zip(map(float, x), map(float, y))), "score double, abs_car double")).collect()}
     fitted = pav(x, y)
     assert curve[0.0] == pytest.approx(fitted[x[0]]) and curve[1.0] == pytest.approx(fitted[x[-1]]) and curve[0.0] < 0.2 < 0.8 < curve[1.0]
+
+
+def pooled(points):
+    """Pool adjacent violators over (score, value) pairs, and the curve between their scores."""
+    blocks = []
+    for x in sorted({p[0] for p in points}):
+        values = [y for s, y in points if s == x]
+        blocks.append([sum(values), len(values), [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            total, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + xs]
+    knots = [(x, b[0] / b[1]) for b in blocks for x in b[2]]
+    return [max(0.0, float(np.interp(k / 20, [x for x, _ in knots], [y for _, y in knots]))) for k in range(21)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_calibration_equals_pooling(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 400
+    scores = np.round(rng.uniform(-0.1, 1.2, n), (1, 2, 6, 6)[seed])
+    values = (np.abs(rng.normal(size=n)), scores + 0.3 * rng.normal(size=n), -scores, scores**2)[seed]
+    points = list(zip(map(float, scores), map(float, values)))
+    df = spark.createDataFrame(points, "score double, abs_car double").repartition(7)
+    curve = [r.y for r in calibration.fit_curve(df).orderBy("x").collect()]
+    np.testing.assert_allclose(curve, pooled(points), atol=1e-12)
+
+
+def test_calibration_of_a_million_monotone_scores(spark):
+    """Every score is a block of its own; none of them reaches the driver."""
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") / n).alias("score"), (F.col("id") / n * 0.2).alias("abs_car"))
+    curve = calibration.fit_curve(df).orderBy("x").collect()
+    assert [r.x for r in curve] == [k / 20 for k in range(21)]
+    np.testing.assert_allclose([r.y for r in curve], [min(k / 20, (n - 1) / n) * 0.2 for k in range(21)], atol=1e-9)
