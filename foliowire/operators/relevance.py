@@ -8,18 +8,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliowire import domain
-from foliowire.functions.vectors import cosine
-from foliowire.operators.similarity import _unit, block_join
+from foliowire.functions.vectors import cosine, norm
+from foliowire.operators.similarity import _unit, ball_join, block_join
 
 def semantic_relevance(news: DataFrame, assets: DataFrame, id_col: str = "news_id",
                        minimum: float | None = domain.RELEVANCE_BORDERLINE) -> DataFrame:
     """Per (news, portfolio): largest and mean cosine to the portfolio's asset vectors (not below 0) and the best asset.
 
-    News and assets meet block by block, the assets of a portfolio in one block, so a task settles its pairs alone
-    and returns only those whose score reaches ``minimum``; None returns all pairs. Of equally close assets the
-    first by position and ticker is the best.
+    Pairs whose score reaches ``minimum`` are found by a join of balls of vectors, which skips those that cannot hold one; the mean
+    cosine is the product with the mean of the portfolio's unit vectors. None returns all pairs, compared block by
+    block. Of equally close assets the first by position and ticker is the best.
     """
     slim = assets.select("portfolio_id", "ticker", F.col("pos").cast("bigint").alias("pos"), "vector")
+    if minimum is None or minimum <= 0:
+        return _all_pairs(news, slim, id_col, minimum)
+    id_type = news.schema[id_col].dataType.simpleString()
+
+    def match(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if batch.empty or held.empty:
+            return pd.DataFrame({id_col: [], "portfolio_id": [], "score": [], "pos": [], "ticker": []})
+        # one row per news and portfolio: the best of the portfolio's assets in this ball
+        held = held.sort_values(["portfolio_id", "pos", "ticker"], kind="stable")
+        similar = np.round(np.stack(batch["vector"]) @ np.stack(held["vector"]).T, 12)  # copies in other tasks stay equal
+        starts = np.unique(held["portfolio_id"].to_numpy(), return_index=True)[1]
+        best = np.maximum.reduceat(similar, starts, axis=1)
+        i, j = np.nonzero(best >= minimum - 1e-12)
+        ends = [*starts[1:], len(held)]
+        at = np.array([starts[b] + similar[a, starts[b]:ends[b]].argmax() for a, b in zip(i, j)], dtype=int)
+        found = held.iloc[at]
+        return pd.DataFrame({id_col: batch[id_col].to_numpy()[i], "portfolio_id": found["portfolio_id"].to_numpy(), "score": best[i, j],
+                             "pos": found["pos"].to_numpy(), "ticker": found["ticker"].to_numpy()})
+
+    near = ball_join(news.select(id_col, "vector"), slim.withColumn("_asset", F.struct("portfolio_id", "pos", "ticker")), id_col, "_asset", minimum, match,
+                     f"{id_col} {id_type}, portfolio_id string, score double, pos bigint, ticker string")
+    best = near.groupBy(id_col, "portfolio_id").agg(F.min(F.struct((-F.col("score")).alias("away"), "pos", "ticker")).alias("best"))
+    pairs = best.join(news.select(id_col, "vector"), id_col).join(_means(slim), "portfolio_id")
+    return pairs.select(id_col, "portfolio_id", (-F.col("best.away")).alias("semantic_score"), F.greatest(
+        cosine(F.col("vector"), F.col("mean")) * F.col("reach"), F.lit(0.0)).alias("semantic_mean_score"), F.col("best.ticker").alias("best_asset"))
+
+
+def _means(assets: DataFrame) -> DataFrame:
+    """(portfolio_id, mean, reach): the mean of the portfolio's unit vectors, and its length."""
+    length = norm(F.col("vector"))
+    entries = assets.select("portfolio_id", F.posexplode(F.transform(F.col("vector").cast("array<double>"), lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))).alias("k", "x"))
+    means = entries.groupBy("portfolio_id", "k").agg(F.avg("x").alias("x")).groupBy("portfolio_id").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("m"))
+    mean = means.select("portfolio_id", F.transform("m", lambda e: e["x"]).alias("mean"))
+    return mean.withColumn("reach", norm(F.col("mean")))
+
+
+def _all_pairs(news: DataFrame, slim: DataFrame, id_col: str, minimum: float | None) -> DataFrame:
+    """Every pair, the assets of a portfolio in one block."""
     id_type = news.schema[id_col].dataType.simpleString()
     columns = [id_col, "portfolio_id", "semantic_score", "semantic_mean_score", "best_asset"]
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from foliowire import domain
 from foliowire.session import cut_lineage
 
 BLOCK_ROWS = 2048  # vectors per side of one block join task
+BALL_ROWS, MOST_BALLS = 1024, 2048  # vectors that a ball should hold, and balls of a table
+SAMPLE_PER_BALL = 4  # vectors that pivots are chosen from, per ball
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -190,6 +193,86 @@ def block_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return a.cogroup(b).applyInPandas(match, schema)
 
 
+def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
+    """At most ``count`` rows, each the farthest from those chosen before, so that every neighbourhood of the sample has one."""
+    chosen, away = [0], np.linalg.norm(sample - sample[0], axis=1)
+    while len(chosen) < count and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, np.linalg.norm(sample - sample[chosen[-1]], axis=1))
+    return sample[chosen]
+
+
+class Balls:
+    """Unit vectors of a table, each in the ball of its nearest pivot; large balls in parts of bounded size.
+
+    ``rows`` is the checkpointed table with ``_ball`` and ``_part``; pivots, radii and numbers of rows are small arrays.
+    """
+
+    def __init__(self, df: DataFrame, key: str):
+        df = df.where(F.col("vector").isNotNull()).withColumn("vector", F.col("vector").cast("array<double>"))
+        count = df.count()
+        balls = min(MOST_BALLS, -(-count // BALL_ROWS))
+        sample = df.orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_BALL * balls).select("vector").toPandas()
+        self.pivots = pivots = _pivots(_unit(sample["vector"]), balls) if count else np.zeros((0, 1))
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index("vector")
+                vectors = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                length = np.linalg.norm(vectors, axis=1, keepdims=True)
+                vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+                ball = (vectors @ pivots.T).argmax(axis=1) if batch.num_rows else np.zeros(0, int)
+                away = np.linalg.norm(vectors - pivots[ball], axis=1)
+                unit = pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, max(1, vectors.shape[1])), pa.int32()), pa.array(vectors.ravel()))
+                columns = [unit if k == at else c for k, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ball, pa.int32()), pa.array(away)], [*batch.schema.names, "_ball", "_away"])
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _ball int, _away double"
+        placed = cut_lineage(df.mapInArrow(placed, schema))
+        self.radius, self.rows_in = np.zeros(len(pivots)), np.zeros(len(pivots), int)
+        for r in placed.groupBy("_ball").agg(F.max("_away").alias("away"), F.count(F.lit(1)).alias("n")).collect():
+            self.radius[r._ball], self.rows_in[r._ball] = r.away, r.n
+        self.parts = -(-self.rows_in // BLOCK_ROWS)
+        parts = F.array(*[F.lit(int(p)) for p in self.parts]) if len(pivots) else F.array(F.lit(1))
+        self.rows = placed.drop("_away").withColumn("_part", F.pmod(F.xxhash64(key), F.get(parts, F.col("_ball"))).cast("int"))
+
+
+def ball_pairs(spark, left: Balls, right: Balls, threshold: float) -> DataFrame:
+    """(left, right, pairs): the balls that may hold two vectors with a cosine of ``threshold``, and how many pairs they make.
+
+    For a ball with pivot b and radius s and one with c and r, no cosine exceeds b c + s |c| + r.
+    """
+    reach, extent = np.linalg.norm(right.pivots, axis=1), (left.pivots, left.radius, right.pivots, right.radius)
+    left_rows, right_rows = left.rows_in, right.rows_in
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b, s, c, r = extent
+        for batch in batches:
+            i = batch["id"].to_numpy()
+            bound = b[i] @ c.T + s[i][:, None] * reach + r
+            x, y = np.nonzero((bound >= threshold - 1e-9) & (left_rows[i][:, None] > 0) & (right_rows > 0))
+            yield pd.DataFrame({"left": i[x].astype("int32"), "right": y.astype("int32"), "pairs": left_rows[i[x]] * right_rows[y]})
+
+    return spark.range(len(left.pivots) if len(right.pivots) else 0).mapInPandas(near, "left int, right int, pairs long")
+
+
+def ball_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float, match: Callable, schema: str) -> DataFrame:
+    """``match(left rows, right rows)`` for the parts of all balls that may hold a pair with a cosine of ``threshold``.
+
+    Rows come with unit vectors; balls whose bound is too low never meet. A task holds one part of either side.
+    """
+    a, b = Balls(left, left_key), Balls(right, right_key)
+    parts = [F.array(*[F.lit(int(p)) for p in (x.parts if len(x.parts) else [1])]) for x in (a, b)]
+    met = ball_pairs(left.sparkSession, a, b, threshold).select(
+        F.col("left").alias("_left"), F.col("right").alias("_right"), F.get(parts[0], F.col("left")).alias("m"), F.get(parts[1], F.col("right")).alias("n"))
+    met = cut_lineage(met.select("_left", "_right", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("_lpart"), "n").select(
+        "_left", "_right", "_lpart", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_rpart")))
+    keys = ["_left", "_lpart", "_right", "_rpart"]
+    lefts = a.rows.withColumnsRenamed({"_ball": "_left", "_part": "_lpart"}).join(met, ["_left", "_lpart"])
+    rights = b.rows.withColumnsRenamed({"_ball": "_right", "_part": "_rpart"}).join(met, ["_right", "_rpart"])
+    return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInPandas(match, schema)
+
+
 def cross_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float) -> DataFrame:
     """(left_id, right_id, cosine) of all pairs across two tables with cosine at or above ``threshold``; exact."""
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((left, left_id), (right, right_id))]
@@ -197,9 +280,9 @@ def cross_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({left_id: [], right_id: [], "cosine": []})
-        similar = _unit(a["vector"]) @ _unit(b["vector"]).T
+        similar = np.stack(a["vector"]) @ np.stack(b["vector"]).T
         i, j = np.nonzero(similar >= threshold)
         return pd.DataFrame({left_id: a[left_id].to_numpy()[i], right_id: b[right_id].to_numpy()[j], "cosine": similar[i, j]})
 
-    return block_join(left.select(left_id, "vector"), right.select(right_id, "vector"), left_id, right_id, match,
-                      f"{left_id} {kinds[0]}, {right_id} {kinds[1]}, cosine double")
+    return ball_join(left.select(left_id, "vector"), right.select(right_id, "vector"), left_id, right_id, threshold, match,
+                     f"{left_id} {kinds[0]}, {right_id} {kinds[1]}, cosine double")

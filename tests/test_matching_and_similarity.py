@@ -221,3 +221,67 @@ def test_bit_set_never_drops_a_member(spark, rows):
     assert members.where(holds(F.col("k"))).count() == 300
     others = spark.range(5000).select(F.concat(F.lit("other"), "id").alias("k"))
     assert others.where(holds(F.col("k"))).count() < 100
+
+
+def clustered(seed, n, dim=24, per=40, spread=0.15):
+    """Vectors around n / per random directions, some copies and one without length."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(1, n // per), dim))
+    vecs = centres[rng.integers(0, len(centres), n)] + spread * rng.normal(size=(n, dim))
+    vecs[: n // 20] = vecs[0]
+    vecs[-1] = 0
+    return [list(map(float, v)) for v in vecs], centres
+
+
+ASSET_VECTORS = "portfolio_id string, ticker string, pos bigint, vector array<double>"
+
+
+@pytest.mark.parametrize("minimum", [0.3, 0.8])
+def test_pruned_relevance_equals_all_pairs(rows, monkeypatch, minimum):
+    monkeypatch.setattr(similarity, "BALL_ROWS", 8)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)  # the ball of the copies has several parts
+    held, centres = clustered(1, 400)
+    news = rows([(i, v) for i, v in enumerate(clustered(1, 120)[0])], "news_id bigint, vector array<double>")
+    assets = rows([(f"P{i % 23}", f"T{i % 7}", i // 23 % 5, v) for i, v in enumerate(held)], ASSET_VECTORS)
+    def plain(df):
+        return {(r["news_id"], r["portfolio_id"]): (r["semantic_score"], r["semantic_mean_score"], r["best_asset"]) for r in df.collect()}
+
+    every = relevance.semantic_relevance(news, assets, minimum=None)
+    # ties of score between copies go to the first by position and ticker; products of copies may differ in their last digits
+    sims = {}
+    for r in news.crossJoin(assets.withColumnRenamed("vector", "a")).collect():
+        u, a = np.array(r["vector"]), np.array(r["a"])
+        size = np.linalg.norm(u) * np.linalg.norm(a)
+        sims.setdefault((r["news_id"], r["portfolio_id"]), []).append((-round(float(u @ a / size) if size else 0.0, 10), r["pos"], r["ticker"]))
+    expected = {k: (v[0], v[1], min(sims[k])[2]) for k, v in plain(every).items() if v[0] >= minimum}
+    got = plain(relevance.semantic_relevance(news, assets, minimum=minimum))
+    assert got.keys() == expected.keys() and len(expected) > 100
+    assert all(got[k][:2] == pytest.approx(expected[k][:2], abs=1e-9) and got[k][2] == expected[k][2] for k in got)
+
+
+def test_pruned_pairs_equal_all_pairs(rows, monkeypatch):
+    monkeypatch.setattr(similarity, "BALL_ROWS", 8)
+    left, right = clustered(1, 150)[0], clustered(1, 300)[0]
+    a = rows(list(enumerate(left)), "x bigint, vector array<double>")
+    b = rows(list(enumerate(right)), "y bigint, vector array<double>")
+    got = {(r["x"], r["y"]) for r in similarity.cross_similar(a, b, "x", "y", 0.7).collect()}
+    def units(v):
+        m = np.array(v)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(units(left) @ units(right).T >= 0.7)))) and got
+    assert similarity.cross_similar(a.limit(0), b, "x", "y", 0.7).count() == 0 == similarity.cross_similar(a, b.limit(0), "x", "y", 0.7).count()
+
+
+def test_pairs_compared_grow_slower_than_the_assets(spark, rows, monkeypatch):
+    """With more assets of the same kind of neighbourhoods, a news item meets about as many of them as before."""
+    monkeypatch.setattr(similarity, "BALL_ROWS", 10)
+    news = similarity.Balls(rows(list(enumerate(clustered(5, 200)[0])), "x bigint, vector array<double>"), "x")
+    shares = []
+    for n in (500, 1000, 2000):
+        assets = similarity.Balls(rows(list(enumerate(clustered(5, n)[0])), "y bigint, vector array<double>"), "y")
+        pairs = similarity.ball_pairs(spark, news, assets, 0.8).agg(F.sum("pairs")).first()[0]
+        shares.append(pairs / (200 * n))
+    assert shares[2] < 0.6 * shares[0] and shares[0] < 0.5, shares
+
