@@ -14,18 +14,18 @@ from foliowire.plans.streams import _PIPELINE_INPUTS, _alert_news, _half_up, _su
 from foliowire.plans.text_and_scores import _LABEL
 
 _RUNS = f"""{_PIPELINE_INPUTS},
-layers AS (
+layers AS MATERIALIZED (
   SELECT g.news_id, g.portfolio_id, coalesce(direct_score, 0) AS direct, coalesce(semantic_score, 0) AS close,
          CASE WHEN coalesce(assets, '') = '' THEN []::VARCHAR[] ELSE string_split(assets, ',') END AS assets, coalesce(direct_score, 0) AS direct_score
   FROM given g JOIN documents d ON d.doc_id = g.news_id LEFT JOIN rules r ON r.news_id = g.news_id AND r.portfolio_id = g.portfolio_id
        LEFT JOIN semantic s ON s.news_id = g.news_id AND s.portfolio_id = g.portfolio_id),
-scored AS (SELECT l.*, variant, CASE WHEN variant = 'rules' THEN direct ELSE {_BLEND.format('close')} END AS first_score
+scored AS MATERIALIZED (SELECT l.*, variant, CASE WHEN variant = 'rules' THEN direct ELSE {_BLEND.format('close')} END AS first_score
            FROM layers l, (VALUES ('rules'), ('hybrid'), ('hybrid_nli'), ('full')) AS v(variant)),
 raised AS (
   SELECT s.*, variant = 'full' AND first_score >= 0.3 AND first_score < 0.5 AS asked, ok, g_sev, g_dir, g_conf, g_event,
          CASE WHEN variant = 'full' AND first_score >= 0.3 AND first_score < 0.5 AND coalesce(ok, false) THEN greatest(first_score, v_score) ELSE first_score END AS relevance
   FROM scored s JOIN given USING (news_id, portfolio_id)),
-stages AS (SELECT *, CASE WHEN asked AND NOT coalesce(ok, false) THEN 'relevance_llm' WHEN relevance < 0.5 THEN 'relevance' END AS discarded_at FROM raised),
+stages AS MATERIALIZED (SELECT *, CASE WHEN asked AND NOT coalesce(ok, false) THEN 'relevance_llm' WHEN relevance < 0.5 THEN 'relevance' END AS discarded_at FROM raised),
 impacts AS (
   SELECT s.news_id, portfolio_id, variant, e, g_sev, g_dir, g_conf, g_event, least(1.0, 0.3 * sc + 0.4 * ec + 0.3 * relevance) AS conf,
          CASE sentiment WHEN 'positive' THEN 0.5 + 0.3 * sc + 0.2 * bias WHEN 'negative' THEN -0.5 - 0.3 * sc + 0.2 * bias ELSE 0.5 * bias END AS ds,
@@ -34,7 +34,7 @@ impacts AS (
 estimated AS (
   SELECT *, {_half_up('full_sev')} AS sev, {_half_up('conf')} AS c4, CASE WHEN ds > 0.15 THEN 'alcista' WHEN ds < -0.15 THEN 'bajista' ELSE 'neutral' END AS dir FROM impacts),
 folded AS (SELECT *, CASE WHEN variant = 'full' THEN least(greatest(g_sev, greatest(0.0, sev - 0.2)), least(1.0, sev + 0.2)) ELSE sev END AS moved FROM estimated),
-labelled AS (
+labelled AS MATERIALIZED (
   SELECT news_id, portfolio_id, variant, CASE WHEN variant = 'full' THEN coalesce(g_event, e) ELSE e END AS event_type,
          CASE WHEN variant = 'full' AND (g_dir = dir OR g_conf >= 0.6) THEN g_dir ELSE dir END AS direction, {_half_up('moved')} AS severity,
          CASE WHEN variant = 'full' THEN {_LABEL.format('moved')} ELSE {_LABEL.format('full_sev')} END AS severity_label,
