@@ -6,15 +6,20 @@ The trigger decides the cadence: ``availableNow`` for scheduled runs, a processi
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from foliowire import domain
 from foliowire.functions import text
 from foliowire.operators import gates, impact, limiter, matching, relevance, similarity, storage
+from foliowire.session import cut_lineage
+from foliowire.streaming.daystore import DayStore
 
 LATENESS = "2 days"
 PAIR = ["news_id", "portfolio_id"]
@@ -48,31 +53,28 @@ def ingest(news: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return timed.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["url"])
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows a job has written below ``path``, none at first."""
-    spark.createDataFrame([], schema.rsplit(", ", 1)[0]).write.mode("ignore").parquet(f"{path}/batch=-1")
-    return spark.read.schema(schema).parquet(path)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def _days(lateness: str) -> float:
+    """An interval such as '2 days' in days."""
+    return pd.Timedelta(lateness) / pd.Timedelta(days=1)
 
 
 def ingest_batch(path: str, lateness: str = LATENESS) -> Callable[[DataFrame, int], None]:
     """Micro-batch function for continuous ingest that loses nothing, safe to repeat.
 
     The first row of every url not stored yet goes to ``rows``. Rows more than ``lateness`` behind the newest stored one can
-    no longer be compared with everything and go to the side table ``late`` instead.
+    no longer be compared with everything and go to the side table ``late`` instead. Only stored folders of the days within the
+    lateness are opened, and of those only the ones whose filter may hold a url of the batch.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        news = batch.withColumn("published_at", F.col("published_at").cast("timestamp"))
-        others = _stored(batch.sparkSession, f"{path}/rows", _ddl(news) + ", batch bigint").where(F.col("batch") != batch_id)
-        mark = others.agg(F.max("published_at") - F.expr(f"INTERVAL {lateness}")).first()[0]
+        news = cut_lineage(batch.withColumn("published_at", F.col("published_at").cast("timestamp")))
+        store = DayStore(batch.sparkSession, path, news.schema, "published_at", "url", _days(lateness))
+        newest, days = store.mark(batch_id)
+        mark = None if newest is None else newest - pd.Timedelta(lateness).to_pytimedelta()
         behind = F.lit(False) if mark is None else F.coalesce(F.col("published_at") < F.lit(mark), F.lit(False))
-        recent = others if mark is None else others.where(~behind)
+        current = news.where(~behind)
+        recent = store.rows(store.folders(days, batch_id, current)).where(~behind)
         order = [c for c in ("published_at", *news.columns) if c != "url"]
-        fresh = storage.insert_if_absent(news.where(~behind), recent, "url", list(dict.fromkeys(order)))
-        fresh.select(*news.columns).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        store.write(storage.insert_if_absent(current, recent, "url", list(dict.fromkeys(order))), batch_id)
         news.where(behind).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
 
     return run
@@ -95,7 +97,7 @@ def live_counters(alerts: DataFrame, lateness: str = LATENESS, interval: str = "
     return counters_by_interval(timed.withWatermark("created_at", lateness), interval=interval)
 
 
-def alerts_of(news: DataFrame, assets: DataFrame, sentiments: DataFrame | None = None, verdicts: DataFrame | None = None,
+def alerts_of(news: DataFrame, assets: DataFrame | matching.WatchTerms, sentiments: DataFrame | None = None, verdicts: DataFrame | None = None,
               analyses: DataFrame | None = None, vectors: DataFrame | None = None, asset_vectors: DataFrame | None = None) -> DataFrame:
     """Alert rows of news for every portfolio they concern: relevance, event type, impact, analyses, gates, explanation.
 
@@ -164,27 +166,29 @@ def alert_batch(news: DataFrame, assets: DataFrame, sentiments: DataFrame | None
 
 ALERT_ROW = ("news_id bigint, portfolio_id string, created_at timestamp, event_type string, direction string, severity double, severity_label string, "
              "confidence double, relevance double, sentiment string, matched_assets array<string>, explanation string, max_similarity double, "
-             "is_duplicate boolean, hour_start double, created_date date, batch bigint")
+             "is_duplicate boolean, hour_start double")
 
 
 def alerting_batch(path: str, assets: DataFrame, cap: int = domain.ALERTS_PER_HOUR, threshold: float = domain.DEDUP_SIMILARITY,
                    **scores: DataFrame) -> Callable[[DataFrame, int], None]:
     """Micro-batch function for continuous alerting, safe to repeat; ``scores`` are the tables of ``alerts_of``.
 
-    A batch owns one folder of the store and overwrites it, so a replay after a lost task or driver leaves
-    the same rows. Pairs stored by other batches are skipped; their alerts count towards hours and as kept news.
+    A batch owns its folders of the store and overwrites them, so a replay after a lost task or driver leaves
+    the same rows. Pairs stored by other batches are skipped; their alerts count towards hours and as kept news. The terms of the
+    watch list are made once for all batches.
     """
+    watch = matching.WatchTerms(assets)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         news = batch.persist()  # every branch of the matching reads it
         first = news.agg(F.min(F.col("published_at").cast("timestamp"))).first()[0]
-        store = _stored(spark, path, ALERT_ROW).where(F.col("batch") != batch_id)
+        store = DayStore(batch.sparkSession, path, StructType.fromDDL(ALERT_ROW), "created_at", "news_id", domain.RETENTION_DAYS)
         # only the days in which earlier alerts can still matter
-        recent = store if first is None else store.where(F.col("created_date") >= F.date_sub(F.to_date(F.lit(first)), domain.RETENTION_DAYS))
-        fresh = alerts_of(news, assets, **scores).join(recent.select(*PAIR), PAIR, "left_anti")
-        done = admitted(fresh, scores.get("vectors"), cap, threshold, recent)
-        columns = [c.split()[0] for c in ALERT_ROW.split(", ")[:-1]]
-        done.withColumn("created_date", F.to_date("created_at")).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        since = None if first is None else (first - dt.timedelta(days=domain.RETENTION_DAYS)).date()
+        days = [d for d in store.mark(batch_id)[1] if since is None or d >= since]
+        recent = store.rows(store.folders(days, batch_id))
+        fresh = alerts_of(news, watch, **scores).join(recent.select(*PAIR), PAIR, "left_anti")
+        store.write(admitted(fresh, scores.get("vectors"), cap, threshold, recent), batch_id)
         news.unpersist()
 
     return run
@@ -192,4 +196,4 @@ def alerting_batch(path: str, assets: DataFrame, cap: int = domain.ALERTS_PER_HO
 
 def start_alerting(news: DataFrame, path: str, assets: DataFrame, cap: int = domain.ALERTS_PER_HOUR, every: str | None = None,
                    threshold: float = domain.DEDUP_SIMILARITY, **scores: DataFrame) -> StreamingQuery:
-    return _each_batch(news, alerting_batch(f"{path}/rows", assets, cap, threshold, **scores), path, every)
+    return _each_batch(news, alerting_batch(path, assets, cap, threshold, **scores), path, every)

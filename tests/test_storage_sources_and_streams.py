@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliowire.operators import advisor, limiter, scoring_tables, similarity, storage
 from foliowire.sources import corpora, feeds
 from foliowire.streaming import jobs, state
+from foliowire.streaming.daystore import DayStore
 
 
 def now():
@@ -255,6 +256,46 @@ def test_ingest_keeps_late_rows_aside(spark, tmp_path):
     assert read("rows") == [("a", 9), ("b", 8), ("c", 9)] and read("late") == [("d", 2)]
 
 
+def test_a_batch_opens_only_folders_that_may_hold_its_urls(spark, rows, tmp_path, monkeypatch):
+    """Later batches open no more than earlier ones, however many are stored; replays change nothing."""
+    schema, opened = "url string, published_at timestamp", []
+    read = DayStore.rows
+    monkeypatch.setattr(DayStore, "rows", lambda self, folders: opened.append(list(folders)) or read(self, folders))
+    run = jobs.ingest_batch(str(tmp_path / "s"), "2 days")
+
+    def day(n):
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+        return rows([(f"u{n}-{k}", at + dt.timedelta(hours=k)) for k in range(20)] + [(f"u{n - 1}-3", at), (f"u{n - 5}-3", at), (None, at), ("never", None)], schema)
+
+    def stored():
+        return sorted((str(r["url"]), str(r["published_at"]), r["batch"]) for r in spark.read.parquet(str(tmp_path / "s" / "rows")).collect())
+
+    for n in range(8):
+        run(day(n), n)
+    assert [len(o) for o in opened[3:6]] == [len(o) for o in opened[5:8]] and max(len(o) for o in opened) <= 4
+    assert all((dt.date(2024, 1, 1) + dt.timedelta(days=n) - d).days <= 2 or d == dt.date(1970, 1, 1) for n, o in enumerate(opened) for d, _ in o)
+    before = stored()
+    assert sum(u == "never" for u, _, _ in before) == 1 and sum(u == "u2-3" for u, _, _ in before) == 2  # remembered for two days, not for five
+    run(day(7), 7)
+    assert stored() == before
+
+
+def test_filters_never_miss_a_key(spark, rows, tmp_path):
+    from pyspark.sql.types import StructType
+
+    schema = "url string, published_at timestamp"
+    store = DayStore(spark, str(tmp_path / "s"), StructType.fromDDL(schema), "published_at", "url", 100)
+    at = dt.datetime(2024, 3, 1)
+    for n in range(3):
+        store.write(rows([(f"{n}/{k}", at + dt.timedelta(days=k % 2)) for k in range(300)], schema), n)
+    days = store.mark(3)[1]
+    assert days == [at.date(), at.date() + dt.timedelta(days=1)]
+    assert store.folders(days, 3, rows([("1/4", at), ("1/6", at)], schema)) == [(days[0], 1)]
+    assert store.folders(days, 3, rows([(f"x{k}", at) for k in range(3)], schema)) == []
+    assert len(store.folders(days, 3, rows([(f"{n}/{k}", at) for n in range(3) for k in range(300)], schema))) == 6 == len(store.folders(days, 3))
+    assert store.mark(0) == (None, []) and store.mark(9)[1] == days
+
+
 def test_hourly_limiter_counts_what_is_stored(rows):
     at = dt.datetime(2024, 1, 1, 10)
     fresh = rows([(i, "p", at + dt.timedelta(minutes=i)) for i in range(5)] + [(9, "p", at + dt.timedelta(hours=1))], "id int, k string, at timestamp")
@@ -274,7 +315,7 @@ def test_alerting_replay_is_idempotent(spark, rows, tmp_path):
     run = jobs.alerting_batch(path, assets)
     for batch, ident in ((first, 0), (first, 0), (second, 1), (second, 1)):
         run(batch, ident)
-    stored = sorted((r["news_id"], r["event_type"], r["batch"]) for r in spark.read.parquet(path).collect())
+    stored = sorted((r["news_id"], r["event_type"], r["batch"]) for r in spark.read.parquet(f"{path}/rows").collect())
     assert stored == [(1, "litigio", 0), (3, "incidencia_operativa", 1)]
 
 
@@ -313,7 +354,7 @@ def test_alerts_in_batches_equal_alerts_at_once(spark, rows, tmp_path):
     run = jobs.alerting_batch(str(tmp_path / "store"), assets, cap=2, **scores)
     for ident, part in enumerate(("news_id < 1", "news_id between 1 and 2", "news_id > 2")):
         run(news.where(part), ident)
-    stored = spark.read.schema(jobs.ALERT_ROW).parquet(str(tmp_path / "store"))
+    stored = spark.read.schema(jobs.ALERT_ROW).parquet(str(tmp_path / "store" / "rows"))
     assert {(r["news_id"], r["is_duplicate"]) for r in stored.collect()} == whole
 
 
