@@ -286,3 +286,15 @@ def cross_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
     return ball_join(left.select(left_id, "vector"), right.select(right_id, "vector"), left_id, right_id, threshold, match,
                      f"{left_id} {kinds[0]}, {right_id} {kinds[1]}, cosine double")
+
+
+def near_copies(items: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """(earlier_id, later_id, cosine): all pairs of different vectors with a cosine of ``threshold``, wherever they stand.
+
+    Exact: balls that cannot hold such a pair never meet, crowded balls meet in parts. Copies of a vector are collapsed first and paired
+    with their first occurrence only, so a crowd of copies yields as many pairs as it has members.
+    """
+    unique, copies = distinct_vectors(items.select(id_col, "vector"), [], [id_col], id_col)
+    unique = cut_lineage(unique.select(id_col, "vector"))
+    found = cross_similar(unique.withColumnRenamed(id_col, "earlier_id"), unique.withColumnRenamed(id_col, "later_id"), "earlier_id", "later_id", threshold)
+    return found.where("earlier_id < later_id").unionByName(copies.select(F.col("first_id").alias("earlier_id"), F.col(id_col).alias("later_id"), F.lit(1.0).alias("cosine")))

@@ -258,6 +258,14 @@ def similar_pairs(t: Tables):
     return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
+@query("H3_near_copies", f"""WITH {_COPIED},
+firsts AS (SELECT embedding, min(vec_id) AS vec_id FROM items GROUP BY 1)
+SELECT b.vec_id AS earlier_id, a.vec_id AS later_id, round({_PAIR}, 6) AS cosine FROM firsts a JOIN firsts b ON b.vec_id < a.vec_id WHERE {_PAIR} >= 0.5
+UNION ALL SELECT f.vec_id, i.vec_id, 1 FROM items i JOIN firsts f ON f.embedding = i.embedding WHERE f.vec_id <> i.vec_id""")
+def near_copies(t: Tables):
+    return similarity.near_copies(_copied(t), "vec_id", 0.5).withColumn("cosine", F.round("cosine", 6))
+
+
 @query("H8_idempotent_reprocessing", f"""WITH {ALERTS}
 SELECT n.doc_id AS news_id, p.portfolio_id FROM documents n JOIN (SELECT DISTINCT doc_id, 'u' || quality AS portfolio_id FROM labels) p USING (doc_id)
 WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.alert_id = n.doc_id AND ('u' || a.user_id % 2) = p.portfolio_id)""")

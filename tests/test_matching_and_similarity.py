@@ -285,3 +285,21 @@ def test_pairs_compared_grow_slower_than_the_assets(spark, rows, monkeypatch):
         shares.append(pairs / (200 * n))
     assert shares[2] < 0.6 * shares[0] and shares[0] < 0.5, shares
 
+
+def test_near_copies_equal_all_pairs(rows, monkeypatch):
+    """Every pair is found, however far apart it stands and however crowded its neighbourhood."""
+    monkeypatch.setattr(similarity, "BALL_ROWS", 8)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    vecs = clustered(3, 700)[0]
+    got = similarity.near_copies(rows(list(enumerate(vecs)), "id bigint, vector array<double>"), "id", 0.9).collect()
+    first = {}
+    for i, v in enumerate(vecs):
+        first.setdefault(tuple(v), i)
+    keep = sorted(first.values())
+    m = np.array([vecs[i] for i in keep])
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    unit_ = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+    a, b = np.nonzero(np.triu(unit_ @ unit_.T, 1) >= 0.9)
+    expected = {(keep[i], keep[j]) for i, j in zip(a, b)} | {(first[tuple(v)], i) for i, v in enumerate(vecs) if first[tuple(v)] != i}
+    assert {(r["earlier_id"], r["later_id"]) for r in got} == expected and len(got) == len(expected) > 1000
+
