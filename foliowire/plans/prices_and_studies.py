@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliowire.functions.scoring import severity_label
-from foliowire.operators import calibration, eventstudy, timeseries
+from foliowire.operators import asof, calibration, eventstudy, timeseries
 from foliowire.plans.bindings import ALERT_EVENTS, ALERTS, MONTHLY, RETURNS, Tables
 from foliowire.plans.registry import query
 
@@ -184,6 +185,32 @@ def event_anchor(t: Tables):
     return placed.select("alert_id", "ticker", "event_date", "dt", "anchor_error")
 
 
+_HOURLY = """bars AS (SELECT event_type, date_trunc('hour', ts) AS bar_at, avg(value) AS close FROM events GROUP BY 1, 2),
+framed AS (SELECT *, avg(close) OVER (PARTITION BY event_type ORDER BY bar_at ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS next_close,
+                  avg(close) OVER (PARTITION BY event_type ORDER BY bar_at ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS past_close FROM bars)"""
+
+
+@query("D14_intraday_anchor", f"""WITH {_HOURLY}
+SELECT e.event_id, strftime(b.bar_at, '%Y-%m-%d %H:%M:%S') AS bar_at, round(b.close, 6) AS close FROM events e ASOF LEFT JOIN bars b ON e.event_type = b.event_type AND e.ts <= b.bar_at""")
+def intraday_anchor(t: Tables):
+    anchored = asof.asof_join(t["events"].select("event_id", "event_type", "ts"), _hourly(t).select("event_type", "bar_at", "close"), "event_type", "ts", "bar_at")
+    return anchored.select("event_id", F.date_format("bar_at", "yyyy-MM-dd HH:mm:ss").alias("bar_at"), F.round("close", 6).alias("close"))
+
+
+@query("D16_intraday_windows", f"""WITH {_HOURLY}
+SELECT e.event_id, round(b.next_close - b.past_close, 6) AS change FROM events e ASOF LEFT JOIN framed b ON e.event_type = b.event_type AND e.ts <= b.bar_at""")
+def intraday_windows(t: Tables):
+    anchored = asof.asof_join(t["events"].select("event_id", "event_type", "ts"), _hourly(t), "event_type", "ts", "bar_at")
+    return anchored.select("event_id", F.round(F.col("next_close") - F.col("past_close"), 6).alias("change"))
+
+
+def _hourly(t: Tables):
+    """Hourly bars of event values with the mean closes of the bars around each."""
+    bars = t["events"].groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("bar_at")).agg(F.avg("value").alias("close"))
+    order = W.partitionBy("event_type").orderBy("bar_at")
+    return bars.withColumn("next_close", F.avg("close").over(order.rowsBetween(0, 2))).withColumn("past_close", F.avg("close").over(order.rowsBetween(-5, -1)))
+
+
 @query("D15_estimation_window", f"""WITH {_ANCHORED}
 SELECT ticker, event_date, CAST(greatest(0, idx - 120) AS INTEGER) AS est_lo, CAST(idx - 11 AS INTEGER) AS est_hi, CAST(n_estimation AS BIGINT) AS n_estimation FROM models WHERE n_estimation >= 30""")
 def estimation_window(t: Tables):

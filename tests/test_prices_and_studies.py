@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foliowire.operators import calibration, eventstudy, prices, timeseries
+from foliowire.operators import asof, calibration, eventstudy, prices, timeseries
 
 START = pd.Timestamp("2023-01-02")
 DAYS = [d.date() for d in pd.bdate_range(START, periods=200)]
@@ -218,3 +218,48 @@ def test_calibration_of_a_million_monotone_scores(spark):
     curve = calibration.fit_curve(df).orderBy("x").collect()
     assert [r.x for r in curve] == [k / 20 for k in range(21)]
     np.testing.assert_allclose([r.y for r in curve], [min(k / 20, (n - 1) / n) * 0.2 for k in range(21)], atol=1e-9)
+
+
+@pytest.fixture()
+def many_partitions(spark):
+    """Small sorts keep their range partitions."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    yield
+    spark.conf.unset(setting)
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_asof_join_equals_brute_force(spark, forward, many_partitions):
+    rng = np.random.default_rng(11)
+    base = dt.datetime(2024, 1, 1)
+
+    def moments(n):
+        return [base + dt.timedelta(seconds=int(x)) for x in rng.integers(0, 4000, n)]
+
+    def keys(n):
+        return [("hot", "a", "b", "only")[k] for k in rng.choice(3, n, p=[0.9, 0.06, 0.04])]
+
+    left = [(i, k, t, 2**60 + i) for i, (k, t) in enumerate(zip(keys(900), moments(900)))] + [(9000, None, base, None), (9001, "hot", None, None), (9002, "only", base, 5)]
+    right = [(k, t, float(i), i % 3 == 0 or None) for i, (k, t) in enumerate(zip(keys(300), moments(300)))] + [(None, base, 1.0, None), ("hot", None, 2.0, None)]
+    a = spark.createDataFrame(left, "id long, key string, at timestamp, big long").repartition(5)
+    b = spark.createDataFrame(right, "key string, bar timestamp, close double, odd boolean").repartition(3)
+    got = {r.id: (r.big, r.bar, r.close, r.odd) for r in asof.asof_join(a, b, "key", "at", "bar", forward).collect()}
+    assert len(got) == len(left)
+    for i, k, t, big in left:
+        on = [r for r in right if r[0] == k is not None and t is not None and r[1] is not None and (r[1] >= t if forward else r[1] <= t)]
+        best = min(on, key=lambda r: (r[1] if forward else base - r[1], r[2]), default=(None,) * 4) if forward else min(
+            on, key=lambda r: (-(r[1] - base).total_seconds(), r[2]), default=(None,) * 4)
+        assert got[i] == (big, *best[1:]), (i, k, t)
+
+
+def test_asof_spreads_a_hot_key(spark, many_partitions):
+    """The rows of one key lie in many range partitions, most of which begin without a right row of their own."""
+    left = spark.range(20000).select(F.lit("k").alias("key"), "id", (F.timestamp_seconds(F.col("id"))).alias("at"))
+    right = spark.createDataFrame([("k", dt.datetime(1970, 1, 1, 5, 0), 1)], "key string, bar timestamp, v int")
+    joined = asof.asof_join(left, right, "key", "at", "bar")
+    assert joined.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+    assert joined.where("v = 1").count() == 18001 and joined.where("v is null").count() == 1999
+    assert asof.asof_join(left, right.limit(0), "key", "at", "bar").where("v is not null").count() == 0
+    assert asof.asof_join(left.limit(0), right, "key", "at", "bar").count() == 0
+
