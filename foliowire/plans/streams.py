@@ -16,6 +16,7 @@ from foliowire.plans.bindings import ALERTS, NEWS, Tables
 from foliowire.plans.matching_and_similarity import _BLEND, _RULES, _SEMANTIC, greedy_sql
 from foliowire.plans.registry import query
 from foliowire.plans.text_and_scores import _EVENT_TEXT_SQL, _KEYWORD_SQL, _LABEL
+from foliowire.sources import feeds
 from foliowire.streaming import jobs, state
 
 
@@ -222,6 +223,36 @@ def live_counters(t: Tables):
     return counted.withColumn("interval_start", F.date_format("interval_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("H10_open_counters", f"""WITH {ALERTS}
+SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS interval_start, event_type, CAST(count(*) AS BIGINT) AS n FROM alerts GROUP BY 1, 2""")
+def open_counters(t: Tables):
+    alerts = _stream(t).alerts.select(F.col("created_at").cast("timestamp").alias("created_at"), "event_type")
+    path = session.scratch_path(t.spark, "open-counters")
+    jobs.start_open_counters(alerts, path).awaitTermination()
+    return jobs.current_counters(t.spark, path).withColumn("interval_start", F.date_format("interval_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+_LANDED = f"""news_items AS (
+  SELECT news_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS content, url, published_at, lang, source
+  FROM (SELECT * FROM news))"""
+
+
+@query("A1_landed_files", f"""WITH {NEWS}, {_LANDED}
+SELECT url, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published, sha256(title || ' ' || lang || ' ' || content) AS content_hash, NULL::VARCHAR AS fault FROM news_items WHERE news_id % 13 <> 0
+UNION ALL SELECT NULL, NULL, NULL, 'unlinked' FROM news_items WHERE news_id % 13 = 0""")
+def landed_files(t: Tables):
+    n, folder = t.news, session.scratch_path(t.spark, "feed-files")
+    squeezed = {c: F.trim(F.regexp_replace(c, "[ \\t\\n\\f\\r]+", " ")) for c in ("title", "content")}
+    item = F.struct(squeezed["title"].alias("title"), F.when(F.col("news_id") % 13 != 0, F.col("url")).alias("link"), F.concat(
+        F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("pubDate"), F.col("lang").alias("description"), squeezed["content"].alias("content"))
+    n.select(F.to_xml(item, {"rowTag": "item"})).write.text(folder)
+    path = session.scratch_path(t.spark, "landed")
+    jobs.start_landing(feeds.stream_rss(t.spark, folder), path, lambda items: feeds.rss_to_news(items, F.lit("desk"), F.current_timestamp())).awaitTermination()
+    landed = t.spark.read.parquet(f"{path}/news").select(
+        "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), "content_hash", F.lit(None).cast("string").alias("fault"))
+    return landed.unionByName(t.spark.read.parquet(f"{path}/faults").select("fault"), allowMissingColumns=True)
+
+
 @query("U1_score_tables", f"""WITH {ALERTS}
 SELECT doc_id AS news_id, a.sentiment AS mood_sentiment, a.confidence AS mood_confidence, l.quality = 1 AS verdict_is_relevant
 FROM documents LEFT JOIN alerts a ON alert_id = doc_id LEFT JOIN labels l USING (doc_id)""")

@@ -44,6 +44,34 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
 
 
+#: Characters of an item beyond which it is kept apart.
+MOST_ITEM_CHARS = 5_000_000
+
+
+def stream_rss(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
+    """Items of the feed files that arrive below ``path``, with their file, and the record itself where it cannot be parsed.
+
+    Files are cut at the ends of items and each item is parsed on its own, so a broken one costs no other.
+    """
+    reader = spark.readStream.option("lineSep", "</item>")
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    cut = reader.text(path).select(F.split("value", "<item(?=[\\s/>])", -1).alias("parts"), F.col("_metadata.file_path").alias("file"))
+    # behind what comes before the first item: items that never end, and one that ends where the file was cut
+    opened = cut.select("file", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part")).where("k > 0")
+    item = F.concat(F.lit("<item"), "part", F.when(F.col("k") == F.col("n") - 1, "</item>").otherwise(""))
+    options = {"rowTag": "item", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "record"}
+    return opened.select("file", F.from_xml(item, f"{RSS_ITEM}, record string", options).alias("i")).select("i.*", "file")
+
+
+def faults(items: DataFrame, most_chars: int = MOST_ITEM_CHARS) -> DataFrame:
+    """Items with ``fault``: broken, empty (neither title, summary nor content), unlinked, huge, or null for good ones."""
+    texts = [_blank(F.col(c)) for c in ("title", "description", "content")]
+    size = sum((F.length(t) for t in texts), F.lit(0))
+    return items.withColumn("fault", F.when(F.col("record").isNotNull(), "broken").when(size == 0, "empty").when(
+        _blank(F.col("link")) == "", "unlinked").when(size > most_chars, "huge"))
+
+
 def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 

@@ -19,6 +19,7 @@ from foliowire import domain
 from foliowire.functions import text
 from foliowire.operators import gates, impact, limiter, matching, relevance, similarity, storage
 from foliowire.session import cut_lineage
+from foliowire.sources import feeds
 from foliowire.streaming.daystore import DayStore
 
 LATENESS = "2 days"
@@ -89,6 +90,47 @@ def _each_batch(stream: DataFrame, run: Callable[[DataFrame, int], None], path:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def landing_batch(path: str, normalise: Callable[[DataFrame], DataFrame], most_chars: int = feeds.MOST_ITEM_CHARS) -> Callable[[DataFrame, int], None]:
+    """Micro-batch function that lands feed items, safe to repeat: news to ``news``, what cannot be used to ``faults``.
+
+    ``normalise`` makes news rows of good items, as ``feeds.rss_to_news`` does. A fault row has its kind, its file and the item.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        judged = feeds.faults(batch, most_chars).persist()
+        normalise(judged.where("fault is null")).write.mode("overwrite").parquet(f"{path}/news/batch={batch_id}")
+        judged.where("fault is not null").write.mode("overwrite").parquet(f"{path}/faults/batch={batch_id}")
+        judged.unpersist()
+
+    return run
+
+
+def start_landing(items: DataFrame, path: str, normalise: Callable[[DataFrame], DataFrame], every: str | None = None,
+                  most_chars: int = feeds.MOST_ITEM_CHARS) -> StreamingQuery:
+    return _each_batch(items, landing_batch(path, normalise, most_chars), path, every)
+
+
+def _counted(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes the counters that a batch changed; a replay overwrites its own."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("day", F.to_date("interval_start")).withColumn("batch", F.lit(batch_id)).write.partitionBy("day", "batch").mode(
+            "overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/rows")
+
+    return run
+
+
+def start_open_counters(alerts: DataFrame, path: str, lateness: str = LATENESS, interval: str = "1 hour", every: str | None = None) -> StreamingQuery:
+    """Live counters that show open intervals after every batch and correct them when late rows arrive; see ``current_counters``."""
+    writer = live_counters(alerts, lateness, interval).writeStream.outputMode("update").foreachBatch(_counted(path)).option("checkpointLocation", f"{path}/_stream")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def current_counters(spark: SparkSession, path: str, since: dt.date | None = None) -> DataFrame:
+    """(interval_start, event_type, n): the latest count of every interval, of days from ``since`` on."""
+    rows = spark.read.schema("interval_start timestamp, event_type string, n bigint, day date, batch bigint").parquet(f"{path}/rows")
+    recent = rows if since is None else rows.where(F.col("day") >= F.lit(since))
+    return recent.groupBy("interval_start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
 def live_counters(alerts: DataFrame, lateness: str = LATENESS, interval: str = "1 hour") -> DataFrame:
     """Alerts per type and tumbling interval, emitted once an interval can no longer change."""
     from foliowire.operators.alertstats import counters_by_interval

@@ -319,6 +319,64 @@ def test_alerting_replay_is_idempotent(spark, rows, tmp_path):
     assert stored == [(1, "litigio", 0), (3, "incidencia_operativa", 1)]
 
 
+def test_open_hours_are_visible_and_corrected(spark, tmp_path):
+    schema, base = "created_at timestamp, event_type string", dt.datetime(2024, 1, 1)
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def minutes(*values):
+        return [(base + dt.timedelta(minutes=m), "a") for m in values]
+
+    def counters():
+        return {r["interval_start"].hour: r["n"] for r in jobs.current_counters(spark, path).collect()}
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+        jobs.start_open_counters(stream, path, "3 hours").awaitTermination()
+
+    land(spark, minutes(5, 10, 65), schema, source, "p0")
+    run()
+    assert counters() == {0: 2, 1: 1}  # both hours are open
+    land(spark, minutes(70, 20), schema, source, "p1")  # one row is late
+    run()
+    assert counters() == {0: 3, 1: 2}
+    land(spark, minutes(600, 6), schema, source, "p2")
+    run()
+    assert counters() == {0: 4, 1: 2, 10: 1}
+    land(spark, minutes(601, 7), schema, source, "p3")  # too late to be counted
+    run()
+    assert counters() == {0: 4, 1: 2, 10: 2}
+    before = counters()
+    rows_ = spark.read.parquet(f"{path}/rows").where("batch = 2").drop("day", "batch")
+    jobs._counted(path)(spark.createDataFrame(rows_.collect(), rows_.schema), 2)  # a replay
+    assert counters() == before
+    assert {r["interval_start"].hour for r in jobs.current_counters(spark, path, dt.date(2024, 1, 2)).collect()} == set()
+
+
+def test_feed_files_are_landed_as_they_arrive(spark, tmp_path):
+    feed, path = tmp_path / "feed", str(tmp_path / "out")
+    feed.mkdir()
+
+    def item(k, body="text", link=True):
+        return f"<item><title>t{k}</title>{f'<link>http://x/{k}</link>' if link else ''}<pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate><description>{body}</description></item>"
+
+    (feed / "good.xml").write_text(f"<rss><channel>{item(1)}{item(2)}</channel></rss>")
+    (feed / "mixed.xml").write_text(f"<rss>{item(3)}<item><title>x</title><link>http://x/4</link><description>a <b>not closed</description></item>{item(5, link=False)}<item></item>{item(6, 'h' * 5000)}</rss>")
+    (feed / "empty.xml").write_text("")
+
+    def run():
+        items = feeds.stream_rss(spark, str(feed), per_batch=1)
+        jobs.start_landing(items, path, lambda good: feeds.rss_to_news(good, F.lit("desk"), now()), most_chars=1000).awaitTermination()
+        news = sorted(r["url"] for r in spark.read.parquet(f"{path}/news").collect())
+        return news, {r["fault"]: r["count"] for r in spark.read.parquet(f"{path}/faults").groupBy("fault").count().collect()}
+
+    good, bad = run()
+    assert good == ["http://x/1", "http://x/2", "http://x/3"] and bad == {"broken": 1, "unlinked": 1, "empty": 1, "huge": 1}
+    broken = spark.read.parquet(f"{path}/faults").where("fault = 'broken'").first()
+    assert "not closed" in broken["record"] and broken["file"].endswith("mixed.xml")
+    (feed / "later.xml").write_text(f"<rss>{item(7)}</rss>")
+    assert run() == ([*good, "http://x/7"], bad)
+
+
 def test_ingest_stream_drops_repeated_urls(spark, tmp_path):
     schema = "url string, published_at timestamp"
     source = str(tmp_path / "in")
