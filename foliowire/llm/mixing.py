@@ -33,8 +33,8 @@ BLOCK_WORDS = 32
 SHARD_SLOTS = 1024
 #: Documents per piece of a source's stream; sizes are summed within pieces, then over pieces.
 PIECE_DOCS = 2000
-#: Draws expanded in one go.
-DRAWS = 1 << 15
+#: Draws expanded in one go, and in one task.
+DRAWS, TASK_DRAWS = 1 << 15, 1 << 18
 SEED = 20240229
 
 
@@ -115,11 +115,15 @@ def _drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def draws(plan: DataFrame) -> DataFrame:
-    """One row per output slot: source_no, block, epoch, slot, shard."""
+    """One row per output slot: source_no, block, epoch, slot, shard.
+
+    The number of tasks follows the slots; the planner sees only the few rows they are expanded from.
+    """
     some = plan.where("draws > 0")
+    tasks = (plan.agg(F.max("slots")).first()[0] or 0) // TASK_DRAWS + 1
     pieces = some.select("source_no", "blocks", "draws", "first", "slots",
                          F.explode(F.expr(f"sequence(0L, draws - 1, {DRAWS}L)")).alias("begin"))
-    return pieces.repartition("source_no", "begin").mapInPandas(
+    return pieces.repartition(tasks, "source_no", "begin").mapInPandas(
         _drawn, "source_no long, block long, epoch int, slot long, shard long")
 
 
