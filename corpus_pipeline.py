@@ -1,6 +1,11 @@
 """A training corpus from documents: rejects, near copies and repeated passages go, sources are mixed, the rest is packed.
 
 Each stage reads what its predecessor wrote. All but the last return the columns of documents.
+
+Defined results, stage by stage: documents with null or empty text have too few words and go with the rejects; null languages
+and sources are groups of their own; a null doc_id is kept and linked with nothing; rows that repeat a doc_id stand or
+fall together among near copies and are documents of their own everywhere else; texts of any length are used whole; whole numbers
+stay exact beside nulls; other columns are returned as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -51,3 +51,34 @@ def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
+
+
+def through(spark, docs, path):
+    """The rows after each stage, every stage over the written rows of the one before."""
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path).write.parquet(f"{path}/{k}")
+        docs = spark.read.parquet(f"{path}/{k}")
+        yield name, docs
+
+
+def test_empty_tables_pass_all_stages(spark, documents, tmp_path):
+    assert all(out.count() == 0 for _, out in through(spark, documents([]), str(tmp_path / "none")))
+    rejected = documents([(1, None), (None, ""), (2, "too short"), (3, "a " * 400)])
+    assert all(out.count() == 0 for _, out in through(spark, rejected, str(tmp_path / "rejected")))
+    assert minhash.keep_one(documents([])).count() == 0
+
+
+def test_awkward_rows_pass_all_stages(spark, documents, tmp_path):
+    long, text = prose(1, 120_000, 50_000), prose(2, 150, 9000)
+    rows = [(2**60 + 1, long, None, None), (None, prose(3, 150, 9000), "en", None), (5, text, "en", "a"), (5, text, "en", "a"), (6, text, "en", "b"),
+            (7, prose(4, 150, 9000), None, "a"), (8, None, "en", "a")]
+    got = dict(through(spark, documents(rows), str(tmp_path / "some")))
+    ids = {name: sorted(str(r.doc_id) for r in out.select("doc_id").distinct().collect()) for name, out in got.items()}
+    assert ids["quality rules"] == sorted(map(str, [2**60 + 1, None, 5, 6, 7]))
+    assert ids["near duplicates"] == sorted(map(str, [2**60 + 1, None, 5, 7]))  # the rows that repeat an id stay together
+    assert got["near duplicates"].where("doc_id = 5").count() == 2
+    left = {r.doc_id: len(r.text.split()) for r in got["repeated passages"].collect()}
+    assert left[2**60 + 1] == 120_000 and left[None] == 150 and left.get(5, 0) == 0  # the two rows repeat each other
+    pieces = got["packing"].where(f"doc_id = {2**60 + 1}").collect()
+    assert sum(p.length for p in pieces) >= 120_000
+
