@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliowire import session
 from foliowire.functions.scoring import severity_label
 from foliowire.operators import asof, calibration, eventstudy, timeseries
-from foliowire.plans.bindings import ALERT_EVENTS, ALERTS, MONTHLY, RETURNS, Tables
+from foliowire.plans.bindings import ALERT_EVENTS, ALERTS, DAILY, MONTHLY, RETURNS, Tables
 from foliowire.plans.registry import query
+from foliowire.sources import pricefeed
 
 
 def _rounded(df, columns, places=6):
@@ -324,6 +326,37 @@ def price_sources(t: Tables):
     return summed("close", closes).unionByName(summed("ret", timeseries.returns_of(closes)))
 
 
+@query("U3_registered_source", f"""WITH {DAILY}
+SELECT ticker, dt, round(close / before - 1, 6) AS ret FROM (SELECT ticker, dt, close, lag(close) OVER (PARTITION BY ticker ORDER BY dt) AS before FROM daily WHERE dt >= DATE '1996-01-01')
+WHERE before IS NOT NULL""")
+def registered_source(t: Tables):
+    """Returns of closes that a registered provider serves from a folder per ticker."""
+    folder = session.scratch_path(t.spark, "closes")
+    t.daily.select("ticker", "dt", "close").write.partitionBy("ticker").parquet(folder)
+    span = t.spark.read.parquet(folder).agg(F.min("dt").alias("a"), F.max("dt").alias("b")).first()
+    known = [r.ticker for r in t.daily.select("ticker").distinct().collect()]
+    pricefeed.register_prices(t.spark, "daily_closes", _folder_closes(folder), known if span.a else [], span.a, span.b, 5)
+    closes = t.spark.read.format("daily_closes").load().where("dt >= DATE '1996-01-01'")
+    return _rounded(timeseries.simple_returns(closes).select("ticker", "dt", "ret"), ["ret"])
+
+
+def _folder_closes(folder: str):
+    """A provider that reads the closes of a ticker from a folder that all executors share."""
+    local = "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith(("file:", "/")) else None
+
+    def fetch(ticker, since, until):
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, path = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(folder)
+        rows = ds.dataset(path, filesystem=system, format="parquet", partitioning="hive", exclude_invalid_files=False)
+        wanted = (ds.field("ticker") == ticker) & (ds.field("dt") >= since) & (ds.field("dt") <= until)
+        for batch in rows.to_batches(columns=["dt", "close"], filter=wanted):
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+    return fetch
+
+
 # --- Calibration ----------------------------------------------------------------------------------
 
 @query("E37_isotonic_calibration", f"""WITH RECURSIVE {_ANCHORED},

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliowire.operators import asof, calibration, eventstudy, prices, timeseries
+from foliowire.sources import pricefeed
 
 START = pd.Timestamp("2023-01-02")
 DAYS = [d.date() for d in pd.bdate_range(START, periods=200)]
@@ -263,3 +264,31 @@ def test_asof_spreads_a_hot_key(spark, many_partitions):
     assert asof.asof_join(left, right.limit(0), "key", "at", "bar").where("v is not null").count() == 0
     assert asof.asof_join(left.limit(0), right, "key", "at", "bar").count() == 0
 
+
+def test_registered_prices_take_filters(spark):
+    """Only the partitions of the tickers and days asked for are made, and the rows are those of a filter."""
+    setting = "spark.sql.python.filterPushdown.enabled"
+    since, until = dt.date(2020, 3, 1), dt.date(2023, 2, 1)
+
+    def fetch(ticker, a, b):
+        return [(a + dt.timedelta(days=k), float(ord(ticker) + (a.toordinal() + k) % 3)) for k in range((b - a).days + 1)]
+
+    def read():
+        pricefeed.register_prices(spark, "test_prices", fetch, ["A", "B", "C"], since, until)
+        return spark.read.format("test_prices").load()
+
+    conditions = {"ticker = 'B'": 4, "ticker in ('A', 'C') and dt >= DATE '2021-06-01'": 6, "dt < DATE '2021-01-01'": 3, "dt = DATE '2022-05-05'": 3,
+                  "dt > DATE '2020-12-31' and dt <= DATE '2021-12-31'": 3, "close > 66 and ticker = 'A'": 4, "ticker = 'none'": 0}
+    plain = read()
+    assert plain.rdd.getNumPartitions() == 12 and plain.count() == 3 * ((until - since).days + 1)
+    expected = {c: sorted(map(tuple, plain.where(c).collect())) for c in conditions}
+    spark.conf.set(setting, "true")
+    try:
+        for condition, partitions in conditions.items():
+            pushed = read().where(condition)
+            assert sorted(map(tuple, pushed.collect())) == expected[condition], condition
+            assert pushed.rdd.getNumPartitions() == partitions or partitions == 0, condition
+    finally:
+        spark.conf.unset(setting)
+    assert len(expected["ticker = 'B'"]) == (until - since).days + 1
+
