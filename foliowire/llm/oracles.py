@@ -59,38 +59,46 @@ measured AS (
 """
 
 _JUDGED = r"""
-cells AS (
+parts AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         {'symbol_rate': least(1000, 1000 * n_symbols // greatest(n_words, 1)), 'upper_rate': least(1000, 1000 * n_upper // greatest(word_chars, 1)),
-          'dup_line_rate': least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)), 'repeat_rate': least(1000, 1000 * n_repeat_words // greatest(n_words, 1)),
-          'word_length': least(5000, 100 * word_chars // greatest(n_words, 1))} AS c
+         unnest(['symbol_rate', 'upper_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS measure,
+         unnest([1000 * n_symbols, 1000 * n_upper, 1000 * n_dup_lines, 1000 * n_repeat_words, 100 * word_chars]) AS part,
+         greatest(1, unnest([n_words, word_chars, n_lines, n_words, n_words])) AS whole,
+         unnest([1000, 1000, 1000, 1000, 5000]) AS top, unnest([5000, 10000, 2000, 20000, 0]) AS granted
   FROM measured),
-long AS (
-  SELECT doc_id, lang, source, base_failed, unnest(['symbol_rate', 'upper_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS measure,
-         unnest([c.symbol_rate, c.upper_rate, c.dup_line_rate, c.repeat_rate, c.word_length]) AS cell, unnest([25, 40, 100, 120, 100]) AS least_step
-  FROM cells),
-good AS (SELECT * FROM long WHERE NOT base_failed),
-quartiles AS (
-  SELECT 0 AS level, lang, source, measure, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3, count(*) AS n FROM good GROUP BY lang, source, measure
-  UNION ALL SELECT 1, lang, NULL, measure, quantile_disc(cell, 0.25), quantile_disc(cell, 0.75), count(*) FROM good GROUP BY lang, measure
-  UNION ALL SELECT 2, NULL, NULL, measure, quantile_disc(cell, 0.25), quantile_disc(cell, 0.75), count(*) FROM good GROUP BY measure),
+good AS MATERIALIZED (SELECT lang, source, measure, least(top, part // whole) AS cell, count(*) AS n FROM parts WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
+whole_corpus AS (SELECT measure, cell, sum(n)::BIGINT AS n FROM good GROUP BY 1, 2),
+corpus_size AS (SELECT measure, sum(n)::BIGINT AS total FROM whole_corpus GROUP BY 1),
+lang_size AS (SELECT lang, measure, sum(n)::BIGINT AS total FROM good GROUP BY 1, 2),
+lang_rows AS (
+  SELECT lang, measure, cell, 1000000 * n AS w FROM good
+  UNION ALL SELECT lang, measure, cell, 100 * 1000000 * n // corpus_size.total FROM lang_size JOIN whole_corpus USING (measure) JOIN corpus_size USING (measure)),
+lang_weights AS MATERIALIZED (SELECT lang, measure, cell, sum(w)::BIGINT AS w FROM lang_rows GROUP BY 1, 2, 3),
+group_rows AS (
+  SELECT lang, source, measure, cell, 1000000 * n AS w FROM good
+  UNION ALL SELECT g.lang, g.source, g.measure, l.cell, 100 * l.w // (s.total + 100)
+  FROM (SELECT DISTINCT lang, source, measure FROM good) g
+  JOIN lang_weights l ON l.lang IS NOT DISTINCT FROM g.lang AND l.measure = g.measure
+  JOIN lang_size s ON s.lang IS NOT DISTINCT FROM g.lang AND s.measure = g.measure),
+group_weights AS (SELECT lang, source, measure, cell, sum(w)::BIGINT AS w FROM group_rows GROUP BY 1, 2, 3, 4),
+ranked AS (
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY cell) AS below, sum(w) OVER (PARTITION BY lang, source, measure) AS total FROM group_weights),
+tails AS MATERIALIZED (
+  SELECT lang, source, measure, min(cell) FILTER (100 * below >= 15 * total) AS low, min(cell) FILTER (100 * below >= 50 * total) AS middle,
+         min(cell) FILTER (100 * below >= 85 * total) AS high FROM ranked GROUP BY 1, 2, 3),
 outside AS (
-  SELECT l.doc_id
-  FROM long l
-  JOIN quartiles a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM l.lang AND a.source IS NOT DISTINCT FROM l.source AND a.measure = l.measure
-  JOIN quartiles b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM l.lang AND b.measure = l.measure
-  JOIN quartiles g ON g.level = 2 AND g.measure = l.measure
-  WHERE cell > (CASE WHEN a.n >= 100 THEN a.q3 + 4 * greatest(a.q3 - a.q1, least_step) WHEN b.n >= 100 THEN b.q3 + 4 * greatest(b.q3 - b.q1, least_step)
-                     ELSE g.q3 + 4 * greatest(g.q3 - g.q1, least_step) END)
-     OR l.measure = 'word_length' AND cell < (CASE WHEN a.n >= 100 THEN a.q1 - 4 * greatest(a.q3 - a.q1, least_step)
-                     WHEN b.n >= 100 THEN b.q1 - 4 * greatest(b.q3 - b.q1, least_step) ELSE g.q1 - 4 * greatest(g.q3 - g.q1, least_step) END))
+  SELECT p.doc_id
+  FROM parts p
+  JOIN tails t ON t.lang IS NOT DISTINCT FROM p.lang AND t.source IS NOT DISTINCT FROM p.source AND t.measure = p.measure
+  WHERE least(part, top * whole) > (high + 6 * greatest(high - middle, 5)) * whole + granted
+     OR p.measure = 'word_length' AND least(part, top * whole) < (low - 6 * greatest(middle - low, 5)) * whole)
 """
 
 QUALITY = f"""
 WITH {MEASURED}, {_JUDGED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
-FROM cells
+FROM parts WHERE measure = 'word_length'
 """
 
 _REACHED = """reached(id, c) AS (SELECT id, id FROM nodes UNION SELECT b, c FROM reached JOIN pairs ON a = reached.id),

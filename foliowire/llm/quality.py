@@ -2,9 +2,13 @@
 
 Every document yields a few integer measures. Each measure of each (language, source) is summarised by a histogram
 sketch over a fixed integer grid: adding two sketches is adding counts, so sketches merge exactly in any order, combine
-on the map side and hold at most a few thousand counts whatever the corpus size. A group with few documents borrows
-the merged sketch of its language, and that of all documents if the language is rare too. Thresholds are fences around
-the quartiles read from the sketch; a document is rejected when a measure lies outside the fence of its group.
+on the map side and hold at most a few thousand counts whatever the corpus size.
+
+The sketch of a group is read beside ``PRIOR`` documents' worth of its language's sketch, which in turn has ``PRIOR``
+documents' worth of the whole corpus: large groups go by their own documents, small ones lean on the others, and no size
+switches from one to the other. A fence lies ``REACH`` times as far beyond the tail quantile as that lies from the
+median, so up to a tenth of a group may be bad without moving it far. A document is rejected when a measure lies outside
+the fence of its group by more than a few occurrences; a short text is not condemned by one repeated line.
 
 Defined results: a null text has no words; null languages and sources form groups of their own; rows that repeat a
 doc_id are judged one by one; an empty table gives an empty result; other columns of the input are ignored by
@@ -25,17 +29,21 @@ from foliowire.llm.common import WORD, map_frames, materialise, small_side, spli
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Documents a group needs for a sketch of its own.
-MIN_GROUP = 100
-#: A fence lies this many quartile distances beyond the quartile.
-REACH = 4
-#: Measure -> (grid cells, least quartile distance in cells, fence below as well).
+#: Documents' worth of the wider sketch that is added to a narrower one.
+PRIOR = 100
+#: Weight of one document in a blended sketch; keeps the shares of the wider sketch in whole numbers.
+UNIT = 1_000_000
+#: Percent of the documents at or below the upper tail quantile; the lower one mirrors it.
+TAIL = 85
+#: A fence lies this many times the distance from median to tail quantile beyond it; the distance has at least a few cells.
+REACH, LEAST_STEP = 6, 5
+#: Measure -> (counted part, whole, cells for part = whole, last cell, occurrences granted beyond the fence, fence below as well).
 MEASURES = {
-    "symbol_rate": (1000, 25, False),
-    "upper_rate": (1000, 40, False),
-    "dup_line_rate": (1000, 100, False),
-    "repeat_rate": (1000, 120, False),
-    "word_length": (5000, 100, True),
+    "symbol_rate": ("n_symbols", "n_words", 1000, 1000, 5, False),
+    "upper_rate": ("n_upper", "word_chars", 1000, 1000, 10, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1000, 1000, 2, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 1000, 1000, 20, False),
+    "word_length": ("word_chars", "n_words", 100, 5000, 0, True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
@@ -91,14 +99,8 @@ def base_failed():
 
 def _cells() -> dict:
     """Grid cell of each measure, in integer arithmetic."""
-    rate = lambda part, whole, factor, top: F.least(F.lit(top), F.expr(f"{factor} * {part} div greatest({whole}, 1)"))
-    return {
-        "symbol_rate": rate("n_symbols", "n_words", 1000, 1000),
-        "upper_rate": rate("n_upper", "word_chars", 1000, 1000),
-        "dup_line_rate": rate("n_dup_lines", "n_lines", 1000, 1000),
-        "repeat_rate": rate("n_repeat_words", "n_words", 1000, 1000),
-        "word_length": rate("word_chars", "n_words", 100, 5000),
-    }
+    return {name: F.least(F.lit(top), F.expr(f"{scale} * {part} div greatest({whole}, 1)"))
+            for name, (part, whole, scale, top, _, _) in MEASURES.items()}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -108,58 +110,72 @@ def sketches(measured: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "measure", "cell").agg(F.count("*").alias("n"))
 
 
-def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group the number of documents and, per measure, the lowest and highest accepted cell."""
+def _leaning(sketch: DataFrame, keys: list[str], wider: DataFrame, wider_keys: list[str]) -> DataFrame:
+    """Weights (keys, measure, cell, weight): ``sketch`` merged by ``keys`` beside PRIOR documents' worth of ``wider``.
+
+    ``wider`` has (wider_keys, measure, cell, weight, total) with the sum of its weights in documents.
+    """
     merged = sketch.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")
-    ranked = (merged.withColumn("below", F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("total", F.sum("n").over(group)))
-    quartiles = ranked.groupBy(*keys, "measure").agg(
-        F.min(F.when(4 * F.col("below") >= F.col("total"), F.col("cell"))).alias("q1"),
-        F.min(F.when(4 * F.col("below") >= 3 * F.col("total"), F.col("cell"))).alias("q3"),
-        F.max("total").alias("total"))
-    columns = [F.max("total").alias("group_docs")]
-    for name, (_, least, both) in MEASURES.items():
-        step = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        own = F.col("measure") == name
-        columns.append(F.max(F.when(own, F.col("q3") + step)).alias(f"max_{name}"))
-        if both:
-            columns.append(F.min(F.when(own, F.col("q1") - step)).alias(f"min_{name}"))
-    return quartiles.groupBy(*keys).agg(*columns)
-
-
-LIMITS = [f"max_{m}" for m in MEASURES] + [f"min_{m}" for m, v in MEASURES.items() if v[2]]
+    groups, lent = merged.select(*keys, "measure").distinct().alias("g"), wider.alias("w")
+    same = F.col("g.measure") == F.col("w.measure")
+    for key in wider_keys:
+        same = same & F.col(f"g.{key}").eqNullSafe(F.col(f"w.{key}"))
+    share = F.expr(f"{PRIOR} * w.weight div w.total")
+    borrowed = groups.join(lent, same).select("g.*", "w.cell", share.alias("weight"))
+    own = merged.withColumn("weight", UNIT * F.col("n")).drop("n")
+    return own.unionByName(borrowed).groupBy(*keys, "measure", "cell").agg(F.sum("weight").alias("weight"))
+
+
+def blended(sketch: DataFrame) -> DataFrame:
+    """Weights per (lang, source, measure, cell) in units of a document: own, language and corpus counts."""
+    # the corpus sketch has one row per cell of the grid, 9005 at most
+    corpus = sketch.groupBy("measure", "cell").agg(F.sum("n").alias("n"))
+    corpus = corpus.select("measure", "cell", (UNIT * F.col("n")).alias("weight"), F.sum("n").over(Window.partitionBy("measure")).alias("total"))
+    of_lang = _leaning(sketch, ["lang"], F.broadcast(corpus), [])
+    totals = sketch.groupBy(F.col("lang").alias("l"), F.col("measure").alias("m")).agg((F.sum("n") + PRIOR).alias("total"))
+    lent = of_lang.join(small_side(totals), F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).drop("l", "m")
+    return _leaning(sketch, ["lang", "source"], lent, ["lang"])
+
+
+LIMITS = [f"max_{m}" for m in MEASURES] + [f"min_{m}" for m, v in MEASURES.items() if v[-1]]
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """One row per (lang, source): its fences, taken from the first of source, language, all that has enough documents."""
-    sketch = materialise(sketches(measured), "quality-sketch")
-    levels = [_fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"]),
-              _fences(sketch.withColumn("whole", F.lit(1)), ["whole"])]
-    named = [d.select(*[c for c in ("lang", "source", "whole") if c in d.columns],
-                      F.struct("group_docs", *LIMITS).alias(f"level{k}")) for k, d in enumerate(levels)]
-    joined = (named[0].alias("a").join(named[1].alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
-              .select("a.lang", "a.source", "level0", "level1", F.lit(1).alias("whole")).join(named[2], "whole", "left"))
-    chosen = (F.when(F.col("level0.group_docs") >= MIN_GROUP, F.col("level0"))
-              .when(F.col("level1.group_docs") >= MIN_GROUP, F.col("level1")).otherwise(F.col("level2")))
-    return joined.select("lang", "source", chosen.alias("f")).select("lang", "source", "f.*")
-
-
-def _within_fences():
-    ok = F.lit(True)
-    for name, cell in _cells().items():
-        ok = ok & (cell <= F.coalesce(F.col(f"max_{name}"), cell))
-        if MEASURES[name][2]:
-            ok = ok & (cell >= F.coalesce(F.col(f"min_{name}"), cell))
-    return ok
+    """One row per (lang, source): the highest and, where a measure has one, the lowest accepted cell of each measure."""
+    weights = blended(materialise(sketches(measured), "quality-sketch"))
+    group = Window.partitionBy("lang", "source", "measure")  # at most the cells of the grid
+    ranked = (weights.withColumn("below", F.sum("weight").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("total", F.sum("weight").over(group)))
+    quantile = lambda percent: F.min(F.when(100 * F.col("below") >= percent * F.col("total"), F.col("cell")))
+    read = ranked.groupBy("lang", "source", "measure").agg(
+        quantile(100 - TAIL).alias("low"), quantile(50).alias("middle"), quantile(TAIL).alias("high"))
+    step = lambda distance: REACH * F.greatest(distance, F.lit(LEAST_STEP))
+    above, below = F.col("high") + step(F.col("high") - F.col("middle")), F.col("low") - step(F.col("middle") - F.col("low"))
+    columns = []
+    for limit in LIMITS:
+        side, name = limit.split("_", 1)
+        columns.append(F.max(F.when(F.col("measure") == name, above if side == "max" else below)).alias(limit))
+    return read.groupBy("lang", "source").agg(*columns)
+
+
+def _within(name: str):
+    """Whether a document's measure stays within the fence of its group."""
+    part, whole, scale, top, granted, both = MEASURES[name]
+    value = F.expr(f"least({scale} * {part}, {top} * greatest({whole}, 1))")
+    size = F.greatest(F.col(whole), F.lit(1))
+    ok = value <= F.col(f"max_{name}") * size + scale * granted
+    if both:
+        ok = ok & (value >= F.col(f"min_{name}") * size)
+    return F.coalesce(ok, F.lit(True))
 
 
 def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
-    """``measured`` with base_failed and kept."""
+    """``measured`` with base_failed, kept and, for documents past the base rules, the measures outside their fence."""
     m, f = measured.alias("m"), small_side(fences).alias("f")
     same = F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source"))
-    joined = m.join(f, same, "left").select("m.*", *[F.col(f"f.{c}") for c in LIMITS])
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & _within_fences())
+    joined = m.join(f, same, "left").select("m.*", *[F.col(f"f.{c}") for c in LIMITS]).withColumn("base_failed", base_failed())
+    outside = F.array_compact(F.array(*[F.when(~F.col("base_failed") & ~_within(name), name) for name in MEASURES]))
+    return joined.withColumn("outside", outside).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
