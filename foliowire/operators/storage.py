@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -55,6 +56,73 @@ def upsert(batch: DataFrame, path: str, keys: list[str], combine: Callable[[Data
     merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+#: Rows a bucket of a versioned table should hold at most; with more, the next merge doubles the buckets.
+ROWS_PER_BUCKET = 2_000_000
+_COMMIT = "version bigint, folders array<bigint>, sizes array<bigint>"
+
+
+def _last_commit(spark: SparkSession, path: str) -> Row | None:
+    """The newest committed version: per bucket the version that holds its rows (-1: none) and their number."""
+    try:
+        return spark.read.schema(_COMMIT).parquet(f"{path}/commits").orderBy(F.desc("version")).first()
+    except AnalysisException:  # no version yet
+        return None
+
+
+def _bucket_rows(spark: SparkSession, path: str, schema: StructType, commit: Row | None, buckets: list[int]) -> DataFrame:
+    folders = [f"{path}/rows/version={commit.folders[b]}/bucket={b}" for b in buckets if commit.folders[b] >= 0] if commit else []
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(*folders).select(*schema.names)
+
+
+def current_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of the newest committed version of a table that ``merge_version`` maintains."""
+    commit = _last_commit(spark, path)
+    return _bucket_rows(spark, path, schema, commit, list(range(len(commit.folders))) if commit else [])
+
+
+def merge_version(batch: DataFrame, path: str, keys: list[str], combine: Callable[[DataFrame], DataFrame],
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Merge ``batch`` into the versioned keyed table at ``path``; returns the version that holds the result (0: none yet).
+
+    ``combine`` reduces rows of one key, stored and new, to one row with the same columns. The buckets that the batch touches
+    are written whole into the folder of a new version; all others stay where they are. The version counts only when its commit,
+    one row written last, is there: a job that dies before leaves the table as it was, and the next merge overwrites what it
+    left. Readers keep the files they opened. When the buckets hold more than ``rows_per_bucket`` rows on average, a merge
+    rewrites them all as twice as many or more, so a batch of few keys reads and writes a bounded amount whatever the table's size.
+
+    One writer at a time. Folders of versions that the newest commit does not name may be deleted once no reader needs them.
+    """
+    spark, path = batch.sparkSession, path.rstrip("/")
+    commit = _last_commit(spark, path)
+    n_buckets = before = len(commit.folders) if commit else 1
+    n_rows = sum(commit.sizes) if commit else batch.count()
+    while n_rows > n_buckets * rows_per_bucket:
+        n_buckets *= 2
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int")
+    touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())  # at most ``n_buckets`` numbers
+    if not touched:
+        return commit.version if commit else 0
+    resized = n_buckets != before
+    stored = _bucket_rows(spark, path, batch.schema, commit, list(range(before)) if resized else touched)
+    version = commit.version + 1 if commit else 1
+    rows = f"{path}/rows/version={version}"
+    combine(stored.unionByName(batch)).withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(rows)
+    written = {r.bucket: r["count"] for r in spark.read.schema("bucket int").parquet(rows).groupBy("bucket").count().collect()}
+    keep = commit is not None and not resized
+    folders, sizes = (list(commit.folders), list(commit.sizes)) if keep else ([-1] * n_buckets, [0] * n_buckets)
+    for b in touched if keep else range(n_buckets):
+        folders[b], sizes[b] = (version, written[b]) if b in written else (-1, 0)
+    _write_commit(spark, path, version, folders, sizes)
+    return version
+
+
+def _write_commit(spark: SparkSession, path: str, version: int, folders: list[int], sizes: list[int]) -> None:
+    one = spark.createDataFrame([(folders, sizes)], "folders array<bigint>, sizes array<bigint>")
+    one.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/version={version}")
+
+
 def purge_before(spark: SparkSession, table: str, column: str, first: date) -> list[str]:
     """Drop the partitions of a managed table, by date ``column``, that lie before ``first``; returns the dropped dates."""
     dates = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]  # one per day

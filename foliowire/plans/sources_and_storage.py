@@ -236,8 +236,9 @@ SELECT k AS alert_id, user_id, arg_max(direction = 'alcista', (created_at, alert
 def feedback_upsert(t: Tables):
     votes, path = storage.feedback_rows(_votes(t)), session.scratch_path(t.spark, "feedback")
     for half in (1, 0):
-        storage.upsert(votes.where(F.col("vote_id") % 2 == half), path, ["alert_id", "user_id"], storage.merge_feedback)
-    latest = t.spark.read.parquet(path)
+        storage.merge_version(votes.where(F.col("vote_id") % 2 == half), path, ["alert_id", "user_id"],
+                              lambda rows: storage.merge_feedback(rows).select(*votes.columns))
+    latest = storage.current_rows(t.spark, path, votes.schema)
     return latest.select("alert_id", "user_id", "useful", "comment", _day("created_at").alias("created"), _day("updated_at").alias("updated"))
 
 
@@ -254,9 +255,9 @@ def backtest_upsert(t: Tables):
                               F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("mean_car"))
     path = session.scratch_path(t.spark, "backtests")
     for half in (0, 1):
-        storage.upsert(runs.where(F.col("run_id") % 2 == half), path, ["alert_id"],
-                       lambda rows: storage.latest_per_key(rows, ["alert_id"], ["run_at", "run_id"]).select(*runs.columns))
-    return t.spark.read.parquet(path).select("alert_id", F.date_format("run_at", "yyyy-MM-dd").alias("run_on"), "mean_car", "run_id")
+        storage.merge_version(runs.where(F.col("run_id") % 2 == half), path, ["alert_id"],
+                              lambda rows: storage.latest_per_key(rows, ["alert_id"], ["run_at", "run_id"]).select(*runs.columns))
+    return storage.current_rows(t.spark, path, runs.schema).select("alert_id", F.date_format("run_at", "yyyy-MM-dd").alias("run_on"), "mean_car", "run_id")
 
 
 @query("A15_retention", """

@@ -97,6 +97,59 @@ def test_upsert_rewrites_only_touched_buckets(spark, rows, tmp_path):
     assert len(before & after) >= 14
 
 
+def _latest(df):
+    return storage.latest_per_key(df, ["k"], ["at"]).select("k", "at", "v")
+
+
+VERSIONED = "k int, at int, v string"
+
+
+def test_merged_versions_rewrite_only_touched_buckets_and_grow(spark, rows, tmp_path):
+    path, schema = str(tmp_path / "t"), rows([], VERSIONED).schema
+    merge = lambda data: storage.merge_version(rows(data, VERSIONED), path, ["k"], _latest, rows_per_bucket=20)
+    held = lambda: {r["k"]: r["v"] for r in storage.current_rows(spark, path, schema).collect()}
+    assert merge([]) == 0 and held() == {}
+    assert merge([(k, 1, "old") for k in range(200)] + [(None, 1, "no key")]) == 1
+    before = {str(f) for f in (tmp_path / "t" / "rows").rglob("*.parquet")}
+    assert merge([(3, 2, "new"), (3, 0, "late"), (900, 1, "added"), (None, 2, "still none")]) == 2
+    added = {f for f in (tmp_path / "t" / "rows").rglob("*.parquet") if str(f) not in before}
+    assert {f.parent.parent.name for f in added} == {"version=2"} and len({f.parent.name for f in added}) <= 3
+    expected = {k: "old" for k in range(200)} | {3: "new", 900: "added", None: "still none"}
+    assert held() == expected
+    assert merge([]) == 2
+    merge([(k, 1, "more") for k in range(1000, 1300)])  # the stored rows outgrow the buckets
+    merge([(5, 9, "after")])
+    assert held() == expected | {k: "more" for k in range(1000, 1300)} | {5: "after"}
+    commit = storage._last_commit(spark, path)
+    assert len(commit.folders) == 32 and sum(commit.sizes) == 502 and set(commit.folders) == {4}
+    assert merge([(5, 10, "last")]) == 5 and sorted(set(storage._last_commit(spark, path).folders)) == [4, 5]
+
+
+def test_a_merge_that_dies_leaves_the_table_as_it_was(spark, rows, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), rows([], VERSIONED).schema
+    held = lambda: {r["k"]: r["v"] for r in storage.current_rows(spark, path, schema).collect()}
+    storage.merge_version(rows([(1, 1, "a"), (2, 1, "b")], VERSIONED), path, ["k"], _latest)
+    batch = rows([(1, 2, "changed"), (3, 1, "c")], VERSIONED)
+
+    def lost(df):
+        return _latest(df).withColumn("v", F.when(F.col("k") == 3, F.raise_error(F.lit("executor lost"))).otherwise(F.col("v")))
+
+    with pytest.raises(Exception, match="executor lost"):
+        storage.merge_version(batch, path, ["k"], lost)
+    assert held() == {1: "a", 2: "b"}
+
+    def dies(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(storage, "_write_commit", dies)
+        with pytest.raises(RuntimeError):
+            storage.merge_version(rows([(2, 7, "never committed")], VERSIONED), path, ["k"], _latest)
+    assert held() == {1: "a", 2: "b"}
+    assert storage.merge_version(batch, path, ["k"], _latest) == 2 == storage.merge_version(rows([], VERSIONED), path, ["k"], _latest)
+    assert held() == {1: "changed", 2: "b", 3: "c"}
+
+
 def test_append_and_purge(spark, rows, tmp_path):
     path, ddl = str(tmp_path / "news"), "url string, id int"
     rows([("a", 1)], ddl).write.parquet(path)
