@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from foliowire.session import cut_lineage
+from foliowire.session import cut_lineage, drop_folder
 
 #: Bits of a filter; it is kept in bitmaps of 32768 bits, of which only those with a bit set are written.
 FILTER_BITS = 1 << 20
@@ -85,3 +85,21 @@ class DayStore:
         least = UNDATED if newest is None else (newest - self.keep).date()
         kept = sorted({d for d in [*days, *(r.day for r in own)] if d >= least or d == UNDATED})
         self.spark.createDataFrame([(newest, kept)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch_id}")
+
+    def purge_before(self, first: dt.date) -> list[dt.date]:
+        """Drop the days before ``first`` while the stream goes on; returns the dropped days.
+
+        Rows without a time stay, and so do the days that the next batch, or a replay of the last one, may still open: those of the
+        two newest marks. Rows go before filters, so a purge that died half way finds the same days again.
+        """
+        try:
+            marks = self.spark.read.schema(MARK + ", batch bigint").parquet(f"{self.path}/marks").orderBy(F.desc("batch")).take(2)
+            stored = self.spark.read.schema("bitmap int, day date, batch bigint").parquet(f"{self.path}/filters")
+        except AnalysisException:  # nothing stored yet
+            return []
+        needed = {UNDATED, *(d for m in marks for d in m.days)}
+        old = sorted(r.day for r in stored.where(F.col("day") < F.lit(first)).select("day").distinct().collect() if r.day not in needed)
+        for day in old:
+            for kind in ("rows", "filters"):
+                drop_folder(self.spark, f"{self.path}/{kind}/day={day}")
+        return old

@@ -68,7 +68,7 @@ def ingest_batch(path: str, lateness: str = LATENESS) -> Callable[[DataFrame, in
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         news = cut_lineage(batch.withColumn("published_at", F.col("published_at").cast("timestamp")))
-        store = DayStore(batch.sparkSession, path, news.schema, "published_at", "url", _days(lateness))
+        store = news_store(batch.sparkSession, path, news.schema, lateness)
         newest, days = store.mark(batch_id)
         mark = None if newest is None else newest - pd.Timedelta(lateness).to_pytimedelta()
         behind = F.lit(False) if mark is None else F.coalesce(F.col("published_at") < F.lit(mark), F.lit(False))
@@ -81,6 +81,11 @@ def ingest_batch(path: str, lateness: str = LATENESS) -> Callable[[DataFrame, in
     return run
 
 
+def news_store(spark: SparkSession, path: str, schema: StructType, lateness: str = LATENESS) -> DayStore:
+    """The stored news of an ingest stream at ``path``; ``news_store(...).purge_before(day)`` is its retention."""
+    return DayStore(spark, path, schema, "published_at", "url", _days(lateness))
+
+
 def start_ingest(news: DataFrame, path: str, lateness: str = LATENESS, every: str | None = None) -> StreamingQuery:
     return _each_batch(news, ingest_batch(path, lateness), path, every)
 
@@ -224,7 +229,7 @@ def alerting_batch(path: str, assets: DataFrame, cap: int = domain.ALERTS_PER_HO
     def run(batch: DataFrame, batch_id: int) -> None:
         news = batch.persist()  # every branch of the matching reads it
         first = news.agg(F.min(F.col("published_at").cast("timestamp"))).first()[0]
-        store = DayStore(batch.sparkSession, path, StructType.fromDDL(ALERT_ROW), "created_at", "news_id", domain.RETENTION_DAYS)
+        store = alert_store(batch.sparkSession, path)
         # only the days in which earlier alerts can still matter
         since = None if first is None else (first - dt.timedelta(days=domain.RETENTION_DAYS)).date()
         days = [d for d in store.mark(batch_id)[1] if since is None or d >= since]
@@ -236,6 +241,11 @@ def alerting_batch(path: str, assets: DataFrame, cap: int = domain.ALERTS_PER_HO
     return run
 
 
+def alert_store(spark: SparkSession, path: str) -> DayStore:
+    """The stored alerts of an alerting stream at ``path``; ``alert_store(...).purge_before(day)`` is its retention."""
+    return DayStore(spark, path, StructType.fromDDL(ALERT_ROW), "created_at", "news_id", domain.RETENTION_DAYS)
+
+
 def start_alerting(news: DataFrame, path: str, assets: DataFrame, cap: int = domain.ALERTS_PER_HOUR, every: str | None = None,
                    threshold: float = domain.DEDUP_SIMILARITY, **scores: DataFrame) -> StreamingQuery:
     return _each_batch(news, alerting_batch(path, assets, cap, threshold, **scores), path, every)

@@ -577,3 +577,24 @@ def test_duplicate_filter_reads_kept_vectors_once_a_task():
         got += list(processor.handleExpiredTimer(("k",), At(e), None))
     assert pd.concat(got).sort_values("id")["is_duplicate"].tolist() == expected.tolist()
     assert {c for (name, _), c in handle.reads.items() if name == "kept"} == {1}
+
+
+def test_retention_beside_a_running_ingest(spark, rows, tmp_path):
+    path, ddl = str(tmp_path / "ingest"), "url string, published_at timestamp"
+    schema = rows([], ddl).schema
+    run, store = jobs.ingest_batch(path, "2 days"), jobs.news_store(spark, path, schema, "2 days")
+    assert store.purge_before(dt.date(2024, 2, 1)) == []
+    for batch in range(4):
+        run(rows([(f"u{batch}-{k}", dt.datetime(2024, 1, 1 + 3 * batch, k)) for k in range(3)] + [(f"undated{batch}", None)], ddl), batch)
+    held = lambda: {r["url"] for r in spark.read.schema(schema).parquet(f"{path}/rows").collect()}
+    assert len(held()) == 16
+    assert store.purge_before(dt.date(2024, 1, 1)) == []
+    # the days of the two newest marks stay whatever the date asked for: a batch or its replay may open them
+    assert store.purge_before(dt.date(2024, 2, 1)) == [dt.date(2024, 1, 1), dt.date(2024, 1, 4)]
+    left = {f"u{b}-{k}" for b in (2, 3) for k in range(3)} | {f"undated{b}" for b in range(4)}
+    assert held() == left and store.purge_before(dt.date(2024, 2, 1)) == []
+    last = rows([(f"u3-{k}", dt.datetime(2024, 1, 10, k)) for k in range(3)] + [("undated3", None)], ddl)
+    run(last, 3)  # a replay
+    assert held() == left
+    run(rows([("u3-1", dt.datetime(2024, 1, 11)), ("new", dt.datetime(2024, 1, 11))], ddl), 4)
+    assert held() == left | {"new"}
