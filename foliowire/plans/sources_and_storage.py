@@ -13,6 +13,7 @@ from foliowire.operators.prices import ohlcv
 from foliowire.plans.bindings import ALERTS, NEWS, PORTFOLIO_ASSETS, Tables
 from foliowire.plans.registry import query
 from foliowire.sources import corpora, feeds
+from foliowire.streaming import daystore
 
 AS_TEXT = "yyyy-MM-dd HH:mm:ss"
 
@@ -269,6 +270,25 @@ def retention(t: Tables):
     return t.spark.table(name).select("event_id", "user_id")
 
 
+#: Days of events that the store of a stream keeps; the given events span a month.
+_EVENT_DAYS = 10
+
+
+@query("A15_stream_retention", f"""
+SELECT event_id, user_id FROM events WHERE CAST(ts AS DATE) >= CAST((SELECT max(ts) FROM events) - INTERVAL {_EVENT_DAYS} DAYS AS DATE)""")
+def stream_retention(t: Tables):
+    events = t["events"].select("event_id", "user_id", "ts")
+    store = daystore.DayStore(t.spark, session.scratch_path(t.spark, "kept"), events.schema, "ts", "event_id", _EVENT_DAYS)
+    for batch_id, part in enumerate((F.col("ts") >= "2024-01-20", F.col("ts") < "2024-01-20")):  # the older half comes late
+        store.write(events.where(part), batch_id)
+    newest, _ = store.mark(2)
+    if newest is None:
+        return events.select("event_id", "user_id")
+    first = (newest - dt.timedelta(days=_EVENT_DAYS)).date()
+    store.purge_before(first)
+    return store.rows(store.folders(store.days(), 2)).select("event_id", "user_id")
+
+
 @query("A16_append_alerts", f"""WITH {ALERTS}
 SELECT strftime(created_at, '%Y-%m-%d') AS created_on, CAST(count(*) AS BIGINT) AS n, round(sum(severity), 4) AS severity
 FROM alerts WHERE NOT is_duplicate GROUP BY 1""")

@@ -60,6 +60,14 @@ class DayStore:
         base = f"{self.path}/rows"
         return self.spark.read.schema(self.schema).option("basePath", base).parquet(*[f"{base}/day={d}/batch={n}" for d, n in folders]).select(*self.schema.names)
 
+    def days(self) -> list[dt.date]:
+        """All days that have rows, old ones too."""
+        try:
+            stored = self.spark.read.schema("bitmap int, day date, batch bigint").parquet(f"{self.path}/filters")
+        except AnalysisException:
+            return []
+        return sorted(r.day for r in stored.select("day").distinct().collect())
+
     def folders(self, days: list[dt.date], batch_id: int, keys: DataFrame | None = None) -> list[tuple[dt.date, int]]:
         """Folders of other batches in these days; with ``keys`` only those that may hold one of its values."""
         if not days:
@@ -94,11 +102,10 @@ class DayStore:
         """
         try:
             marks = self.spark.read.schema(MARK + ", batch bigint").parquet(f"{self.path}/marks").orderBy(F.desc("batch")).take(2)
-            stored = self.spark.read.schema("bitmap int, day date, batch bigint").parquet(f"{self.path}/filters")
         except AnalysisException:  # nothing stored yet
             return []
         needed = {UNDATED, *(d for m in marks for d in m.days)}
-        old = sorted(r.day for r in stored.where(F.col("day") < F.lit(first)).select("day").distinct().collect() if r.day not in needed)
+        old = [d for d in self.days() if d < first and d not in needed]
         for day in old:
             for kind in ("rows", "filters"):
                 drop_folder(self.spark, f"{self.path}/{kind}/day={day}")
