@@ -598,3 +598,25 @@ def test_retention_beside_a_running_ingest(spark, rows, tmp_path):
     assert held() == left
     run(rows([("u3-1", dt.datetime(2024, 1, 11)), ("new", dt.datetime(2024, 1, 11))], ddl), 4)
     assert held() == left | {"new"}
+
+
+def folder_tables(spark, folder):
+    """A small set of tables, each a folder of several files; documents repeat passages that name watched assets."""
+    import __spark_entry__
+
+    passages = [(i, " ".join(f"word{(i * 31 + k * 7) % 50}x" for k in range(12)).replace("0", "o").translate(str.maketrans("123456789", "abcdefghi"))) for i in range(8)]
+    spark.createDataFrame(passages, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    words = "Quiebra, fraude, investigación, multa, demanda, sanción, bankruptcy, fraud, lawsuit."
+    spark.createDataFrame([(i, f"{passages[i % 4][1]}. {words}", "en", "web", 30) for i in range(8)],
+                          "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], i % 4) for i in range(8)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i), 1, "error", 90.0, '{"k": 50}') for i in range(8)],
+                          "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return __spark_entry__.queries(), str(folder)
+
+
+def test_ingest_of_a_table_in_several_files(spark, tmp_path):
+    """A stream over a table that is a folder of files reads all of them; it read nothing and left no rows."""
+    queries, folder = folder_tables(spark, tmp_path)
+    assert queries["H6_continuous_ingest"](spark, folder).count() == 4
