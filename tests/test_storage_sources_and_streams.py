@@ -620,3 +620,8 @@ def test_ingest_of_a_table_in_several_files(spark, tmp_path):
     """A stream over a table that is a folder of files reads all of them; it read nothing and left no rows."""
     queries, folder = folder_tables(spark, tmp_path)
     assert queries["H6_continuous_ingest"](spark, folder).count() == 4
+
+
+def test_alerting_of_tables_in_several_files(spark, tmp_path):
+    queries, folder = folder_tables(spark, tmp_path)
+    assert queries["H7_continuous_alerting"](spark, folder).count() > 0
