@@ -21,6 +21,8 @@ from foliowire.session import cut_lineage
 BLOCK_ROWS = 2048  # vectors per side of one block join task
 BALL_ROWS, MOST_BALLS = 1024, 2048  # vectors that a ball should hold, and balls of a table
 SAMPLE_PER_BALL = 4  # vectors that pivots are chosen from, per ball
+MOST_SIDES, SIDE_BYTES = 24, 1 << 25  # sides that a table is cut into for pairs within it, and how much a side may hold
+PIECE_PAIRS = 1 << 22  # pairs that a task compares at a time
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -288,13 +290,75 @@ def cross_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str
                      f"{left_id} {kinds[0]}, {right_id} {kinds[1]}, cosine double")
 
 
+class Sides:
+    """Neighbouring balls of one table gathered into sides of many rows, large balls dealt over several.
+
+    A row is sent once for every side that its own may hold a close pair with. There are about ``MOST_SIDES`` sides however many rows
+    there are, until a side of ``SIDE_BYTES`` is reached, so what is sent grows with the rows. ``near`` tells which balls may hold a pair.
+    """
+
+    def __init__(self, balls: Balls, threshold: float):
+        b, radius, filled = balls.pivots, balls.radius, balls.rows_in
+        reach = np.linalg.norm(b, axis=1)
+        bound = b @ b.T + radius[:, None] * reach + radius  # see ball_pairs
+        self.near = (bound >= threshold - 1e-9) & (filled[:, None] > 0) & (filled > 0)
+        most = max(1, min(SIDE_BYTES // (8 * b.shape[1]), max(BLOCK_ROWS, -(-int(filled.sum()) // MOST_SIDES))))
+        self.first, self.count = np.zeros(len(b), int), np.maximum(1, -(-filled // most))
+        side, room = 0, most
+        for ball in np.lexsort((np.arange(len(b)), (b @ b[:MOST_SIDES].T).argmax(axis=1))) if len(b) else ():  # the first pivots lie far apart
+            if room < most and filled[ball] > room:
+                side, room = side + 1, most
+            self.first[ball] = side
+            if filled[ball] > most:
+                side, room = side + self.count[ball], most
+            else:
+                room -= filled[ball]
+        held = np.zeros((side + 1, len(b)), bool)
+        for ball in range(len(b)):
+            held[self.first[ball]:self.first[ball] + self.count[ball], ball] = True
+        meet = (held.astype("float32") @ self.near.astype("float32") @ held.T.astype("float32")) > 0
+        low, high = np.nonzero(np.triu(meet | meet.T))
+        once = low != high
+        #: the pairs of sides, in a row for each side that takes part
+        self.meetings = pd.DataFrame({"_side": np.concatenate([low, high[once]]), "_low": np.concatenate([low, low[once]]), "_high": np.concatenate([high, high[once]])}, dtype="int32")
+
+    def of(self, key: str):
+        """The side of a row by its ball and key."""
+        first, count = (F.array(*[F.lit(int(x)) for x in column]) if len(column) else F.array(F.lit(1)) for column in (self.first, self.count))
+        return (F.get(first, F.col("_ball")) + F.pmod(F.xxhash64(key), F.get(count, F.col("_ball")))).cast("int").alias("_side")
+
+
 def near_copies(items: DataFrame, id_col: str, threshold: float) -> DataFrame:
     """(earlier_id, later_id, cosine): all pairs of different vectors with a cosine of ``threshold``, wherever they stand.
 
-    Exact: balls that cannot hold such a pair never meet, crowded balls meet in parts. Copies of a vector are collapsed first and paired
-    with their first occurrence only, so a crowd of copies yields as many pairs as it has members.
+    Exact: balls that cannot hold such a pair are never compared. A task holds two sides of balls and hands out its pairs piece by piece.
+    Copies of a vector are collapsed first and paired with their first occurrence only, so a crowd of copies yields as many pairs as
+    it has members.
     """
     unique, copies = distinct_vectors(items.select(id_col, "vector"), [], [id_col], id_col)
-    unique = cut_lineage(unique.select(id_col, "vector"))
-    found = cross_similar(unique.withColumnRenamed(id_col, "earlier_id"), unique.withColumnRenamed(id_col, "later_id"), "earlier_id", "later_id", threshold)
-    return found.where("earlier_id < later_id").unionByName(copies.select(F.col("first_id").alias("earlier_id"), F.col(id_col).alias("later_id"), F.lit(1.0).alias("cosine")))
+    unique = cut_lineage(unique.select(id_col, "vector").where(F.col(id_col).isNotNull()))
+    balls = Balls(unique.withColumn("_given", F.col("vector")), id_col)
+    sides = Sides(balls, threshold)
+    near, id_type = sides.near, items.schema[id_col].dataType.simpleString()
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows.sort_values(["_side", "_ball"], kind="stable")
+        vectors, ids, ball, side = _unit(rows["_given"]), rows[id_col].to_numpy(), rows["_ball"].to_numpy(), rows["_side"].to_numpy()
+        low, high = rows["_low"].iloc[0], rows["_high"].iloc[0]
+        partner = np.nonzero(side == high)[0]
+        for own in np.unique(ball[side == low]):
+            others = partner[near[own, ball[partner]] | near[ball[partner], own]]
+            mine = np.nonzero((ball == own) & (side == low))[0]
+            step = max(1, PIECE_PAIRS // max(1, len(others)))
+            for at in range(0, len(mine) if len(others) else 0, step):
+                part = mine[at:at + step]
+                similar = vectors[part] @ vectors[others].T
+                i, j = np.nonzero((similar >= threshold) & (others > part[:, None]))  # within a side each pair once
+                a, b = ids[part[i]], ids[others[j]]
+                yield pd.DataFrame({"earlier_id": np.where(a < b, a, b), "later_id": np.where(a < b, b, a), "cosine": similar[i, j]})[a != b]
+
+    met = items.sparkSession.createDataFrame(sides.meetings, "_side int, _low int, _high int")
+    sent = balls.rows.select(id_col, "_given", "_ball", sides.of(id_col)).join(met, "_side")
+    found = sent.groupBy("_low", "_high").applyInPandas(match, f"earlier_id {id_type}, later_id {id_type}, cosine double")
+    return found.unionByName(copies.select(F.col("first_id").alias("earlier_id"), F.col(id_col).alias("later_id"), F.lit(1.0).alias("cosine")))

@@ -303,3 +303,20 @@ def test_near_copies_equal_all_pairs(rows, monkeypatch):
     expected = {(keep[i], keep[j]) for i, j in zip(a, b)} | {(first[tuple(v)], i) for i, v in enumerate(vecs) if first[tuple(v)] != i}
     assert {(r["earlier_id"], r["later_id"]) for r in got} == expected and len(got) == len(expected) > 1000
 
+
+
+def test_near_copies_send_a_row_a_bounded_number_of_times():
+    """What is sent for the comparison grows with the rows; before, a row went to every block of a fixed size."""
+    sent = []
+    for balls in (100, 400, 1600):
+        pivots = unit(np.random.default_rng(0).normal(size=(balls, 8)))
+        table = type("Table", (), {"pivots": pivots, "radius": np.full(balls, 2.0), "rows_in": np.full(balls, 1024)})()
+        sides = similarity.Sides(table, 0.5)
+        rows_of = np.zeros(sides.meetings["_side"].max() + 1)
+        np.add.at(rows_of, sides.first, 1024)
+        sent.append((rows_of[sides.meetings["_side"]]).sum() / (1024 * balls))
+    assert max(sent) <= 2 * similarity.MOST_SIDES and sent[2] < 1.3 * sent[0], sent
+
+
+def test_near_copies_of_no_vectors(rows):
+    assert similarity.near_copies(rows([], "id bigint, vector array<float>"), "id", 0.9).count() == 0
