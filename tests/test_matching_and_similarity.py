@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliowire.functions import text
 from foliowire.operators import matching, relevance, similarity
 
 ASSETS = "portfolio_id string, pos bigint, ticker string, name string, aliases array<string>, sector string, country string"
@@ -318,5 +319,27 @@ def test_near_copies_send_a_row_a_bounded_number_of_times():
     assert max(sent) <= 2 * similarity.MOST_SIDES and sent[2] < 1.3 * sent[0], sent
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def watched(rows):
+    assets = rows([("W1", 1, "ACME", "Acme Works Inc.", ["Big Acme"], "energy", "spain")],
+                  "portfolio_id string, pos int, ticker string, name string, aliases array<string>, sector string, country string")
+    news = rows([(1, "The Acme  Works of Spain", "web"), (2, "nothing here", "web")], "news_id bigint, text string, source string")
+    return assets, news.withColumn("orgs", text.mined_organisations("text", None, squeezed=True))
+
+
+def test_names_are_mined_once_a_text(rows):
+    """The names were mined twice, for a filter and for the search, from texts whose white space was collapsed first."""
+    assets, news = watched(rows)
+    found = matching.rule_relevance(news.select("news_id", "text"), news.select("news_id", "orgs"), assets)
+    assert plan_of(found).count("regexp_extract_all(") == 1
+    assert [(r["news_id"], r["matched_assets"], r["country_match"]) for r in found.collect()] == [(1, ["ACME"], True)]
+    odd = rows([("Goldman \n Sachs and\u00a0Morgan\u2003Stanley aBig Bank",)], "t string")
+    squeezed = F.regexp_replace("t", f"[{text.SPACE}]+", " ")
+    assert odd.select(text.mined_organisations("t", None, squeezed=True)).first() == odd.select(text.mined_organisations(squeezed, None)).first() == (["Goldman Sachs", "Morgan Stanley"],)
+
+
 def test_near_copies_of_no_vectors(rows):
     assert similarity.near_copies(rows([], "id bigint, vector array<float>"), "id", 0.9).count() == 0
