@@ -341,5 +341,14 @@ def test_names_are_mined_once_a_text(rows):
     assert odd.select(text.mined_organisations("t", None, squeezed=True)).first() == odd.select(text.mined_organisations(squeezed, None)).first() == (["Goldman Sachs", "Morgan Stanley"],)
 
 
+def test_gated_hybrid_searches_the_texts_once(rows):
+    assets, news = watched(rows)
+    rules = matching.rule_relevance(news.select("news_id", "text"), news.select("news_id", "orgs"), assets)
+    vectors = rows([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "news_id bigint, vector array<double>")
+    held = rows([("W1", "ACME", 1, [1.0, 0.1])], "portfolio_id string, ticker string, pos int, vector array<double>")
+    kept = relevance.gated_hybrid_relevance(vectors, rules, held)
+    assert "regexp_extract_all(" not in plan_of(kept) and [(r["news_id"], r["best_asset"]) for r in kept.collect()] == [(1, "ACME")]
+
+
 def test_near_copies_of_no_vectors(rows):
     assert similarity.near_copies(rows([], "id bigint, vector array<float>"), "id", 0.9).count() == 0
