@@ -350,5 +350,20 @@ def test_gated_hybrid_searches_the_texts_once(rows):
     assert "regexp_extract_all(" not in plan_of(kept) and [(r["news_id"], r["best_asset"]) for r in kept.collect()] == [(1, "ACME")]
 
 
+def test_variants_search_the_labelled_texts_once(rows):
+    from foliowire.operators import variants
+
+    assets, news = watched(rows)
+    labelled = rows([(1, "W1")], "news_id bigint, portfolio_id string")
+    vectors = rows([(1, [1.0, 0.0])], "news_id bigint, vector array<double>")
+    held = rows([("W1", "ACME", 1, [1.0, 0.1])], "portfolio_id string, ticker string, pos int, vector array<double>")
+    moods = rows([(1, "positive", 0.9)], "news_id bigint, sentiment string, sentiment_confidence double")
+    verdicts = rows([], "news_id bigint, portfolio_id string, is_relevant boolean, relevance_score double, affected_assets array<string>")
+    analyses = rows([], "news_id bigint, portfolio_id string, severity double, direction string, confidence double, event_type string, explanation string")
+    got = variants.variant_predictions(labelled, news, assets, vectors, held, moods, verdicts, analyses)
+    assert "regexp_extract_all(" not in plan_of(got)
+    assert {(r["variant"], tuple(r["matched_assets"])) for r in got.collect()} == {(v, ("ACME",)) for v in variants.VARIANTS}
+
+
 def test_near_copies_of_no_vectors(rows):
     assert similarity.near_copies(rows([], "id bigint, vector array<float>"), "id", 0.9).count() == 0
