@@ -234,6 +234,6 @@ def recommendations(holdings: DataFrame, base: DataFrame, profiles: DataFrame, s
                F.round(pct, 1), F.lit(15.0))
     abroad = rows(regions.join(known, "portfolio_id").where((F.col("status") == UNDER) & (F.col("diff_pct") < -15)), "comprar", "region_under", none,
                   F.concat(F.lit("ETF/Fondo de "), category), F.lit("Diversificación geográfica"), medium, told("region_under", category))
-    acted = reduce_.unionByName(buy).unionByName(cap).unionByName(abroad)
+    acted = cut_lineage(reduce_.unionByName(buy).unionByName(cap).unionByName(abroad))  # read as rows and for the portfolios without any
     idle = base.select("portfolio_id").distinct().join(acted.select("portfolio_id").distinct(), "portfolio_id", "left_anti")
     return acted.unionByName(rows(idle, "mantener", "hold", none, F.lit("Cartera actual"), blank, F.lit("baja"), F.lit(text["hold"])))

@@ -10,6 +10,7 @@ from foliowire import domain
 from foliowire.operators import advisor
 from foliowire.plans.bindings import ANSWERS, HOLDINGS, Tables
 from foliowire.plans.registry import query
+from foliowire.session import cut_lineage
 
 _WEIGHTS = ", ".join(f"('{q}', {w})" for q, (w, _) in domain.RISK_QUESTIONS.items())
 _SCORES = ", ".join(f"('{q}', '{o}', {s})" for q, (_, options) in domain.RISK_QUESTIONS.items() for o, s in options.items())
@@ -190,6 +191,6 @@ recs AS (
     FROM regions JOIN named USING (portfolio_id) WHERE diff_pct < -15)
 SELECT * FROM recs UNION ALL SELECT portfolio_id, 'hold', 'mantener', NULL, 'Cartera actual', '', 'baja', {_reason('hold', "''")}, NULL, NULL FROM totals WHERE portfolio_id NOT IN (SELECT portfolio_id FROM recs)""")
 def recommendations(t: Tables):
-    holdings, profiles = _holdings(t), _profiles(t)
+    holdings, profiles = cut_lineage(_holdings(t)), cut_lineage(_profiles(t))  # each is read by several rules
     base = advisor.composition(holdings)
     return advisor.recommendations(holdings, base, profiles, advisor.sector_allocation(base, profiles), advisor.region_allocation(base, profiles))

@@ -625,3 +625,15 @@ def test_ingest_of_a_table_in_several_files(spark, tmp_path):
 def test_alerting_of_tables_in_several_files(spark, tmp_path):
     queries, folder = folder_tables(spark, tmp_path)
     assert queries["H7_continuous_alerting"](spark, folder).count() > 0
+
+
+def test_recommendations_work_out_their_rules_once(rows):
+    """The rules, and with them the holdings, were worked out again to find the portfolios that no rule concerns."""
+    held = rows([("P", 1, "One", 90.0, "tech", "usa"), ("P", 2, "Two", 10.0, "Energy", "Spain")],
+                "portfolio_id string, asset_id bigint, name string, weight double, sector string, country string")
+    profiles = rows([("P", "moderado")], "portfolio_id string, risk_profile string")
+    base = advisor.composition(held)
+    sectors, regions = advisor.sector_allocation(base, profiles), advisor.region_allocation(base, profiles)
+    found = advisor.recommendations(held, base, profiles, sectors, regions)
+    assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert ("position_cap", 1) in {(r["rule"], r["asset_id"]) for r in found.collect()}
