@@ -637,3 +637,35 @@ def test_recommendations_work_out_their_rules_once(rows):
     found = advisor.recommendations(held, base, profiles, sectors, regions)
     assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert ("position_cap", 1) in {(r["rule"], r["asset_id"]) for r in found.collect()}
+
+
+def test_limiter_state_does_not_grow_with_keys(monkeypatch):
+    """Keys of a slot share their entries; every key had its own, so state calls grew with the keys."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("alert_id bigint, created_at timestamp, is_duplicate boolean, k string")
+    size, base = 3000, pd.Timestamp("2024-01-01")
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"alert_id": range(size), "created_at": base + pd.to_timedelta(rng.integers(0, 5 * 86400, size), unit="s"),
+                          "is_duplicate": rng.random(size) < 0.2, "k": [None if i % 200 == 0 else f"key{i % 200}" for i in range(size)]})
+    expected = sorted(i for _, own in frame.groupby("k", dropna=False) for i in limited(
+        [(r.alert_id, r.created_at.to_pydatetime(), r.is_duplicate) for r in own.itertuples()], 1))
+    for held in (state.HELD_ROWS, 500):  # all days together, and in pieces
+        monkeypatch.setattr(state, "HELD_ROWS", held)
+        processor = state.AnchoredHourLimiter(schema, ["created_at", "alert_id"], 1, state.DAY, "k")
+        days = [int((base + pd.Timedelta(days=d)).timestamp() * 1000) for d in (2, 3, 30)]
+        out, handle = played(processor, [(frame.iloc[:2000], 0), (frame.iloc[2000:], 0)] + [(frame.iloc[:0], d) for d in days], 0)
+        assert sorted(out["alert_id"]) == expected
+        assert len(handle.reads) <= 10 and not handle.maps["waiting"] and "open" not in handle.values and "window" not in handle.values
+
+
+def test_limiter_stream_of_null_keys_and_large_ids(spark, tmp_path):
+    schema, big = "alert_id bigint, created_at timestamp, is_duplicate boolean, k bigint", 2**60
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    items = [(big + 1, at(1), False, big + 1), (big + 2, at(2), False, big + 2), (big + 3, at(3), False, big + 2), (None, at(4), True, None),
+             (5, at(5), False, None), (6, at(6), False, None), (0, at(7), False, 0)]
+    land(spark, items, schema, str(tmp_path / "in"), "p0")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    run = closed(spark, stream, tmp_path, lambda s: state.limit_stream(s, "k", cap=1), "created_at")
+    assert run.schema.names == ["alert_id", "created_at", "is_duplicate", "k"]
+    assert {(r.alert_id, r.k) for r in run.collect()} == {(big + 1, big + 1), (big + 2, big + 2), (None, None), (5, None), (0, 0)}
