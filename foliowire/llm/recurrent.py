@@ -40,13 +40,15 @@ HEAD, DICTIONARY, CLASSES = 1024, 1 << 17, 32
 HIDDEN = 24
 #: Tokens of a segment, and segments of a training window.
 SEGMENT, SEGMENTS = 32, 16
-ROUNDS, BATCH, RATE = 2, 64, 0.004
+ROUNDS, BATCH, RATE = 2, 256, 0.008
 #: Windows that one task trains on in a round, and segments a training makes at least by repetition.
 TASK_WINDOWS, LEAST_SEGMENTS = 8192, 32768
 #: Distinct words a counting task holds, tokens a scoring task runs together.
 HELD_WORDS, HELD_TOKENS = 400_000, 6_000_000
+#: Documents that a scoring task runs side by side.
+LEAST_LANES, MOST_LANES = 64, 512
 #: Predictions computed together.
-BLOCK = 4096
+BLOCK = 8192
 #: Weights that one row carries when weights are averaged.
 CHUNK = 8192
 END = ""  # no word is empty
@@ -56,6 +58,8 @@ SYMBOL = np.dtype("<i2")
 
 def shape_of(word: str) -> int:
     """The shape symbol of a word: ending, kind of letters, length."""
+    if word.isalnum():
+        return (0 if word.isascii() else 3) + (0 if len(word) <= 5 else 1 if len(word) <= 9 else 2)
     last = word[-1]
     ending = 0 if last.isalnum() else {".": 1, ",": 2, "!": 3}.get(last, 4)
     kind = 0 if word.isascii() else 1
@@ -133,17 +137,21 @@ class Vocabulary:
 
 
 def _softmax(x: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The softmax of each row, in place, and the logarithm of its value at the target."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), targets]
+    """The softmax of each column, in place, and the logarithm of its value at the target.
+
+    Values stand in columns because reductions and broadcasts then run along the long side.
+    """
+    x -= x.max(axis=0)
+    own = x[targets, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x /= total[:, None]
+    total = x.sum(axis=0)
+    x /= total
     return x, own - np.log(total)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.maximum(x, -60)))
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """The columns of the three gates one behind the other, so that work on a gate runs over one piece of memory."""
+    return np.stack(np.split(x, 3, axis=1))
 
 
 class Network:
@@ -159,6 +167,14 @@ class Network:
             "bias": np.zeros(3 * h), "class": 0.1 * rng.standard_normal((h, len(in_class))), "class_b": np.log(in_class / in_class.sum()),
             "word": 0.1 * rng.standard_normal((vocabulary.symbols, h)), "word_b": np.log(f)}
         self.w = {k: x.astype(np.float32) for k, x in self.w.items()}
+        self.room: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write into; its memory is used again, as fresh pages cost more than the work on them."""
+        kind, size = self.w["state"].dtype, int(np.prod(shape))
+        if name not in self.room or self.room[name].size < size or self.room[name].dtype != kind:
+            self.room[name] = np.empty(size, kind)
+        return self.room[name][:size].reshape(shape)
 
     def packed(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.w.values()])
@@ -170,18 +186,47 @@ class Network:
             at += x.size
         return self
 
+    def scaled(self) -> tuple[np.ndarray, np.ndarray]:
+        """By gate, the input table with the bias and the state's weights; halved for the first two, as a sigmoid is a tanh of half its input."""
+        half = np.array([0.5, 0.5, 1], self.w["state"].dtype)[:, None, None]
+        return _by_gate(self.w["input"] + self.w["bias"]) * half, _by_gate(self.w["state"]) * half
+
+    @staticmethod
+    def advance(added: np.ndarray, s: np.ndarray, h: np.ndarray, gates: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+        """One step from states ``h`` into ``gates``, ``c`` and ``out``; by gate, ``added`` is what the symbols add and ``s`` what the states do."""
+        np.add(added[:2], s[:2], out=gates)
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(gates[1], s[2], out=c)
+        c += added[2]
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=out)
+        out *= gates[0]
+        out += c
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
         """The next state after symbols ``x``, with what the gradient needs."""
-        n = HIDDEN
-        a, s = self.w["input"][x] + self.w["bias"], h @ self.w["state"]
-        gates = _sigmoid(a[:, :2 * n] + s[:, :2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        c = np.tanh(a[:, 2 * n:] + r * s[:, 2 * n:])
-        return c + z * (h - c), (h, z, r, c, s[:, 2 * n:])
+        table, weights = self.scaled()
+        s, gates, c, out = np.matmul(h, weights), np.empty((2, *h.shape), h.dtype), np.empty_like(h), np.empty_like(h)
+        self.advance(table[:, x], s, h, gates, c, out)
+        return out, (h, *gates, c, s[2])
+
+    def run(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States before and after every step over symbols ``x`` (steps by lanes), and what the gradient needs; in memory that is used again."""
+        n, (steps, width), (table, weights) = HIDDEN, x.shape, self.scaled()
+        inputs = np.take(table, x, axis=1, out=self._room("inputs", 3, steps, width, n), mode="clip")
+        states, kept, s = self._room("states", steps + 1, width, n), self._room("kept", 4, steps, width, n), self._room("s", 3, width, n)
+        states[0] = h
+        for t in range(steps):
+            np.matmul(states[t], weights, out=s)
+            kept[3, t] = s[2]
+            self.advance(inputs[:, t], s, states[t], kept[:2, t], kept[2, t], states[t + 1])
+        return states, kept
 
     def _by_class(self, h: np.ndarray, y: np.ndarray) -> tuple:
         """Rows in the order of their classes: the order, states, classes, places within classes, and (class, members, rows) of classes of several words."""
-        order = np.argsort(self.v.class_of[y], kind="stable")
+        order = np.argsort(self.v.class_of[y].astype(SYMBOL), kind="stable")
         y = y[order]
         classes = self.v.class_of[y]
         borders = np.searchsorted(classes, np.arange(len(self.v.members) + 1))
@@ -193,62 +238,69 @@ class Network:
         out = np.empty(len(y), h.dtype)
         for s in range(0, len(y), BLOCK):
             order, states, classes, within, parts = self._by_class(h[s:s + BLOCK], y[s:s + BLOCK])
-            logs = _softmax(states @ self.w["class"] + self.w["class_b"], classes)[1]
+            logs = _softmax(self.w["class"].T @ states.T + self.w["class_b"][:, None], classes)[1]
             for _, m, at in parts:
-                logs[at] += _softmax(states[at] @ self.w["word"][m].T + self.w["word_b"][m], within[at])[1]
+                logs[at] += _softmax(self.w["word"][m] @ states[at].T + self.w["word_b"][m][:, None], within[at])[1]
             out[s + order] = logs
         return out
 
     def segment_gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss over one segment (arrays of steps by documents) and the state after it."""
         n, (steps, width) = HIDDEN, x.shape
-        kind, state = self.w["state"].dtype, self.w["state"]
-        inputs = self.w["input"][x] + self.w["bias"]
-        states, gates = np.empty((steps + 1, width, n), kind), np.empty((steps, width, 2 * n), kind)
-        c, sn = (np.empty((steps, width, n), kind) for _ in range(2))
-        states[0] = h
-        for t in range(steps):
-            s = states[t] @ state
-            gates[t] = _sigmoid(inputs[t, :, :2 * n] + s[:, :2 * n])
-            sn[t] = s[:, 2 * n:]
-            c[t] = np.tanh(inputs[t, :, 2 * n:] + gates[t, :, n:] * sn[t])
-            states[t + 1] = c[t] + gates[t, :, :n] * (states[t] - c[t])
+        kind = self.w["state"].dtype
+        states, (z, r, c, sn) = self.run(x, h)
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
         order, flat, classes, within, parts = self._by_class(states[1:].reshape(-1, n), y.ravel())
-        weight = (valid.ravel()[order] / max(valid.sum(), 1)).astype(kind)[:, None]
-        p = _softmax(flat @ self.w["class"] + self.w["class_b"], classes)[0]
-        p[np.arange(len(p)), classes] -= 1
+        weight = (valid.ravel()[order] / max(valid.sum(), 1)).astype(kind)
+        p = _softmax(self.w["class"].T @ flat.T + self.w["class_b"][:, None], classes)[0]
+        p[classes, np.arange(len(classes))] -= 1
         p *= weight
-        g["class"], g["class_b"] = flat.T @ p, p.sum(axis=0)
-        by_class = p @ self.w["class"].T
+        g["class"], g["class_b"] = flat.T @ p.T, p.sum(axis=1)
+        by_class = p.T @ self.w["class"].T
         for _, m, at in parts:
-            words = self.w["word"][m]
-            q = _softmax(flat[at] @ words.T + self.w["word_b"][m], within[at])[0]
-            q[np.arange(len(q)), within[at]] -= 1
+            words, own = self.w["word"][m], within[at]
+            q = _softmax(words @ flat[at].T + self.w["word_b"][m][:, None], own)[0]
+            q[own, np.arange(len(own))] -= 1
             q *= weight[at]
-            g["word"][m], g["word_b"][m] = q.T @ flat[at], q.sum(axis=0)
-            by_class[at] += q @ words
-        d = np.empty_like(by_class)
+            g["word"][m], g["word_b"][m] = q @ flat[at], q.sum(axis=1)
+            by_class[at] += q.T @ words
+        d = self._room("d", steps * width, n)
         d[order] = by_class
         d = d.reshape(steps, width, n)
         # what a change of the state is worth for the three gates, seen from the state before
-        before, z, r = states[:-1], gates[:, :, :n], gates[:, :, n:]
-        to_c = (1 - z) * (1 - c * c)
-        factors = np.stack([(before - c) * z * (1 - z), to_c * sn * r * (1 - r), to_c * r], axis=2)
-        ds, back = np.empty((steps, width, 3 * n), kind), state.T.copy()
+        before, ds, factors = states[:-1], self._room("inputs", 3, steps, width, n), self._room("factors", 3, steps, width, n)  # the inputs are not needed any more
+        part, to_c, left = self._room("s", 3, width, n), self._room("to_c", steps, width, n), self._room("left", steps, width, n)
+        np.subtract(1, z, out=left)
+        np.subtract(before, c, out=factors[0])
+        factors[0] *= z
+        factors[0] *= left
+        np.multiply(c, c, out=to_c)
+        np.subtract(1, to_c, out=to_c)
+        to_c *= left
+        np.multiply(to_c, r, out=factors[2])
+        np.subtract(1, r, out=left)
+        np.multiply(factors[2], sn, out=factors[1])
+        factors[1] *= left
+        back = np.ascontiguousarray(_by_gate(self.w["state"]).transpose(0, 2, 1))
         for t in reversed(range(steps)):
-            np.multiply(d[t, :, None], factors[t], out=ds[t].reshape(width, 3, n))
+            np.multiply(d[t], factors[:, t], out=ds[:, t])
             if t:
-                d[t - 1] += d[t] * z[t] + ds[t] @ back
-        g["state"] = before.reshape(-1, n).T @ ds.reshape(-1, 3 * n)
-        ds[:, :, 2 * n:] = d * to_c
-        added = ds.reshape(-1, 3 * n)
-        g["bias"] = added.sum(axis=0)
-        order = np.argsort(x.ravel(), kind="stable")
+                np.matmul(ds[:, t], back, out=part)
+                earlier = d[t] * z[t]
+                for gate in part:
+                    earlier += gate
+                d[t - 1] += earlier
+        g["state"] = np.concatenate([before.reshape(-1, n).T @ gate.reshape(-1, n) for gate in ds], axis=1)
+        np.multiply(d, to_c, out=ds[2])
+        order = np.argsort(x.ravel().astype(SYMBOL), kind="stable")  # short numbers are sorted by radix
         symbols = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-        g["input"][symbols[first]] = np.add.reduceat(added[order], first, axis=0)
-        return g, states[-1]
+        added = self._room("factors", len(order), 3 * n)  # nor are the factors
+        for k, gate in enumerate(ds):
+            added[:, k * n:(k + 1) * n] = gate.reshape(-1, n)[order]
+        added = np.add.reduceat(added, first, axis=0)
+        g["input"][symbols[first]], g["bias"] = added, added.sum(axis=0)
+        return g, states[-1].copy()
 
     def train(self, windows: list[np.ndarray], passes: int) -> None:
         """``windows``: symbols of consecutive tokens, the first of which is only read.
@@ -259,35 +311,49 @@ class Network:
         rng = np.random.default_rng(23)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         step = 0
-        counts = np.array([-(-(len(w) - 1) // SEGMENT) for w in windows])
-        ends = np.cumsum(counts)
-        # rows of SEGMENT + 1 symbols, -1 beyond the end of a window; neighbours share a symbol
-        segments = np.full((int(ends[-1]), SEGMENT + 1), -1, windows[0].dtype)
-        for w, n, e in zip(windows, counts, ends):
-            rows = segments[e - n:e]
-            rows[:, 0] = w[:-1:SEGMENT]
-            rows[:, 1:].flat[:len(w) - 1] = w[1:]
-        opens = np.zeros(len(segments), bool)
-        opens[ends - counts] = True
+        segments, begins, counts, opens = _segments(windows)
         order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
         h = np.zeros((BATCH, HIDDEN), np.float32)
-        for at in _lanes(order, ends - counts, counts):
+        for at in _lanes(order, begins, counts, BATCH):
             h = np.where(opens[at, None], np.float32(0), h[:len(at)])
             rows = segments[at].T.astype(np.int64)
             x, y = rows[:-1], rows[1:]
             g, h = self.segment_gradients(np.maximum(x, 0), np.maximum(y, 0), y >= 0, h)
             step += 1
-            size = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
+            size = float(np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())))
+            shorter, rate = min(1.0, 1.0 / (size + 1e-9)), RATE / (1 - 0.9**step)
             for k, v in g.items():
-                v = v * min(1.0, 1.0 / (size + 1e-9))
-                first[k] += 0.1 * (v - first[k])
-                second[k] += 0.01 * (v * v - second[k])
-                self.w[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-
-
-def _lanes(order: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
-    """The segments that are read together, step by step: windows are laid into BATCH lanes, the longest lanes stand first."""
-    lanes, heap = [[] for _ in range(BATCH)], [(0, k) for k in range(BATCH)]
+                v *= 0.1 * shorter
+                first[k] *= 0.9
+                first[k] += v
+                np.multiply(v, v, out=v)
+                second[k] *= 0.99
+                second[k] += v  # (0.1 v)^2 is 0.01 v^2
+                np.divide(second[k], 1 - 0.99**step, out=v)
+                np.sqrt(v, out=v)
+                v += 1e-8
+                np.divide(first[k], v, out=v)
+                v *= rate
+                self.w[k] -= v
+
+
+def _segments(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of SEGMENT + 1 symbols, -1 beyond the end of a sequence, neighbours sharing a symbol; where each begins, its number of rows, and which rows are first."""
+    counts = np.array([-(-(len(w) - 1) // SEGMENT) for w in sequences])
+    ends = np.cumsum(counts)
+    segments = np.full((int(ends[-1]), SEGMENT + 1), -1, sequences[0].dtype)
+    for w, n, e in zip(sequences, counts, ends):
+        rows = segments[e - n:e]
+        rows[:, 0] = w[:-1:SEGMENT]
+        rows[:, 1:].flat[:len(w) - 1] = w[1:]
+    opens = np.zeros(len(segments), bool)
+    opens[(ends - counts)[counts > 0]] = True
+    return segments, ends - counts, counts, opens
+
+
+def _lanes(order: np.ndarray, begins: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The segments that are read together, step by step: sequences are laid into ``width`` lanes, the longest lanes stand first."""
+    lanes, heap = [[] for _ in range(width)], [(0, k) for k in range(width)]
     for i in order:
         n, k = heap[0]
         heapq.heapreplace(heap, (n + int(counts[i]), k))
@@ -357,36 +423,23 @@ def trained(encoded: DataFrame, vocabulary: Vocabulary) -> Network:
 def run_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each sequence of symbols; the state is carried through the whole sequence.
 
-    Sequences run side by side, longest first, so those still running are always the first ones.
+    Sequences run one behind the other in lanes, as many as keep all lanes busy beside the longest sequence.
     """
     total = np.zeros(len(documents))
-    order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-    lengths = np.array([len(documents[i]) for i in order])
-    h = np.zeros((len(order), HIDDEN), np.float32)
-    before = np.zeros(len(order), np.int64)  # every text follows an end
-    for begin in range(0, int(lengths[0]) if len(lengths) else 0, SEGMENT):
-        active = int(np.searchsorted(-lengths, -begin, side="left"))
-        symbols = np.full((SEGMENT, active), -1, np.int64)
-        for k in range(active):
-            own = documents[order[k]][begin:begin + SEGMENT]
-            symbols[:len(own), k] = own
-        h = h[:active]
-        previous, states, targets, owners = before[:active], [], [], []
-        for t in range(SEGMENT):
-            live = int(np.searchsorted(-lengths, -(begin + t), side="left"))
-            if not live:
-                break
-            h = network.step(previous[:live], h[:live])[0]
-            states.append(h)
-            targets.append(symbols[t, :live])
-            owners.append(np.arange(live))
-            previous = symbols[t]
-        before = previous
-        logs = network.log_probabilities(np.concatenate(states), np.concatenate(targets))
-        total[:active] += np.bincount(np.concatenate(owners), logs, minlength=active)
-    out = np.empty(len(documents))
-    out[order] = total / np.log(10)
-    return out
+    if not sum(map(len, documents)):
+        return total
+    segments, begins, counts, opens = _segments([np.concatenate([np.zeros(1, d.dtype), d]) for d in documents])  # every text follows an end
+    owner = np.repeat(np.arange(len(documents)), counts)
+    lanes = int(np.clip(-(-len(segments) // counts.max()), LEAST_LANES, MOST_LANES))
+    h = np.zeros((lanes, HIDDEN), np.float32)
+    for at in _lanes(np.argsort(-counts, kind="stable"), begins, counts, lanes):
+        h = np.where(opens[at, None], np.float32(0), h[:len(at)])
+        rows = segments[at].T.astype(np.int64)
+        states = network.run(np.maximum(rows[:-1], 0), h)[0]
+        h, y = states[-1], rows[1:]
+        logs = network.log_probabilities(states[1:].reshape(-1, HIDDEN), np.maximum(y, 0).ravel())
+        total[owner[at]] += np.where(y >= 0, logs.reshape(y.shape), 0).sum(axis=0)
+    return total / np.log(10)
 
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

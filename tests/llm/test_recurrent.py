@@ -152,3 +152,32 @@ def test_copies_are_dealt_over_all_turns(spark, documents):
     dealt = recurrent._dealt(recurrent._windows(recurrent._encoded(docs, v)), 10)
     sizes = [r["count"] for r in dealt.groupBy("turn").count().collect()]
     assert len(sizes) == 10 * recurrent.ROUNDS and sum(sizes) == 4000 and max(sizes) < 2 * min(sizes)
+
+
+def test_documents_run_in_a_bounded_number_of_lanes(monkeypatch):
+    """All documents ran side by side, each step in fresh memory; lanes are bounded, stay full, and their memory is used again."""
+    v, _ = vocabulary(monkeypatch)
+    network, rng = recurrent.Network(v), np.random.default_rng(9)
+    monkeypatch.setattr(recurrent, "LEAST_LANES", 2)
+    monkeypatch.setattr(recurrent, "MOST_LANES", 8)
+    docs = [rng.integers(0, v.symbols, n).astype(np.int16) for n in [700, *rng.integers(1, 90, 200)]]
+    alone = [recurrent.run_documents(network, [d])[0] for d in docs]
+    widths, rooms, run = [], set(), recurrent.Network.run
+
+    def watched(self, x, h):
+        widths.append(x.shape[1])
+        states, kept = run(self, x, h)
+        rooms.add(states.__array_interface__["data"][0])
+        return states, kept
+
+    monkeypatch.setattr(recurrent.Network, "run", watched)
+    network.room.clear()
+    assert np.allclose(recurrent.run_documents(network, docs), alone, rtol=1e-4)
+    segments = sum(-(-len(d) // recurrent.SEGMENT) for d in docs)
+    assert sum(widths) == segments and max(widths) == 8 and len(widths) <= 1.2 * segments / 8 and len(rooms) == 1
+    assert recurrent.run_documents(network, [docs[0][:0]]).tolist() == [0.0] and len(recurrent.run_documents(network, [])) == 0
+
+
+def test_shapes_of_words():
+    expected = {"ab": 0, "abcdef": 1, "abcdefghij": 2, "été": 3, "a7": 0, "end.": 12, "a,": 24, "no!": 36, "x)": 48, "a#b": 6, "é=x": 9, "étés-abcdefg": 5}
+    assert {w: recurrent.shape_of(w) for w in expected} == expected
