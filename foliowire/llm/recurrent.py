@@ -23,14 +23,16 @@ other columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from foliowire.llm.bagclassifier import held_out
 from foliowire.llm.common import lower_ascii, map_frames, materialise, split_words
@@ -45,6 +47,8 @@ ROUNDS, BATCH, RATE = 2, 256, 0.008
 TASK_WINDOWS, LEAST_SEGMENTS = 8192, 32768
 #: Distinct words a counting task holds, tokens a scoring task runs together.
 HELD_WORDS, HELD_TOKENS = 400_000, 6_000_000
+#: Bytes of text, and one text more, that a task counts or encodes together.
+COUNTED_BYTES, ENCODED_BYTES = 1 << 25, 1 << 23
 #: Documents that a scoring task runs side by side.
 LEAST_LANES, MOST_LANES = 64, 512
 #: Predictions computed together.
@@ -69,33 +73,92 @@ def shape_of(word: str) -> int:
 
 
 SHAPES = 60
+#: Of each byte: whether it marks a word (1) or is not ASCII (2); and the ending of a word whose last byte it is.
+_BYTES = np.array([(chr(k) in "#*$%&|<>@=/_") + 2 * (k > 127) for k in range(256)], np.uint8)
+_ENDINGS = np.array([0 if chr(k).isalnum() else {".": 1, ",": 2, "!": 3}.get(chr(k), 4) for k in range(256)])
+
+
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """``shape_of`` for all words at once; words beyond ASCII one by one."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    flat = words.cast(pa.large_binary())
+    borders = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset:flat.offset + len(flat) + 1]
+    letters = np.frombuffer(flat.buffers()[2], np.uint8)
+    found = np.bitwise_or.reduceat(_BYTES[letters[:borders[-1]]], borders[:-1])
+    lengths = np.diff(borders)
+    out = (_ENDINGS[letters[borders[1:] - 1]] * 4 + 2 * (found & 1)) * 3 + (lengths > 5) + (lengths > 9)
+    other = found > 1
+    if other.any():
+        out[other] = list(map(shape_of, words.filter(pa.array(other)).to_pylist()))
+    return out
 
 
 def words_of(text: str | None) -> list[str]:
     return split_words(lower_ascii(text)) if text else []
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, shape, c) of all training tokens, the end among them."""
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` for all texts, one behind the other, and the borders between texts."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten()
+    borders = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not real.all():  # nothing stands before a leading or behind a closing blank
+        words, borders = words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[borders]
+    return words, borders
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
 
-        def flushed():
-            words = list(counts)
-            return pd.DataFrame({"word": words, "shape": [shape_of(w) if w else -1 for w in words], "n": list(counts.values())})
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most about ``most`` bytes of text; what is made of a text's words takes several times its memory."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            end = 1 + int(np.searchsorted(ends, most + (ends[begin - 1] if begin else 0)))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _sums(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """The sums between neighbouring borders, 0 where nothing lies between them."""
+    out, some = np.zeros(len(borders) - 1, values.dtype), np.flatnonzero(np.diff(borders))
+    if len(some):
+        out[some] = np.add.reduceat(values, borders[some])
+    return out
 
-        for batch in batches:
-            for text in batch["text"]:
-                counts.update(words_of(text))
-                counts[END] += 1
-                if len(counts) > HELD_WORDS:
-                    yield flushed()
-                    counts.clear()
-        if counts:
-            yield flushed()
 
-    partial = training.select("text").mapInPandas(run, "word string, shape int, n long")
+def word_counts(training: DataFrame) -> DataFrame:
+    """(word, shape, c) of all training tokens, the end among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, texts = [], 0, 0
+
+        def merged() -> pa.Table:
+            table = pa.concat_tables(held)
+            return table.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]) if len(held) > 1 else table
+
+        def flushed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for batch in table.to_batches():
+                yield pa.RecordBatch.from_arrays(
+                    [batch["word"].cast(pa.string()), pa.array(shapes_of(batch["word"]), pa.int32()), batch["n"]], ["word", "shape", "n"])
+
+        for batch in _pieces(batches, COUNTED_BYTES):
+            words, counts = pc.value_counts(words_in(batch.column("text"))[0]).flatten()
+            held.append(pa.table({"word": words, "n": counts}))
+            size, texts = size + len(words), texts + batch.num_rows
+            if size > HELD_WORDS:
+                held = [merged()]
+                size = held[0].num_rows
+                if size > HELD_WORDS:
+                    yield from flushed(held[0])
+                    held, size = [], 0
+        if held:
+            yield from flushed(merged())
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([-1], pa.int32()), pa.array([texts], pa.int64())], ["word", "shape", "n"])
+
+    partial = training.select("text").mapInArrow(run, "word string, shape int, n long")
     return partial.groupBy("word", "shape").agg(F.sum("n").alias("c"))
 
 
@@ -168,6 +231,8 @@ class Network:
             "word": 0.1 * rng.standard_normal((vocabulary.symbols, h)), "word_b": np.log(f)}
         self.w = {k: x.astype(np.float32) for k, x in self.w.items()}
         self.room: dict[str, np.ndarray] = {}
+        #: What ``scaled`` gives, while the weights stay as they are and no gradient is asked for.
+        self.fixed: tuple[np.ndarray, np.ndarray] | None = None
 
     def _room(self, name: str, *shape: int) -> np.ndarray:
         """An array to write into; its memory is used again, as fresh pages cost more than the work on them."""
@@ -188,8 +253,12 @@ class Network:
 
     def scaled(self) -> tuple[np.ndarray, np.ndarray]:
         """By gate, the input table with the bias and the state's weights; halved for the first two, as a sigmoid is a tanh of half its input."""
-        half = np.array([0.5, 0.5, 1], self.w["state"].dtype)[:, None, None]
-        return _by_gate(self.w["input"] + self.w["bias"]) * half, _by_gate(self.w["state"]) * half
+        table, weights = self._room("table", 3, self.v.symbols, HIDDEN), _by_gate(self.w["state"])
+        for gate, added, bias in zip(table, np.split(self.w["input"], 3, axis=1), np.split(self.w["bias"], 3)):
+            np.add(added, bias, out=gate)
+        table[:2] *= 0.5
+        weights[:2] *= 0.5
+        return table, weights
 
     @staticmethod
     def advance(added: np.ndarray, s: np.ndarray, h: np.ndarray, gates: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
@@ -213,34 +282,46 @@ class Network:
         return out, (h, *gates, c, s[2])
 
     def run(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States before and after every step over symbols ``x`` (steps by lanes), and what the gradient needs; in memory that is used again."""
-        n, (steps, width), (table, weights) = HIDDEN, x.shape, self.scaled()
+        """States before and after every step over symbols ``x`` (steps by lanes), and what the gradient needs; in memory that is used again.
+
+        With fixed weights only the last step's part of what the gradient needs is kept.
+        """
+        n, (steps, width), (table, weights) = HIDDEN, x.shape, self.fixed or self.scaled()
         inputs = np.take(table, x, axis=1, out=self._room("inputs", 3, steps, width, n), mode="clip")
-        states, kept, s = self._room("states", steps + 1, width, n), self._room("kept", 4, steps, width, n), self._room("s", 3, width, n)
+        states, s = self._room("states", steps + 1, width, n), self._room("s", 3, width, n)
+        kept = self._room("kept", 4, 1 if self.fixed else steps, width, n)
         states[0] = h
         for t in range(steps):
+            k = 0 if self.fixed else t
             np.matmul(states[t], weights, out=s)
-            kept[3, t] = s[2]
-            self.advance(inputs[:, t], s, states[t], kept[:2, t], kept[2, t], states[t + 1])
+            if not self.fixed:
+                kept[3, t] = s[2]
+            self.advance(inputs[:, t], s, states[t], kept[:2, k], kept[2, k], states[t + 1])
         return states, kept
 
     def _by_class(self, h: np.ndarray, y: np.ndarray) -> tuple:
         """Rows in the order of their classes: the order, states, classes, places within classes, and (class, members, rows) of classes of several words."""
-        order = np.argsort(self.v.class_of[y].astype(SYMBOL), kind="stable")
-        y = y[order]
         classes = self.v.class_of[y]
+        order = np.argsort(classes.astype(SYMBOL), kind="stable")
+        y, classes = y[order], classes[order]
         borders = np.searchsorted(classes, np.arange(len(self.v.members) + 1))
         parts = [(c, m, slice(borders[c], borders[c + 1])) for c, m in enumerate(self.v.members) if borders[c] < borders[c + 1] and len(m) > 1]
-        return order, h[order], classes, self.v.within[y], parts
+        return order, np.take(h, order, axis=0, out=self._room("sorted", *h.shape), mode="clip"), classes, self.v.within[y], parts
+
+    def _values(self, name: str, weights: np.ndarray, states: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """What is put into a softmax, in columns, in memory that is used again."""
+        x = np.matmul(weights, states.T, out=self._room(name, len(weights), len(states)))
+        x += bias[:, None]
+        return x
 
     def log_probabilities(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of symbols ``y`` in states ``h``."""
         out = np.empty(len(y), h.dtype)
         for s in range(0, len(y), BLOCK):
             order, states, classes, within, parts = self._by_class(h[s:s + BLOCK], y[s:s + BLOCK])
-            logs = _softmax(self.w["class"].T @ states.T + self.w["class_b"][:, None], classes)[1]
+            logs = _softmax(self._values("p", self.w["class"].T, states, self.w["class_b"]), classes)[1]
             for _, m, at in parts:
-                logs[at] += _softmax(self.w["word"][m] @ states[at].T + self.w["word_b"][m][:, None], within[at])[1]
+                logs[at] += _softmax(self._values("q", self.w["word"][m], states[at], self.w["word_b"][m]), within[at])[1]
             out[s + order] = logs
         return out
 
@@ -252,21 +333,21 @@ class Network:
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
         order, flat, classes, within, parts = self._by_class(states[1:].reshape(-1, n), y.ravel())
         weight = (valid.ravel()[order] / max(valid.sum(), 1)).astype(kind)
-        p = _softmax(self.w["class"].T @ flat.T + self.w["class_b"][:, None], classes)[0]
+        p = _softmax(self._values("p", self.w["class"].T, flat, self.w["class_b"]), classes)[0]
         p[classes, np.arange(len(classes))] -= 1
         p *= weight
         g["class"], g["class_b"] = flat.T @ p.T, p.sum(axis=1)
-        by_class = p.T @ self.w["class"].T
+        by_class = np.matmul(p.T, self.w["class"].T, out=self._room("by_class", *flat.shape))
         for _, m, at in parts:
             words, own = self.w["word"][m], within[at]
-            q = _softmax(words @ flat[at].T + self.w["word_b"][m][:, None], own)[0]
+            q = _softmax(self._values("q", words, flat[at], self.w["word_b"][m]), own)[0]
             q[own, np.arange(len(own))] -= 1
             q *= weight[at]
             g["word"][m], g["word_b"][m] = q @ flat[at], q.sum(axis=1)
             by_class[at] += q.T @ words
-        d = self._room("d", steps * width, n)
-        d[order] = by_class
-        d = d.reshape(steps, width, n)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        d = np.take(by_class, back, axis=0, out=self._room("d", steps * width, n), mode="clip").reshape(steps, width, n)
         # what a change of the state is worth for the three gates, seen from the state before
         before, ds, factors = states[:-1], self._room("inputs", 3, steps, width, n), self._room("factors", 3, steps, width, n)  # the inputs are not needed any more
         part, to_c, left = self._room("s", 3, width, n), self._room("to_c", steps, width, n), self._room("left", steps, width, n)
@@ -295,10 +376,10 @@ class Network:
         order = np.argsort(x.ravel().astype(SYMBOL), kind="stable")  # short numbers are sorted by radix
         symbols = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-        added = self._room("factors", len(order), 3 * n)  # nor are the factors
-        for k, gate in enumerate(ds):
-            added[:, k * n:(k + 1) * n] = gate.reshape(-1, n)[order]
-        added = np.add.reduceat(added, first, axis=0)
+        added = self._room("factors", 3, len(order), n)  # nor are the factors
+        for own, gate in zip(added, ds):
+            np.take(gate.reshape(-1, n), order, axis=0, out=own, mode="clip")
+        added = np.concatenate(list(np.add.reduceat(added, first, axis=1)), axis=1)
         g["input"][symbols[first]], g["bias"] = added, added.sum(axis=0)
         return g, states[-1].copy()
 
@@ -339,13 +420,14 @@ class Network:
 
 def _segments(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows of SEGMENT + 1 symbols, -1 beyond the end of a sequence, neighbours sharing a symbol; where each begins, its number of rows, and which rows are first."""
-    counts = np.array([-(-(len(w) - 1) // SEGMENT) for w in sequences])
+    lengths = np.array([len(w) for w in sequences])
+    counts = -(-(lengths - 1) // SEGMENT)
     ends = np.cumsum(counts)
-    segments = np.full((int(ends[-1]), SEGMENT + 1), -1, sequences[0].dtype)
-    for w, n, e in zip(sequences, counts, ends):
-        rows = segments[e - n:e]
-        rows[:, 0] = w[:-1:SEGMENT]
-        rows[:, 1:].flat[:len(w) - 1] = w[1:]
+    owner = np.repeat(np.arange(len(sequences)), counts)
+    before = (np.arange(len(owner)) - (ends - counts)[owner]) * SEGMENT  # symbols of the sequence before the row
+    symbols = np.concatenate([*sequences, np.zeros(SEGMENT, sequences[0].dtype)])
+    segments = np.lib.stride_tricks.sliding_window_view(symbols, SEGMENT + 1)[(np.cumsum(lengths) - lengths)[owner] + before]
+    segments[np.arange(SEGMENT + 1) >= (lengths[owner] - before)[:, None]] = -1
     opens = np.zeros(len(segments), bool)
     opens[(ends - counts)[counts > 0]] = True
     return segments, ends - counts, counts, opens
@@ -432,6 +514,7 @@ def run_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(len(documents)), counts)
     lanes = int(np.clip(-(-len(segments) // counts.max()), LEAST_LANES, MOST_LANES))
     h = np.zeros((lanes, HIDDEN), np.float32)
+    network.fixed = network.scaled()
     for at in _lanes(np.argsort(-counts, kind="stable"), begins, counts, lanes):
         h = np.where(opens[at, None], np.float32(0), h[:len(at)])
         rows = segments[at].T.astype(np.int64)
@@ -439,45 +522,45 @@ def run_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray:
         h, y = states[-1], rows[1:]
         logs = network.log_probabilities(states[1:].reshape(-1, HIDDEN), np.maximum(y, 0).ravel())
         total[owner[at]] += np.where(y >= 0, logs.reshape(y.shape), 0).sum(axis=0)
+    network.fixed = None
     return total / np.log(10)
 
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per document its symbols behind an end, counts, log10 sums without the network, and the words outside the dictionary."""
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "rare", "symbols"]
-
-    def run(batches):
-        number, rare_shape = vocabulary.number, {}
-
-        def shape(word):
-            known = rare_shape.get(word)
-            if known is None:
-                known = shape_of(word)
-                if len(rare_shape) < HELD_WORDS:
-                    rare_shape[word] = known
-            return known
-
-        for batch in batches:
-            out = []
-            for doc_id, held, text in zip(batch["doc_id"], batch["held_out"], batch["text"]):
-                words = [*words_of(text), END]
-                at = np.array(list(map(number.get, words, repeat(-1))), np.int64)
-                known = at >= 0
-                symbols = np.zeros(len(words) + 1, SYMBOL)  # every text follows an end
-                own = symbols[1:]
-                own[known] = vocabulary.symbol[at[known]]
-                base, inner = vocabulary.log_count[at[known]].sum(), vocabulary.log_share[at[known]].sum()
-                unknown = np.flatnonzero(~known)
-                rare = [words[k] for k in unknown if words[k]]
-                base += np.log10(0.5) * (len(unknown) - len(rare))  # an end although no text was counted
-                shapes = np.array([shape(w) for w in rare], np.int64)
-                own[unknown[:len(rare)]] = 1 + shapes
-                inner -= vocabulary.log_shape[shapes].sum()
-                out.append((doc_id, held, len(words), int(known.sum()), base - len(words) * vocabulary.log_all, inner, rare, symbols.tobytes()))
-            yield pd.DataFrame(out, columns=columns, dtype=object)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, rare array<string>, symbols binary"
-    return map_frames(docs, run, schema).withColumn("row", F.monotonically_increasing_id())
+    schema = StructType.fromDDL(
+        "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, rare array<string>, symbols binary")
+    written = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary, end = pa.array(list(vocabulary.number), pa.string()), vocabulary.number.get(END)
+        # an end whose count is unknown although no text was counted
+        end_base, end_inner = (np.log10(0.5), 0.0) if end is None else (vocabulary.log_count[end], vocabulary.log_share[end])
+        for batch in _pieces(batches, ENCODED_BYTES):
+            words, borders = words_in(batch.column("text"))
+            at = pc.fill_null(pc.index_in(words, dictionary.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+            known = at >= 0
+            unknown, at = pa.array(~known), at[known]
+            rare = words.filter(unknown)
+            shapes = shapes_of(rare)
+            symbol, base, inner = np.empty(len(words), SYMBOL), np.zeros(len(words)), np.empty(len(words))
+            symbol[known], symbol[~known] = vocabulary.symbol[at], 1 + shapes
+            base[known] = vocabulary.log_count[at]
+            inner[known], inner[~known] = vocabulary.log_share[at], -vocabulary.log_shape[shapes]
+            # every text follows an end and has its own
+            n, places = np.diff(borders) + 1, 2 * np.arange(batch.num_rows + 1)
+            symbols = np.zeros(len(words) + places[-1], SYMBOL)
+            symbols[np.arange(len(words)) + np.repeat(places[:-1] + 1, n - 1)] = symbol
+            rare_borders = np.concatenate([[0], np.cumsum(~known)])[borders]
+            columns = [
+                batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(_sums(known.astype(np.int64), borders) + (end is not None)),
+                pa.array(_sums(base, borders) + end_base - n * vocabulary.log_all), pa.array(_sums(inner, borders) + end_inner),
+                pa.ListArray.from_arrays(pa.array(rare_borders, pa.int32()), rare),
+                pa.BinaryArray.from_buffers(
+                    pa.binary(), batch.num_rows, [None, pa.py_buffer(((borders + places) * SYMBOL.itemsize).astype(np.int32)), pa.py_buffer(symbols)])]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, written)], schema=written)
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def _scored(encoded: DataFrame, network: Network) -> DataFrame:

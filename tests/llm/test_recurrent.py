@@ -181,3 +181,76 @@ def test_documents_run_in_a_bounded_number_of_lanes(monkeypatch):
 def test_shapes_of_words():
     expected = {"ab": 0, "abcdef": 1, "abcdefghij": 2, "été": 3, "a7": 0, "end.": 12, "a,": 24, "no!": 36, "x)": 48, "a#b": 6, "é=x": 9, "étés-abcdefg": 5}
     assert {w: recurrent.shape_of(w) for w in expected} == expected
+
+
+def test_words_are_split_and_shaped_together():
+    """Texts were split, and words shaped, one by one."""
+    import pyarrow as pa
+
+    texts = [None, "", " \t", "A b", "  ÀÉ\x1cX\x85y end.\n", "x\xa0Y a#b é=x NO! (7) étés-abcdefg", "\x0b\x0c\r\tfive5 sixsix ninenine9 tententen0   \x1f,", None, "last"]
+    for given in (pa.array(texts), pa.array(["cut", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        words, borders = recurrent.words_in(given)
+        plain = words.to_pylist()
+        assert [plain[a:b] for a, b in zip(borders, borders[1:])] == [recurrent.words_of(t) for t in texts]
+        assert recurrent.shapes_of(words).tolist() == [recurrent.shape_of(w) for w in plain]
+        assert recurrent.shapes_of(words.slice(3, 4)).tolist() == [recurrent.shape_of(w) for w in plain[3:7]]
+    words, borders = recurrent.words_in(pa.array([], pa.string()))
+    assert len(words) == len(recurrent.shapes_of(words)) == 0 and borders.tolist() == [0]
+    assert recurrent._sums(np.array([1.0, 2, 4]), np.array([0, 0, 2, 2, 3, 3])).tolist() == [0, 3, 0, 4, 0]
+
+
+def test_pieces_hold_every_row_once_and_are_bounded():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"text": ["a" * n if n else None for n in [0, 5, 0, 30, 4, 4, 4, 0, 9, 0]], "row": list(range(10))})
+    pieces = list(recurrent._pieces(iter([batch, batch.slice(0, 0), batch.slice(4)]), 10))
+    assert [r for p in pieces for r in p["row"].to_pylist()] == [*range(10), *range(4, 10)]
+    assert all(sum(len(t or "") for t in p["text"].to_pylist()[:-1]) <= 10 for p in pieces)
+
+
+def test_counts_and_symbols_do_not_depend_on_pieces(spark, documents, monkeypatch):
+    rows = corpus()
+    whole = {(r.word, r["shape"], r.c) for r in recurrent.word_counts(documents(rows)).collect()}
+    expected = Counter(w for _, t in rows for w in [*recurrent.words_of(t), ""])
+    assert whole == {(w, recurrent.shape_of(w) if w else -1, c) for w, c in expected.items()}
+    # in this process, where pieces and held words can be made small
+    import pyarrow as pa
+
+    parts = []
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            parts.extend(run(iter([pa.record_batch({"text": pa.array([t for _, t in rows[k:k + 50]], pa.string())}) for k in range(0, len(rows), 50)])))
+            return spark.createDataFrame([("", 0, 0)], "word string, shape int, n long")
+
+    monkeypatch.setattr(recurrent, "COUNTED_BYTES", 500)
+    monkeypatch.setattr(recurrent, "HELD_WORDS", 60)
+    recurrent.word_counts(Frame())
+    found = Counter()
+    for p in parts:
+        for w, shape, n in zip(*(p[c].to_pylist() for c in ("word", "shape", "n"))):
+            assert shape == (recurrent.shape_of(w) if w else -1)
+            found[w] += n
+    assert found == expected and len(parts) > 2
+
+
+def test_scoring_makes_the_input_table_once_and_keeps_one_step(monkeypatch):
+    """The table of inputs was made again in every step, and all steps kept what only a gradient needs."""
+    v, _ = vocabulary(monkeypatch)
+    network, made, kept, scaled, run = recurrent.Network(v), [], set(), recurrent.Network.scaled, recurrent.Network.run
+    monkeypatch.setattr(recurrent.Network, "scaled", lambda self: made.append(1) or scaled(self))
+
+    def watched(self, x, h):
+        states, rest = run(self, x, h)
+        kept.add(rest.shape[1])
+        return states, rest
+
+    monkeypatch.setattr(recurrent.Network, "run", watched)
+    documents = [np.random.default_rng(k).integers(0, v.symbols, 700).astype(np.int16) for k in range(5)]
+    before = recurrent.run_documents(network, documents)
+    assert len(made) == 1 and kept == {1}
+    network.w["input"] += 0.5  # weights that changed since are seen
+    assert not np.allclose(recurrent.run_documents(network, documents), before) and len(made) == 2
