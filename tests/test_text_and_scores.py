@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import re
 import unicodedata
 
 import pytest
@@ -59,6 +61,23 @@ def test_mined_organisations(spark):
     assert one(spark, text.mined_organisations(F.lit(body))) == ["Goldman Sachs", "Morgan\nStanley", "Group Plc"]
 
 
+def test_a_run_of_capitalised_words_may_be_of_any_length(rows):
+    """A run of some 1500 words overflowed the stack of its task."""
+    got = rows([(40_000,), (3,)], "n int").select("n", text.mined_organisations(F.repeat(F.lit("Casa  Verde "), F.col("n")), None, squeezed=True).alias("found")).collect()
+    assert {r["n"]: r["found"] for r in got} == {n: [" ".join(["Casa Verde"] * n)] for n in (40_000, 3)}
+
+
+def test_capitalised_runs_end_where_a_search_that_gives_back_words_ends(rows):
+    pieces = [*["Ab", "Cde", " "] * 3, "F", "g", "É", "é", "\u0301", "_", "7", ".", " ", " ", "\n ", "\u00a0", "\u2003"]
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(pieces, k=draw.randint(0, 14))) for _ in range(20_000)]
+    # a combining mark continues a word here, as in Spark; for \w of Python it does not
+    word = re.compile(r"(?<![\w\u0301])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?![\w\u0301])")
+    expected = {k: word.findall(t) for k, t in enumerate(texts)}
+    got = rows(list(enumerate(texts)), "id int, t string").select("id", text.capitalised_runs(F.col("t")).alias("runs")).collect()
+    assert {r["id"]: r["runs"] for r in got} == expected and sum(map(len, expected.values())) > 500
+
+
 @pytest.mark.parametrize("raw, date", [
     ("2024-03-05T10:00:00Z", "2024-03-05"), ("2024-03-05 10:00:00.5+00:00", "2024-03-05"), ("2024-03-05", "2024-03-05"),
     ("not a date", None), (None, None), ("2024-13-05T00:00:00Z", None),
